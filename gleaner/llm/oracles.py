@@ -94,6 +94,23 @@ def warc_revisits() -> str:
     """
 
 
+def benchmark_decontamination() -> str:
+    return r"""
+    WITH texts AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+    w AS (
+        SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+        FROM texts),
+    s AS (
+        SELECT side, id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS shingle FROM w),
+    n AS (SELECT id, count(*) AS n FROM s WHERE side = 'i' GROUP BY id),
+    m AS (
+        SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared
+        FROM (SELECT * FROM s WHERE side = 'd') d JOIN (SELECT * FROM s WHERE side = 'i') i ON d.shingle = i.shingle GROUP BY d.id, i.id)
+    SELECT doc_id, item_id, n AS n_item_shingles, n_shared, n_shared::DOUBLE / n AS containment FROM m JOIN n ON m.item_id = n.id WHERE n_shared >= 0.8 * n
+    """
+
+
 def exact_dedup() -> str:
     return rf"""
     WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{SPACE}', ' ', 'g') AS body FROM documents),
@@ -106,6 +123,7 @@ def sql() -> dict[str, str]:
     return {
         "op1_license_scan": license_scan(),
         "op3_source_mixing": source_mixing(),
+        "op4_benchmark_decontamination": benchmark_decontamination(),
         "op5_warc_revisits": warc_revisits(),
         "op9_exact_dedup": exact_dedup(),
     }

@@ -25,6 +25,12 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "passes")
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.decontamination import benchmark_matches
+
+    return benchmark_matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleaner.llm.revisits import captures_of_pages, resolve_revisits
 
@@ -33,6 +39,12 @@ def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("record_id", "canonical_url", "response_id", "outcome", F.array_join(entries, "; ").alias("headers"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.near_duplicates import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleaner.llm.exact_duplicates import exact_duplicates
 
@@ -44,7 +56,9 @@ def queries() -> dict:
     return {
         "op1_license_scan": op1_license_scan,
         "op3_source_mixing": op3_source_mixing,
+        "op4_benchmark_decontamination": op4_benchmark_decontamination,
         "op5_warc_revisits": op5_warc_revisits,
+        "op6_near_dedup": op6_near_dedup,
         "op9_exact_dedup": op9_exact_dedup,
     }
 
