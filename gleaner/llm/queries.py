@@ -19,6 +19,15 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.quality import held_out
+    from gleaner.llm.toxicity import score_toxicity, train_toxicity
+
+    docs, held = documents(spark, sf_dir), held_out(F.col("doc_id"), 3, 1)
+    model = train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held)
+    return score_toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleaner.llm.mixing import mix_sources
 
@@ -45,6 +54,14 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.quality import held_out, score_quality, train_quality
+
+    docs, held = documents(spark, sf_dir), held_out(F.col("doc_id"), 5, 0)
+    model = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held)
+    return score_quality(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleaner.llm.exact_duplicates import exact_duplicates
 
@@ -55,10 +72,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_license_scan": op1_license_scan,
+        "op2_toxicity": op2_toxicity,
         "op3_source_mixing": op3_source_mixing,
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
         "op5_warc_revisits": op5_warc_revisits,
         "op6_near_dedup": op6_near_dedup,
+        "op7_quality": op7_quality,
         "op9_exact_dedup": op9_exact_dedup,
     }
 
