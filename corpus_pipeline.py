@@ -1,25 +1,74 @@
-"""A corpus through the operators of ``gleaner.llm``, stage by stage."""
+"""A corpus through the operators of ``gleaner.llm``, stage by stage.
+
+Every stage takes all that the one before kept and returns the columns of
+``documents``; the last returns where each document's ids lie in the token file.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.llm.decontamination import benchmark_matches
 from gleaner.llm.mixing import mix_sources
-from gleaner.llm.storage import Workspace
+from gleaner.llm.near_duplicates import near_duplicates
+from gleaner.llm.quality import held_out, score_quality, train_quality
+from gleaner.llm.queries import tokenizer_path
+from gleaner.llm.storage import Workspace, join_checked
+from gleaner.llm.token_blocks import read_token_file, write_token_file
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Ids to drop are broadcast up to this number (under 8 MB) and shuffled beyond.
+MOST_BROADCAST_IDS = 200_000
+
+
+def without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """The documents whose id is not in ``ids``."""
+    ids = Workspace(docs.sparkSession, name).keep(ids.select("doc_id").distinct(), "dropped")
+    return join_checked(docs, ids, "doc_id", "left_anti", MOST_BROADCAST_IDS).select(*COLUMNS)
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts (score of 0.3 or more)."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = train_quality(docs, labels, ~held_out(F.col("doc_id"), 5, 0))
+    return without(docs, score_quality(docs, model).where("predicted = 0"), "quality")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each near-duplicate group."""
+    return without(docs, near_duplicates(docs).where("not kept"), "near")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return without(docs, benchmark_matches(docs, items), "contaminated")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    passes = mix_sources(docs).select("doc_id", "passes").where("passes > 0")
-    repeated = docs.join(passes, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), "passes")))
+    """Each document as often as the mix of sources takes it."""
+    passes = mix_sources(docs).select("doc_id", "passes").where("passes > 0").distinct()
+    repeated = docs.join(passes, "doc_id").withColumn("pass", F.explode(F.sequence(F.lit(1), "passes")))
     return repeated.select(*COLUMNS)
 
 
-STAGES = [("mixing", mix)]
+def token_blocks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Write the token file; doc_id, start, n_tokens and ids_crc32 read from it."""
+    folder = Workspace(spark, "tokens").path("ids")
+    write_token_file(docs, folder, tokenizer_path())
+    return read_token_file(spark, folder)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix),
+    ("token_blocks", token_blocks),
+]
 
+#: Learning, MinHash and the tokenizer have no SQL form; the tests hold the run against plain Python.
 ORACLE_SQL = None
 
 

@@ -62,6 +62,14 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.personal_data import KINDS, corpus_words, find_personal_data, train
+
+    docs = documents(spark, sf_dir)
+    found = find_personal_data(docs, train(corpus_words(docs, "text")))
+    return found.select("doc_id", *[f"n_{kind}" for kind in KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleaner.llm.exact_duplicates import exact_duplicates
 
@@ -69,6 +77,21 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("text_hash")).alias("text_sha256"))
 
 
+def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.storage import Workspace
+    from gleaner.llm.token_blocks import read_token_file, write_token_file
+
+    folder = Workspace(spark, "tokens").path("ids")
+    write_token_file(documents(spark, sf_dir), folder, tokenizer_path())
+    return read_token_file(spark, folder)
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def queries() -> dict:
     return {
         "op1_license_scan": op1_license_scan,
@@ -78,7 +101,9 @@ def queries() -> dict:
         "op5_warc_revisits": op5_warc_revisits,
         "op6_near_dedup": op6_near_dedup,
         "op7_quality": op7_quality,
+        "op8_personal_data": op8_personal_data,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_token_blocks": op10_token_blocks,
     }
 
 
