@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES: tuple[str, ...] = ("trends",)
+FAMILIES: tuple[str, ...] = ("trends", "text")
 
 
 def load_all() -> None:
