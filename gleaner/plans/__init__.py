@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES: tuple[str, ...] = ("trends", "text")
+FAMILIES: tuple[str, ...] = ("trends", "text", "identity")
 
 
 def load_all() -> None:
