@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES: tuple[str, ...] = ("trends", "text", "identity")
+FAMILIES: tuple[str, ...] = ("trends", "text", "identity", "claims")
 
 
 def load_all() -> None:
