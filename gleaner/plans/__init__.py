@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES: tuple[str, ...] = ("trends", "text", "identity", "claims")
+FAMILIES: tuple[str, ...] = ("trends", "text", "identity", "claims", "landscape", "surfaces")
 
 
 def load_all() -> None:
