@@ -16,6 +16,11 @@ TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
 
 
+def with_value(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, also inside lambdas of ``use``."""
+    return F.transform(F.array(value), use)[0]
+
+
 def decode_entities(text: Column) -> Column:
     """Named entities, and the apostrophe's number; ``&amp;`` last, once."""
     return reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), ENTITIES.items(), text)
