@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.storage import Workspace
+from gleaner.storage import Workspace, join_checked
+
+#: Label tables are broadcast up to this number of rows (under 8 MB).
+MOST_BROADCAST_ROWS = 200_000
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -29,7 +32,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         jump = 0
         while True:
             further = roots.select(F.col("u").alias("root"), F.col("root").alias("next"))
-            jumped = roots.join(further, "root").select("u", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved"))
+            jumped = join_checked(roots, further, "root", "inner", MOST_BROADCAST_ROWS).select("u", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved"))
             jumped = space.keep(jumped, f"jumped{step}_{jump}")
             roots, jump = jumped.select("u", "root"), jump + 1
             if not jumped.where("moved").limit(1).count():
@@ -38,10 +41,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if labels is None:
             labels = roots
         else:
-            moved = labels.alias("l").join(ends.alias("r"), F.col("l.root") == F.col("r.u"), "left")
-            labels = space.keep(moved.select("l.u", F.coalesce("r.to", "l.root").alias("root")), f"labels{step}")
-        left = current.join(ends, "u").select(F.col("to").alias("p"), "v")
-        linked = left.join(ends.withColumnRenamed("u", "v"), "v").select(F.col("p").alias("u"), F.col("to").alias("v")).where("u <> v").distinct()
+            ahead = ends.select(F.col("u").alias("root"), "to")
+            moved = join_checked(labels, ahead, "root", "left", MOST_BROADCAST_ROWS)
+            labels = space.keep(moved.select("u", F.coalesce("to", "root").alias("root")), f"labels{step}")
+        left = join_checked(current, ends, "u", "inner", MOST_BROADCAST_ROWS).select(F.col("to").alias("p"), "v")
+        right = ends.select(F.col("u").alias("v"), "to")
+        linked = join_checked(left, right, "v", "inner", MOST_BROADCAST_ROWS).select(F.col("p").alias("u"), F.col("to").alias("v")).where("u <> v").distinct()
         current, step = space.keep(linked, f"edges{step}"), step + 1
         if not current.limit(1).count():
             return labels.select(F.col("u").alias("node"), F.col("root").alias("component"))
