@@ -3,14 +3,16 @@
 1. Every text becomes the set of its word shingles, a digest of that set and a
    MinHash signature. Equal sets are one class and go on as one representative.
 2. Representatives that agree in a band of the signature share a bucket.
-3. In rounds, a few central members of each bucket (its hubs) are compared with
-   the members of other components. A pair's signatures are compared batch by
-   batch; it is dropped as soon as the posterior probability that its similarity
-   reaches the threshold falls under the chosen miss probability. Survivors are
-   verified on their full shingle sets, and links merge components. A tested hub
-   leaves its bucket, and a bucket whose members are all in one component is
-   done. So each bucket's pairs are decided exactly, but a group of many copies
-   costs its size times the few hubs it takes to join it, not its square.
+3. A pair's signatures are compared batch by batch; it is dropped as soon as the
+   posterior probability that its similarity reaches the threshold falls under
+   the chosen miss probability. Survivors are verified on their full sets, links
+   merge components, and pairs within one component need no further look.
+4. First each bucket's most central member (its hub) is compared with the others:
+   a group of many copies costs its size, not its square. Buckets whose members
+   are in one component are done.
+5. In the others every pair of two components is decided, within tasks on two
+   blocks of a bucket each, and only in the first band on which the pair agrees.
+   Signatures go first; full sets follow for members that have a live pair.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ from gleaner.operators.components import connected_components
 
 BANDS, ROWS, BATCH = 20, 4, 16
 MISS = 1e-6
-#: Hubs per open bucket in each round; the last number repeats.
-HUBS = (1, 8, 64, 512)
+#: Members of a block; two blocks meet in a task.
+BLOCK = 1024
 #: A broadcast of so many ids stays under 8 MB; more are joined by shuffle.
 MOST_BROADCAST_IDS = 200_000
 
@@ -130,6 +132,82 @@ def verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
 
+def live_pairs(left: np.ndarray, right: np.ndarray, differ: np.ndarray, band: int, needed: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and matches of pairs of ``differ`` that no batch rules out,
+    and that agree in no band before ``band``; most matches first."""
+    rows, columns = np.nonzero(differ)
+    matches, done = np.zeros(len(rows), dtype=np.int64), 0
+    for n, least in needed:
+        for k in range(done, n):
+            matches += left[rows, k] == right[columns, k]
+        keep = matches >= least
+        rows, columns, matches, done = rows[keep], columns[keep], matches[keep], n
+    earlier = np.zeros(len(rows), dtype=bool)
+    for b in range(band):
+        same = np.ones(len(rows), dtype=bool)
+        for k in range(ROWS * b, ROWS * (b + 1)):
+            same &= left[rows, k] == right[columns, k]
+        earlier |= same
+    rows, columns, matches = rows[~earlier], columns[~earlier], matches[~earlier]
+    order = np.argsort(-matches, kind="stable")
+    return rows[order], columns[order], matches[order]
+
+
+def two_blocks(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Row numbers of the two blocks, signatures, which pairs to decide, the band."""
+    i, j = table["i"][0].as_py(), table["j"][0].as_py()
+    block, comp = table["block"].to_numpy(), np.unique(table["comp"].to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    signed = np.frombuffer(b"".join(table["signature"].to_pylist()), dtype=np.uint32).reshape(table.num_rows, -1)
+    first, second = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    differ = comp[first][:, None] != comp[second][None, :]
+    if i == j:
+        differ = np.triu(differ, 1)
+    return first, second, signed, differ, table["band"][0].as_py()
+
+
+def live_members(table: pa.Table, needed: list[tuple[int, int]]) -> pa.Table:
+    """The members of two blocks that have a live pair."""
+    first, second, signed, differ, band = two_blocks(table)
+    rows, columns, _ = live_pairs(signed[first], signed[second], differ, band, needed)
+    live = pa.array(np.union1d(first[rows], second[columns]), pa.int64())
+    return table.select(["key", "id"]).take(live)
+
+
+def decide_blocks(table: pa.Table, needed: list[tuple[int, int]], percent: int) -> pa.Table:
+    """Links that join components of the members of two blocks."""
+    first, second, signed, differ, band = two_blocks(table)
+    rows, columns, _ = live_pairs(signed[first], signed[second], differ, band, needed)
+    sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table["members"]]
+    of = np.unique(table["comp"].to_numpy(zero_copy_only=False), return_inverse=True)[1].tolist()
+    parent = list(range(max(of) + 1))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    a, b = [], []
+    for x, y in zip(first[rows].tolist(), second[columns].tolist(), strict=True):
+        p, q = root(of[x]), root(of[y])
+        if p != q:
+            shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if 100 * shared >= percent * (len(sets[x]) + len(sets[y]) - shared):
+                parent[max(p, q)] = min(p, q)
+                a.append(x)
+                b.append(y)
+    ids = table["id"].combine_chunks() if isinstance(table["id"], pa.ChunkedArray) else table["id"]
+    return pa.table({"a": ids.take(pa.array(a, pa.int64())), "b": ids.take(pa.array(b, pa.int64()))})
+
+
+def in_blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Each member of a bucket in every pair of blocks that its own block is in."""
+    counted = join_checked(members, sizes, "key", "inner", MOST_BROADCAST_IDS)
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    placed = counted.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    others = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return others.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "m")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, miss: float = MISS) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept.
 
@@ -140,63 +218,70 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     similarity of 0.85, 20 bands of 4 rows miss a pair with probability under
     1e-6. Other columns are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    space = Workspace(spark, "near")
+    space = Workspace(docs.sparkSession, "near")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = dict(rows.dtypes)["id"]
+    needed = least_matches(percent / 100, miss)
     sketched = rows.mapInArrow(partial(sketch, width=width), f"id {id_type}, n long, digest long, digest2 long, signature binary")
     sketched = space.keep(sketched, "sketch")
-    key = ["digest", "digest2", "n"]
-    classes = space.keep(sketched.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep")), "classes")
-    members = sketched.select("id", *key).join(classes, key, "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
+    same = ["digest", "digest2", "n"]
+    classes = space.keep(sketched.where("n > 0").groupBy(*same).agg(F.min("id").alias("rep")), "classes")
+    members = sketched.select("id", *same).join(classes, same, "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     members = space.keep(members, "members")
-    reps = sketched.where("n > 0").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", "signature")
+    reps = sketched.where("n > 0").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "signature")
     reps = space.keep(reps, "reps")
     space.drop("sketch", "classes")
 
+    # buckets; of those with the same members the first band's stays
     slots = [F.xxhash64(F.lit(k), F.substring("signature", 4 * ROWS * k + 1, 4 * ROWS)) for k in range(BANDS)]
-    banded = reps.select("id", F.explode(F.array(*slots)).alias("key"))
-    buckets = banded.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
-    buckets = space.keep(buckets.where("c > 1").groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key", "c"), "buckets")
-    entries = space.keep(banded.join(buckets, "key").select("key", "id", "c"), "entries")
+    banded = reps.select("id", F.posexplode(F.array(*slots)).alias("band", "key"))
+    found = banded.groupBy("key", "band").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    found = found.where("c > 1").groupBy("c", "x", "y").agg(F.min(F.struct("band", "key")).alias("at"))
+    buckets = space.keep(found.select("at.key", "c"), "buckets")
+    entries = space.keep(join_checked(banded, buckets, "key", "inner", MOST_BROADCAST_IDS), "entries")
     degrees = space.keep(entries.groupBy("id").agg(F.sum("c").alias("degree")), "degrees")
-    entries = space.keep(entries.join(degrees, "id").select("key", "id", "degree"), "ranked")
-
-    links, labels, step = None, None, 0
-    while True:
-        here = entries.withColumn("comp", F.col("id")) if labels is None else (
-            entries.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-        )
-        here = space.keep(here, f"here{step}")
-        is_open = space.keep(here.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key"), f"open{step}")
-        if not is_open.limit(1).count():
-            break
-        here = space.keep(here.join(is_open, "key"), f"left{step}")
-        salt = F.pmod(F.xxhash64("id", F.lit(step)), F.lit(HUBS[min(step, len(HUBS) - 1)]))
-        central = F.max_by(F.struct("id", "comp"), F.struct("degree", F.xxhash64("id")))
-        hubs = here.groupBy("key", salt.alias("salt")).agg(central.alias("hub")).select("key", F.col("hub.id").alias("hub"), F.col("hub.comp").alias("hub_comp"))
-        hubs = space.keep(hubs, f"hubs{step}")
-        pairs = here.join(hubs, "key").where("comp <> hub_comp").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        signed = pairs.join(reps.select(F.col("id").alias("a"), F.col("signature").alias("left")), "a")
-        signed = signed.join(reps.select(F.col("id").alias("b"), F.col("signature").alias("right")), "b").select("a", "b", "left", "right")
-        likely = signed.mapInArrow(partial(prune, needed=least_matches(percent / 100, miss)), f"a {id_type}, b {id_type}")
-        likely = space.keep(likely, f"likely{step}")
-        asked = space.keep(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct(), f"asked{step}")
-        sets = join_checked(rows, asked, "id", "left_semi", MOST_BROADCAST_IDS).mapInArrow(partial(full_sets, width=width), f"id {id_type}, members binary")
-        sets = space.keep(sets.dropDuplicates(["id"]), f"sets{step}")
-        both = likely.join(sets.select(F.col("id").alias("a"), F.col("members").alias("left")), "a")
-        both = both.join(sets.select(F.col("id").alias("b"), F.col("members").alias("right")), "b").select("a", "b", "left", "right")
-        new = space.keep(both.mapInArrow(partial(verify, percent=percent), f"a {id_type}, b {id_type}"), f"links{step}")
-        links = new if links is None else links.unionByName(new)
-        labels = connected_components(links)
-        tested = hubs.select("key", F.col("hub").alias("id"))
-        entries = space.keep(here.select("key", "id", "degree").join(tested, ["key", "id"], "left_anti"), f"entries{step}")
-        space.drop(f"here{step}", f"left{step}", f"sets{step}", f"likely{step}", f"asked{step}")
-        step += 1
-
-    if labels is None:
-        found = members.withColumn("component_id", F.col("rep"))
-    else:
-        roots = labels.select(F.col("node").alias("rep"), "component")
-        found = members.join(roots, "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
+
+    # one hub for each bucket
+    central = join_checked(entries, degrees, "id", "inner", MOST_BROADCAST_IDS)
+    hubs = space.keep(central.groupBy("key").agg(F.max_by("id", F.struct("degree", F.xxhash64("id"))).alias("hub")), "hubs")
+    pairs = join_checked(entries, hubs, "key", "inner", MOST_BROADCAST_IDS).where("id <> hub")
+    pairs = space.keep(pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "pairs")
+    left, right = reps.select(F.col("id").alias("a"), F.col("signature").alias("left")), reps.select(F.col("id").alias("b"), F.col("signature").alias("right"))
+    signed = join_checked(left, pairs, "a", "inner", MOST_BROADCAST_IDS).join(right, "b").select("a", "b", "left", "right")
+    likely = space.keep(signed.mapInArrow(partial(prune, needed=needed), f"a {id_type}, b {id_type}"), "likely")
+    asked = space.keep(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct(), "asked")
+    sets = space.keep(sets_of(rows, asked, id_type, width), "sets")
+    left, right = sets.select(F.col("id").alias("a"), F.col("members").alias("left")), sets.select(F.col("id").alias("b"), F.col("members").alias("right"))
+    both = join_checked(left, likely, "a", "inner", MOST_BROADCAST_IDS).join(right, "b").select("a", "b", "left", "right")
+    links = space.keep(both.mapInArrow(partial(verify, percent=percent), f"a {id_type}, b {id_type}"), "links")
+    labels = space.keep(connected_components(links), "labels")
+    space.drop("sets")
+
+    # buckets that still hold several components
+    named = labels.select(F.col("node").alias("id"), "component")
+    here = join_checked(entries.select("key", "band", "id"), named, "id", "left", MOST_BROADCAST_IDS)
+    here = space.keep(here.select("key", "band", "id", F.coalesce("component", "id").alias("comp")), "here")
+    still = here.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    still = space.keep(still.where("low <> high and m > 2").select("key", "m"), "still")
+    if still.limit(1).count():
+        blocked = in_blocks(here, still).join(reps, "id")
+        wanted = blocked.groupBy("key", "i", "j").applyInArrow(lambda t: live_members(t, needed), f"key long, id {id_type}")
+        live = space.keep(wanted.distinct(), "live")
+        asked = space.keep(live.select("id").distinct(), "asked2")
+        sets = space.keep(sets_of(rows, asked, id_type, width).join(reps, "id"), "sets2")
+        counts = space.keep(live.groupBy("key").agg(F.count("*").alias("m")), "counts")
+        alive = join_checked(here, live, ["key", "id"], "left_semi", MOST_BROADCAST_IDS)
+        blocked = in_blocks(alive, counts).join(sets, "id")
+        more = blocked.groupBy("key", "i", "j").applyInArrow(lambda t: decide_blocks(t, needed, percent), f"a {id_type}, b {id_type}")
+        links = links.unionByName(space.keep(more, "links2"))
+        labels = space.keep(connected_components(links), "labels2")
+        space.drop("sets2", "here", "live")
+    roots = labels.select(F.col("node").alias("rep"), "component")
+    found = join_checked(members, roots, "rep", "left", MOST_BROADCAST_IDS).withColumn("component_id", F.coalesce("component", "rep"))
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def sets_of(rows: DataFrame, ids: DataFrame, id_type: str, width: int) -> DataFrame:
+    """id and full shingle set of the documents whose id is in ``ids``."""
+    chosen = join_checked(rows, ids, "id", "left_semi", MOST_BROADCAST_IDS)
+    return chosen.mapInArrow(partial(full_sets, width=width), f"id {id_type}, members binary")
