@@ -72,7 +72,8 @@ def license_scan(
     """One row per document and license found: id, license, dice, n_units.
 
     ``dice`` is the best over the document's units and the license's templates,
-    ``n_units`` the number of its units that reach ``least_dice``. Null, empty
+    ``n_units`` the number of its units (lines, and blocks of lines) that reach
+    ``least_dice``. Null, empty
     and one-word texts have no bigrams and give no row; a repeated line counts
     each time; no other column is read. Templates are a parameter of fixed size
     (the default 16), so their broadcast doesn't grow with the corpus.

@@ -36,8 +36,8 @@ BLOCK = 1024
 PERCENTILES = (75, 90, 95, 99, 100)
 CHUNK_IDS = 1 << 18
 HEADER = struct.Struct("<IHBBI")
-#: Words whose ids a task remembers; beyond that it starts afresh.
-MOST_WORDS = 300_000
+#: Pieces whose ids a worker remembers (about 200 bytes each); beyond that it starts afresh.
+MOST_WORDS = 1_200_000
 
 
 def bit_widths(values: np.ndarray) -> np.ndarray:
@@ -141,26 +141,19 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = byte_letters()
-        self.words: dict[str, bytes] = {}
-
-    def word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            if len(self.words) >= MOST_WORDS:
-                self.words.clear()
-            tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-            ids = self.words[word] = np.array([t.id for t in tokens], dtype="<u4").tobytes()
-        return ids
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MOST_WORDS:
-            self.clear()
         plain = _WORD.fullmatch(piece) if len(piece) <= 64 else None
-        if plain:
-            ids = self.word(plain[1]) + (self.word(plain[2]) if plain[2] else b"")
-        else:
+        if not plain:
             ids = self.whole(piece)
+        elif plain[2]:
+            ids = self[plain[1]] + self[plain[2]]
+        else:
+            tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+            ids = np.array([t.id for t in tokens], dtype="<u4").tobytes()
         if len(piece) <= 64:
+            if len(self) >= MOST_WORDS:
+                self.clear()
             self[piece] = ids
         return ids
 
