@@ -111,6 +111,25 @@ def benchmark_decontamination() -> str:
     """
 
 
+def near_dedup() -> str:
+    return r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+        FROM documents),
+    g AS (
+        SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM w),
+    s AS (SELECT doc_id, len(g) AS n, hash(unnest(g)) AS shingle FROM g),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS x, any_value(b.n) AS y, count(*) AS k
+        FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id AND a.n * 100 >= b.n * 85 AND b.n * 100 >= a.n * 85 GROUP BY 1, 2),
+    e AS (SELECT a, b FROM p WHERE 100 * k >= 85 * (x + y - k)),
+    both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+    walk AS (SELECT a AS node, a AS root FROM both_ways UNION SELECT t.b, walk.root FROM walk JOIN both_ways t ON walk.node = t.a),
+    c AS (SELECT node, min(root) AS root FROM walk GROUP BY node)
+    SELECT doc_id, len(g)::BIGINT AS n_shingles, coalesce(root, doc_id) AS component_id, coalesce(root, doc_id) = doc_id AS kept FROM g LEFT JOIN c ON doc_id = node
+    """
+
+
 def exact_dedup() -> str:
     return rf"""
     WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{SPACE}', ' ', 'g') AS body FROM documents),
@@ -125,5 +144,6 @@ def sql() -> dict[str, str]:
         "op3_source_mixing": source_mixing(),
         "op4_benchmark_decontamination": benchmark_decontamination(),
         "op5_warc_revisits": warc_revisits(),
+        "op6_near_dedup": near_dedup(),
         "op9_exact_dedup": exact_dedup(),
     }
