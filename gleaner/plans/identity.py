@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from gleaner.catalog import register
 from gleaner.functions import text as X
@@ -245,7 +246,7 @@ def alert_twin_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return others.join(alerts.select("identifier").distinct(), "identifier", "left_anti").join(alerts.select("publisher").distinct(), "publisher", "left_semi").select("report_id", "identifier")
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def hashed_embedding(texts: pd.Series) -> pd.Series:
     """128 signed buckets of FNV-1a hashed tokens and bigrams, weighted by length, unit norm."""
 
