@@ -4,7 +4,8 @@ The kernel of two words counts the letter triples that both have in order,
 weighted by how far each is spread, so an insult with a gap or an inserted
 character stays close to the plain one. Words are folded to a small alphabet
 first: case, accents, digits and signs between letters vanish, repeated letters
-become one, and letters spelled apart are joined.
+become one, and letters spelled apart are joined. A word's start and end count
+as letters, for an insult's stem may be ordinary inside other words.
 
 Training is on labelled sentences: each is a bag of words, toxic if one of them
 is. Words that explain the toxic sentences are found by greedy cover, an SVM is
@@ -28,7 +29,8 @@ from gleaner.llm import shingles as S
 from gleaner.llm.quality import labelled_sample
 
 DECAY, LETTERS, MOST_SPAN, WINDOW = 0.5, 32, 9, 24
-LANDMARKS, RIDGE = 160, 1e-3
+LEAST = 5  # letters of a word with its start and end marks
+LANDMARKS, RIDGE = 256, 1e-4
 #: Labelled documents of each class that the model is fitted on, chosen by hash.
 MOST_TOXIC, MOST_CLEAN = 4_000, 6_000
 #: Words of clean sentences among the training rows.
@@ -136,14 +138,26 @@ def distinct_words(data: np.ndarray, offsets: np.ndarray) -> Words:
         of = np.concatenate([of, np.arange(len(bounds) - 1, len(bounds) - 1 + len(joined))])
         rows = np.concatenate([rows, [r for _, r in joined]])
         bounds = np.concatenate([bounds, bounds[-1] + more])
+    letters, bounds = marked(letters, bounds)
     return Words(letters, bounds, of, rows)
 
 
+def marked(letters: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of at least three letters with code 0 at their start and end."""
+    size = np.diff(bounds)
+    whole = size >= 3
+    starts = np.concatenate([[0], np.cumsum(size + 2 * whole)])
+    out = np.zeros(starts[-1], dtype=np.uint8)
+    word = np.repeat(np.arange(len(size)), size)
+    out[np.arange(len(letters)) - bounds[word] + starts[word] + whole[word]] = letters
+    return out, starts
+
+
 def word_scores(words: Words, table: np.ndarray) -> np.ndarray:
-    """The table score of each distinct word: its best piece; 0 under 3 letters."""
+    """The table score of each distinct word: its best piece; 0 under three letters."""
     out = np.zeros(len(words.ends) - 1)
     word, offset, size = windows(np.diff(words.ends))
-    for n in range(3, WINDOW + 1):
+    for n in range(LEAST, WINDOW + 1):
         chosen = np.flatnonzero(size == n)
         if len(chosen):
             start = words.ends[word[chosen]] + offset[chosen]
@@ -247,7 +261,7 @@ def bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = [raw[a:b] for a, b in zip(words.ends, words.ends[1:], strict=False)]
             bags: list[set] = [set() for _ in range(last - first)]
             for row, word in zip(words.rows.tolist(), words.of.tolist(), strict=True):
-                if 3 <= len(names[word]) <= WINDOW:
+                if LEAST <= len(names[word]) <= WINDOW:
                     bags[row].add(names[word])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), pa.array([sorted(b) for b in bags], pa.list_(pa.string()))],
@@ -298,7 +312,7 @@ def fit(bags: list[set[str]], toxic: np.ndarray, threshold: float) -> Model:
         if step < 2:  # hard negatives: clean words that look worst
             scored = np.zeros(len(others))
             sizes = np.array([len(w) for w in others])
-            for n in range(3, WINDOW + 1):
+            for n in range(LEAST, WINDOW + 1):
                 at = np.flatnonzero(sizes == n)
                 if len(at):
                     scored[at] = table_scores(np.stack([as_letters(others[i]) for i in at]), n, table)
@@ -308,7 +322,7 @@ def fit(bags: list[set[str]], toxic: np.ndarray, threshold: float) -> Model:
     known: dict[str, float] = {}
     names = sorted({w for bag in bags for w in bag})
     sizes = np.array([len(w) for w in names])
-    for n in range(3, WINDOW + 1):
+    for n in range(LEAST, WINDOW + 1):
         at = np.flatnonzero(sizes == n)
         if len(at):
             known.update(zip([names[i] for i in at], table_scores(np.stack([as_letters(names[i]) for i in at]), n, table), strict=True))
