@@ -38,6 +38,7 @@ CHUNK_IDS = 1 << 18
 HEADER = struct.Struct("<IHBBI")
 #: Pieces whose ids a worker remembers (about 200 bytes each); beyond that it starts afresh.
 MOST_WORDS = 1_200_000
+MOST_LETTERS = 64
 
 
 def bit_widths(values: np.ndarray) -> np.ndarray:
@@ -113,7 +114,7 @@ def unpack(payload: bytes, offsets: np.ndarray, first: int = 0, last: int | None
 _SPLIT_UNSAFE = re.compile(r" \s")
 #: A word of letters, perhaps with signs after it: two pieces of the tokenizer's pattern.
 _LETTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
-_WORD = re.compile(f"( ?{_LETTER}+)([.,;:!?]*)")
+_WORD = re.compile(f"({_LETTER}+)([.,;:!?]*)")
 
 
 def byte_letters() -> dict[int, int]:
@@ -123,39 +124,57 @@ def byte_letters() -> dict[int, int]:
     return {b: b for b in stay} | {b: 256 + k for k, b in enumerate(other)}
 
 
-class Encoder(dict):
+class Pieces(dict):
+    """Ids, as little-endian uint32, of the pieces that follow ``before``."""
+
+    def __init__(self, encoder: Encoder, before: str):
+        super().__init__()
+        self.encoder, self.before = encoder, before
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.encoder.piece_ids(self.before, piece)
+        if len(piece) <= MOST_LETTERS:
+            if len(self) >= MOST_WORDS:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
+class Encoder:
     """Ids of texts by the tokenizers library, remembered by word.
 
     The tokenizer's pattern never joins what lies on two sides of the start of a
     word with its one space before it. So a text is cut at those places and the
     pieces' ids are put together; a text where white space follows a space is
-    encoded at once. The keys are pieces with their space, the values their ids
-    as little-endian uint32. A new piece that is one plain word goes straight to
-    the library's BPE model, any other through its whole pipeline.
+    encoded at once. A new piece that is one plain word goes straight to the
+    library's BPE model, any other through its whole pipeline.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = byte_letters()
-
-    def __missing__(self, piece: str) -> bytes:
-        plain = _WORD.fullmatch(piece) if len(piece) <= 64 else None
-        if not plain:
-            ids = self.whole(piece)
-        elif plain[2]:
-            ids = self[plain[1]] + self[plain[2]]
-        else:
-            tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-            ids = np.array([t.id for t in tokens], dtype="<u4").tobytes()
-        if len(piece) <= 64:
-            if len(self) >= MOST_WORDS:
-                self.clear()
-            self[piece] = ids
-        return ids
+        self.first, self.later = Pieces(self, ""), Pieces(self, " ")
+        self.marks = {"": "", " ": chr(self.letters[0x20])}
+
+    def piece_ids(self, before: str, piece: str) -> bytes:
+        if len(piece) > MOST_LETTERS:
+            return self.whole(before + piece)
+        if piece.isascii() and piece.isalpha():
+            return self.plain(self.marks[before] + piece)
+        word = _WORD.fullmatch(piece)
+        if not word:
+            return self.whole(before + piece)
+        if word[2]:
+            return (self.later if before else self.first)[word[1]] + self.first[word[2]]
+        return self.plain((before + piece).encode().decode("latin-1").translate(self.letters))
+
+    def plain(self, word: str) -> bytes:
+        """Ids of one word in the byte-level alphabet."""
+        tokens = self.model.tokenize(word)
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -164,7 +183,7 @@ class Encoder(dict):
         if _SPLIT_UNSAFE.search(text):
             return self.whole(text)
         first, *rest = text.split(" ")
-        return b"".join([self[first] if first else b"", *[self[" " + piece] for piece in rest]])
+        return (self.first[first] if first else b"") + b"".join(map(self.later.__getitem__, rest))
 
 
 _encoders: dict[str, Encoder] = {}
