@@ -56,9 +56,11 @@ def pack(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     grid = padded.reshape(count, BLOCK)
     least = grid.min(axis=1)
     rest = grid - least[:, None]
-    ranked = np.sort(rest, axis=1)
-    options = np.stack([bit_widths(ranked[:, min(BLOCK - 1, BLOCK * p // 100)]) for p in PERCENTILES], axis=1)
-    over = np.stack([(bit_widths(rest) > options[:, [k]]).sum(axis=1) for k in range(len(PERCENTILES))], axis=1)
+    # how many ids of each block have up to so many bits
+    cells = bit_widths(rest) + 33 * np.arange(count)[:, None]
+    up_to = np.bincount(cells.ravel(), minlength=33 * count).reshape(count, 33).cumsum(axis=1)
+    options = np.stack([(up_to <= min(BLOCK - 1, BLOCK * p // 100)).sum(axis=1) for p in PERCENTILES], axis=1)
+    over = BLOCK - np.take_along_axis(up_to, options, axis=1)
     best = np.argmin(options * BLOCK // 8 + over * 6, axis=1)
     width = options[np.arange(count), best]
     planes: list = [[] for _ in range(count)]
@@ -83,32 +85,35 @@ def pack(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     return b"".join(out), offsets
 
 
-def unpack_block(payload: bytes | memoryview, at: int) -> np.ndarray:
-    """The ids of the block at byte offset ``at``."""
-    least, size, width, _, extra = HEADER.unpack_from(payload, at)
-    at += HEADER.size
-    values = np.zeros(BLOCK, dtype=np.uint32)
-    if width:
-        bits = np.unpackbits(np.frombuffer(payload, dtype=np.uint8, count=width * BLOCK // 8, offset=at).reshape(width, -1), axis=1)
-        low = np.zeros((4, BLOCK // 8 * 8), dtype=np.uint8)
+def unpack_blocks(payload: bytes | memoryview, at: np.ndarray) -> np.ndarray:
+    """The ids of the blocks at byte offsets ``at``, one block after another."""
+    heads = [HEADER.unpack_from(payload, int(a)) for a in at]
+    widths, raw = np.array([h[2] for h in heads]), np.frombuffer(payload, dtype=np.uint8)
+    values = np.zeros((len(at), BLOCK), dtype=np.uint32)
+    for width in np.unique(widths[widths > 0]):
+        chosen, span = np.flatnonzero(widths == width), int(width) * BLOCK // 8
+        planes = np.concatenate([raw[a : a + span] for a in at[chosen] + HEADER.size])
+        bits = np.unpackbits(planes).reshape(len(chosen), width, BLOCK)
+        low = np.zeros((len(chosen), BLOCK, 4), dtype=np.uint8)
         for b in range(width):
-            low[b // 8] |= bits[b] << np.uint8(b % 8)
-        values = np.ascontiguousarray(low.T).view("<u4").reshape(BLOCK).astype(np.uint32)
-        at += width * BLOCK // 8
-    if extra:
-        where = np.frombuffer(payload, dtype="<u2", count=extra, offset=at)
-        high = np.frombuffer(payload, dtype="<u4", count=extra, offset=at + 2 * extra)
-        values[where] |= high << np.uint32(width)
-    return values[:size] + np.uint32(least)
-
-
-def unpack(payload: bytes, offsets: np.ndarray, first: int = 0, last: int | None = None) -> np.ndarray:
+            low[:, :, b // 8] |= bits[:, b] << np.uint8(b % 8)
+        values[chosen] = low.view("<u4")[:, :, 0]
+    for k, (_, _, width, _, extra) in enumerate(heads):
+        if extra:
+            start = int(at[k]) + HEADER.size + width * BLOCK // 8
+            where = np.frombuffer(payload, dtype="<u2", count=extra, offset=start)
+            values[k, where] |= np.frombuffer(payload, dtype="<u4", count=extra, offset=start + 2 * extra) << np.uint32(width)
+    values += np.array([h[0] for h in heads], dtype=np.uint32)[:, None]
+    return np.concatenate([values[:-1].ravel(), values[-1, : heads[-1][1]]])
+
+
+def unpack(payload: bytes | memoryview, offsets: np.ndarray, first: int = 0, last: int | None = None) -> np.ndarray:
     """Ids ``first`` to ``last`` (exclusive), reading only their blocks."""
     last = BLOCK * len(offsets) if last is None else last
-    chosen = range(first // BLOCK, min(len(offsets), -(-last // BLOCK)))
-    if not chosen:
+    low, high = first // BLOCK, min(len(offsets), -(-last // BLOCK))
+    if low >= high:
         return np.zeros(0, dtype=np.uint32)
-    return np.concatenate([unpack_block(payload, int(offsets[k])) for k in chosen])[first - chosen[0] * BLOCK : last - chosen[0] * BLOCK]
+    return unpack_blocks(payload, offsets[low:high])[first - low * BLOCK : last - low * BLOCK]
 
 
 _SPLIT_UNSAFE = re.compile(r" \s")
