@@ -164,6 +164,10 @@ class Encoder:
         self.first, self.later = Pieces(self, ""), Pieces(self, " ")
         self.marks = {"": "", " ": chr(self.letters[0x20])}
 
+    def __len__(self) -> int:
+        """Pieces that are remembered."""
+        return len(self.first) + len(self.later)
+
     def piece_ids(self, before: str, piece: str) -> bytes:
         if len(piece) > MOST_LETTERS:
             return self.whole(before + piece)

@@ -138,7 +138,6 @@ def distinct_words(data: np.ndarray, offsets: np.ndarray) -> Words:
         of = np.concatenate([of, np.arange(len(bounds) - 1, len(bounds) - 1 + len(joined))])
         rows = np.concatenate([rows, [r for _, r in joined]])
         bounds = np.concatenate([bounds, bounds[-1] + more])
-    letters, bounds = marked(letters, bounds)
     return Words(letters, bounds, of, rows)
 
 
@@ -155,13 +154,14 @@ def marked(letters: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def word_scores(words: Words, table: np.ndarray) -> np.ndarray:
     """The table score of each distinct word: its best piece; 0 under three letters."""
-    out = np.zeros(len(words.ends) - 1)
-    word, offset, size = windows(np.diff(words.ends))
+    letters, ends = marked(words.letters, words.ends)
+    out = np.zeros(len(ends) - 1)
+    word, offset, size = windows(np.diff(ends))
     for n in range(LEAST, WINDOW + 1):
         chosen = np.flatnonzero(size == n)
         if len(chosen):
-            start = words.ends[word[chosen]] + offset[chosen]
-            scores = table_scores(words.letters[start[:, None] + np.arange(n)], n, table)
+            start = ends[word[chosen]] + offset[chosen]
+            scores = table_scores(letters[start[:, None] + np.arange(n)], n, table)
             np.maximum.at(out, word[chosen], scores)
     return out
 
@@ -257,8 +257,9 @@ def bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first, last in S.pieces(offsets):
             low, high = offsets[first], offsets[last]
             words = distinct_words(data[low:high], offsets[first : last + 1] - low)
-            raw = (words.letters + np.uint8(64)).tobytes().decode("latin-1")
-            names = [raw[a:b] for a, b in zip(words.ends, words.ends[1:], strict=False)]
+            letters, ends = marked(words.letters, words.ends)
+            raw = (letters + np.uint8(64)).tobytes().decode("latin-1")
+            names = [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
             bags: list[set] = [set() for _ in range(last - first)]
             for row, word in zip(words.rows.tolist(), words.of.tolist(), strict=True):
                 if LEAST <= len(names[word]) <= WINDOW:
