@@ -36,8 +36,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each near-duplicate group."""
-    return without(docs, near_duplicates(docs).where("not kept"), "near")
+    """One document, that with the smallest id, of each near-duplicate group
+    (similarity of 0.8 or more)."""
+    return without(docs, near_duplicates(docs, percent=80).where("not kept"), "near")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,31 +30,40 @@ from gleaner.llm import shingles as S
 from gleaner.llm.storage import Workspace, join_checked
 from gleaner.operators.components import connected_components
 
-BANDS, ROWS, BATCH = 20, 4, 16
+ROWS, BATCH = 4, 16
 MISS = 1e-6
 #: Members of a block; two blocks meet in a task.
 BLOCK = 1024
 #: A broadcast of so many ids stays under 8 MB; more are joined by shuffle.
 MOST_BROADCAST_IDS = 200_000
 
-_SEEDS = S.mix64(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64))
-_XOR = (_SEEDS[: BANDS * ROWS] >> np.uint64(32)).astype(np.uint32)
-_ODD = (_SEEDS[BANDS * ROWS :] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
 
 
-def signatures(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def bands_for(least: float, miss: float) -> int:
+    """Bands of ROWS that miss a pair of similarity ``least`` with probability
+    under ``miss``, in whole batches of hashes: 20 at 0.85 and 28 at 0.8 for 1e-6."""
+    bands = BATCH // ROWS
+    while (1 - least**ROWS) ** bands >= miss:
+        bands += BATCH // ROWS
+    return bands
+
+
+def signatures(hashes: np.ndarray, offsets: np.ndarray, bands: int) -> np.ndarray:
     """A row of 32-bit minima for each set; an empty set has zeros."""
-    out = np.zeros((len(offsets) - 1, BANDS * ROWS), dtype=np.uint32)
+    width = bands * ROWS
+    seeds = (S.mix64(np.arange(1, 2 * width + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
+    xor, odd = seeds[:width], seeds[width:] | np.uint32(1)
+    out = np.zeros((len(offsets) - 1, width), dtype=np.uint32)
     filled = np.flatnonzero(np.diff(offsets))
     if len(filled):
         short = (hashes >> np.uint64(32)).astype(np.uint32)
-        for j in range(BANDS * ROWS):
-            out[filled, j] = np.minimum.reduceat((short ^ _XOR[j]) * _ODD[j], offsets[filled])
+        for j in range(width):
+            out[filled, j] = np.minimum.reduceat((short ^ xor[j]) * odd[j], offsets[filled])
     return out
 
 
-def sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def sketch(batches: Iterator[pa.RecordBatch], width: int, bands: int) -> Iterator[pa.RecordBatch]:
     """id, n, two digests of the shingle set, signature."""
     for batch in batches:
         data, offsets = S.flat(batch.column(1))
@@ -64,7 +73,7 @@ def sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
             sets, ends = S.distinct_sets(hashes, owners, last - first)
             sums = np.concatenate([[np.uint64(0)], np.cumsum(S.mix64(sets))])
             others = np.concatenate([[np.uint64(0)], np.cumsum(S.mix64(sets ^ _OTHER))])
-            signed = signatures(sets, ends)
+            signed = signatures(sets, ends, bands)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(first, last - first),
@@ -96,7 +105,7 @@ def least_matches(least: float, miss: float) -> list[tuple[int, int]]:
     at most m successes in n + 1 trials of probability ``least``.
     """
     out = []
-    for n in range(BATCH, BANDS * ROWS + 1, BATCH):
+    for n in range(BATCH, bands_for(least, miss) * ROWS + 1, BATCH):
         tail, m = 0.0, -1
         while tail < miss:
             m += 1
@@ -214,15 +223,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Documents are linked where 100 * shared >= ``percent`` * union of their sets
     of word shingles; components close the links; the smallest id stays. A text
     of fewer words than ``width`` has one shingle, its whole sequence; a null
-    text or one without words has none and is linked with nothing. At a
-    similarity of 0.85, 20 bands of 4 rows miss a pair with probability under
-    1e-6. Other columns are ignored; an empty table gives an empty result.
+    text or one without words has none and is linked with nothing. There are so
+    many bands that a pair at the threshold is missed with probability under
+    ``miss``. Other columns are ignored; an empty table gives an empty result.
     """
     space = Workspace(docs.sparkSession, "near")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = dict(rows.dtypes)["id"]
-    needed = least_matches(percent / 100, miss)
-    sketched = rows.mapInArrow(partial(sketch, width=width), f"id {id_type}, n long, digest long, digest2 long, signature binary")
+    needed, bands = least_matches(percent / 100, miss), bands_for(percent / 100, miss)
+    sketched = rows.mapInArrow(partial(sketch, width=width, bands=bands), f"id {id_type}, n long, digest long, digest2 long, signature binary")
     sketched = space.keep(sketched, "sketch")
     same = ["digest", "digest2", "n"]
     classes = space.keep(sketched.where("n > 0").groupBy(*same).agg(F.min("id").alias("rep")), "classes")
@@ -233,7 +242,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     space.drop("sketch", "classes")
 
     # buckets; of those with the same members the first band's stays
-    slots = [F.xxhash64(F.lit(k), F.substring("signature", 4 * ROWS * k + 1, 4 * ROWS)) for k in range(BANDS)]
+    slots = [F.xxhash64(F.lit(k), F.substring("signature", 4 * ROWS * k + 1, 4 * ROWS)) for k in range(bands)]
     banded = reps.select("id", F.posexplode(F.array(*slots)).alias("band", "key"))
     found = banded.groupBy("key", "band").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
     found = found.where("c > 1").groupBy("c", "x", "y").agg(F.min(F.struct("band", "key")).alias("at"))

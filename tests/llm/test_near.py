@@ -83,6 +83,27 @@ def test_miss_probability_bounds():
         assert 0 < m < n
 
 
+def test_bands_hold_the_miss_bound():
+    assert N.bands_for(0.85, 1e-6) == 20 and N.bands_for(0.8, 1e-6) == 28
+    for percent in (80, 85, 95, 100):
+        assert (1 - (percent / 100) ** N.ROWS) ** N.bands_for(percent / 100, 1e-6) < 1e-6
+
+
+def test_pipeline_stage_drops_pairs_from_four_fifths(spark, make):
+    """A changed word in the middle of s shingles gives (s - 5) / (s + 5)."""
+    import corpus_pipeline
+
+    texts, drop = [], set()
+    for k, s in enumerate((44, 45, 47, 50, 53, 56, 60, 62)):
+        words = [f"p{k}x{i}" for i in range(s + 4)]
+        texts += [" ".join(words), " ".join([*words[:20], "changed", *words[21:]])]
+        if s >= 45:
+            drop.add(2 * k + 1)
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, make(texts), "").collect()}
+    assert kept == set(range(len(texts))) - drop
+    assert {r.doc_id for r in N.near_duplicates(make(texts)).where("not kept").collect()} == {15}
+
+
 def test_near_odd_rows(odd, empty):
     found = N.near_duplicates(odd).collect()
     assert len(found) == odd.count() and N.near_duplicates(empty).count() == 0
