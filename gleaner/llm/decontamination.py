@@ -24,7 +24,6 @@ from gleaner.llm import shingles as S
 
 #: Hash functions; an item with 80 % of its shingles in a window is missed with probability under 2e-6.
 HASHES = 64
-SMALLEST = 3
 #: Text of the items that one scan carries to the tasks; more items take more scans.
 BLOCK_CHARS = 8_000_000
 
@@ -52,7 +51,7 @@ def index_items(ids: list, texts: list, width: int) -> Items:
     sets = [flat[ends[i] : ends[i + 1]] for i in range(len(texts))]
     tables = {}
     sizes = np.diff(ends)
-    classes = np.maximum(np.ceil(np.log2(np.maximum(sizes, 1))).astype(int), SMALLEST)
+    classes = np.ceil(np.log2(np.maximum(sizes, 1))).astype(int)
     for c in sorted(set(classes[sizes > 0].tolist())):
         chosen = np.flatnonzero((classes == c) & (sizes > 0))
         tables[c] = []

@@ -136,6 +136,21 @@ def test_containment_against_brute_force(spark, make):
     assert found == expected and (2, 5) in found
 
 
+def test_items_of_one_and_two_shingles_are_not_missed():
+    from gleaner.llm import decontamination as D
+
+    rng = random.Random(8)
+    for n in (5, 6):
+        index = D.index_items(["i"], [" ".join(f"item{i}" for i in range(n))], 5)
+        texts = []
+        for k in range(1500):
+            words = [f"z{rng.randrange(10**6)}" for _ in range(40)]
+            at = rng.randrange(40)
+            texts.append(" ".join(words[:at] + [f"item{i}" for i in range(n)] + words[at:]))
+        data, offsets = S.flat(pa.array(texts))
+        assert {row for row, _ in D.candidates(*S.row_shingles(data, offsets, 5), index)} == set(range(len(texts)))
+
+
 def test_items_in_blocks_and_odd_rows(spark, make, odd, empty, monkeypatch):
     from gleaner.llm import decontamination as D
 
