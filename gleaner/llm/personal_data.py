@@ -38,8 +38,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: What RE2 looks for before a text is read in Python at all.
-SCREEN = r"[0-9@]|[(\[{] ?at ?[)\]}]|\bdot\b"
-_TRIGGER = re.compile(r"[0-9@]|[(\[{] ?at ?[)\]}]|\bdot\b")
+SCREEN = r"(?i)[0-9@]|[(\[{] ?at ?[)\]}]|\bdot\b|\bat [a-z0-9-]+\.[a-z0-9-]"
+_TRIGGER = re.compile(SCREEN)
 _CUES = {
     "email": ("email", "e-mail", "mail", "contact", "write"),
     "ip": ("ip", "host", "server", "address"),
@@ -326,11 +326,19 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def corpus_words(docs: DataFrame, text_col: str, most_docs: int = 200) -> list[str]:
-    """Context words for the training sentences, from a few documents by hash."""
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.substring(text_col, 1, 300).alias("t"))
-    rows = rows.orderBy(F.xxhash64("t"), "t").limit(most_docs).collect()
-    words = sorted({w for r in rows for w in r["t"].split() if w.isalpha() and w.lower() not in ("at", "dot")})
-    return words[:: max(1, len(words) // MOST_WORDS)][:MOST_WORDS]
+    """Up to MOST_WORDS context words for the training sentences, spread over the
+    sorted words of ``most_docs`` whole, distinct texts (those of least hash).
+
+    Only the model's context is bounded by this; every text is searched whole.
+    """
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"))
+    least = [r["h"] for r in rows.select("h").distinct().orderBy("h").limit(most_docs).collect()]
+    if not least:
+        return []
+    parts = rows.where(F.col("h") <= max(least)).select(F.explode(F.split("t", r"\s+")).alias("w")).distinct().collect()
+    words = sorted({w for r in parts for w in r["w"].split() if w.isalpha() and w.lower() not in ("at", "dot")})
+    n = min(len(words), MOST_WORDS)
+    return [words[i * len(words) // n] for i in range(n)]
 
 
 def find_personal_data(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

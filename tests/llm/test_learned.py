@@ -148,6 +148,20 @@ def test_model_adds_spans_and_keeps_base_ones():
     assert hit / given > 0.85 and hit / said > 0.85
 
 
+def test_every_written_address_opens_a_window(make):
+    model = P.train(["rosen", "haus", "wiese", "turm", "feld", "bach"])
+    wanted = ["anna at mira.com", "anna (AT) mira (DOT) org", "anna AT mira DOT org", "anna [At] mira.net", "anna (at) mira (dot) org"]
+    rows = P.find_personal_data(make([f"haus {w} turm" for w in wanted] + ["turm at haus wiese"]), model).orderBy("doc_id").collect()
+    assert [r.spans for r in rows] == [f"email:5:{5 + len(w)}" for w in wanted] + [""]
+
+
+def test_context_words_come_from_whole_distinct_texts(spark, make):
+    texts = ["copy"] * 500 + ["start " * 100 + f"end{'abcde'[k]}" for k in range(5)]
+    assert set(P.corpus_words(make(texts), "text", 6)) == {"copy", "start", "enda", "endb", "endc", "endd", "ende"}
+    letters = [a + b + c for a in "abcdefghijklmn" for b in "abcdefghijklmn" for c in "abcdefghijklmnop"]
+    assert max(P.corpus_words(make([" ".join(letters)]), "text")) > "nn" and P.corpus_words(make([None]), "text") == []
+
+
 def test_viterbi_is_the_best_of_all_segmentations():
     model = P.train(["rosen", "haus", "wiese"])
     text = "haus 00 49 301 555 1234 anna (at) x (dot) com 1.2"
