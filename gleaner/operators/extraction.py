@@ -179,12 +179,19 @@ def entailment(claim: Column, source: Column) -> Column:
     return F.when(~F.forall(digits, lambda n: F.contains(source, n)), "reject").when(share >= 0.8, "admit").when(share >= 0.5, "downgrade").otherwise("reject")
 
 
+def draft_number(turn: Column, pos: Column) -> Column:
+    """The place of a sentence (pos, an int) in its cluster, by turn and then pos."""
+    return F.shiftleft(turn.cast("long"), 32) + pos
+
+
 def merge_assertions(drafts: DataFrame, cluster: str) -> DataFrame:
     """Greedy identity merge, in draft order, within each cluster.
 
     A draft joins the first earlier host of its type whose words are alike:
     Jaccard from .5, or three shared and .25, or two shared and .4. The order
-    decides, so a cluster is one group; its drafts are its distinct match keys.
+    decides, so a cluster is one group; its rows are its distinct match keys (type
+    and set of words), each at its first draft, whose host later copies share.
+    A draft without words is like nothing and hosts itself.
     ``drafts`` has cluster, draft long, type, words array<string>.
     """
 
@@ -206,4 +213,10 @@ def merge_assertions(drafts: DataFrame, cluster: str) -> DataFrame:
             yield pd.DataFrame(out, columns=[cluster, "draft", "host"])
 
     kind = dict(drafts.dtypes)[cluster]
-    return drafts.groupBy(cluster).applyInPandas(lambda frame: next(merge(iter([frame]))), f"{cluster} {kind}, draft long, host long")
+    keyed = drafts.select(cluster, "draft", "type", F.array_sort(F.array_distinct("words")).alias("words"))
+    filled, key = keyed.where(F.size("words") > 0), [cluster, "type", "words"]
+    firsts = filled.groupBy(*key).agg(F.min("draft").alias("draft"))
+    hosts = firsts.groupBy(cluster).applyInPandas(lambda frame: next(merge(iter([frame]))), f"{cluster} {kind}, draft long, host long")
+    known = firsts.join(hosts, [cluster, "draft"]).select(*key, "host")
+    joined = filled.join(known, key).select(cluster, "draft", "host")
+    return joined.unionByName(keyed.where(F.size("words") == 0).select(cluster, "draft", F.col("draft").alias("host")))

@@ -30,7 +30,7 @@ def claim_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     is merged into within its thread."""
     said = V.speech(spark, sf_dir).select("thread_id", "turn", F.posexplode(E.sentences(F.col("text"), F.lit(None).cast("string"))).alias("pos", "sentence"))
     rows = said.unionByName(literal(spark).select(F.lit(-1).cast("long").alias("thread_id"), F.col("id").alias("turn"), F.lit(0).alias("pos"), "sentence"))
-    rows = rows.select("thread_id", (F.col("turn") * 1000 + F.col("pos")).alias("draft"), "sentence", E.claim_type(F.col("sentence")).alias("type"), E.speaker(F.col("sentence")).alias("speaker"), F.size(E.figures(F.col("sentence"))).alias("figures"))
+    rows = rows.select("thread_id", E.draft_number(F.col("turn"), F.col("pos")).alias("draft"), "sentence", E.claim_type(F.col("sentence")).alias("type"), E.speaker(F.col("sentence")).alias("speaker"), F.size(E.figures(F.col("sentence"))).alias("figures"))
     hosts = E.merge_assertions(rows.select("thread_id", "draft", "type", X.tokens(F.col("sentence")).alias("words")), "thread_id")
     return rows.join(hosts, ["thread_id", "draft"])
 

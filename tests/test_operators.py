@@ -256,3 +256,27 @@ def test_greedy_merge_keeps_draft_order(spark):
     rows = [("c", 1, "attribution", ["a", "b", "c"]), ("c", 2, "attribution", ["a", "b", "c", "d"]), ("c", 3, "prediction", ["a", "b", "c"]), ("c", 4, "attribution", ["x"]), ("d", 1, "attribution", ["a", "b", "c"])]
     frame = spark.createDataFrame(rows, "cluster string, draft long, type string, words array<string>")
     assert {(r.cluster, r.draft): r.host for r in E.merge_assertions(frame, "cluster").collect()} == {("c", 1): 1, ("c", 2): 1, ("c", 3): 3, ("c", 4): 4, ("d", 1): 1}
+
+
+def test_drafts_of_long_turns_stay_apart(spark):
+    frame = spark.range(3).selectExpr("id as turn", "explode(sequence(0, 1500)) as pos")
+    rows = frame.select("turn", "pos", E.draft_number(F.col("turn"), F.col("pos")).alias("draft")).orderBy("turn", "pos").collect()
+    drafts = [r.draft for r in rows]
+    assert drafts == sorted(set(drafts)) and len(drafts) == 3 * 1501
+
+
+def test_greedy_merge_equals_all_drafts_in_order(spark):
+    rng = random.Random(5)
+    rows = [(c, d, rng.choice("xy"), [rng.choice("abcdefghij") for _ in range(rng.choice([0, 1, 3, 4]))]) for c in "pq" for d in range(150)]
+    expected = {}
+    for c in "pq":
+        hosts = []
+        for _, d, kind, words in [r for r in rows if r[0] == c]:
+            w = set(words)
+            like = lambda o: (s := len(w & o)) / max(1, len(w | o)) >= 0.5 or (s >= 3 and s / len(w | o) >= 0.25) or (s >= 2 and s / len(w | o) >= 0.4)
+            host = next((h for h, k, o in hosts if k == kind and like(o)), None)
+            if host is None:
+                hosts.append((d, kind, w))
+            expected[c, d] = d if host is None else host
+    found = E.merge_assertions(spark.createDataFrame(rows, "cluster string, draft long, type string, words array<string>"), "cluster").collect()
+    assert len(found) == len(rows) and {(r.cluster, r.draft): r.host for r in found} == expected
