@@ -6,7 +6,8 @@ File format: a Parquet table with a row for each chunk of documents, in order.
     chunk long         order within the shard
     start long         ids before this chunk in its shard
     n_ids long         ids of this chunk
-    doc_ids binary     little-endian int64 of each document
+    n_null long        documents without an id, the first of the chunk
+    doc_ids binary     little-endian int64 of each document (0 for those without)
     ends binary        little-endian int64, ids of the chunk up to each document's end
     blocks binary      little-endian int64 byte offset of each block in payload
     payload binary     the blocks
@@ -22,6 +23,7 @@ the block smallest. Any document is found by its block, without reading others.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -31,13 +33,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 BLOCK = 1024
 PERCENTILES = (75, 90, 95, 99, 100)
 CHUNK_IDS = 1 << 18
 HEADER = struct.Struct("<IHBBI")
-#: Pieces whose ids a worker remembers (about 200 bytes each); beyond that it starts afresh.
-MOST_WORDS = 1_200_000
+#: Bytes of the pieces and ids that a worker remembers, both generations together.
+MOST_BYTES = 64 << 20
+#: What a remembered piece takes beside its letters and ids: two objects and its place in a table.
+ENTRY_BYTES = 200
 MOST_LETTERS = 64
 
 
@@ -130,20 +135,44 @@ def byte_letters() -> dict[int, int]:
 
 
 class Pieces(dict):
-    """Ids, as little-endian uint32, of the pieces that follow ``before``."""
+    """Ids, as little-endian uint32, of the pieces that follow ``before``.
+
+    Two generations: when the encoder's share is spent, what was looked up since
+    the last time becomes the older one, and the older one is forgotten.
+    """
 
     def __init__(self, encoder: Encoder, before: str):
         super().__init__()
         self.encoder, self.before = encoder, before
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.encoder.piece_ids(self.before, piece)
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.encoder.piece_ids(self.before, piece)
         if len(piece) <= MOST_LETTERS:
-            if len(self) >= MOST_WORDS:
-                self.clear()
+            self.encoder.spend(ENTRY_BYTES + len(piece.encode()) + len(ids))
             self[piece] = ids
         return ids
 
+    def age(self) -> None:
+        self.older = dict(self)
+        self.clear()
+
+
+def splits_at_words(tokenizer) -> bool:
+    """Whether the tokenizer's texts may be cut before the space ahead of a word.
+
+    That holds for byte-level BPE with the usual pattern, no prefix space and no
+    normaliser, and added tokens without white space that take none around them.
+    """
+    parts = json.loads(tokenizer.to_str())
+    split, model = parts.get("pre_tokenizer") or {}, parts["model"]
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+    bpe = model["type"] == "BPE" and not (model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("ignore_merges"))
+    tight = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) and not re.search(r"\s", t["content"]) for t in parts.get("added_tokens") or [])
+    return bool(plain and bpe and tight and not parts.get("normalizer") and not parts.get("truncation") and not parts.get("padding"))
+
 
 class Encoder:
     """Ids of texts by the tokenizers library, remembered by word.
@@ -151,8 +180,9 @@ class Encoder:
     The tokenizer's pattern never joins what lies on two sides of the start of a
     word with its one space before it. So a text is cut at those places and the
     pieces' ids are put together; a text where white space follows a space is
-    encoded at once. A new piece that is one plain word goes straight to the
-    library's BPE model, any other through its whole pipeline.
+    encoded at once, and so is every text of a tokenizer with another pattern. A
+    new piece that is one plain word goes straight to the library's BPE model, any
+    other through its whole pipeline.
     """
 
     def __init__(self, path: str):
@@ -160,13 +190,23 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.splits = splits_at_words(self.tokenizer)
         self.letters = byte_letters()
         self.first, self.later = Pieces(self, ""), Pieces(self, " ")
+        self.spent = 0
         self.marks = {"": "", " ": chr(self.letters[0x20])}
 
     def __len__(self) -> int:
         """Pieces that are remembered."""
-        return len(self.first) + len(self.later)
+        return sum(len(p) + len(p.older) for p in (self.first, self.later))
+
+    def spend(self, size: int) -> None:
+        """Make room for a piece: both memories share one bound."""
+        self.spent += size
+        if 2 * self.spent > MOST_BYTES:
+            self.first.age()
+            self.later.age()
+            self.spent = size
 
     def piece_ids(self, before: str, piece: str) -> bytes:
         if len(piece) > MOST_LETTERS:
@@ -189,7 +229,7 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if _SPLIT_UNSAFE.search(text):
+        if not self.splits or _SPLIT_UNSAFE.search(text):
             return self.whole(text)
         first, *rest = text.split(" ")
         return (self.first[first] if first else b"") + b"".join(map(self.later.__getitem__, rest))
@@ -212,16 +252,17 @@ def write_chunks(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> I
     shard, chunk, before = TaskContext.get().partitionId(), 0, 0
     known = encoder(path)
     tail = struct.pack("<I", end_id)
-    docs: list[int] = []
+    docs: list[int | None] = []
     parts: list[bytes] = []
     ends: list[int] = []
     size = 0
 
     def close() -> pa.RecordBatch:
         payload, blocks = pack(np.frombuffer(b"".join(parts), dtype="<u4"))
-        row = [[shard], [chunk], [before], [size], [np.array(docs, dtype="<i8").tobytes()], [np.array(ends, dtype="<i8").tobytes()], [blocks.astype("<i8").tobytes()], [payload]]
-        kinds = [pa.int64()] * 4 + [pa.binary()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["shard", "chunk", "start", "n_ids", "doc_ids", "ends", "blocks", "payload"])
+        known_ids = np.array([d or 0 for d in docs], dtype="<i8")
+        row = [shard, chunk, before, size, docs.count(None), known_ids.tobytes(), np.array(ends, dtype="<i8").tobytes(), blocks.astype("<i8").tobytes(), payload]
+        kinds = [pa.int64()] * 5 + [pa.binary()] * 4
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[c.split()[0] for c in CHUNKS.split(", ")])
 
     for batch in batches:
         for doc, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -238,17 +279,21 @@ def write_chunks(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> I
         yield close()
 
 
-CHUNKS = "shard long, chunk long, start long, n_ids long, doc_ids binary, ends binary, blocks binary, payload binary"
+CHUNKS = "shard long, chunk long, start long, n_ids long, n_null long, doc_ids binary, ends binary, blocks binary, payload binary"
 
 
 def write_token_file(docs: DataFrame, folder: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shards: int | None = None) -> None:
     """Encode every document and write the chunks in ascending id order.
 
     Documents are dealt to shards by ranges of ids; texts move once and are
-    encoded where they are written. A null text is empty and has the end id
-    only. Rows that repeat an id follow one another. Ids must be integers.
+    encoded where they are written. A null or empty text has the end id only, a
+    long one may span many blocks. Rows that repeat an id follow one another;
+    those without an id come first. Ids must be of an integer type (ValueError);
+    other columns are not read. An empty table gives a file without chunks.
     """
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise ValueError(f"{id_col} must be of an integer type")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     count = shards or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = rows.repartitionByRange(count, "id").sortWithinPartitions("id")
     ordered.mapInArrow(lambda batches: write_chunks(batches, tokenizer_path, end_id), CHUNKS).write.mode("overwrite").parquet(folder)
@@ -257,13 +302,13 @@ def write_token_file(docs: DataFrame, folder: str, tokenizer_path: str, *, id_co
 def read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            shard, start = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-            docs, ends, blocks = (np.frombuffer(batch.column(k)[i].as_buffer(), dtype="<i8") for k in (2, 3, 4))
-            ids = unpack(batch.column(5)[i].as_buffer(), blocks).astype("<u4")
+            shard, start, n_null = (batch.column(k)[i].as_py() for k in (0, 1, 2))
+            docs, ends, blocks = (np.frombuffer(batch.column(k)[i].as_buffer(), dtype="<i8") for k in (3, 4, 5))
+            ids = unpack(batch.column(6)[i].as_buffer(), blocks).astype("<u4")
             begins = np.concatenate([[0], ends[:-1]])
             sums = [zlib.crc32(ids[a:b]) for a, b in zip(begins, ends, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(docs), shard)), pa.array(docs), pa.array(begins + start), pa.array(ends - begins), pa.array(sums, pa.int64())],
+                [pa.array(np.full(len(docs), shard)), pa.array(docs, mask=np.arange(len(docs)) < n_null), pa.array(begins + start), pa.array(ends - begins), pa.array(sums, pa.int64())],
                 names=["shard", "doc_id", "start", "n_tokens", "ids_crc32"],
             )
 
@@ -278,7 +323,7 @@ def read_token_file(spark: SparkSession, folder: str) -> DataFrame:
     sums = chunks.groupBy("shard").agg(F.sum("n_ids").alias("n_ids"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-    rows = chunks.select("shard", "start", "doc_ids", "ends", "blocks", "payload").mapInArrow(
+    rows = chunks.select("shard", "start", "n_null", "doc_ids", "ends", "blocks", "payload").mapInArrow(
         read_rows, "shard long, doc_id long, start long, n_tokens long, ids_crc32 long"
     )
     return rows.join(bases, "shard").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")

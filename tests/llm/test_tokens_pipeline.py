@@ -1,11 +1,13 @@
 """Token blocks, and the pipeline held against plain Python."""
 
 import random
+import sys
 import zlib
 
 import numpy as np
 import public_tokenizers
-from tokenizers import Tokenizer
+import pytest
+from tokenizers import Tokenizer, pre_tokenizers
 
 from gleaner.llm import token_blocks as B
 from gleaner.llm.storage import Workspace
@@ -42,10 +44,26 @@ def test_encoder_equals_the_library():
 
 
 def test_memory_of_the_encoder_is_bounded(monkeypatch):
-    monkeypatch.setattr(B, "MOST_WORDS", 10)
-    known = B.Encoder(PATH)
-    known.encode(" ".join(f"w{i}" for i in range(100)))
-    assert len(known) <= 11
+    """Both memories together stay under the bound, as Python counts it."""
+    monkeypatch.setattr(B, "MOST_BYTES", 4 << 20)
+    rng, known, most = random.Random(5), B.Encoder(PATH), 0
+    for _ in range(300):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 14))) for _ in range(200)]
+        known.encode(" ".join(words))
+        known.encode("\n".join(words))
+        for word in words:
+            known.encode(word)
+        tables = [t for p in (known.first, known.later) for t in (p, p.older)]
+        most = max(most, sum(sys.getsizeof(t) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in t.items()) for t in tables))
+    assert known.first.older and known.later.older
+    assert most <= 1.1 * (4 << 20)
+
+
+def test_other_tokenizers_are_not_cut():
+    library = Tokenizer.from_file(PATH)
+    assert B.splits_at_words(library)
+    library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    assert not B.splits_at_words(library)
 
 
 def test_file_round_trip(spark, odd, empty):
@@ -63,6 +81,16 @@ def test_file_round_trip(spark, odd, empty):
     assert B.read_token_file(spark, folder).count() == 0
 
 
+def test_rows_without_an_id_come_first(spark):
+    folder = Workspace(spark, "test").path("ids")
+    rows = spark.createDataFrame([(3, "a b"), (None, "c"), (-1, "d"), (None, None)], "doc_id long, text string")
+    B.write_token_file(rows, folder, PATH, shards=2)
+    found = sorted(B.read_token_file(spark, folder).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in found] == [None, None, -1, 3] and sorted(r.n_tokens for r in found[:2]) == [1, 2]
+    with pytest.raises(ValueError):
+        B.write_token_file(rows.select(rows.doc_id.cast("string"), "text"), folder, PATH)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
     from gleaner.llm import shingles as S
