@@ -59,33 +59,50 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], most_passes: in
     )
 
 
-def mix_sources(
-    docs: DataFrame,
-    *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    weights: tuple[float, ...] = (1.0, 2.0, 3.0),
-    most_passes: int = 3,
-    share: float = 1.0,
-) -> DataFrame:
+def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **plan) -> DataFrame:
     """One row per document: id, size, source_size, target, passes, taken.
 
     ``passes`` is how often the mix takes the document (0 to ``most_passes``) and
     ``taken`` the words that makes. A source's taken words differ from its target
     by at most one document's size: at the boundary the nearer side is chosen.
     Null sources form one source, last in order; empty texts have size 0; rows
-    with the same id have the same hash and are taken together. The result
-    depends only on ids, sizes and sources, so reruns agree.
+    with the same id (or none) have the same hash and are taken together. The
+    result depends only on ids, sizes and sources, so reruns agree. ``plan`` are
+    the parameters of :func:`source_limits`; other columns are not read.
     """
     space = Workspace(docs.sparkSession, "mixing")
-    rows = docs.select(
+    rows = space.keep(sized(docs, id_col, text_col, source_col), "rows")
+    mixed = with_passes(rows, source_limits(rows, space, **plan))
+    return mixed.select(F.col("id").alias(id_col), "size", "source_size", "target", "passes", (F.col("size") * F.col("passes")).alias("taken"))
+
+
+def repeat_by_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **plan) -> DataFrame:
+    """The rows of ``docs``, each as often as :func:`mix_sources` takes it.
+
+    A row's passes follow from its hash and its source's limits, so texts are
+    read again for the result but never shuffled. All columns stay.
+    """
+    space = Workspace(docs.sparkSession, "mixing")
+    sources = source_limits(space.keep(sized(docs, id_col, text_col, source_col), "rows"), space, **plan)
+    names = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), F.col(source_col).alias("source"), mixing_hash(F.col(id_col)).alias("hash"))
+    repeated = with_passes(rows, sources).where("passes > 0").select("row", F.explode(F.sequence(F.lit(1), "passes")).alias("pass"))
+    return repeated.select(*[F.col("row")[n].alias(n) for n in names])
+
+
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         word_count(F.col(text_col)).alias("size"),
         mixing_hash(F.col(id_col)).alias("hash"),
     )
-    rows = space.keep(rows, "rows")
+
+
+def source_limits(rows: DataFrame, space: Workspace, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most_passes: int = 3, share: float = 1.0) -> DataFrame:
+    """For each source of the written table ``rows`` its size and target, its whole
+    passes, what they leave of the target (budget) and the hash below which a
+    document gets one pass more (limit; null: no document exceeds the budget)."""
     shift = HASH_BITS - BUCKET_BITS
     cells = rows.groupBy("source", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("words"))
     cells = space.keep(cells, "cells0")
@@ -119,13 +136,14 @@ def mix_sources(
     nearer = F.col("through") - F.col("budget") < F.col("budget") - F.col("below")
     limits = crossing.select("source", (F.col("edge") + nearer.cast("long")).alias("limit"))
     sources = sources.alias("s").join(limits.alias("l"), F.col("s.source").eqNullSafe(F.col("l.source")), "left").select("s.*", "l.limit")
-    sources = space.keep(sources, "limits")
+    return space.keep(sources.withColumn("most_passes", F.lit(most_passes)), "limits")
+
+
+def with_passes(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """``rows`` (source, hash, ...) with the columns of their source and ``passes``."""
     mixed = join_same_source(rows, sources, MOST_BROADCAST_SOURCES)
     extra = (F.col("budget") > 0) & (F.col("limit").isNull() | (F.col("hash") < F.col("limit")))
-    passes = F.least(F.col("whole") + extra.cast("int"), F.lit(most_passes))
-    return mixed.select(
-        F.col("id").alias(id_col), "size", "source_size", "target", passes.alias("passes"), (F.col("size") * passes).alias("taken")
-    )
+    return mixed.withColumn("passes", F.least(F.col("whole") + extra.cast("int"), F.col("most_passes")))
 
 
 def join_same_source(rows: DataFrame, sources: DataFrame, most_rows: int) -> DataFrame:

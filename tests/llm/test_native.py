@@ -7,7 +7,7 @@ import re
 
 from gleaner.llm.exact_duplicates import exact_duplicates
 from gleaner.llm.licenses import license_scan
-from gleaner.llm.mixing import mix_sources
+from gleaner.llm.mixing import mix_sources, repeat_by_mix
 from gleaner.llm.revisits import resolve_revisits
 
 
@@ -79,6 +79,18 @@ def test_mixing_against_sorting(make):
             assert abs(r["target"] - target) < 1e-6 * max(1, target) and r["passes"] == passes and r["taken"] == passes * r["size"]
 
 
+def test_mix_repeats_whole_rows(make, odd, empty):
+    docs = make([" ".join(["w"] * (1 + i % 40)) for i in range(300)], ["a" if i % 3 else "b" if i % 2 else None for i in range(300)])
+    expected = sorted(r["doc_id"] for r in rows(mix_sources(docs)) for _ in range(r["passes"]))
+    found = repeat_by_mix(docs)
+    assert found.columns == docs.columns and sorted(r["doc_id"] for r in rows(found)) == expected
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+    plan = {r["doc_id"]: r["passes"] for r in rows(mix_sources(odd))}
+    assert repeat_by_mix(odd).columns == odd.columns
+    assert sum(plan[r["doc_id"]] for r in rows(odd)) == repeat_by_mix(odd).count()
+    assert repeat_by_mix(empty).count() == 0
+
+
 def test_mixing_odd_rows(odd, empty):
     found = rows(mix_sources(odd))
     assert len(found) == odd.count() and mix_sources(empty).count() == 0
