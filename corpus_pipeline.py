@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.decontamination import benchmark_matches
-from gleaner.llm.mixing import mix_sources
+from gleaner.llm.mixing import repeat_by_mix
 from gleaner.llm.near_duplicates import near_duplicates
 from gleaner.llm.quality import held_out, score_quality, train_quality
 from gleaner.llm.queries import tokenizer_path
@@ -49,9 +49,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
-    passes = mix_sources(docs).select("doc_id", "passes").where("passes > 0").distinct()
-    repeated = docs.join(passes, "doc_id").withColumn("pass", F.explode(F.sequence(F.lit(1), "passes")))
-    return repeated.select(*COLUMNS)
+    return repeat_by_mix(docs).select(*COLUMNS)
 
 
 def token_blocks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
