@@ -28,7 +28,7 @@ def time_band_join(left: DataFrame, right: DataFrame, keys: list[str], time: str
     return a.join(b, on, how)
 
 
-def capped_blocks(keys: DataFrame, key: str, order: list[Column], cap: int) -> DataFrame:
+def capped_blocks(keys: DataFrame, key: str | list[str], order: list[Column], cap: int) -> DataFrame:
     """The first ``cap`` rows of each blocking key: a feature of blocking, which
     trades recall on frequent keys for bounded work."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
@@ -42,13 +42,6 @@ def blocked_pairs(keys: DataFrame, key: str, row: str) -> DataFrame:
     return left.join(right, "_k").where("a < b").select("a", "b").distinct()
 
 
-def token_overlap(left: DataFrame, right: DataFrame, a: str, b: str, token: str) -> DataFrame:
-    """(a, b, shared): distinct tokens that rows of two exploded tables share."""
-    x = left.select(F.col(a).alias("a"), F.col(token).alias("_t")).distinct()
-    y = right.select(F.col(b).alias("b"), F.col(token).alias("_t")).distinct()
-    return x.join(y, "_t").groupBy("a", "b").agg(F.count("*").alias("shared"))
-
-
 def jaccard(x: Column, y: Column) -> Column:
     """Of two arrays of distinct values; 0 if either is empty or null."""
     shared = F.size(F.array_intersect(x, y))

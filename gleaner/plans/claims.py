@@ -89,19 +89,19 @@ def claim_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "kind", "value", "confidence", C.confidence_band(F.col("confidence")).alias("band"), place.alias("place"))
 
 
-@register("common_ground_index", "F11", V.sql("v_claims", f""", {_JUDGED_SQL}, e AS (SELECT event_id, count(DISTINCT publisher) AS event_publishers, count(DISTINCT family) AS event_groups, count(*) - count(DISTINCT publisher) AS event_syndicated FROM v_claims WHERE value >= 25 GROUP BY event_id),
+@register("common_ground_index", "F11", V.sql("v_claims", f""", {_JUDGED_SQL}, e AS (SELECT event_id, count(DISTINCT publisher) AS event_publishers, count(DISTINCT family) AS event_groups, count(*) - count(DISTINCT publisher) AS event_syndicated FROM v_claims GROUP BY event_id),
     a AS (SELECT f.event_id, count(*) AS n, count(*) FILTER (WHERE NOT disputed AND status IN ('corroborated', 'partially-corroborated')) AS cor, count(*) FILTER (WHERE NOT disputed AND status = 'single-source') AS single,
         count(*) FILTER (WHERE NOT disputed AND status = 'attributed') AS att, count(*) FILTER (WHERE disputed) AS dis, count(*) FILTER (WHERE primary_record) AS ev, count(*) FILTER (WHERE disputed AND syndicated) AS hard,
-        max(event_publishers) AS event_publishers, max(event_groups) AS event_groups, max(event_syndicated) AS event_syndicated FROM f JOIN e ON f.event_id = e.event_id WHERE value >= 25 GROUP BY f.event_id),
+        max(event_publishers) AS event_publishers, max(event_groups) AS event_groups, max(event_syndicated) AS event_syndicated FROM f JOIN e ON f.event_id = e.event_id GROUP BY f.event_id),
     b AS (SELECT *, 40.0::DOUBLE + floor(cor::DOUBLE / n * 45 + 0.5) + CASE WHEN ev > 0 THEN 10 ELSE 0 END - floor(single::DOUBLE / n * 25 + 0.5) - floor(att::DOUBLE / n * 12 + 0.5) - floor(dis::DOUBLE / n * 30 + 0.5) - hard * 8
         - CASE WHEN event_syndicated > event_groups THEN 8 ELSE 0 END AS raw FROM a),
     x AS (SELECT *, CASE WHEN event_publishers >= 2 THEN least(greatest(CASE WHEN ev > 0 OR n >= 3 OR event_groups >= 3 THEN raw ELSE least(raw, 68) END, 0), 100) END AS cgi FROM b)
     SELECT event_id, n, cgi, CASE WHEN cgi >= 70 THEN 'high' WHEN cgi >= 45 THEN 'moderate' WHEN cgi IS NOT NULL THEN 'low' END AS band, CASE WHEN cgi IS NULL THEN 'fewer than two publishers' END AS withheld FROM x"""))
 def common_ground_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = V.claims(spark, sf_dir).where("value >= 25").groupBy("event_id").agg(
+    events = V.claims(spark, sf_dir).groupBy("event_id").agg(
         F.count_distinct("publisher").alias("event_publishers"), F.count_distinct("family").alias("event_groups"), (F.count("*") - F.count_distinct("publisher")).alias("event_syndicated")
     )
-    rows = judged(spark, sf_dir).where("value >= 25").join(events, "event_id")
+    rows = judged(spark, sf_dir).join(events, "event_id")
     rows = rows.select("event_id", F.when(F.col("disputed"), "disputed").otherwise(F.col("status")).alias("status"), F.col("primary_record").alias("evidence"), (F.col("disputed") & F.col("syndicated")).alias("hard_dispute"), "event_publishers", "event_groups", "event_syndicated")
     return C.common_ground(rows, ["event_id"])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -25,7 +25,7 @@ def token_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("w", F.array_sort(F.array_distinct(X.tokens(F.col("title")))))
 
 
-@register("dedupe_newest", "D17", V.sql("v_articles", f""", r AS (SELECT *, 'u' || (article_id // 3) AS url, array_to_string(list_sort(list_distinct({_TOK})), ' ') AS k FROM v_articles),
+@register("dedupe_newest", "D17", V.sql("v_articles", f""", r AS (SELECT *, 'u' || (article_id // 3) AS url, array_to_string(list_sort({_TOK}), ' ') AS k FROM v_articles),
     f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY published_at DESC, article_id) AS n FROM r) WHERE n = 1)
     SELECT article_id, publisher FROM (SELECT *, row_number() OVER (PARTITION BY publisher, k, length(title) > 12 ORDER BY published_at DESC, article_id) AS m FROM f) WHERE m = 1 OR NOT length(title) > 12"""))
 def dedupe_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,25 +57,40 @@ def jaccard_band_selfjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(spark, sf_dir).select("a", "b", F.round("similarity", 6).alias("similarity"), grade.alias("confidence"))
 
 
-@register("blocked_candidates", "C4 H8", V.sql("v_articles", f""", {_SET_SQL}, e AS (SELECT article_id, published_at, unnest(w) AS token FROM t),
-    d AS (SELECT token, count(*) AS df FROM e GROUP BY token), k AS (SELECT article_id, published_at, 't:' || token AS key, 0 AS ord FROM e JOIN d USING (token) WHERE df <= 40
-        UNION ALL SELECT article_id, published_at, 'p:' || publisher || ':' || language, 1 FROM v_articles),
-    c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY published_at DESC, article_id) AS r FROM k) WHERE r <= 60),
+_KEYS_SQL = f"""{_SET_SQL}, k AS (SELECT article_id, published_at, 't:' || unnest(w) AS key, 0 AS ord FROM t UNION ALL SELECT article_id, published_at, 'p:' || publisher || ':' || language, 1 FROM t
+        UNION ALL SELECT article_id, published_at, 'e:' || unnest(list_filter(w, lambda x: length(x) >= 7)), 2 FROM t UNION ALL SELECT article_id, published_at, 'q:' || unnest(list_distinct(regexp_extract_all(coalesce(title, ''), '[0-9]+'))), 3 FROM t)"""
+
+
+@register("blocked_candidates", "C4 H8", V.sql("v_articles", f""", {_KEYS_SQL}, s AS (SELECT *, epoch_us(published_at) // 144000000000 AS bucket FROM k),
+    c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key, bucket ORDER BY published_at DESC, article_id) AS r FROM s) WHERE r <= 60),
     j AS (SELECT x.article_id AS a, y.article_id AS b, x.ord, x.key FROM c x JOIN c y ON x.key = y.key AND x.article_id < y.article_id AND abs(epoch_us(x.published_at) - epoch_us(y.published_at)) <= 40 * 3600000000)
-    SELECT a, b, arg_min(CASE ord WHEN 0 THEN 'token' ELSE 'publisher' END, ord) AS first_key, count(*) AS keys FROM j GROUP BY a, b"""))
+    SELECT a, b, arg_min(['token', 'publisher', 'entity', 'quantity'][ord + 1], ord) AS first_key, count(*) AS keys FROM j GROUP BY a, b"""))
 def blocked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs that share a blocking key within 40 hours; a key gives its 60 newest
-    rows (the blocking's own limit), and the first key in order names the pair."""
+    """Pairs that share a blocking key within 40 hours: a title token, publisher
+    and language, a long token, a number of the title.
+
+    Keys are cut into buckets of 40 hours, each giving its 60 newest rows (the
+    blocking's own limit), so a frequent key stays cheap and is never dropped; the
+    first key in order names the pair.
+    """
     rows = token_sets(spark, sf_dir)
-    words = rows.select("article_id", "published_at", F.explode("w").alias("token"))
-    rare = words.groupBy("token").agg(F.count("*").alias("df")).where("df <= 40").select("token")
-    by_token = words.join(rare, "token").select("article_id", "published_at", F.concat(F.lit("t:"), "token").alias("key"), F.lit(0).alias("ord"))
-    by_publisher = rows.select("article_id", "published_at", F.concat(F.lit("p:"), "publisher", F.lit(":"), "language").alias("key"), F.lit(1).alias("ord"))
-    keys = P.capped_blocks(by_token.unionByName(by_publisher), "key", [F.col("published_at").desc(), F.col("article_id")], 60)
-    x = keys.select("key", "ord", F.col("article_id").alias("a"), F.col("published_at").alias("at_a"))
-    y = keys.select("key", F.col("article_id").alias("b"), F.col("published_at").alias("at_b"))
-    pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.abs(V.hours(F.col("at_a"), F.col("at_b"))) <= 40))
-    first = F.min_by(F.when(F.col("ord") == 0, "token").otherwise("publisher"), "ord")
+    kinds = [
+        ("t:", F.col("w")), ("p:", F.array(F.concat("publisher", F.lit(":"), "language"))), ("e:", F.filter("w", lambda x: F.length(x) >= 7)),
+        ("q:", F.array_distinct(F.regexp_extract_all(F.coalesce("title", F.lit("")), F.lit("[0-9]+"), F.lit(0)))),
+    ]
+
+    def marked(k: int, mark: str, values: Column) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit(k).alias("ord"), F.concat(F.lit(mark), v).alias("key")))
+
+    keys = F.flatten(F.array(*[marked(k, *kind) for k, kind in enumerate(kinds)]))
+    micros = 40 * 3_600_000_000
+    at = F.unix_micros(F.col("published_at").cast("timestamp"))
+    keyed = rows.select("article_id", "published_at", at.alias("at"), F.floor(at / micros).alias("bucket"), F.explode(keys).alias("k")).select("*", "k.*").where("key is not null")
+    kept = P.capped_blocks(keyed, ["key", "bucket"], [F.col("published_at").desc(), F.col("article_id")], 60)
+    x = kept.select("key", "ord", F.col("article_id").alias("a"), F.col("at").alias("at_a"), "bucket")
+    y = kept.select("key", F.col("article_id").alias("b"), F.col("at").alias("at_b"), F.explode(F.sequence(F.col("bucket") - 1, F.col("bucket") + 1)).alias("bucket"))
+    pairs = x.join(y, ["key", "bucket"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("at_a") - F.col("at_b")) <= micros))
+    first = F.min_by(F.element_at(F.array(*[F.lit(n) for n in ("token", "publisher", "entity", "quantity")]), F.col("ord") + 1), "ord")
     return pairs.groupBy("a", "b").agg(first.alias("first_key"), F.count("*").alias("keys"))
 
 

@@ -14,7 +14,6 @@ from gleaner.sources import views as V
 OWNERSHIP = ("PRIVATE", "PUBLIC", "TRUST", "UNKNOWN")
 # Sample gates.
 MIN_TOTAL, MIN_RATIO, CLEAR_TOTAL, CLEAR_OVER, CLEAR_UNDER = 4, 3, 8, 5, 2
-SAMPLE_BANDS = ((150, "broad"), (50, "moderate"), (20, "thin"), (0, "insufficient"))
 
 
 def ownership(family: Column) -> Column:
@@ -40,7 +39,7 @@ def coverage_landscape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(totals, "event_id").select("event_id", "total", "publishers", "families", "dimension", "value", "reports", F.round(F.col("reports") / F.col("total"), 6).alias("share"))
 
 
-@register("blindspots", "G2 G4", V.sql("v_claims", f""", s AS (SELECT * FROM v_claims WHERE event_id % 3 = 0 AND value > 40), t AS (SELECT event_id, 'OWNERSHIP' AS type, {_OWN_SQL} AS grp FROM s UNION ALL SELECT event_id, 'KIND', kind FROM s UNION ALL SELECT event_id, 'FAMILY', 'f' || family FROM s),
+@register("blindspots", "G2 G4", V.sql("v_claims", f""", s AS (SELECT * FROM v_claims), t AS (SELECT event_id, 'OWNERSHIP' AS type, {_OWN_SQL} AS grp FROM s UNION ALL SELECT event_id, 'KIND', kind FROM s UNION ALL SELECT event_id, 'FAMILY', 'f' || family FROM s),
     n AS (SELECT event_id, count(*) AS total FROM s GROUP BY event_id), c AS (SELECT event_id, type, grp, count(*) AS k FROM t WHERE grp <> 'UNKNOWN' GROUP BY event_id, type, grp),
     g AS (SELECT event_id, type, arg_max(grp, (k, grp)) AS over_group, max(k) AS over_count, arg_min(grp, (k, grp)) AS under_group, min(k) AS under_count, count(*) AS groups FROM c GROUP BY event_id, type)
     SELECT g.event_id, type, over_group, over_count, under_group, under_count, floor(over_count::DOUBLE / greatest(under_count, 1) * 10 + 0.5) / 10 AS ratio,
@@ -49,7 +48,7 @@ def coverage_landscape(spark: SparkSession, sf_dir: str) -> DataFrame:
 def blindspots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest against the smallest known group of each tally, from a ratio of
     three; the sample gates decide how it may be worded."""
-    rows = V.claims(spark, sf_dir).where("event_id % 3 = 0 and value > 40")
+    rows = V.claims(spark, sf_dir)
     tallies = F.array(
         *[F.struct(F.lit(t).alias("type"), g.alias("grp")) for t, g in (("OWNERSHIP", ownership(F.col("family"))), ("KIND", F.col("kind")), ("FAMILY", F.concat(F.lit("f"), F.col("family").cast("string"))))]
     )
@@ -170,23 +169,26 @@ def perspective_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("cluster", "language", "n", "emphasis", contrast.alias("contrast"))
 
 
-@register("emerging_claims", "G15 C15", V.sql("v_speech", f""", k AS (SELECT thread_id, turn, role, text, array_to_string(list_sort(list_distinct({tokens_sql('text', 4)}))[1:2], ' ') AS key FROM v_speech),
-    m AS (SELECT * FROM k WHERE key <> '' AND thread_id NOT IN (SELECT thread_id FROM v_speech WHERE role = 'system'))
-    SELECT key, count(*) AS mentions, count(DISTINCT thread_id) AS channels FROM m GROUP BY key HAVING count(*) >= 2 AND count(DISTINCT role) >= 1 ORDER BY mentions DESC, key LIMIT 12"""))
+@register("emerging_claims", "G15 C15", V.sql("v_articles", f""", k AS (SELECT publisher, array_to_string(list_sort(list_distinct({tokens_sql('title', 4)}))[1:4], ' ') AS key FROM v_articles WHERE NOT official)
+    SELECT key, count(*) AS mentions, count(DISTINCT publisher) AS channels FROM k WHERE key <> '' GROUP BY key HAVING count(*) >= 3 AND count(DISTINCT publisher) >= 2 ORDER BY mentions DESC, key LIMIT 12"""))
 def emerging_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unmatched mentions grouped by their alphabetically first keywords; the top twelve."""
-    rows = V.speech(spark, sf_dir)
-    matched = rows.where("role = 'system'").select("thread_id").distinct()
-    keyed = rows.join(matched, "thread_id", "left_anti").withColumn("key", F.array_join(F.slice(F.array_sort(F.array_distinct(X.tokens(F.col("text"), 4))), 1, 2), " "))
-    counts = keyed.where("key <> ''").groupBy("key").agg(F.count("*").alias("mentions"), F.count_distinct("thread_id").alias("channels"))
-    return counts.where("mentions >= 2").orderBy(F.desc("mentions"), "key").limit(12)
+    """Unmatched mentions grouped by their four alphabetically first keywords: those
+    with three mentions in two channels, the top twelve."""
+    mentions = V.articles(spark, sf_dir).where("not official").select("publisher", F.col("title").alias("text"))
+    return emerging(mentions, "publisher")
+
+
+def emerging(mentions: DataFrame, channel: str, *, keywords: int = 4, least_mentions: int = 3, least_channels: int = 2, k: int = 12) -> DataFrame:
+    keyed = mentions.withColumn("key", F.array_join(F.slice(F.array_sort(F.array_distinct(X.tokens(F.col("text"), 4))), 1, keywords), " "))
+    counts = keyed.where("key <> ''").groupBy("key").agg(F.count("*").alias("mentions"), F.count_distinct(channel).alias("channels"))
+    return counts.where((F.col("mentions") >= least_mentions) & (F.col("channels") >= least_channels)).orderBy(F.desc("mentions"), "key").limit(k)
 
 
-@register("undercovered_groups", "G17", """WITH c AS (SELECT n_name, count(c_custkey) AS customers FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey AND c_acctbal > 9000 GROUP BY n_name)
+@register("undercovered_groups", "G17", """WITH c AS (SELECT n_name, count(c_custkey) AS customers FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY n_name)
     SELECT n_name, customers, row_number() OVER (ORDER BY customers DESC, n_name) AS place, customers = 0 AS uncovered FROM c""")
 def undercovered_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage of each group of the dimension, those without any included."""
-    covered = V.table(spark, sf_dir, "customer").where("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("k"))
+    covered = V.table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("k"))
     groups = V.table(spark, sf_dir, "nation").join(covered, "n_nationkey", "left").select("n_name", F.coalesce("k", F.lit(0).cast("long")).alias("customers"))
     place = F.row_number().over(Window.orderBy(F.desc("customers"), "n_name"))  # one row for each nation
     return groups.select("n_name", "customers", place.alias("place"), (F.col("customers") == 0).alias("uncovered"))
@@ -215,14 +217,14 @@ def prf(matrix: DataFrame, classes: list) -> DataFrame:
     return counts.select("class", "tp", "fp", "fn", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
-@register("publisher_dimension_join", "A14 C2 C17 G13 G14 G16", """WITH f AS (SELECT l_suppkey, count(*) AS lines, min(l_shipdate) AS first_seen, max(l_shipdate) AS last_seen FROM lineitem WHERE l_quantity > 45 GROUP BY l_suppkey)
+@register("publisher_dimension_join", "A14 C2 C17 G13 G14 G16", """WITH f AS (SELECT l_suppkey, count(*) AS lines, min(l_shipdate) AS first_seen, max(l_shipdate) AS last_seen FROM lineitem GROUP BY l_suppkey)
     SELECT s_suppkey AS publisher, coalesce(n_name, 'UNKNOWN') AS owner, s_nationkey % 7 AS family, coalesce(lines, 0) AS lines, first_seen, last_seen, CASE WHEN lines IS NULL THEN 'silent' WHEN lines < 20 THEN 'occasional' ELSE 'active' END AS status,
         round(coalesce(lines, 0)::DOUBLE / nullif(sum(coalesce(lines, 0)) OVER (PARTITION BY s_nationkey % 7), 0), 6) AS family_share
     FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_nationkey % 5 <> 0 LEFT JOIN f ON s_suppkey = l_suppkey""")
 def publisher_dimension_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Publishers with owner (UNKNOWN where the registry has none), feed status and
     share of their family's output."""
-    facts = V.table(spark, sf_dir, "lineitem").where("l_quantity > 45").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(
+    facts = V.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(
         F.count("*").alias("lines"), F.min("l_shipdate").alias("first_seen"), F.max("l_shipdate").alias("last_seen")
     )
     owners = V.table(spark, sf_dir, "nation").where("n_nationkey % 5 <> 0").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")

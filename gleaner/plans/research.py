@@ -76,12 +76,12 @@ def claim_record_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_BRIEF_SQL = f"""{_JUDGED_SQL}, ev AS (SELECT event_id, count(*) AS claims, count(*) FILTER (WHERE status = 'corroborated') AS corroborated, count(*) FILTER (WHERE primary_record) AS records, count(*) FILTER (WHERE disputed) AS disputed, max(groups) AS families, max(confidence) AS best FROM f WHERE value > 20 GROUP BY event_id),
+_BRIEF_SQL = f"""{_JUDGED_SQL}, ev AS (SELECT event_id, count(*) AS claims, count(*) FILTER (WHERE status = 'corroborated') AS corroborated, count(*) FILTER (WHERE primary_record) AS records, count(*) FILTER (WHERE disputed) AS disputed, max(groups) AS families, max(confidence) AS best FROM f GROUP BY event_id),
     br AS (SELECT *, CASE WHEN claims < 3 THEN 'no claims' WHEN families < 2 AND records = 0 THEN 'single family' WHEN event_id % 10 = 0 THEN 'echo only' WHEN disputed * 4 > claims THEN 'disputed' WHEN best < 40 THEN 'low confidence' END AS withheld FROM ev)"""
 
 
 def brief_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = judged(spark, sf_dir).where("value > 20").groupBy("event_id").agg(
+    facts = judged(spark, sf_dir).groupBy("event_id").agg(
         F.count("*").alias("claims"), F.count_if(F.col("status") == "corroborated").alias("corroborated"), F.count_if("primary_record").alias("records"),
         F.count_if("disputed").alias("disputed"), F.max("groups").alias("families"), F.max("confidence").alias("best"),
     )
@@ -98,14 +98,14 @@ def brief_select_withhold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brief_inputs(spark, sf_dir).select("event_id", "claims", "corroborated", "records", "families", "withheld")
 
 
-@register("brief_firewall", "O5", V.sql("v_records", f""", b AS (SELECT doc_id AS article_id, text AS body, doc_id % 40 AS record_id FROM documents), s AS (SELECT article_id, record_id, unnest(list_filter(string_split_regex(body, '[.\\n]+ ?'), lambda x: length(x) > 20)) AS sentence FROM b WHERE length(body) < 3000),
+@register("brief_firewall", "O5", V.sql("v_records", f""", b AS (SELECT doc_id AS article_id, text AS body, doc_id % 40 AS record_id FROM documents), s AS (SELECT article_id, record_id, unnest(list_filter(string_split_regex(body, '[.\\n]+ ?'), lambda x: length(x) > 20)) AS sentence FROM b),
     c AS (SELECT article_id, sentence, list_filter({_WORDS.format('sentence')}, lambda w: length(w) >= 5) AS need, {_WORDS.format('text')} AS have, regexp_extract_all(sentence, '[0-9]+') AS numbers, text FROM s JOIN v_records USING (record_id)),
     k AS (SELECT article_id, len(list_filter(need, lambda w: list_contains(have, w)))::DOUBLE / greatest(len(need), 1) >= 0.6 AND len(list_filter(numbers, lambda n: NOT contains(text, n))) = 0 AND len(need) > 0 AS supported FROM c)
     SELECT article_id, count(*) AS sentences, count(*) FILTER (WHERE supported) AS kept, CASE WHEN count(*) FILTER (WHERE supported) = 0 THEN 'nothing verified' END AS withheld FROM k GROUP BY article_id"""))
 def brief_firewall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences that their cited record supports: long words from 60 %, every
     number; a brief without any is withheld."""
-    rows = V.table(spark, sf_dir, "documents").where(F.length("text") < 3000).select(F.col("doc_id").alias("article_id"), "text", (F.col("doc_id") % 40).alias("record_id"))
+    rows = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), "text", (F.col("doc_id") % 40).alias("record_id"))
     sentences = rows.select("article_id", "record_id", F.explode(F.filter(F.split("text", r"[.\n]+ ?"), lambda x: F.length(x) > 20)).alias("sentence"))
     cited = sentences.join(V.records(spark, sf_dir), "record_id")
     words = lambda c: F.split(F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " ")), " ")
@@ -118,13 +118,13 @@ def brief_firewall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("withheld", F.when(F.col("kept") == 0, "nothing verified"))
 
 
-@register("brief_text", "O2 O3 O4", V.sql("v_claims", f""", {_BRIEF_SQL}, r AS (SELECT f.*, row_number() OVER (PARTITION BY event_id, kind ORDER BY confidence DESC, value DESC) AS kk FROM f WHERE value > 20 AND NOT disputed),
+@register("brief_text", "O2 O3 O4", V.sql("v_claims", f""", {_BRIEF_SQL}, r AS (SELECT f.*, row_number() OVER (PARTITION BY event_id, kind ORDER BY confidence DESC, value DESC) AS kk FROM f WHERE NOT disputed),
     p AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY confidence DESC, kind, value DESC) AS k FROM r WHERE kk = 1),
     l AS (SELECT event_id, max(CASE WHEN k = 1 THEN groups || ' groups report ' || kind || ' of ' || value::BIGINT || '.' END) AS lead, array_to_string(list(kind || '=' || value::BIGINT ORDER BY k) FILTER (WHERE k BETWEEN 2 AND 7), '; ') AS facts FROM p GROUP BY event_id)
     SELECT br.event_id, CASE WHEN withheld IS NULL THEN lead END AS lead, CASE WHEN withheld IS NULL THEN facts END AS facts, withheld FROM br LEFT JOIN l ON br.event_id = l.event_id"""))
 def brief_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lead sentence and up to six facts, one for each kind, undisputed ones only."""
-    rows = judged(spark, sf_dir).where("value > 20 and not disputed").drop("place")
+    rows = judged(spark, sf_dir).where("not disputed").drop("place")
     best = first_per_group(rows, ["event_id", "kind"], [F.desc("confidence"), F.desc("value")], 1).drop("place")
     ranked = first_per_group(best, ["event_id"], [F.desc("confidence"), F.col("kind"), F.desc("value")], 7)
     whole = F.col("value").cast("long").cast("string")

@@ -97,16 +97,18 @@ def surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.where(F.col("place") <= limit[F.col("surface")]).select("surface", "place", "cluster_id", "editorial")
 
 
-@register("thread_links_capped", "C10", V.sql("v_speech", f""", s AS (SELECT DISTINCT thread_id, unnest(list_filter({tokens_sql('text')}, lambda w: length(w) >= 7)) AS subject FROM v_speech), d AS (SELECT subject FROM s GROUP BY subject HAVING count(*) <= 30),
-    p AS (SELECT a.thread_id AS a, b.thread_id AS b, count(*) AS shared, min(a.subject) AS subject FROM s a JOIN s b ON a.subject = b.subject AND a.thread_id < b.thread_id AND b.thread_id - a.thread_id <= 40 JOIN d ON a.subject = d.subject GROUP BY a.thread_id, b.thread_id),
+@register("thread_links_capped", "C10", V.sql("v_speech", f""", s AS (SELECT DISTINCT thread_id, unnest(list_filter({tokens_sql('text')}, lambda w: length(w) >= 7)) AS subject FROM v_speech),
+    p AS (SELECT a.thread_id AS a, b.thread_id AS b, count(*) AS shared, min(a.subject) AS subject FROM s a JOIN s b ON a.subject = b.subject AND a.thread_id < b.thread_id AND b.thread_id - a.thread_id <= 40 GROUP BY a.thread_id, b.thread_id),
     e AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS k FROM p) SELECT a, b, shared, subject, CASE WHEN shared >= 3 THEN 'follows' ELSE 'relates' END AS relation FROM e WHERE k <= 4"""))
 def thread_links_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Threads near each other that share long subjects; at most four links a thread."""
+    """Threads near each other (ids stand for time) that share long subjects; at most
+    four links a thread. Subjects are cut into blocks of ids, so a common one meets
+    only its neighbours."""
     words = V.speech(spark, sf_dir).select("thread_id", F.explode(F.filter(X.tokens(F.col("text")), lambda w: F.length(w) >= 7)).alias("subject")).distinct()
-    rare = words.groupBy("subject").agg(F.count("*").alias("df")).where("df <= 30").select("subject")
-    words = words.join(rare, "subject")
-    a, b = words.select(F.col("thread_id").alias("a"), "subject"), words.select(F.col("thread_id").alias("b"), "subject")
-    pairs = a.join(b, "subject").where("a < b and b - a <= 40").groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("subject").alias("subject"))
+    block = F.floor(F.col("thread_id") / 40)
+    a = words.select(F.col("thread_id").alias("a"), "subject", F.explode(F.array(block, block + 1)).alias("block"))
+    b = words.select(F.col("thread_id").alias("b"), "subject", block.alias("block"))
+    pairs = a.join(b, ["subject", "block"]).where("a < b and b - a <= 40").groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("subject").alias("subject"))
     kept = first_per_group(pairs, ["a"], [F.desc("shared"), F.col("b")], 4)
     return kept.select("a", "b", "shared", "subject", F.when(F.col("shared") >= 3, "follows").otherwise("relates").alias("relation"))
 

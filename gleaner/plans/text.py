@@ -18,14 +18,39 @@ def _entities_sql(expression: str) -> str:
     return expression
 
 
-_STRIP_SQL = "trim(regexp_replace({}, '[\\s ]+', ' ', 'g'))".format(
-    _entities_sql("regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')")
-)
+_BAD_CODE = "(n > 1114111 OR (n < 32 AND n NOT IN (9, 10)) OR n BETWEEN 127 AND 159 OR n BETWEEN 55296 AND 57343)"
+
+
+def numeric_entities_sql(x: str) -> str:
+    code = "CASE WHEN regexp_matches(p, '^x[0-9a-fA-F]{1,8};') THEN ('0x' || regexp_extract(p, '^x([0-9a-fA-F]+);', 1))::BIGINT ELSE try_cast(regexp_extract(p, '^([0-9]{1,9});', 1) AS BIGINT) END"
+    made = "CASE WHEN {n} IS NULL THEN '&#' || p WHEN {bad} THEN regexp_replace(p, '^x?[0-9a-fA-F]+;', '') ELSE chr({n}::INT) || regexp_replace(p, '^x?[0-9a-fA-F]+;', '') END"
+    made = made.format(n=f"({code})", bad=_BAD_CODE.replace("n ", f"({code}) "))
+    return f"array_to_string(list_transform(string_split({x}, '&#'), lambda p, i: CASE WHEN i = 1 THEN p ELSE {made} END), '')"
+
+
+def decode_sql(x: str) -> str:
+    return _entities_sql(numeric_entities_sql(x))
+
+
+_TAGLESS_SQL = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', ' ', 'g'), '(?is)<style\\b.*?</style>', ' ', 'g'), '(?s)<!\\[CDATA\\[(.*?)\\]\\]>', '\\1', 'g'), '(?s)<[^>]+>', ' ', 'g')"
+_STRIP_SQL = f"trim(regexp_replace(regexp_replace({decode_sql(_TAGLESS_SQL)}, '{X.CONTROLS}', '', 'g'), '{X.SPACES}', ' ', 'g'))"
 _STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+_quoted = lambda x: "'" + x.replace("'", "''") + "'"
+_map = lambda table: "MAP {" + ", ".join(f"'{w}': '{to}'" for to, of in table.items() for w in of) + "}"
+_STEM_SQL = "coalesce({m}[w], CASE WHEN length(w) > 4 AND ends_with(w, 's') AND NOT regexp_matches(w, '{k}') THEN coalesce({m}[substr(w, 1, length(w) - 1)], substr(w, 1, length(w) - 1)) ELSE w END)".format(m=_map(X.SAME_WORD), k=X.KEEPS_S)
+
+
+def words_sql(text: str) -> str:
+    return f"string_split(trim(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')"
+
+
+def unaccented_sql(text: str) -> str:
+    return f"regexp_replace(translate({text}, {_quoted(X.ACCENTED)}, {_quoted(X.PLAIN)}), '[\\x{{0300}}-\\x{{036F}}]', '', 'g')"
 
 
 def tokens_sql(text: str, least: int = 3) -> str:
-    return f"list_filter(string_split(trim(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda w: length(w) >= {least} AND w NOT IN ({_STOP}))"
+    kept = f"list_filter({words_sql(unaccented_sql(f'lower({text})'))}, lambda w: length(w) >= {least} AND w NOT IN ({_STOP}))"
+    return f"list_filter(list_transform({kept}, lambda w: {_STEM_SQL}), lambda w: w NOT IN ({_STOP}))"
 
 
 def clip_sql(text: str, most: int) -> str:
@@ -35,14 +60,15 @@ def clip_sql(text: str, most: int) -> str:
 @register("html_clean", "L-hygiene", f"""WITH t AS (SELECT page_id, {_STRIP_SQL} AS body FROM pages)
     SELECT page_id, md5(body) AS body_md5, length(body) AS n_chars, {clip_sql('body', 360)} AS excerpt FROM t""")
 def html_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = V.table(spark, sf_dir, "pages").select("page_id", X.strip_tags(F.col("html")).alias("body"))
+    body = V.table(spark, sf_dir, "pages").select("page_id", X.cleaned(F.col("html")).alias("body"))
     return body.select("page_id", F.md5(F.col("body").cast("binary")).alias("body_md5"), F.length("body").alias("n_chars"), X.clip(F.col("body"), 360).alias("excerpt"))
 
 
-_SAFE_URL_SQL = f"""CASE WHEN regexp_matches(trim(url), '^(?i:https?)://[^/?#]*[^/?#.]\\.[^/?#]+') THEN
-    regexp_replace(regexp_replace(trim(url), '#.*$', ''), '\\?.*$', '') || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END"""
-_KEPT_SQL = f"""list_filter(string_split(regexp_extract(regexp_replace(trim(url), '#.*$', ''), '\\?(.*)$', 1), '&'),
-    lambda p: p <> '' AND regexp_extract(p, '^([^=]*)', 1) NOT IN ({", ".join(f"'{t}'" for t in X.TRACKING)}))"""
+_HOST_SQL = "regexp_replace(lower(regexp_extract(trim(url), '^[A-Za-z]+://([^/?#]*)', 1)), CASE lower(regexp_extract(trim(url), '^([A-Za-z]+)://', 1)) WHEN 'https' THEN ':443$' ELSE ':80$' END, '')"
+_SAFE_URL_SQL = f"""CASE WHEN regexp_matches(trim(url), '^(?i:https?)://') AND contains({_HOST_SQL}, '.') AND NOT regexp_matches({_HOST_SQL}, '[\\s<>\\^|%]') THEN lower(regexp_extract(trim(url), '^([A-Za-z]+)://', 1)) || '://' || {_HOST_SQL}
+    || coalesce(nullif(regexp_extract(trim(url), '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), ''), '/') || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END"""
+_KEPT_SQL = f"""list_transform(list_filter(string_split(regexp_extract(trim(url), '^[^?#]*\\?([^#]*)', 1), '&'),
+    lambda p: p <> '' AND regexp_extract(p, '^([^=]*)', 1) NOT IN ({", ".join(f"'{t}'" for t in X.TRACKING)})), lambda p: replace(p, '%20', '+') || CASE WHEN contains(p, '=') THEN '' ELSE '=' END)"""
 _URL_KEY_SQL = "regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^https?://(www\\.)?', ''), '[?#].*$', ''), '/+$', '')"
 
 
@@ -87,7 +113,7 @@ def scan_alerts(raw: DataFrame, key: str) -> DataFrame:
     )
 
 
-@register("title_tokens_key", "L-tokens D17", V.sql("v_articles", f"SELECT article_id, len({tokens_sql('title')}) AS n_tokens, array_to_string(list_sort(list_distinct({tokens_sql('title')})), ' ') AS title_key FROM v_articles"))
+@register("title_tokens_key", "L-tokens D17", V.sql("v_articles", f"SELECT article_id, len({tokens_sql('title')}) AS n_tokens, array_to_string(list_sort({tokens_sql('title')}), ' ') AS title_key FROM v_articles"))
 def title_tokens_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.articles(spark, sf_dir).select("article_id", F.size(X.tokens(F.col("title"))).cast("long").alias("n_tokens"), X.title_key(F.col("title")).alias("title_key"))
 
@@ -119,7 +145,7 @@ def quantity_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fold_sql(chars: str, seed: int) -> str:
-    return f"list_reduce(list_prepend({seed}::BIGINT, list_transform({chars}, lambda c: ascii(c)::BIGINT)), lambda h, c: xor(h * 33, c) & 4294967295)"
+    return f"list_reduce(list_prepend({seed}::BIGINT, list_transform({chars}, lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 33 + c) & 4294967295)"
 
 
 _B36 = "list_reduce(list_prepend('', list_transform(range(7), lambda i: i::VARCHAR)), lambda s, i: substr('0123456789abcdefghijklmnopqrstuvwxyz', ((({n}) // (36::BIGINT ** i::INT)::BIGINT) % 36)::INT + 1, 1) || s)"
@@ -128,7 +154,7 @@ _B36 = "list_reduce(list_prepend('', list_transform(range(7), lambda i: i::VARCH
 @register("stable_id_slug", "L-slug 1.4", V.sql("v_articles", f""", k AS (SELECT article_id, publisher || ' ' || article_id AS body, string_split(publisher || ' ' || article_id, '') AS chars, title FROM v_articles),
     h AS (SELECT *, {_fold_sql('chars', 5381)} AS f, {_fold_sql('list_reverse(chars)', 52711)} AS b FROM k),
     s AS (SELECT article_id, title, ltrim({_B36.format(n='f')}, '0') || ltrim({_B36.format(n='b')}, '0') AS id FROM h)
-    SELECT article_id, substr(id, 1, 12) AS stable_id, regexp_replace(substr(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 56), '-+$', '') || '-' || substr(id, 1, 6) AS slug FROM s"""))
+    SELECT article_id, substr(id, 1, 12) AS stable_id, coalesce(nullif(regexp_replace(substr(regexp_replace(regexp_replace({unaccented_sql('lower(title)')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 56), '-+$', ''), ''), 'item') || '-' || substr(id, 1, 6) AS slug FROM s"""))
 def stable_id_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = V.articles(spark, sf_dir).select("article_id", "title", X.stable_id(F.concat("publisher", F.lit(" "), F.col("article_id").cast("string"))).alias("stable_id"))
     return ids.select("article_id", "stable_id", F.concat(X.slug(F.col("title")), F.lit("-"), F.substring("stable_id", 1, 6)).alias("slug"))
@@ -196,13 +222,13 @@ def peak_count_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("normalise_reject_reasons", "B1 B3", f"""WITH u AS (SELECT page_id, url, {_KEPT_SQL} AS kept, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS raw FROM pages),
-    t AS (SELECT page_id, CASE WHEN page_id % 11 = 0 THEN NULL ELSE {_SAFE_URL_SQL} END AS url, trim(regexp_replace({_entities_sql("raw")}, '[\\s ]+', ' ', 'g')) AS title, regexp_extract(url, '://([^/]*)', 1) AS feed FROM u),
+    t AS (SELECT page_id, CASE WHEN page_id % 11 = 0 THEN NULL ELSE {_SAFE_URL_SQL} END AS url, trim(regexp_replace({decode_sql("raw")}, '{X.SPACES}', ' ', 'g')) AS title, regexp_extract(url, '://([^/]*)', 1) AS feed FROM u),
     r AS (SELECT *, CASE WHEN url IS NULL THEN 'bad-url' WHEN length(title) < 8 THEN 'short-title' WHEN page_id % 13 = 0 THEN 'no-date' END AS reject_reason FROM t)
     SELECT page_id, url, {clip_sql('title', 240)} AS title, reject_reason FROM (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY page_id) AS k FROM r) WHERE k <= 60""")
 def normalise_reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as items: the reason for which an item is rejected, or null; a feed
     (host) gives its first 60 items, which is the ingest's own limit."""
-    title = F.trim(F.regexp_replace(X.decode_entities(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1)), r"[\s ]+", " "))
+    title = F.trim(F.regexp_replace(X.decode_entities(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1)), X.SPACES, " "))
     rows = V.table(spark, sf_dir, "pages").select(
         "page_id", F.when(F.col("page_id") % 11 != 0, X.safe_url(F.col("url"))).alias("url"), title.alias("title"), F.regexp_extract("url", "://([^/]*)", 1).alias("feed")
     )

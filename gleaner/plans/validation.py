@@ -34,12 +34,12 @@ def violations(rows: DataFrame, rules: dict) -> DataFrame:
     return found.withColumn("passes", F.col("violations") == 0)
 
 
-_SHARES_SQL = f"""{_GROUP_SQL}, a AS (SELECT event_id, avg((status = 'corroborated')::INT) AS cor, avg((status = 'single-source')::INT) AS single, avg((status = 'attributed')::INT) AS att, bool_or(value >= 45) AS ev FROM s WHERE value >= 25 GROUP BY event_id)"""
+_SHARES_SQL = f"""{_GROUP_SQL}, a AS (SELECT event_id, avg((status = 'corroborated')::INT) AS cor, avg((status = 'single-source')::INT) AS single, avg((status = 'attributed')::INT) AS att, bool_or(value >= 45) AS ev FROM s GROUP BY event_id)"""
 
 
 def shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = lambda name: F.avg((F.col("status") == name).cast("int"))
-    rows = grouped(spark, sf_dir).where("value >= 25")
+    rows = grouped(spark, sf_dir)
     return rows.groupBy("event_id").agg(share("corroborated").alias("cor"), share("single-source").alias("single"), share("attributed").alias("att"), F.bool_or(F.col("value") >= 45).alias("ev"))
 
 

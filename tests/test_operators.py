@@ -188,11 +188,13 @@ def test_diversified_top_k(spark):
 
 def test_text_hygiene(spark):
     html = "<p>A&nbsp;&amp;lt; b</p><script>x<y</script> <!-- c --> d"
-    assert value(spark, X.strip_tags(F.lit(html))) == "A &lt; b d" and value(spark, X.strip_tags(F.lit(None).cast("string"))) is None
+    assert value(spark, X.cleaned(F.lit(html))) == "A &lt; b d" and value(spark, X.cleaned(F.lit(None).cast("string"))) is None
+    odd = "<![CDATA[a &#38; b]]>&#x1F600;&#128;&#xD800;&#1114112;&#9;c&#zz;&#65"
+    assert value(spark, X.cleaned(F.lit(odd))) == "a & b😀 c&#zz;&#65"
     clip = lambda n: value(spark, X.clip(F.lit("😀" * n), 240))
     assert len(clip(239)) == 239 and len(clip(240)) == 240 and clip(241) == "😀" * 239 + "…"
     url = lambda u: value(spark, X.safe_url(F.lit(u)))
-    assert url("https://a.org/x?utm_source=1&b=2#f") == "https://a.org/x?b=2" and url("https://a.org/?ref=1") == "https://a.org/"
+    assert url("https://a.org/x?utm_source=1&b=2#f") == "https://a.org/x?b=2" and url("HTTP://A.org:80?ref=1&cmpid=2&x") == "http://a.org/?ref=1&x="
     assert [url(u) for u in ("ftp://a.org", "https://localhost/x", "a.org", "")] == [None] * 4
     assert value(spark, X.url_key(F.lit("HTTPS://www.A.org/X/?q#f"))) == "a.org/x"
 
@@ -204,10 +206,41 @@ def test_dates(spark):
     assert [year(t) for t in ("1999-12-31", "2024-01-12T00:00:01Z", "garbage", "")] == [None] * 4
 
 
-def test_ids_are_stable_and_short(spark):
-    ids = [value(spark, X.stable_id(F.lit(t))) for t in ("abc", "abc", "acb", "")]
-    assert ids[0] == ids[1] != ids[2] and all(len(i) <= 12 for i in ids)
-    assert value(spark, X.slug(F.lit("  Héllo, World! 2x "))) == "h-llo-world-2x"
+def test_ids_by_hand(spark):
+    def by_hand(text):
+        units = memoryview(text.encode("utf-16-le")).cast("H").tolist()
+        digits = ""
+        for seed, order in ((5381, units), (52711, units[::-1])):
+            h = seed
+            for unit in order:
+                h = (h * 33 + unit) % 2**32
+            part = ""
+            while h or not part:
+                part, h = "0123456789abcdefghijklmnopqrstuvwxyz"[h % 36] + part, h // 36
+            digits += part
+        return digits[:12]
+
+    assert by_hand("")[:4] == "45h1" and 5381 == int("45h", 36)
+    for text in ("", "abc", "acb", "தமிழ்", "a😀b", "https://a.org/x news"):
+        assert value(spark, X.stable_id(F.lit(text))) == by_hand(text)
+    assert value(spark, X.slug(F.lit("  Héllo, World! 2x "))) == "hello-world-2x" and value(spark, X.slug(F.lit("தமிழ்"))) == "item"
+
+
+def test_tokens_fold_inflections(spark):
+    words = lambda text: value(spark, X.tokens(F.lit(text)))
+    assert words("Schools CLOSED: the Showers, heavy floods & buses") == ["school", "close", "rain", "heavy", "flood", "buse"]
+    assert words("Ａｌｐｈａ café news crisis class") == ["alpha", "cafe", "crisis", "class"]
+    assert value(spark, X.title_key(F.lit("rain rain schools"))) == "rain rain school"
+    assert value(spark, X.claim_key(F.lit("Schools shut in Tamil Nadu after heavy rainfall"))) == "close heavy rain schools"
+    assert [value(spark, X.query_length_bucket(F.lit(q))) for q in ("  ", "rain", "rain chennai", "x" * 24)] == [0, 1, 2, 3]
+
+
+def test_emerging_claims(spark):
+    from gleaner.plans.landscape import emerging
+
+    rows = [("delta zebra alpha bravo charlie", c) for c in "aab"] + [("alpha bravo", "a")] * 3 + [("one four more words", c) for c in "ab"]
+    found = emerging(spark.createDataFrame(rows, "text string, channel string"), "channel").collect()
+    assert [(r.key, r.mentions, r.channels) for r in found] == [("alpha bravo charlie delta", 3, 2)]
 
 
 def test_quantities(spark):
