@@ -3,12 +3,14 @@
 Patterns give the base spans: email, ip, card and phone. The model adds spans
 that they miss, such as written-out addresses or national phone numbers. It
 scores whole candidate segments, not single tokens: a segment of up to
-``MOST_TOKENS`` tokens has features of its full text, and dynamic programming
-over segment ends chooses the best sequence of segments and types at once. Base
-spans are fixed; the model only decides about the text between them.
+``MOST_TOKENS`` tokens and ``MOST_CHARS`` characters on one line, the bound of an
+entity, has features of its full text, and dynamic programming over segment ends
+chooses the best sequence of segments and types at once. Base spans are fixed; the
+model only decides about the text between them.
 
 The model is trained here by conditional likelihood on sentences that are built
-from the formats below, planted among words of the corpus.
+from the formats below, planted among common words and invented ones. It depends
+on no corpus, so a text's spans don't depend on the texts beside it.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import math
 import random
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-MOST_TOKENS = 7
+MOST_TOKENS, MOST_CHARS = 7, 120
 CONTEXT = 3  # tokens read on either side of a trigger
-#: Training sentences, corpus words among them, and passes over them.
-SENTENCES, MOST_WORDS, EPOCHS = 500, 2_000, 9
+#: Training sentences, invented words among them, and passes over them.
+SENTENCES, INVENTED, EPOCHS = 500, 1_000, 9
+# Common words of the training sentences.
+COMMON = (
+    "the of and in is was for on with that this from by are not as it his her they you we one all were be have had but or which their an she he "
+    "der die und den von zu das mit sich des auf ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind "
+    "le de un et il avoir ne je son que se qui ce dans elle au du pas plus pouvoir par les avec tout faire mettre autre on mais nous comme ou si "
+    "el la en y a los del se las por para con no una su al lo como mas pero sus le ya o este porque esta entre cuando muy sin sobre"
+).split()
 
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -56,6 +65,10 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _unpadded(digits: str) -> str:
+    return digits.lstrip("0")
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points by start, then by kind."""
     found = []
@@ -72,7 +85,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
             last = at + 1
         at = text.find("@", last)
     for m in _IP.finditer(text):
-        if all(len(part) <= 400 and int(part) <= 255 for part in m.group().split(".")):
+        if all(len(part) <= 3 and int(part or 0) <= 255 for part in map(_unpadded, m.group().split("."))):
             found.append(("ip", m.start(), m.end()))
     for m in _CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")
@@ -152,28 +165,29 @@ class Model:
         return sum((self.weights.get(f, zero) for f in features), zero)
 
 
-def lattice(text: str, tokens: list[tuple[int, int]], blocked: list[bool]) -> list[list[tuple[int, list[str], int, int]]]:
+Segment = tuple[int, list[str], int, int]
+
+
+def lattice(text: str, tokens: list[tuple[int, int]], blocked: list[bool]) -> Iterator[list[Segment]]:
     """For each end token the segments (first token, features, start, end)."""
-    out: list[list[tuple[int, list[str], int, int]]] = []
     for last in range(len(tokens)):
         segments = []
         for first in range(last, max(-1, last - MOST_TOKENS), -1):
             if blocked[first]:
                 break
             start, end = trimmed(text, tokens[first][0], tokens[last][1])
-            if start >= end or start >= tokens[first][1] or end <= tokens[last][0] or end - start > 120 or "\n" in text[start:end]:
+            if start >= end or start >= tokens[first][1] or end <= tokens[last][0] or end - start > MOST_CHARS or "\n" in text[start:end]:
                 continue
             before = text[slice(*tokens[first - 1])] if first else ""
             after = text[slice(*tokens[last + 1])] if last + 1 < len(tokens) else ""
             features = span_features(text[start:end], last - first + 1, before, after)
             if features:
                 segments.append((first, features, start, end))
-        out.append(segments)
-    return out
+        yield segments
 
 
-def best_segments(segments: list, model: Model) -> list[tuple[str, int, int]]:
-    """The highest-scoring sequence of segments (semi-Markov Viterbi)."""
+def best_segments(segments: Iterable[list[Segment]], model: Model) -> list[tuple[str, int, int]]:
+    """The highest-scoring sequence of segments (semi-Markov Viterbi), read once."""
     best, back = [0.0], [None]
     for last, here in enumerate(segments):
         top, how = best[last], None
@@ -184,7 +198,7 @@ def best_segments(segments: list, model: Model) -> list[tuple[str, int, int]]:
                 top, how = best[first] + scores[kind], (first, KINDS[kind], start, end)
         best.append(top)
         back.append(how)
-    out, at = [], len(segments)
+    out, at = [], len(back) - 1
     while at:
         how = back[at]
         if how:
@@ -209,7 +223,7 @@ def added_spans(text: str, base: list[tuple[str, int, int]], model: Model) -> li
     out, i = [], 0
     while i < len(hot):
         first = last = hot[i]
-        while i < len(hot) and hot[i] <= last + CONTEXT and hot[i] - first < 400:
+        while i < len(hot) and hot[i] <= last + CONTEXT:
             last = hot[i]
             i += 1
         low, high = max(0, first - CONTEXT), min(len(tokens), last + CONTEXT + 1)
@@ -273,17 +287,23 @@ def example(rng: random.Random, words: list[str]) -> tuple[str, list[tuple[str,
     return text + rng.choice(words), spans
 
 
-def train(words: list[str], seed: int = 11, rate: float = 0.15, ridge: float = 1e-3) -> Model:
-    """Conditional likelihood over segmentations, by AdaGrad."""
+def context_words(rng: random.Random) -> list[str]:
+    """Common words and invented ones: the model must not know words by heart."""
+    invented = ["".join(rng.choice("bcdfghklmnprstvwzß") + rng.choice("aeiouäéó") + rng.choice(["", "n", "r", "st"]) for _ in range(rng.randint(1, 4))) for _ in range(INVENTED)]
+    return COMMON + [w.capitalize() if rng.random() < 0.2 else w for w in invented]
+
+
+def train(seed: int = 11, rate: float = 0.15, ridge: float = 1e-3) -> Model:
+    """Conditional likelihood over segmentations, by AdaGrad; the same every time."""
     rng, model = random.Random(seed), Model()
-    words = words or ["the", "of", "and", "in", "person", "house"]
+    words = context_words(rng)
     squares: dict[str, np.ndarray] = {}
     data = []
     for _ in range(SENTENCES):
         text, spans = example(rng, words)
         tokens = [m.span() for m in _TOKEN.finditer(text)]
         gold = {(a, b): KINDS.index(kind) for kind, a, b in spans}
-        data.append((lattice(text, tokens, [False] * len(tokens)), gold))
+        data.append((list(lattice(text, tokens, [False] * len(tokens))), gold))
     for _ in range(EPOCHS):
         for segments, gold in data:
             n = len(segments)
@@ -325,22 +345,6 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for kind, a, b in sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2])))
 
 
-def corpus_words(docs: DataFrame, text_col: str, most_docs: int = 200) -> list[str]:
-    """Up to MOST_WORDS context words for the training sentences, spread over the
-    sorted words of ``most_docs`` whole, distinct texts (those of least hash).
-
-    Only the model's context is bounded by this; every text is searched whole.
-    """
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"))
-    least = [r["h"] for r in rows.select("h").distinct().orderBy("h").limit(most_docs).collect()]
-    if not least:
-        return []
-    parts = rows.where(F.col("h") <= max(least)).select(F.explode(F.split("t", r"\s+")).alias("w")).distinct().collect()
-    words = sorted({w for r in parts for w in r["w"].split() if w.isalpha() and w.lower() not in ("at", "dot")})
-    n = min(len(words), MOST_WORDS)
-    return [words[i * len(words) // n] for i in range(n)]
-
-
 def find_personal_data(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, counts of base spans, base and all spans.
 

@@ -63,10 +63,9 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gleaner.llm.personal_data import KINDS, corpus_words, find_personal_data, train
+    from gleaner.llm.personal_data import KINDS, find_personal_data, train
 
-    docs = documents(spark, sf_dir)
-    found = find_personal_data(docs, train(corpus_words(docs, "text")))
+    found = find_personal_data(documents(spark, sf_dir), train())
     return found.select("doc_id", *[f"n_{kind}" for kind in KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
 
 

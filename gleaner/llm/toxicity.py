@@ -3,20 +3,25 @@
 The kernel of two words counts the letter triples that both have in order,
 weighted by how far each is spread, so an insult with a gap or an inserted
 character stays close to the plain one. Words are folded to a small alphabet
-first: case, accents, digits and signs between letters vanish, repeated letters
-become one, and letters spelled apart are joined. A word's start and end count
-as letters, for an insult's stem may be ordinary inside other words.
+first: case, digits and signs between letters vanish, repeated letters become
+one, letters spelled apart are joined, and an accent is a letter of its own ahead
+of the plain one, which the kernel takes for an inserted character. A word's start
+and end count as letters, for an insult's stem may be ordinary inside other words.
 
 Training is on labelled sentences: each is a bag of words, toxic if one of them
 is. Words that explain the toxic sentences are found by greedy cover, an SVM is
 fitted on the Nyström features of these and of words of clean sentences, and the
 clean words that score highest are added as hard negatives. As the kernel is a
 sum over triples, the fitted SVM folds into one weight for each triple, and a
-task scores a word with a few table lookups.
+task scores a word with a few table lookups. A text is judged by its TOP highest
+word scores, for one doubtful word says little and several say much; their weights
+are fitted on scores of words that the other half of the sample was trained on.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -35,12 +40,18 @@ LANDMARKS, RIDGE = 256, 1e-4
 MOST_TOXIC, MOST_CLEAN = 4_000, 6_000
 #: Words of clean sentences among the training rows.
 MOST_NEGATIVE = 4_000
+#: The share of toxic documents, and at least how many, that make a word a positive row
+#: even where others explain them.
+SUPPORT, LEAST_SUPPORT = 0.015, 4
+#: Word scores that a text is judged by.
+TOP = 4
 
 _DROP = 255
 _CODE = np.full(256, _DROP, dtype=np.uint8)
 _CODE[97:123] = np.arange(1, 27)
 _CODE[65:91] = np.arange(1, 27)
-_CODE[0x80:0xC0] = 27 + np.arange(64) % 5
+_CODE[0x80:0xC0] = 27 + np.arange(64) % 4
+ACCENT = 31
 #: The second bytes of U+00C0 to U+00FF, folded to their base letters.
 _LATIN = "aaaaaaaceeeeiiiidnooooo*ouuuuytsaaaaaaaceeeeiiiidnooooo*ouuuuyty"
 _AFTER_C3 = np.array([_DROP if c == "*" else ord(c) - 96 for c in _LATIN], dtype=np.uint8)
@@ -52,6 +63,7 @@ def fold(data: np.ndarray) -> np.ndarray:
     after = np.flatnonzero(data[:-1] == 0xC3) + 1
     after = after[(data[after] >= 0x80) & (data[after] < 0xC0)]
     codes[after] = _AFTER_C3[data[after] - 0x80]
+    codes[after[codes[after] != _DROP] - 1] = ACCENT
     return codes
 
 
@@ -166,20 +178,36 @@ def word_scores(words: Words, table: np.ndarray) -> np.ndarray:
     return out
 
 
-class Model(NamedTuple):
+class WordModel(NamedTuple):
     table: np.ndarray  # a weight for each letter triple
-    slope: float
+    floor: float  # the score on the SVM's boundary
+
+
+def highest(scores: np.ndarray, rows: np.ndarray, n: int, floor: float) -> np.ndarray:
+    """How far the TOP highest scores of each row pass ``floor``, in falling order,
+    as a share of the way to 1; else 0."""
+    some = np.flatnonzero(scores > floor)
+    scores, rows = (scores[some] - floor) / (1 - floor), rows[some]
+    order = np.lexsort((-scores, rows))
+    scores, rows = scores[order], rows[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    out = np.zeros((n, TOP))
+    out[rows[place < TOP], place[place < TOP]] = scores[place < TOP]
+    return out
+
+
+class Model(NamedTuple):
+    words: WordModel
+    weights: np.ndarray  # of the TOP word scores
     shift: float
 
     def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """The best word of each row; rows without words get the lowest score."""
+        """The highest word scores of each row; zeros for rows without words."""
         words = distinct_words(data, offsets)
-        best = np.zeros(len(offsets) - 1)
-        np.maximum.at(best, words.rows, word_scores(words, self.table)[words.of])
-        return best
+        return highest(word_scores(words, self.words.table)[words.of], words.rows, len(offsets) - 1, self.words.floor)
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(data, offsets) + self.shift, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.margins(data, offsets) @ self.weights + self.shift, -30, 30)))
 
 
 def as_letters(word: str) -> np.ndarray:
@@ -198,14 +226,16 @@ def kernel_tables(words: list[str]) -> np.ndarray:
 
 def kernel(words: list[str], tables: np.ndarray) -> np.ndarray:
     """Kernel of words (rows) and the words behind ``tables`` (columns)."""
-    out = np.zeros((len(words), len(tables)))
+    out, by_code = np.zeros((len(words), len(tables))), np.ascontiguousarray(tables.T)
     sizes = np.array([min(len(w), WINDOW) for w in words])
     for n in np.unique(sizes):
         chosen = np.flatnonzero(sizes == n)
         letters = np.stack([as_letters(words[i])[:n] for i in chosen])
         codes, weights = code_matrix(letters, n), _TRIPLES[n][1] / _NORM[n]
+        part = np.zeros((len(chosen), len(tables)), dtype=np.float32)
         for t in range(codes.shape[1]):
-            out[chosen] += weights[t] * tables[:, codes[:, t]].T
+            part += np.float32(weights[t]) * by_code[codes[:, t]]
+        out[chosen] = part
     return out
 
 
@@ -251,7 +281,7 @@ def greedy_cover(bags: list[set[str]], counts: dict[str, int], least: int) -> li
 
 
 def bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The label, row number and distinct folded words of each text."""
+    """The label, distinct folded words and their numbers (up to TOP) of each text."""
     for batch in batches:
         data, offsets = S.flat(batch.column(2))
         for first, last in S.pieces(offsets):
@@ -260,39 +290,52 @@ def bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             letters, ends = marked(words.letters, words.ends)
             raw = (letters + np.uint8(64)).tobytes().decode("latin-1")
             names = [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-            bags: list[set] = [set() for _ in range(last - first)]
+            bags: list[dict[str, int]] = [{} for _ in range(last - first)]
             for row, word in zip(words.rows.tolist(), words.of.tolist(), strict=True):
-                if LEAST <= len(names[word]) <= WINDOW:
-                    bags[row].add(names[word])
+                if len(names[word]) >= LEAST:
+                    bags[row][names[word]] = min(TOP, bags[row].get(names[word], 0) + 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), pa.array([sorted(b) for b in bags], pa.list_(pa.string()))],
-                names=["id", "label", "words"],
+                [
+                    batch.column(0).slice(first, last - first),
+                    batch.column(1).slice(first, last - first),
+                    pa.array([sorted(b) for b in bags], pa.list_(pa.string())),
+                    pa.array([[b[w] for w in sorted(b)] for b in bags], pa.list_(pa.int32())),
+                ],
+                names=["id", "label", "words", "counts"],
             )
 
 
-def fit(bags: list[set[str]], toxic: np.ndarray, threshold: float) -> Model:
-    """A model whose score passes ``threshold`` where F1 over the bags is best.
+Bag = dict[str, int]
 
-    Without bags of both classes nothing is learnt and every score is low.
-    """
-    flat = Model(np.zeros(LETTERS**3), 1.0, -4.0)
-    if not toxic.any() or toxic.all():
-        return flat
+
+def pieces_of(name: str) -> list[str]:
+    """A word, or the pieces of a longer one that scoring looks at."""
+    if len(name) <= WINDOW:
+        return [name]
+    _, offsets, sizes = windows(np.array([len(name)]))
+    return [name[a : a + n] for a, n in zip(offsets.tolist(), sizes.tolist(), strict=True)]
+
+
+def fit_words(bags: list[Bag], toxic: np.ndarray) -> WordModel | None:
+    """Weights by which the median insult scores 1; None if no word sets the classes
+    apart."""
     clean_words: dict[str, int] = {}
-    for bag, label in zip(bags, toxic, strict=True):
-        if not label:
-            for word in bag:
-                clean_words[word] = clean_words.get(word, 0) + 1
-    toxic_bags = [bag for bag, label in zip(bags, toxic, strict=True) if label]
     counts: dict[str, int] = {}
-    for bag in toxic_bags:
+    sets = [{piece for word in bag for piece in pieces_of(word)} for bag in bags]
+    for bag, label in zip(sets, toxic, strict=True):
+        into = counts if label else clean_words
         for word in bag:
-            counts[word] = counts.get(word, 0) + 1
+            into[word] = into.get(word, 0) + 1
+    toxic_bags = [bag for bag, label in zip(sets, toxic, strict=True) if label]
+    if not toxic_bags or len(toxic_bags) == len(bags):
+        return None
     ratio = len(toxic_bags) / (len(bags) - len(toxic_bags))
     pure = {w: c for w, c in counts.items() if c >= 2 and clean_words.get(w, 0) * ratio <= 0.03 * c}
-    insults = greedy_cover(toxic_bags, pure, 2)
+    cover = greedy_cover(toxic_bags, pure, 2)
+    often = sorted((w for w, c in pure.items() if c >= max(LEAST_SUPPORT, SUPPORT * len(toxic_bags))), key=lambda w: (-counts[w], w))[:MOST_NEGATIVE]
+    insults = list(dict.fromkeys(cover + often))
     if not insults:
-        return flat
+        return None
     rng = np.random.default_rng(7)
     others = sorted(set(clean_words) - set(insults))
     negatives = [others[i] for i in rng.permutation(len(others))[:MOST_NEGATIVE]]
@@ -307,39 +350,107 @@ def fit(bags: list[set[str]], toxic: np.ndarray, threshold: float) -> Model:
         good = values > 1e-8 * values.max()
         whiten = vectors[:, good] / np.sqrt(values[good])
         z = kernel(words, tables) @ whiten
-        cost = np.where(y > 0, 0.5 / len(insults), 0.5 / len(negatives)) * 1000
+        cost = np.where(y > 0, 0.5 / len(insults), 0.5 / max(len(negatives), 1)) * 1000
         weights, bias = fit_svm(z, y, cost, RIDGE * 1000)
         table = (whiten @ weights) @ tables
         if step < 2:  # hard negatives: clean words that look worst
-            scored = np.zeros(len(others))
-            sizes = np.array([len(w) for w in others])
-            for n in range(LEAST, WINDOW + 1):
-                at = np.flatnonzero(sizes == n)
-                if len(at):
-                    scored[at] = table_scores(np.stack([as_letters(others[i]) for i in at]), n, table)
+            scored = np.array(list(names_scored(others, table).values()))
             hard = [others[i] for i in np.argsort(-scored, kind="stable")[: MOST_NEGATIVE // 4]]
             negatives = list(dict.fromkeys(negatives + hard))
-    margins = np.zeros(len(bags))
-    known: dict[str, float] = {}
-    names = sorted({w for bag in bags for w in bag})
-    sizes = np.array([len(w) for w in names])
+    usual = max(float(np.median(list(names_scored(insults, table).values()))), 1e-6)
+    return WordModel(table / usual, float(np.clip(-bias / usual, 0.0, 0.9)))
+
+
+def names_scored(names: list[str], table: np.ndarray) -> dict[str, float]:
+    scores, sizes = np.zeros(len(names)), np.array([len(w) for w in names], dtype=np.int64)
     for n in range(LEAST, WINDOW + 1):
         at = np.flatnonzero(sizes == n)
         if len(at):
-            known.update(zip([names[i] for i in at], table_scores(np.stack([as_letters(names[i]) for i in at]), n, table), strict=True))
+            scores[at] = table_scores(as_letters("".join(names[i] for i in at)).reshape(-1, n), n, table)
+    return dict(zip(names, scores.tolist(), strict=True))
+
+
+def bag_margins(bags: list[Bag], model: WordModel) -> np.ndarray:
+    words = sorted({w for bag in bags for w in bag})
+    scored = names_scored(sorted({p for w in words for p in pieces_of(w)}), model.table)
+    known = {w: max(scored[p] for p in pieces_of(w)) for w in words}
+    rows = [i for i, bag in enumerate(bags) for n in bag.values() for _ in range(n)]
+    scores = [known[w] for bag in bags for w, n in bag.items() for _ in range(n)]
+    return highest(np.array(scores, dtype=float), np.array(rows, dtype=np.int64), len(bags), model.floor)
+
+
+def fit_weights(x: np.ndarray, toxic: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarray, float]:
+    """Logistic regression with weights of at least 0, by projected Newton steps."""
+    z, w = np.hstack([x, np.ones((len(x), 1))]), np.zeros(x.shape[1] + 1)
+    penalty = np.append(np.full(x.shape[1], ridge), 1e-6)
+    free = np.ones(len(w), dtype=bool)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        gradient = z.T @ (p - toxic) + penalty * w
+        hessian = (z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty) + 1e-9 * np.eye(len(w))
+        free = (w > 0) | (gradient < 0)
+        free[-1] = True
+        step = np.zeros(len(w))
+        step[free] = np.linalg.solve(hessian[np.ix_(free, free)], gradient[free])
+        new = w - step
+        new[:-1] = np.maximum(new[:-1], 0)
+        if np.abs(new - w).max() < 1e-6:
+            break
+        w = new
+    return w[:-1], float(w[-1])
+
+
+def originals(bags: list[Bag], hashes: int = 16, least: int = 10) -> list[int]:
+    """Bags that aren't near copies of an earlier one, by their words' minima: a
+    copy would vouch for every word of its original."""
+    names = {w: i for i, w in enumerate(sorted({w for bag in bags for w in bag}))}
+    keys = np.array([zlib.crc32(w.encode()) for w in names], dtype=np.uint64)
+    mixed = np.stack([S.mix64(keys + np.uint64(k << 32)) for k in range(hashes)], axis=1) if names else np.zeros((0, hashes), dtype=np.uint64)
+    seen: dict[tuple[int, int], list[int]] = {}
+    kept = []
     for i, bag in enumerate(bags):
-        margins[i] = max((known[w] for w in bag), default=0.0)
-    margins = np.maximum(margins, 0)
-    order = np.argsort(-margins, kind="stable")
+        if not bag:
+            continue
+        minima = list(enumerate(mixed[[names[w] for w in bag]].min(axis=0).tolist()))
+        shared = Counter(j for slot in minima for j in seen.get(slot, ()))
+        if shared and shared.most_common(1)[0][1] >= least:
+            continue
+        kept.append(i)
+        for slot in minima:
+            seen.setdefault(slot, []).append(i)
+    return kept
+
+
+def fit(bags: list[Bag], toxic: np.ndarray, threshold: float) -> Model:
+    """A model whose score passes ``threshold`` where F1 over the bags is best.
+
+    Weights and threshold come from margins of bags under the table of the other
+    half, so they are those of unseen texts. Without bags of both classes, or
+    words that set them apart, nothing is learnt and every score is low.
+    """
+    kept = originals(bags)
+    bags, toxic = [bags[i] for i in kept], toxic[kept]
+    words = fit_words(bags, toxic)
+    if words is None:
+        return Model(WordModel(np.zeros(LETTERS**3), 0.5), np.zeros(TOP), -4.0)
+    margins, half = np.zeros((len(bags), TOP)), np.arange(len(bags)) % 2
+    for part in (0, 1):
+        here = half == part
+        other = fit_words([b for b, h in zip(bags, here, strict=True) if not h], toxic[~here])
+        margins[here] = bag_margins([b for b, h in zip(bags, here, strict=True) if h], words if other is None else other)
+    weights, _ = fit_weights(margins, toxic)
+    if not weights.any():
+        weights = np.eye(TOP)[0]
+    values = margins @ weights
+    order = np.argsort(-values, kind="stable")
     hits, cut = np.cumsum(toxic[order]), np.arange(1, len(bags) + 1)
     f1 = 2 * hits / (cut + toxic.sum())
-    distinct = np.append(margins[order][:-1] > margins[order][1:] + 1e-12, True)
+    distinct = np.append(values[order][:-1] > values[order][1:] + 1e-12, True)
     best = int(np.argmax(np.where(distinct, f1, -1)))
-    at = margins[order][best]
-    below = margins[order][best + 1] if best + 1 < len(bags) else 0.0
-    edge = 0.5 * (at + max(below, 0.0))
-    slope = 6.0 / max(float(np.median(margins[toxic])) - edge, 0.05)
-    return Model(table, slope, float(np.log(threshold / (1 - threshold)) - slope * edge))
+    below = values[order][best + 1] if best + 1 < len(bags) else 0.0
+    edge = 0.5 * (values[order][best] + max(below, 0.0))
+    slope = 6.0 / max(float(np.median(values[toxic])) - edge, 0.05)
+    return Model(words, weights * slope, float(np.log(threshold / (1 - threshold)) - slope * edge))
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7) -> Model:
@@ -352,15 +463,16 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, *, id_col
     sample = toxic.unionByName(clean)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("id", "label", "text")
     id_type = dict(rows.dtypes)["id"]
-    found = sorted((r["id"], r["label"], r["words"]) for r in rows.mapInArrow(bag_rows, f"id {id_type}, label int, words array<string>").toLocalIterator())
-    return fit([set(words) for _, _, words in found], np.array([label == 1 for _, label, _ in found], dtype=bool), threshold)
+    schema = f"id {id_type}, label int, words array<string>, counts array<int>"
+    found = sorted((r["id"], r["label"], r["words"], r["counts"]) for r in rows.mapInArrow(bag_rows, schema).toLocalIterator())
+    return fit([dict(zip(words, counts, strict=True)) for _, _, words, counts in found], np.array([label == 1 for _, label, _, _ in found], dtype=bool), threshold)
 
 
 def score_toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """id, score and predicted (1 if score >= ``threshold``) of every document.
 
-    A document scores by its most insulting word. Null and empty texts have the
-    lowest score. Only the text is read, whole, whatever its length.
+    A document scores by its most insulting words. Null and empty texts have the
+    lowest score; repeated rows have a row each. Only the text is read, whole, whatever its length.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = dict(rows.dtypes)["id"]

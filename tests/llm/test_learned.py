@@ -58,7 +58,42 @@ def test_folding():
     data, offsets = S.flat(pa.array(["ÉcóLé i-d.i1ot  zzoo", None, "1234 !!"]))
     words = T.distinct_words(data, offsets)
     spelled = {(words.letters[a:b] + 64).tobytes().decode() for a, b in zip(words.ends, words.ends[1:], strict=False)}
-    assert {"ECOLE", "IDIOT", "ZO"} <= spelled
+    assert {"_EC_OL_E", "IDIOT", "ZO"} <= spelled
+
+
+def test_kernel_against_all_gapped_triples():
+    """The kernel of two words by enumerating every subsequence of three letters."""
+
+    def features(word):
+        found = {}
+        for i in range(len(word)):
+            for j in range(i + 1, len(word)):
+                for k in range(j + 1, min(len(word), i + T.MOST_SPAN)):
+                    key = word[i] + word[j] + word[k]
+                    found[key] = found.get(key, 0.0) + T.DECAY ** (k - i + 1)
+        places = sum(T.DECAY ** (2 * (k - i + 1)) for i in range(len(word)) for j in range(i + 1, len(word)) for k in range(j + 1, min(len(word), i + T.MOST_SPAN)))
+        return {key: v / places**0.5 for key, v in found.items()}
+
+    words = ["@IDIOT@", "@IDXIOT@", "@I_DIOT@", "@WINDOWS@", "@ABABABAB@"]
+    gram = T.kernel(words, T.kernel_tables(words))
+    for a, x in enumerate(map(features, words)):
+        for b, y in enumerate(map(features, words)):
+            assert abs(gram[a, b] - sum(v * y.get(key, 0.0) for key, v in x.items())) < 1e-4
+    assert gram[0, 1] > 2 * gram[0, 3] and gram[0, 2] > 2 * gram[0, 3]
+
+
+def test_insults_of_any_length_and_copies(spark, make):
+    """A 40-letter insult is learnt by its pieces; copies of one text vouch for nothing."""
+    rng = random.Random(21)
+    long = "schmierfinkendreckwurzelhohlkopftrottelig"
+    texts = [" ".join([word(rng) for _ in range(12)] + ([long] if i % 3 == 0 else [])) for i in range(240)]
+    copied = " ".join(word(rng) + word(rng) for _ in range(20))
+    texts += [copied] * 60
+    labels = spark.createDataFrame([(i, int(i % 3 == 0 or i >= 240)) for i in range(300)], "doc_id long, toxic int")
+    model = T.train_toxicity(make(texts), labels, F.lit(True))
+    fresh = [f"ba ko {long} mi", *[" ".join([word(rng) for _ in range(8)] + [w]) for w in copied.split()]]
+    found = [r.predicted for r in T.score_toxicity(make(fresh), model).orderBy("doc_id").collect()]
+    assert found[0] == 1 and sum(found[1:]) <= 2
 
 
 def test_toxicity_without_labels_or_documents(spark, make, odd, empty):
@@ -133,7 +168,7 @@ def test_base_spans_against_plain_patterns():
 
 
 def test_model_adds_spans_and_keeps_base_ones():
-    model = P.train(["rosen", "haus", "wiese", "turm", "feld", "bach"])
+    model = P.train()
     text = "write to anna at firma dot com or (030) 555-1234, a@b.de version 2.0 of 2024-05-06"
     base = P.base_spans(text)
     added = P.added_spans(text, base, model)
@@ -149,24 +184,67 @@ def test_model_adds_spans_and_keeps_base_ones():
 
 
 def test_every_written_address_opens_a_window(make):
-    model = P.train(["rosen", "haus", "wiese", "turm", "feld", "bach"])
+    model = P.train()
     wanted = ["anna at mira.com", "anna (AT) mira (DOT) org", "anna AT mira DOT org", "anna [At] mira.net", "anna (at) mira (dot) org"]
     rows = P.find_personal_data(make([f"haus {w} turm" for w in wanted] + ["turm at haus wiese"]), model).orderBy("doc_id").collect()
     assert [r.spans for r in rows] == [f"email:5:{5 + len(w)}" for w in wanted] + [""]
 
 
-def test_context_words_come_from_whole_distinct_texts(spark, make):
-    texts = ["copy"] * 500 + ["start " * 100 + f"end{'abcde'[k]}" for k in range(5)]
-    assert set(P.corpus_words(make(texts), "text", 6)) == {"copy", "start", "enda", "endb", "endc", "endd", "ende"}
-    letters = [a + b + c for a in "abcdefghijklmn" for b in "abcdefghijklmn" for c in "abcdefghijklmnop"]
-    assert max(P.corpus_words(make([" ".join(letters)]), "text")) > "nn" and P.corpus_words(make([None]), "text") == []
+def test_formats_that_training_does_not_know():
+    """Recall and precision on written forms and distractors of another generator."""
+    model, rng = P.train(), random.Random(99)
+    plain = "lorem ipsum dolor amet tempus meeting budget report Wien 2024 window".split()
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def entity():
+        number = next(n for n in ("4" + d(15) for _ in range(10_000)) if P.luhn(n))
+        who, host, octet = rng.choice(["anna", "j.smith", "lea99", "max-p"]), rng.choice(["mira", "shop24", "uni-wien"]), [str(rng.randint(0, 255)) for _ in range(4)]
+        return rng.choice(
+            [
+                ("email", f"{who} {{at}} {host}.com"), ("email", f"{who} AT {host} DOT org"), ("email", f"{who}(at)mail.{host}.co.uk"), ("email", f"{who} at {host}.net"),
+                ("ip", "(dot)".join(octet)), ("ip", " dot ".join(octet)), ("card", " / ".join(number[i : i + 4] for i in (0, 4, 8, 12))), ("card", "_".join(number[i : i + 4] for i in (0, 4, 8, 12))),
+                ("phone", f"({d(3)}) {d(3)} {d(4)}"), ("phone", f"{d(3)}/{d(3)}-{d(4)}"), ("phone", f"({d(3)}){d(3)}-{d(4)}"),
+            ]
+        )
+
+    other = lambda: rng.choice([f"v{d(1)}.{d(1)}.{d(2)}", f"{d(5)} EUR", f"at {rng.choice(plain)}", f"ISBN {d(3)}-{d(1)}-{d(5)}-{d(3)}-{d(1)}", f"{d(2)}:{d(2)}", f"item {d(6)}", f"{d(4)}-{d(4)}"])
+    hit = given = said = 0
+    for _ in range(600):
+        text, gold = " ".join(rng.choice(plain) for _ in range(5)) + " ", set()
+        if rng.random() < 0.6:
+            kind, body = entity()
+            gold.add((kind, len(text), len(text) + len(body)))
+        else:
+            body = other()
+        text += body + " " + " ".join(rng.choice(plain) for _ in range(4))
+        base = P.base_spans(text)
+        found = set(base) | set(P.added_spans(text, base, model))
+        hit, given, said = hit + len(found & gold), given + len(gold), said + len(found)
+    assert hit / given > 0.9 and hit / said > 0.9
+
+
+def test_zeros_before_a_number_do_not_hide_an_address():
+    for zeros in (1, 300, 401, 5_000):
+        assert P.base_spans("0" * zeros + "1.2.3.255") == [("ip", 0, zeros + 9)]
+    assert P.base_spans("1.2.3.0256") == [] and P.base_spans("0.00.000.0") == [("ip", 0, 10)]
+
+
+def test_long_runs_are_not_cut():
+    """A run of 1,200 digit tokens against Viterbi over all its segments at once."""
+    model, rng = P.train(), random.Random(4)
+    text = " ".join("".join(rng.choice("0123456789") for _ in range(rng.choice([3, 3, 4, 4, 5]))) for _ in range(1_200))
+    base = P.base_spans(text)
+    tokens = [m.span() for m in re.finditer(r"\S+", text)]
+    blocked = [any(a < e and s < b for _, s, e in base) for a, b in tokens]
+    whole = P.best_segments(list(P.lattice(text, tokens, blocked)), model)
+    assert whole and P.added_spans(text, base, model) == whole
 
 
 def test_viterbi_is_the_best_of_all_segmentations():
-    model = P.train(["rosen", "haus", "wiese"])
+    model = P.train()
     text = "haus 00 49 301 555 1234 anna (at) x (dot) com 1.2"
     tokens = [m.span() for m in re.finditer(r"\S+", text)]
-    segments = P.lattice(text, tokens, [False] * len(tokens))
+    segments = list(P.lattice(text, tokens, [False] * len(tokens)))
 
     def best(last):
         if last == 0:
