@@ -92,7 +92,8 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _VALUE) -> np.ndarray:
+    """A hash of the bytes of each span, ``values`` standing for them (A-Z as a-z)."""
     out = np.empty(len(starts), dtype=np.uint64)
     first = 0
     while first < len(starts):
@@ -100,7 +101,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         low, high = int(starts[first]), int(ends[last - 1])
         up, down = _powers.get(high - low + 1)
         sums = np.zeros(high - low + 1, dtype=np.uint64)
-        np.cumsum(_VALUE[data[low:high]] * up[: high - low], out=sums[1:])
+        np.cumsum(values[data[low:high]] * up[: high - low], out=sums[1:])
         s, e = starts[first:last] - low, ends[first:last] - low
         out[first:last] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)
         first = last

@@ -28,6 +28,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,15 +36,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from gleaner.llm import shingles as S
+
 BLOCK = 1024
 PERCENTILES = (75, 90, 95, 99, 100)
 CHUNK_IDS = 1 << 18
 HEADER = struct.Struct("<IHBBI")
-#: Bytes of the pieces and ids that a worker remembers, both generations together.
-MOST_BYTES = 64 << 20
-#: What a remembered piece takes beside its letters and ids: two objects and its place in a table.
-ENTRY_BYTES = 200
-MOST_LETTERS = 64
+#: Bytes of the table of pieces that a worker remembers; beyond them it starts afresh.
+MOST_BYTES = 48 << 20
+#: Bytes of the longest piece that is remembered.
+MOST_PIECE = 64
+#: Text that is encoded together; a longer text goes alone.
+TOGETHER = 1 << 20
+#: How a byte-level alphabet writes a space.
+SPACE_LETTER = "\u0120"
 
 
 def bit_widths(values: np.ndarray) -> np.ndarray:
@@ -122,42 +128,37 @@ def unpack(payload: bytes | memoryview, offsets: np.ndarray, first: int = 0, las
 
 
 _SPLIT_UNSAFE = re.compile(r" \s")
-#: A word of letters, perhaps with signs after it: two pieces of the tokenizer's pattern.
-_LETTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
-_WORD = re.compile(f"({_LETTER}+)([.,;:!?]*)")
+_BYTES = np.arange(1, 257, dtype=np.uint64)
+_MIXED = S.mix64(_BYTES)
 
 
-def byte_letters() -> dict[int, int]:
-    """The byte-level alphabet: printable Latin-1 stays, other bytes follow 255."""
-    stay = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    other = [b for b in range(256) if b not in stay]
-    return {b: b for b in stay} | {b: 256 + k for k, b in enumerate(other)}
+class Table(NamedTuple):
+    """Ids of pieces by two hashes of their bytes; sorted by the first."""
 
+    first: np.ndarray
+    second: np.ndarray
+    begin: np.ndarray  # of the piece's ids in ``ids``
+    size: np.ndarray
+    ids: np.ndarray
 
-class Pieces(dict):
-    """Ids, as little-endian uint32, of the pieces that follow ``before``.
+    def find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The row of each piece, or -1."""
+        if not len(self.first):
+            return np.full(len(first), -1)
+        at = np.minimum(np.searchsorted(self.first, first), len(self.first) - 1)
+        return np.where((self.first[at] == first) & (self.second[at] == second), at, -1)
 
-    Two generations: when the encoder's share is spent, what was looked up since
-    the last time becomes the older one, and the older one is forgotten.
-    """
+    def bytes(self) -> int:
+        return sum(a.nbytes for a in self)
 
-    def __init__(self, encoder: Encoder, before: str):
-        super().__init__()
-        self.encoder, self.before = encoder, before
-        self.older: dict[str, bytes] = {}
+    def plus(self, other: Table) -> Table:
+        order = np.argsort(np.concatenate([self.first, other.first]), kind="stable")
+        begin = np.concatenate([self.begin, other.begin + np.uint32(len(self.ids))])
+        joined = (np.concatenate([self.first, other.first]), np.concatenate([self.second, other.second]), begin, np.concatenate([self.size, other.size]))
+        return Table(*[a[order] for a in joined], np.concatenate([self.ids, other.ids]))
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.older.get(piece)
-        if ids is None:
-            ids = self.encoder.piece_ids(self.before, piece)
-        if len(piece) <= MOST_LETTERS:
-            self.encoder.spend(ENTRY_BYTES + len(piece.encode()) + len(ids))
-            self[piece] = ids
-        return ids
 
-    def age(self) -> None:
-        self.older = dict(self)
-        self.clear()
+EMPTY = Table(*[np.zeros(0, dtype=t) for t in (np.uint64, np.uint64, np.uint32, np.uint16, np.uint32)])
 
 
 def splits_at_words(tokenizer) -> bool:
@@ -175,64 +176,108 @@ def splits_at_words(tokenizer) -> bool:
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library, remembered by word.
+    """Ids of texts by the tokenizers library, remembered by piece.
 
     The tokenizer's pattern never joins what lies on two sides of the start of a
-    word with its one space before it. So a text is cut at those places and the
-    pieces' ids are put together; a text where white space follows a space is
-    encoded at once, and so is every text of a tokenizer with another pattern. A
-    new piece that is one plain word goes straight to the library's BPE model, any
-    other through its whole pipeline.
+    word with its one space before it. So texts are cut ahead of every space. The
+    pieces of many texts are hashed and looked up at once, on byte buffers; those
+    that aren't known are put together and encoded by the library, where the ids of
+    every piece begin with the one that starts with a space. A text where white
+    space follows a space is encoded whole, and so is every text of a tokenizer
+    with another pattern. Pieces are told apart by 128 bits of hash.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
         self.splits = splits_at_words(self.tokenizer)
-        self.letters = byte_letters()
-        self.first, self.later = Pieces(self, ""), Pieces(self, " ")
-        self.spent = 0
-        self.marks = {"": "", " ": chr(self.letters[0x20])}
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith(SPACE_LETTER)]] = True
+        self.old = self.new = EMPTY
 
     def __len__(self) -> int:
         """Pieces that are remembered."""
-        return sum(len(p) + len(p.older) for p in (self.first, self.later))
-
-    def spend(self, size: int) -> None:
-        """Make room for a piece: both memories share one bound."""
-        self.spent += size
-        if 2 * self.spent > MOST_BYTES:
-            self.first.age()
-            self.later.age()
-            self.spent = size
-
-    def piece_ids(self, before: str, piece: str) -> bytes:
-        if len(piece) > MOST_LETTERS:
-            return self.whole(before + piece)
-        if piece.isascii() and piece.isalpha():
-            return self.plain(self.marks[before] + piece)
-        word = _WORD.fullmatch(piece)
-        if not word:
-            return self.whole(before + piece)
-        if word[2]:
-            return (self.later if before else self.first)[word[1]] + self.first[word[2]]
-        return self.plain((before + piece).encode().decode("latin-1").translate(self.letters))
-
-    def plain(self, word: str) -> bytes:
-        """Ids of one word in the byte-level alphabet."""
-        tokens = self.model.tokenize(word)
-        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return len(self.old.first) + len(self.new.first)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+
+    def ids_of(self, raw: bytes, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one after another, and how many each has."""
+        sizes = np.zeros(len(spans), dtype=np.int64)
+        words = [k for k, (a, b) in enumerate(spans) if b - a > 1 and raw[a] == 0x20]
+        together = self.whole(b"".join([raw[slice(*spans[k])] for k in words]).decode()) if words else np.zeros(0, dtype=np.uint32)
+        starts = np.flatnonzero(self.spaced[together])
+        if len(starts) == len(words):
+            sizes[words] = np.diff(np.append(starts, len(together)))
+            rest = set(range(len(spans))).difference(words)
+        else:  # an added token with a space
+            together, rest = together[:0], range(len(spans))
+        parts, at, ends = [], 0, np.cumsum(sizes)
+        for k in sorted(rest):
+            ids = self.whole(raw[slice(*spans[k])].decode())
+            parts += [together[at : ends[k]], ids]
+            at, sizes[k] = ends[k], len(ids)
+        return np.concatenate([*parts, together[at:]]), sizes
+
+    def remember(self, fresh: Table, short: np.ndarray) -> None:
+        keep = np.flatnonzero(short)
+        fresh = fresh._replace(first=fresh.first[keep], second=fresh.second[keep], begin=fresh.begin[keep], size=fresh.size[keep])
+        if self.old.bytes() + self.new.bytes() + fresh.bytes() > MOST_BYTES:
+            self.old = self.new = EMPTY
+        if fresh.bytes() <= MOST_BYTES:
+            self.new = self.new.plus(fresh)
+        if 8 * len(self.new.first) > len(self.old.first) + 100_000:
+            self.old, self.new = self.old.plus(self.new), EMPTY
+
+    def encode_cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows, one after another, and where each row ends."""
+        starts = np.union1d(offsets[:-1][np.diff(offsets) > 0], np.flatnonzero(data == 0x20))
+        ends = np.append(starts[1:], len(data)) if len(starts) else starts
+        first, second = (S.word_hashes(data, starts, ends, values) for values in (_BYTES, _MIXED))
+        keys, at, of = np.unique(first, return_index=True, return_inverse=True)
+        checks = second[at]
+        if (checks[of] != second).any():
+            raise ValueError("two pieces share a hash")  # 1 in 2**64 for each pair
+        in_old, in_new = self.old.find(keys, checks), self.new.find(keys, checks)
+        missing = np.flatnonzero((in_old < 0) & (in_new < 0))
+        flat, sizes = self.ids_of(data.tobytes(), list(zip(starts[at[missing]].tolist(), ends[at[missing]].tolist(), strict=True)))
+        begin, size = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
+        begin[missing], size[missing] = np.cumsum(sizes) - sizes, sizes
+        base = len(flat)
+        for table, rows in ((self.old, in_old), (self.new, in_new)):
+            hit = np.flatnonzero(rows >= 0)
+            begin[hit], size[hit] = base + table.begin[rows[hit]].astype(np.int64), table.size[rows[hit]]
+            base += len(table.ids)
+        count = size[of]
+        total = np.cumsum(count)
+        index = np.arange(total[-1] if len(total) else 0) + np.repeat(begin[of] - (total - count), count)
+        ids = np.concatenate([flat, self.old.ids, self.new.ids])[index]
+        last = np.searchsorted(starts, offsets[1:])  # pieces up to each row's end
+        row_ends = np.append(0, total)[last]
+        short = (ends - starts)[at[missing]] <= MOST_PIECE
+        self.remember(Table(keys[missing], checks[missing], begin[missing].astype(np.uint32), np.minimum(sizes, 65535).astype(np.uint16), flat), short)
+        return ids, row_ends
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text as little-endian uint32; of null and empty ones none."""
+        texts = texts.fill_null("")
+        whole = np.array([not self.splits or bool(_SPLIT_UNSAFE.search(t)) for t in texts.to_pylist()], dtype=bool)
+        out: list[bytes] = [b""] * len(texts)
+        for i in np.flatnonzero(whole).tolist():
+            out[i] = self.whole(texts[i].as_py()).astype("<u4").tobytes()
+        cut = np.flatnonzero(~whole)
+        if len(cut):
+            ids, ends = self.encode_cut(*S.flat(texts.take(pa.array(cut))))
+            raw, at = ids.astype("<u4").tobytes(), (4 * ends).tolist()
+            for i, a, b in zip(cut.tolist(), [0, *at], at, strict=False):
+                out[i] = raw[a:b]
+        return out
 
     def encode(self, text: str) -> bytes:
-        if not self.splits or _SPLIT_UNSAFE.search(text):
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        return (self.first[first] if first else b"") + b"".join(map(self.later.__getitem__, rest))
+        return self.encode_all(pa.array([text], pa.string()))[0]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -265,16 +310,17 @@ def write_chunks(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> I
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[c.split()[0] for c in CHUNKS.split(", ")])
 
     for batch in batches:
-        for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-            ids = known.encode(text.as_py() or "") + tail
-            docs.append(doc.as_py())
-            parts.append(ids)
-            size += len(ids) // 4
-            ends.append(size)
-            if size >= CHUNK_IDS:
-                yield close()
-                chunk, before, size = chunk + 1, before + size, 0
-                docs, parts, ends = [], [], []
+        for first, last in S.pieces(S.flat(batch.column(1))[1], TOGETHER):
+            rows = batch.slice(first, last - first)
+            for doc, ids in zip(rows.column(0).to_pylist(), known.encode_all(rows.column(1)), strict=True):
+                docs.append(doc)
+                parts.append(ids + tail)
+                size += len(ids) // 4 + 1
+                ends.append(size)
+                if size >= CHUNK_IDS:
+                    yield close()
+                    chunk, before, size = chunk + 1, before + size, 0
+                    docs, parts, ends = [], [], []
     if docs:
         yield close()
 

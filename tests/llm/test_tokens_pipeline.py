@@ -1,11 +1,11 @@
 """Token blocks, and the pipeline held against plain Python."""
 
 import random
-import sys
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer, pre_tokenizers
 
@@ -44,19 +44,15 @@ def test_encoder_equals_the_library():
 
 
 def test_memory_of_the_encoder_is_bounded(monkeypatch):
-    """Both memories together stay under the bound, as Python counts it."""
-    monkeypatch.setattr(B, "MOST_BYTES", 4 << 20)
-    rng, known, most = random.Random(5), B.Encoder(PATH), 0
+    monkeypatch.setattr(B, "MOST_BYTES", 1 << 20)
+    rng, known, most, library = random.Random(5), B.Encoder(PATH), 0, Tokenizer.from_file(PATH)
     for _ in range(300):
         words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 14))) for _ in range(200)]
-        known.encode(" ".join(words))
-        known.encode("\n".join(words))
-        for word in words:
-            known.encode(word)
-        tables = [t for p in (known.first, known.later) for t in (p, p.older)]
-        most = max(most, sum(sys.getsizeof(t) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in t.items()) for t in tables))
-    assert known.first.older and known.later.older
-    assert most <= 1.1 * (4 << 20)
+        text = " ".join([*words, "y" * 5000])
+        ids = np.frombuffer(known.encode(text), dtype="<u4").tolist()
+        assert ids == library.encode(text, add_special_tokens=False).ids
+        most = max(most, known.old.bytes() + known.new.bytes())
+    assert 1 << 18 < most <= 1 << 20 and len(known) < 60_000
 
 
 def test_other_tokenizers_are_not_cut():
@@ -66,6 +62,16 @@ def test_other_tokenizers_are_not_cut():
     assert not B.splits_at_words(library)
 
 
+def test_texts_encoded_together_equal_the_library():
+    rng, known, library = random.Random(9), B.Encoder(PATH), Tokenizer.from_file(PATH)
+    letters = [*"abcdeéñß\n\t.,'!?1230-_<|>", "'s", "the", "漢", "🙂", "<|endoftext|>", "\r\n", "\x85", "\xa0", *[" "] * 9]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(3_000)] + [None, "", " ", "a ", " a", "x" * 200 + " y"]
+    for first in range(0, len(texts), 100):
+        some = texts[first : first + 100]
+        expected = [library.encode(t or "", add_special_tokens=False).ids for t in some]
+        assert [np.frombuffer(ids, dtype="<u4").tolist() for ids in known.encode_all(pa.array(some, pa.string()))] == expected
+
+
 def test_file_round_trip(spark, odd, empty):
     library = Tokenizer.from_file(PATH)
     folder = Workspace(spark, "test").path("ids")
