@@ -47,7 +47,7 @@ MOST_BYTES = 48 << 20
 #: Bytes of the longest piece that is remembered.
 MOST_PIECE = 64
 #: Text that is encoded together; a longer text goes alone.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
 #: How a byte-level alphabet writes a space.
 SPACE_LETTER = "\u0120"
 
@@ -234,7 +234,9 @@ class Encoder:
 
     def encode_cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, one after another, and where each row ends."""
-        starts = np.union1d(offsets[:-1][np.diff(offsets) > 0], np.flatnonzero(data == 0x20))
+        fresh = data == 0x20
+        fresh[offsets[:-1][np.diff(offsets) > 0]] = True
+        starts = np.flatnonzero(fresh)
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
         first, second = (S.word_hashes(data, starts, ends, values) for values in (_BYTES, _MIXED))
         keys, at, of = np.unique(first, return_index=True, return_inverse=True)
