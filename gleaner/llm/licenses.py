@@ -1,12 +1,21 @@
 """License scans [native]: word-bigram Dice of text units against templates.
 
-A unit is a line, or a block between blank lines that has several lines. Units
-and templates are normalised alike; a pair is compared only if their bigram
-counts allow the wanted Dice coefficient.
+A unit is a line, a block between blank lines that has several lines, or a window
+of a template's length anywhere in the text, for notices inside longer lines and
+comments. Units and templates are normalised alike; a pair is compared only if
+their bigram counts allow the wanted Dice coefficient.
+
+A unit that reaches it shares so many bigrams with the template that it must have
+one of any n - needed + 1 chosen ones, the template's anchors. So a text without
+an anchor has no license and is dropped before it is cut into units, and windows
+are laid where an anchor stands, as the template has it.
 """
 
 from __future__ import annotations
 
+import re
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +70,20 @@ def template_table(spark: SparkSession, templates: tuple[tuple[str, str], ...],
     return table.where(F.size("grams") > 0).withColumn("n", F.explode(sizes.cast("array<int>")))
 
 
+def anchors(templates: tuple[tuple[str, str], ...], least_dice: float) -> list[tuple[str, int, str, int, int]]:
+    """(bigram, template_id, license, words before it, words of the template): the
+    longest n - needed + 1 bigrams of each template, at each of their places."""
+    out = []
+    for i, (name, text) in enumerate(templates):
+        words = re.sub("[^a-z0-9]+", " ", text.lower()).split()
+        pairs = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+        found = sorted(set(pairs), key=lambda p: (-len(p), p))
+        needed = ceil(len(found) * least_dice / (2 - least_dice) - 1e-9)
+        chosen = set(found[: len(found) - needed + 1])
+        out += [(pair, i, name, at, len(words)) for at, pair in enumerate(pairs) if pair in chosen]
+    return out
+
+
 def license_scan(
     docs: DataFrame,
     *,
@@ -72,23 +95,43 @@ def license_scan(
     """One row per document and license found: id, license, dice, n_units.
 
     ``dice`` is the best over the document's units and the license's templates,
-    ``n_units`` the number of its units (lines, and blocks of lines) that reach
-    ``least_dice``. Null, empty
-    and one-word texts have no bigrams and give no row; a repeated line counts
-    each time; no other column is read. Templates are a parameter of fixed size
-    (the default 16), so their broadcast doesn't grow with the corpus.
+    ``n_units`` the number of its lines and blocks of lines that reach
+    ``least_dice`` (0 where only a window within one does). Null, empty and
+    one-word texts have no bigrams and give no row; a repeated line counts each
+    time; no other column is read. Templates are a parameter of fixed size (the
+    default 16), so their broadcast doesn't grow with the corpus.
     """
-    text = F.col(text_col)
-    lines = F.split(text, "\n")
-    blocks = F.filter(F.split(text, r"\n[\x20\t\r]*\n"), lambda b: F.contains(b, F.lit("\n")))
-    units = docs.select(F.col(id_col).alias("id"), F.explode(F.concat(lines, blocks)).alias("unit"))
-    units = units.select("id", normal_words(F.col("unit")).alias("words")).where(F.size("words") > 1)
+    spark, places = docs.sparkSession, anchors(templates, least_dice)
+    if not places:
+        places = [("", -1, "", 0, 0)]
+    table = F.broadcast(template_table(spark, templates, least_dice))
+    pairs = sorted({p[0] for p in places})
+    first = sorted({p.split(" ")[0] for p in pairs})
+    # exploding one-element arrays has words and anchors computed once, not for each use
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.explode(F.array(normal_words(F.col(text_col)))).alias("words")).where(F.size("words") > 1)
+
+    def anchored(i: Column) -> Column:
+        word = F.element_at("words", i)
+        return word.isin(*first) & F.concat(word, F.lit(" "), F.element_at("words", i + 1)).isin(*pairs)
+
+    at = F.filter(F.sequence(F.lit(1), F.size("words") - 1), anchored)
+    rows = rows.select("*", F.explode(F.array(at)).alias("at")).where(F.size("at") > 0)
+
+    lines = F.split("text", "\n")
+    blocks = F.filter(F.split("text", r"\n[\x20\t\r]*\n"), lambda b: F.contains(b, F.lit("\n")))
+    units = rows.select("id", F.explode(F.concat(lines, blocks)).alias("unit")).select("id", normal_words(F.col("unit")).alias("words")).where(F.size("words") > 1)
     units = units.select("id", F.monotonically_increasing_id().alias("unit_id"), bigrams(F.col("words")).alias("found"))
-    units = units.withColumn("m", F.size("found"))
-    table = F.broadcast(template_table(docs.sparkSession, templates, least_dice))
-    pairs = units.join(table, units["m"] == table["n"])
-    dice = 2.0 * F.size(F.array_intersect("found", "grams")) / (F.col("m") + F.size("grams"))
-    pairs = pairs.withColumn("dice", dice).where(F.col("dice") >= least_dice)
-    return pairs.groupBy(F.col("id").alias(id_col), "license").agg(
-        F.round(F.max("dice"), 6).alias("dice"), F.count_distinct("unit_id").alias("n_units")
-    )
+
+    span = max(p[4] for p in places)
+    start = lambda i: F.greatest(i - span, F.lit(1))
+    near = F.transform("at", lambda i: F.struct(F.concat(F.element_at("words", i), F.lit(" "), F.element_at("words", i + 1)).alias("pair"), (i - start(i) + 1).alias("here"), F.slice("words", start(i), 2 * span).alias("words")))
+    laid = F.broadcast(spark.createDataFrame(places, "pair string, place_id int, place_license string, before int, n_words int"))
+    windows = rows.select("id", F.explode(near).alias("w")).select("id", "w.*").join(laid, "pair")
+    window = F.slice("words", F.greatest(F.col("here") - F.col("before"), F.lit(1)), F.col("n_words"))
+    windows = windows.select("id", "place_id", bigrams(window).alias("found"))
+
+    dice = 2.0 * F.size(F.array_intersect("found", "grams")) / (F.size("found") + F.size("grams"))
+    whole = units.join(table, F.size("found") == F.col("n")).select("id", "license", "unit_id", dice.alias("dice"))
+    inside = windows.join(table, (F.size("found") == F.col("n")) & (F.col("place_id") == F.col("template_id")))
+    found = whole.unionByName(inside.select("id", "license", F.lit(None).cast("long").alias("unit_id"), dice.alias("dice"))).where(F.col("dice") >= least_dice)
+    return found.groupBy(F.col("id").alias(id_col), "license").agg(F.round(F.max("dice"), 6).alias("dice"), F.count_distinct("unit_id").alias("n_units"))

@@ -20,9 +20,19 @@ def license_scan() -> str:
             list_filter(string_split_regex(text, '\\n[\\x20\\t\\r]*\\n'), lambda b: contains(b, chr(10))))) AS unit FROM documents),
     numbered AS (SELECT doc_id, row_number() OVER () AS unit_id, {words.format("unit")} AS w FROM piece),
     u AS (SELECT doc_id, unit_id, {grams} AS f FROM numbered WHERE len(w) > 1),
+    tw AS (SELECT template_id, {words.format("body")} AS w FROM template),
+    pair AS (SELECT template_id, i AS before, w[i + 1] || ' ' || w[i + 2] AS pair, len(w) AS n_words FROM (SELECT *, unnest(range(0, len(w) - 1)) AS i FROM tw)),
+    chosen AS (SELECT template_id, pair FROM (SELECT template_id, pair, row_number() OVER (PARTITION BY template_id ORDER BY -length(pair), pair) AS k, count(*) OVER (PARTITION BY template_id) AS n
+        FROM (SELECT DISTINCT template_id, pair FROM pair)) WHERE k <= n - ceil(n * 0.8 / 1.2 - 1e-9) + 1),
+    anchor AS (SELECT pair.* FROM pair JOIN chosen USING (template_id, pair)),
+    dw AS (SELECT doc_id, {words.format("text")} AS w FROM documents),
+    dp AS (SELECT doc_id, i AS pos, w[i] || ' ' || w[i + 1] AS pair FROM (SELECT *, unnest(range(1, len(w))) AS i FROM dw)),
+    laid AS (SELECT DISTINCT doc_id, template_id, greatest(pos - before, 1) AS a, n_words FROM dp JOIN anchor USING (pair)),
+    win AS (SELECT doc_id, template_id, {grams} AS f FROM (SELECT doc_id, template_id, dw.w[a:a + n_words - 1] AS w FROM laid JOIN dw USING (doc_id))),
     p AS (
         SELECT doc_id, unit_id, license, 2.0::DOUBLE * len(list_intersect(f, g)) / (len(f) + len(g)) AS d
-        FROM u, t WHERE len(f) * 1.5 + 1e-9 >= len(g) AND len(g) * 1.5 + 1e-9 >= len(f))
+        FROM u, t WHERE len(f) * 1.5 + 1e-9 >= len(g) AND len(g) * 1.5 + 1e-9 >= len(f)
+        UNION ALL SELECT doc_id, NULL, license, 2.0::DOUBLE * len(list_intersect(f, g)) / (len(f) + len(g)) FROM win JOIN t USING (template_id))
     SELECT doc_id, license, round(max(d), 6) AS dice, count(DISTINCT unit_id) AS n_units FROM p WHERE d >= 0.8 GROUP BY doc_id, license
     """
 

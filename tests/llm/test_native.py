@@ -6,7 +6,7 @@ import random
 import re
 
 from gleaner.llm.exact_duplicates import exact_duplicates
-from gleaner.llm.licenses import license_scan
+from gleaner.llm.licenses import TEMPLATES, license_scan
 from gleaner.llm.mixing import mix_sources, repeat_by_mix
 from gleaner.llm.revisits import resolve_revisits
 
@@ -38,6 +38,17 @@ def test_exact_duplicates_odd_rows(odd, empty):
     assert by[8]["keep_id"] == 7 and by[1]["keep_id"] == 0 and by[2]["keep_id"] == 2
 
 
+def test_notices_inside_longer_units(make):
+    mit = next(t for n, t in TEMPLATES if n == "MIT" and len(t) > 200)
+    words = mit.split(" ")
+    comment = "int x;\n/*\n * Copyright\n *\n" + "".join(" * " + " ".join(words[k : k + 9]) + "\n" for k in range(0, len(words), 9)) + " */\nint main() { return 0; }"
+    footer = "Some page footer. This work is licensed under the GNU General Public License, version 3. Contact us at any time for more about it and much else."
+    edited = "lead in words " * 30 + footer.replace("Public License,", "Public Licence") + " tail" * 40
+    found = {(r["doc_id"], r["license"]): (r["dice"], r["n_units"]) for r in rows(license_scan(make([comment, footer, edited, "nothing here", None, ""])))}
+    assert found[(0, "MIT")][0] == 1.0 and found[(1, "GPL-3.0")] == (1.0, 0) and found[(2, "GPL-3.0")][0] >= 0.8
+    assert {d for d, _ in found} == {0, 1, 2}
+
+
 def plain_mix(docs):
     """The mix by sorting: (id, size, source) -> id -> (target, passes)."""
     sizes = {}
