@@ -129,7 +129,3 @@ def evidence_status(retracted, corrected, superseded, disputed, groups, primary,
         F.when(retracted, "retracted").when(corrected, "corrected").when(superseded, "superseded").when(disputed, "disputed")
         .when((groups >= 3) & primary, "confirmed").when(groups >= 3, "well-supported").when(groups == 2, "supported").when(attributed, "attributed").otherwise("single-source")
     )
-
-
-def first_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_k")

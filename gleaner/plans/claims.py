@@ -29,7 +29,7 @@ def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({"attributed": attributed, "allegation": allegation, "status": C.status(attributed, allegation, F.col("groups"), F.col("publishers"))}).drop("whole")
 
 
-@register("claim_grouping_status", "E11 E12 E13 F2", V.sql("v_claims", f", {_GROUP_SQL} SELECT event_id, kind, value, reports, publishers, groups, first_seen, last_seen, status FROM s"))
+@register("claim_grouping_status", "E11 E12 F2", V.sql("v_claims", f", {_GROUP_SQL} SELECT event_id, kind, value, reports, publishers, groups, first_seen, last_seen, status FROM s"))
 def claim_grouping_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped(spark, sf_dir).select("event_id", "kind", "value", "reports", "publishers", "groups", "first_seen", "last_seen", "status")
 
@@ -40,7 +40,7 @@ _DISPUTE_SQL = """w AS (SELECT event_id, kind, value, min(seen_at) AS earliest,
         abs(epoch_us(y.latest) - epoch_us(x.earliest)) / 6e7 > 45 AS update, abs(y.value - x.value) / least(x.value, y.value) AS gap FROM o x JOIN o y ON x.event_id = y.event_id AND x.kind = y.kind AND x.k = 1 AND y.k = y.n WHERE x.n >= 2)"""
 
 
-@register("numeric_disputes", "F6 F8 H10", V.sql("v_claims", f""", {_DISPUTE_SQL} SELECT event_id, kind, values, value_a, at_a, value_b, at_b, update, CASE WHEN update OR gap < 0.2 THEN 'low' WHEN gap < 0.5 THEN 'moderate' ELSE 'high' END AS confidence FROM d"""))
+@register("numeric_disputes", "F6 H10", V.sql("v_claims", f""", {_DISPUTE_SQL} SELECT event_id, kind, values, value_a, at_a, value_b, at_b, update, CASE WHEN update OR gap < 0.2 THEN 'low' WHEN gap < 0.5 THEN 'moderate' ELSE 'high' END AS confidence FROM d"""))
 def numeric_disputes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.numeric_disputes(V.claims(spark, sf_dir), ["event_id", "kind"])
 
@@ -136,7 +136,7 @@ def evidence_matrix_profile_strength(spark: SparkSession, sf_dir: str) -> DataFr
     return counts.select("event_id", "n", "supported", "disputed", "single", "attributed", "historical", strength.alias("strength"))
 
 
-@register("evidence_linking", "C7 E16 E17 F7 F12", V.sql("v_claims", """, alerts AS (SELECT event_id, min(seen_at) AS at, kind, count(*) AS copies FROM v_claims WHERE publisher % 10 = 0 GROUP BY event_id, kind),
+@register("evidence_linking", "C7 E16 F12", V.sql("v_claims", """, alerts AS (SELECT event_id, min(seen_at) AS at, kind, count(*) AS copies FROM v_claims WHERE publisher % 10 = 0 GROUP BY event_id, kind),
     one AS (SELECT event_id, count(*) AS n FROM alerts GROUP BY event_id)
     SELECT c.event_id, c.kind, count(DISTINCT c.publisher) AS publishers, bool_or(a.kind = c.kind) AS by_kind, bool_or(o.n = 1) AS only_alert, count(DISTINCT a.kind) AS evidence,
         CASE WHEN bool_or(a.kind = c.kind) THEN 'none' WHEN bool_or(o.n = 1) THEN 'kind not named in the alert' ELSE 'no record found' END AS unknowns

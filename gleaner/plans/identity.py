@@ -164,7 +164,7 @@ def pair_signals_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register("pair_vetoes_merge_rule", "D8 D9 D10 K4", V.sql("v_articles", f""", {_DECISION_SQL}, m AS (SELECT z.*, ta.publisher = tb.publisher AS same_publisher, split_part(verdict, '/', 1) AS relation, split_part(verdict, '/', 2) AS sure,
+@register("pair_vetoes_merge_rule", "D9 D10 K4", V.sql("v_articles", f""", {_DECISION_SQL}, m AS (SELECT z.*, ta.publisher = tb.publisher AS same_publisher, split_part(verdict, '/', 1) AS relation, split_part(verdict, '/', 2) AS sure,
         CASE WHEN lexical >= 0.9 THEN 'strong' WHEN lexical >= 0.7 THEN 'probable' ELSE 'weak' END AS grade FROM z JOIN t ta ON z.a = ta.article_id JOIN t tb ON z.b = tb.article_id)
     SELECT a, b, grade, CASE WHEN relation = 'different' AND sure = 'high' THEN 'weak' ELSE grade END AS after_veto,
         (CASE WHEN relation = 'different' AND sure = 'high' THEN false ELSE grade IN ('strong', 'probable') END) OR (relation = 'same' AND (sure IN ('high', 'moderate') OR same_publisher)) AS merges FROM m"""))
@@ -190,7 +190,7 @@ def near_duplicate_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(similar_pairs(spark, sf_dir, 0.7))
 
 
-@register("cluster_assembly", "D12 D13 D14 G12", V.sql("v_articles", f""", {_COMPONENTS_SQL}, m AS (SELECT coalesce(component, article_id) AS cluster, v.* FROM v_articles v LEFT JOIN comp ON v.article_id = comp.node),
+@register("cluster_assembly", "D12 D13 G12", V.sql("v_articles", f""", {_COMPONENTS_SQL}, m AS (SELECT coalesce(component, article_id) AS cluster, v.* FROM v_articles v LEFT JOIN comp ON v.article_id = comp.node),
     best AS (SELECT component AS cluster, max(sim) AS edge FROM p JOIN comp ON p.a = comp.node JOIN v_articles x ON p.a = x.article_id JOIN v_articles y ON p.b = y.article_id WHERE sim >= 0.7 AND x.publisher <> y.publisher GROUP BY component),
     lang AS (SELECT cluster, language, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, min(-article_id)) AS k FROM m GROUP BY cluster, language)
     SELECT m.cluster, count(*) AS reports, count(DISTINCT publisher) AS publishers, arg_max(article_id, published_at) AS latest, bool_or(official) AS official, any_value(lang.language) AS language,

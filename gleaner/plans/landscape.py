@@ -139,7 +139,7 @@ def rollup_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.groupBy("days", "publisher").agg(F.sum("reports").alias("reports"), F.sum("official").alias("official"), F.count_distinct("day").alias("active_days"))
 
 
-@register("landscape_leaderboards", "G7 G9 G10 J3", V.sql("v_claims", """, p AS (SELECT 'publisher' AS board, publisher::VARCHAR AS name, count(*) AS n, count(DISTINCT event_id) AS events FROM v_claims GROUP BY publisher),
+@register("landscape_leaderboards", "G7 G10 J3", V.sql("v_claims", """, p AS (SELECT 'publisher' AS board, publisher::VARCHAR AS name, count(*) AS n, count(DISTINCT event_id) AS events FROM v_claims GROUP BY publisher),
     k AS (SELECT 'kind' AS board, kind AS name, count(*) AS n, count(DISTINCT event_id) AS events FROM v_claims GROUP BY kind), f AS (SELECT 'family' AS board, family::VARCHAR AS name, count(*) AS n, count(DISTINCT event_id) AS events FROM v_claims GROUP BY family),
     u AS (SELECT * FROM p UNION ALL SELECT * FROM k UNION ALL SELECT * FROM f), r AS (SELECT *, row_number() OVER (PARTITION BY board ORDER BY n DESC, name) AS place FROM u)
     SELECT board, place, name, n, events FROM r WHERE place <= 10"""))

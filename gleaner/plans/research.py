@@ -57,12 +57,12 @@ def searched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.search_records(V.articles(spark, sf_dir).select("article_id", F.col("title").alias("body")), V.records(spark, sf_dir), "article_id", "record_id")
 
 
-@register("record_search", "C5 N2 N3", V.sql("v_articles v_records", f", {_SEARCH_SQL} SELECT article_id, record_id, shared, relevance, place FROM top"))
+@register("record_search", "C5", V.sql("v_articles v_records", f", {_SEARCH_SQL} SELECT article_id, record_id, shared, relevance, place FROM top"))
 def record_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return searched(spark, sf_dir)
 
 
-@register("claim_record_match", "C6 N1 N4", V.sql("v_articles v_records", f""", {_SEARCH_SQL}, m AS (SELECT article_id, record_id, shared, relevance, article_id % 30 AS claimed, record_id % 30 AS recorded FROM top),
+@register("claim_record_match", "C6 N4", V.sql("v_articles v_records", f""", {_SEARCH_SQL}, m AS (SELECT article_id, record_id, shared, relevance, article_id % 30 AS claimed, record_id % 30 AS recorded FROM top),
     o AS (SELECT article_id, record_id, CASE WHEN shared < 2 THEN 'not_found' WHEN abs(claimed - recorded) <= 0.02 * greatest(claimed, recorded) THEN 'corroborated' WHEN relevance >= 0.8 THEN 'contradicted' ELSE 'not_found' END AS outcome FROM m)
     SELECT article_id, count(*) AS checked, count(*) FILTER (WHERE outcome = 'corroborated') AS corroborated, count(*) FILTER (WHERE outcome = 'contradicted') AS contradicted, bool_and(outcome = 'not_found') AS exhausted FROM o GROUP BY article_id"""))
 def claim_record_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +118,7 @@ def brief_firewall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("withheld", F.when(F.col("kept") == 0, "nothing verified"))
 
 
-@register("brief_text", "O2 O3 O4", V.sql("v_claims", f""", {_BRIEF_SQL}, r AS (SELECT f.*, row_number() OVER (PARTITION BY event_id, kind ORDER BY confidence DESC, value DESC) AS kk FROM f WHERE NOT disputed),
+@register("brief_text", "O2 O3", V.sql("v_claims", f""", {_BRIEF_SQL}, r AS (SELECT f.*, row_number() OVER (PARTITION BY event_id, kind ORDER BY confidence DESC, value DESC) AS kk FROM f WHERE NOT disputed),
     p AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY confidence DESC, kind, value DESC) AS k FROM r WHERE kk = 1),
     l AS (SELECT event_id, max(CASE WHEN k = 1 THEN groups || ' groups report ' || kind || ' of ' || value::BIGINT || '.' END) AS lead, array_to_string(list(kind || '=' || value::BIGINT ORDER BY k) FILTER (WHERE k BETWEEN 2 AND 7), '; ') AS facts FROM p GROUP BY event_id)
     SELECT br.event_id, CASE WHEN withheld IS NULL THEN lead END AS lead, CASE WHEN withheld IS NULL THEN facts END AS facts, withheld FROM br LEFT JOIN l ON br.event_id = l.event_id"""))

@@ -32,7 +32,6 @@ def timeline_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.withColumn("last_meaningful", F.coalesce(F.max(F.when(F.col("added"), F.col("turn"))).over(own), F.max("turn").over(own)))
 
 
-_KINDS = (("new-official-confirmation", 0.85), ("new-number", 0.72), ("new-source-only", 0.33), ("rephrasing", 0.14))
 _SNAP = """SELECT cluster_id, list_sort(list(DISTINCT figure)) AS figures, list_sort(list(DISTINCT family)) AS families, list_sort(list(DISTINCT publisher)) AS publishers, count(*) FILTER (WHERE role = 'official-alert') AS official, count(*) AS reports, max(published_at) AS newest FROM v_reports"""
 
 
@@ -80,7 +79,7 @@ def diversified_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RANK_SQL = "row_number() OVER (PARTITION BY surface ORDER BY editorial DESC, newest, cluster_id)"
 
 
-@register("surfaces", "J2 J5 K2", V.sql("v_reports", f"""{_EDITED_SQL}, u AS (SELECT 'urgent' AS surface, * FROM b WHERE band = 'urgent' UNION ALL SELECT 'right_now', * FROM b WHERE band IN ('urgent', 'high') AND newest <= 6
+@register("surfaces", "J2 J5", V.sql("v_reports", f"""{_EDITED_SQL}, u AS (SELECT 'urgent' AS surface, * FROM b WHERE band = 'urgent' UNION ALL SELECT 'right_now', * FROM b WHERE band IN ('urgent', 'high') AND newest <= 6
         UNION ALL SELECT 'watching', * FROM b WHERE band = 'standard' UNION ALL SELECT 'background', * FROM b WHERE band = 'background'),
     r AS (SELECT *, {_RANK_SQL} AS place FROM u) SELECT surface, place, cluster_id, editorial FROM r WHERE place <= CASE surface WHEN 'right_now' THEN 10 WHEN 'watching' THEN 16 WHEN 'background' THEN 40 ELSE 12 END"""))
 def surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,7 +188,7 @@ def display_projection_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register("explanation_event_state", "I3 I9", V.sql("v_reports", f"""{_EDITED_SQL}, r AS (SELECT cluster_id, state, unnest([{{'w': round(p_geo, 3), 't': 'place'}}, {{'w': round(p_category, 3), 't': 'topic'}}, {{'w': CASE WHEN families >= 3 THEN round(p_diversity, 3) ELSE -0.5 END::DOUBLE, 't': CASE WHEN families >= 3 THEN 'several families' ELSE 'few families' END}},
+@register("explanation_event_state", "I3", V.sql("v_reports", f"""{_EDITED_SQL}, r AS (SELECT cluster_id, state, unnest([{{'w': round(p_geo, 3), 't': 'place'}}, {{'w': round(p_category, 3), 't': 'topic'}}, {{'w': CASE WHEN families >= 3 THEN round(p_diversity, 3) ELSE -0.5 END::DOUBLE, 't': CASE WHEN families >= 3 THEN 'several families' ELSE 'few families' END}},
         {{'w': CASE WHEN official THEN round(p_corroboration, 3) ELSE -0.1 END::DOUBLE, 't': CASE WHEN official THEN 'official source' ELSE 'no official source' END}}]) AS x FROM b),
     o AS (SELECT cluster_id, state, x.t AS reason, row_number() OVER (PARTITION BY cluster_id ORDER BY x.w DESC, x.t) AS k FROM r)
     SELECT cluster_id, any_value(state) AS state, array_to_string(list(reason ORDER BY k), '; ') AS reasons FROM o WHERE k <= 3 GROUP BY cluster_id"""))
@@ -221,7 +220,7 @@ def discourse_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("thread_id", "turn", "x.article_id", "x.score")
 
 
-@register("snapshot_io_retention", "A13 A15 A16 A17", V.sql("v_reports", """, d AS (SELECT published_at::DATE AS day, cluster_id, count(*) AS reports FROM v_reports GROUP BY 1, 2), k AS (SELECT *, dense_rank() OVER (ORDER BY day DESC) AS back FROM d)
+@register("snapshot_io_retention", "A13 A15 A17", V.sql("v_reports", """, d AS (SELECT published_at::DATE AS day, cluster_id, count(*) AS reports FROM v_reports GROUP BY 1, 2), k AS (SELECT *, dense_rank() OVER (ORDER BY day DESC) AS back FROM d)
     SELECT day, count(*) AS clusters, sum(reports)::BIGINT AS reports FROM k WHERE back <= 10 GROUP BY day"""))
 def snapshot_io_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily history written as partitions and read back; the last ten stay."""
@@ -233,7 +232,7 @@ def snapshot_io_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.join(F.broadcast(days), "day", "left_semi").groupBy("day").agg(F.count("*").alias("clusters"), F.sum("reports").alias("reports"))
 
 
-@register("feed_descriptor_change_text", "B36 B37 F19 M9", V.sql("v_reports", """, p AS (SELECT publisher, count(*) AS reports, count(DISTINCT family) AS families, bool_or(role = 'official-alert') AS alerts, count(DISTINCT cluster_id) AS clusters FROM v_reports GROUP BY publisher)
+@register("feed_descriptor_change_text", "B36 F19 M9", V.sql("v_reports", """, p AS (SELECT publisher, count(*) AS reports, count(DISTINCT family) AS families, bool_or(role = 'official-alert') AS alerts, count(DISTINCT cluster_id) AS clusters FROM v_reports GROUP BY publisher)
     SELECT publisher, coalesce(CASE WHEN publisher % 5 = 0 THEN 'agency' END, CASE WHEN alerts THEN 'alert-feed' ELSE 'newsroom' END) AS source_type, CASE WHEN publisher % 4 = 0 THEN 15 WHEN reports >= 70 THEN 30 ELSE 60 END AS poll_minutes,
         CASE WHEN families = 1 AND reports > 1 THEN reports || ' reports, one upstream' WHEN families >= 2 THEN families || ' groups' ELSE 'one source' END AS support, regexp_replace('internal:' || publisher || ' changed', '^internal:', '') AS change_text FROM p"""))
 def feed_descriptor_change_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -237,7 +237,7 @@ def normalise_reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("first", first).where("first").select("page_id", "url", X.clip(F.col("title"), 240).alias("title"), reason.alias("reject_reason"))
 
 
-@register("role_scope_tier", "B2 B4 B5 B6", V.sql("v_articles", f""", t AS (SELECT article_id, official, title, {tokens_sql('title')} AS w FROM v_articles),
+@register("role_scope_tier", "B2 B4 B6", V.sql("v_articles", f""", t AS (SELECT article_id, official, title, {tokens_sql('title')} AS w FROM v_articles),
     s AS (SELECT *, list_has_any(w, ['thnt', 'schen', 'ciónar']) AS foreign_hit, list_has_any(w, ['that', 'erth', 'und']) AS state_hit, list_filter(list_sort(list_distinct(w)), lambda x: x IN ('onth', 'eren', 'est', 'heat')) AS districts FROM t),
     g AS (SELECT *, CASE WHEN foreign_hit THEN 'excluded' WHEN state_hit THEN 'region' WHEN len(districts) = 1 THEN 'region' WHEN len(districts) > 1 THEN 'nation' ELSE 'none' END AS scope FROM s)
     SELECT article_id, scope, array_to_string(districts, ',') AS districts, CASE WHEN article_id % 9 = 0 THEN 'official-alert' WHEN official AND regexp_matches(lower(title), '(^| )(ing|edon)') THEN 'primary-document' WHEN official THEN 'government-statement'

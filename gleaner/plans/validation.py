@@ -14,7 +14,7 @@ from gleaner.sources import views as V
 from gleaner.storage import Workspace
 
 
-@register("snapshot_invariants", "R1 R2", V.sql("v_claims", f""", {_GROUP_SQL}, chk AS (SELECT 'corroborated needs two groups' AS rule, count(*) FILTER (WHERE status = 'corroborated' AND groups < 2) AS violations, count(*) AS checked FROM s
+@register("snapshot_invariants", "R1", V.sql("v_claims", f""", {_GROUP_SQL}, chk AS (SELECT 'corroborated needs two groups' AS rule, count(*) FILTER (WHERE status = 'corroborated' AND groups < 2) AS violations, count(*) AS checked FROM s
     UNION ALL SELECT 'first seen is not after last seen', count(*) FILTER (WHERE first_seen > last_seen), count(*) FROM s UNION ALL SELECT 'groups are not more than publishers', count(*) FILTER (WHERE groups > publishers), count(*) FROM s
     UNION ALL SELECT 'attributed has an attribution', count(*) FILTER (WHERE status = 'attributed' AND NOT attributed), count(*) FROM s) SELECT rule, violations, checked, violations = 0 AS passes FROM chk"""))
 def snapshot_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +88,7 @@ def miss_and_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(cause.alias("cause")).agg(F.count("*").alias("pairs"), F.count_if(F.col("family_a") == F.col("family_b")).alias("same_family"))
 
 
-@register("audit_samples_verdicts_ablation", "R8 R9 R10 R11", V.sql("v_reports", f"""{_EDITED_SQL}, q AS (SELECT band, cluster_id, row_number() OVER (PARTITION BY band ORDER BY editorial DESC, cluster_id) AS place FROM b),
+@register("audit_samples_verdicts_ablation", "R9 R10", V.sql("v_reports", f"""{_EDITED_SQL}, q AS (SELECT band, cluster_id, row_number() OVER (PARTITION BY band ORDER BY editorial DESC, cluster_id) AS place FROM b),
     picked AS (SELECT * FROM q WHERE place <= CASE band WHEN 'urgent' THEN 6 WHEN 'high' THEN 3 WHEN 'standard' THEN 3 ELSE 2 END),
     probe AS (SELECT cluster_id, count(*) AS items, bool_or(role = 'developing-unverified') AS bad, bool_and(role = 'developing-unverified') AS all_bad, count(DISTINCT publisher) AS probes FROM v_reports GROUP BY cluster_id)
     SELECT band, place, a.cluster_id, CASE WHEN all_bad THEN 'blocked' WHEN items < 2 THEN 'none' WHEN bad AND probes >= 20 THEN 'partial' WHEN bad THEN 'discovery-only' ELSE 'direct' END AS verdict FROM picked a JOIN probe v ON a.cluster_id = v.cluster_id"""))
