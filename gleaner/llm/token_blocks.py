@@ -23,12 +23,10 @@ the block smallest. Any document is found by its block, without reading others.
 
 from __future__ import annotations
 
-import json
-import re
 import struct
 import zlib
-from collections.abc import Iterator
-from typing import NamedTuple
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,19 +35,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from gleaner.llm import shingles as S
+from gleaner.llm.pieces import ByteLevel, Remembered, cut, encode_pieces
 
 BLOCK = 1024
 PERCENTILES = (75, 90, 95, 99, 100)
 CHUNK_IDS = 1 << 18
 HEADER = struct.Struct("<IHBBI")
-#: Bytes of the table of pieces that a worker remembers; beyond them it starts afresh.
-MOST_BYTES = 48 << 20
-#: Bytes of the longest piece that is remembered.
-MOST_PIECE = 64
 #: Text that is encoded together; a longer text goes alone.
 TOGETHER = 1 << 18
-#: How a byte-level alphabet writes a space.
-SPACE_LETTER = "\u0120"
 
 
 def bit_widths(values: np.ndarray) -> np.ndarray:
@@ -127,159 +120,40 @@ def unpack(payload: bytes | memoryview, offsets: np.ndarray, first: int = 0, las
     return unpack_blocks(payload, offsets[low:high])[first - low * BLOCK : last - low * BLOCK]
 
 
-_SPLIT_UNSAFE = re.compile(r" \s")
-_BYTES = np.arange(1, 257, dtype=np.uint64)
-_MIXED = S.mix64(_BYTES)
-
-
-class Table(NamedTuple):
-    """Ids of pieces by two hashes of their bytes; sorted by the first."""
-
-    first: np.ndarray
-    second: np.ndarray
-    begin: np.ndarray  # of the piece's ids in ``ids``
-    size: np.ndarray
-    ids: np.ndarray
-
-    def find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """The row of each piece, or -1."""
-        if not len(self.first):
-            return np.full(len(first), -1)
-        at = np.minimum(np.searchsorted(self.first, first), len(self.first) - 1)
-        return np.where((self.first[at] == first) & (self.second[at] == second), at, -1)
-
-    def bytes(self) -> int:
-        return sum(a.nbytes for a in self)
-
-    def plus(self, other: Table) -> Table:
-        order = np.argsort(np.concatenate([self.first, other.first]), kind="stable")
-        begin = np.concatenate([self.begin, other.begin + np.uint32(len(self.ids))])
-        joined = (np.concatenate([self.first, other.first]), np.concatenate([self.second, other.second]), begin, np.concatenate([self.size, other.size]))
-        return Table(*[a[order] for a in joined], np.concatenate([self.ids, other.ids]))
-
-
-EMPTY = Table(*[np.zeros(0, dtype=t) for t in (np.uint64, np.uint64, np.uint32, np.uint16, np.uint32)])
-
-
-def splits_at_words(tokenizer) -> bool:
-    """Whether the tokenizer's texts may be cut before the space ahead of a word.
-
-    That holds for byte-level BPE with the usual pattern, no prefix space and no
-    normaliser, and added tokens without white space that take none around them.
-    """
-    parts = json.loads(tokenizer.to_str())
-    split, model = parts.get("pre_tokenizer") or {}, parts["model"]
-    plain = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
-    bpe = model["type"] == "BPE" and not (model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("ignore_merges"))
-    tight = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) and not re.search(r"\s", t["content"]) for t in parts.get("added_tokens") or [])
-    return bool(plain and bpe and tight and not parts.get("normalizer") and not parts.get("truncation") and not parts.get("padding"))
-
-
 class Encoder:
     """Ids of texts by the tokenizers library, remembered by piece.
 
-    The tokenizer's pattern never joins what lies on two sides of the start of a
-    word with its one space before it. So texts are cut ahead of every space. The
-    pieces of many texts are hashed and looked up at once, on byte buffers; those
-    that aren't known are put together and encoded by the library, where the ids of
-    every piece begin with the one that starts with a space. A text where white
-    space follows a space is encoded whole, and so is every text of a tokenizer
-    with another pattern. Pieces are told apart by 128 bits of hash.
+    Texts are cut into pieces (:mod:`gleaner.llm.pieces`) and pieces are looked up
+    by their letters; unknown ones are encoded together. A text of a tokenizer with
+    another pattern is encoded whole. The first piece of a text has no space
+    before it, so it is remembered apart.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.splits = splits_at_words(self.tokenizer)
-        vocabulary = self.tokenizer.get_vocab()
-        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
-        self.spaced[[i for token, i in vocabulary.items() if token.startswith(SPACE_LETTER)]] = True
-        self.old = self.new = EMPTY
+        self.level = ByteLevel(path)
+        self.cuts = self.level.cuts
+        self.known = Remembered(self.ids_of)
 
     def __len__(self) -> int:
         """Pieces that are remembered."""
-        return len(self.old.first) + len(self.new.first)
-
-    def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
-
-    def ids_of(self, raw: bytes, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of pieces, one after another, and how many each has."""
-        sizes = np.zeros(len(spans), dtype=np.int64)
-        words = [k for k, (a, b) in enumerate(spans) if b - a > 1 and raw[a] == 0x20]
-        together = self.whole(b"".join([raw[slice(*spans[k])] for k in words]).decode()) if words else np.zeros(0, dtype=np.uint32)
-        starts = np.flatnonzero(self.spaced[together])
-        if len(starts) == len(words):
-            sizes[words] = np.diff(np.append(starts, len(together)))
-            rest = set(range(len(spans))).difference(words)
-        else:  # an added token with a space
-            together, rest = together[:0], range(len(spans))
-        parts, at, ends = [], 0, np.cumsum(sizes)
-        for k in sorted(rest):
-            ids = self.whole(raw[slice(*spans[k])].decode())
-            parts += [together[at : ends[k]], ids]
-            at, sizes[k] = ends[k], len(ids)
-        return np.concatenate([*parts, together[at:]]), sizes
-
-    def remember(self, fresh: Table, short: np.ndarray) -> None:
-        keep = np.flatnonzero(short)
-        fresh = fresh._replace(first=fresh.first[keep], second=fresh.second[keep], begin=fresh.begin[keep], size=fresh.size[keep])
-        if self.old.bytes() + self.new.bytes() + fresh.bytes() > MOST_BYTES:
-            self.old = self.new = EMPTY
-        if fresh.bytes() <= MOST_BYTES:
-            self.new = self.new.plus(fresh)
-        if 8 * len(self.new.first) > len(self.old.first) + 100_000:
-            self.old, self.new = self.old.plus(self.new), EMPTY
-
-    def encode_cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all rows, one after another, and where each row ends."""
-        fresh = data == 0x20
-        fresh[offsets[:-1][np.diff(offsets) > 0]] = True
-        starts = np.flatnonzero(fresh)
-        ends = np.append(starts[1:], len(data)) if len(starts) else starts
-        first, second = (S.word_hashes(data, starts, ends, values) for values in (_BYTES, _MIXED))
-        keys, at, of = np.unique(first, return_index=True, return_inverse=True)
-        checks = second[at]
-        if (checks[of] != second).any():
-            raise ValueError("two pieces share a hash")  # 1 in 2**64 for each pair
-        in_old, in_new = self.old.find(keys, checks), self.new.find(keys, checks)
-        missing = np.flatnonzero((in_old < 0) & (in_new < 0))
-        flat, sizes = self.ids_of(data.tobytes(), list(zip(starts[at[missing]].tolist(), ends[at[missing]].tolist(), strict=True)))
-        begin, size = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
-        begin[missing], size[missing] = np.cumsum(sizes) - sizes, sizes
-        base = len(flat)
-        for table, rows in ((self.old, in_old), (self.new, in_new)):
-            hit = np.flatnonzero(rows >= 0)
-            begin[hit], size[hit] = base + table.begin[rows[hit]].astype(np.int64), table.size[rows[hit]]
-            base += len(table.ids)
-        count = size[of]
-        total = np.cumsum(count)
-        index = np.arange(total[-1] if len(total) else 0) + np.repeat(begin[of] - (total - count), count)
-        ids = np.concatenate([flat, self.old.ids, self.new.ids])[index]
-        last = np.searchsorted(starts, offsets[1:])  # pieces up to each row's end
-        row_ends = np.append(0, total)[last]
-        short = (ends - starts)[at[missing]] <= MOST_PIECE
-        self.remember(Table(keys[missing], checks[missing], begin[missing].astype(np.uint32), np.minimum(sizes, 65535).astype(np.uint16), flat), short)
-        return ids, row_ends
-
-    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        return len(self.known)
+
+    def whole(self, text: str) -> bytes:
+        return self.level.encode(text).astype("<u4").tobytes() if text else b""
+
+    def ids_of(self, pieces: list[str]) -> list[bytes]:
+        return [ids.astype("<u4").tobytes() for ids in encode_pieces(pieces, self.level.encode, self.level.sizes)]
+
+    def encode_all(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text as little-endian uint32; of null and empty ones none."""
-        texts = texts.fill_null("")
-        whole = np.array([not self.splits or bool(_SPLIT_UNSAFE.search(t)) for t in texts.to_pylist()], dtype=bool)
-        out: list[bytes] = [b""] * len(texts)
-        for i in np.flatnonzero(whole).tolist():
-            out[i] = self.whole(texts[i].as_py()).astype("<u4").tobytes()
-        cut = np.flatnonzero(~whole)
-        if len(cut):
-            ids, ends = self.encode_cut(*S.flat(texts.take(pa.array(cut))))
-            raw, at = ids.astype("<u4").tobytes(), (4 * ends).tolist()
-            for i, a, b in zip(cut.tolist(), [0, *at], at, strict=False):
-                out[i] = raw[a:b]
-        return out
-
-    def encode(self, text: str) -> bytes:
-        return self.encode_all(pa.array([text], pa.string()))[0]
+        if not self.cuts:
+            return [self.whole(text or "") for text in texts]
+        parts = [cut(text or "") for text in texts]
+        found = iter(self.known.values([piece for first, *rest in parts for piece in rest]))
+        return [b"".join([self.whole(first), *islice(found, len(rest))]) for first, *rest in parts]
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_all([text])[0]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -314,7 +188,7 @@ def write_chunks(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> I
     for batch in batches:
         for first, last in S.pieces(S.flat(batch.column(1))[1], TOGETHER):
             rows = batch.slice(first, last - first)
-            for doc, ids in zip(rows.column(0).to_pylist(), known.encode_all(rows.column(1)), strict=True):
+            for doc, ids in zip(rows.column(0).to_pylist(), known.encode_all(rows.column(1).to_pylist()), strict=True):
                 docs.append(doc)
                 parts.append(ids + tail)
                 size += len(ids) // 4 + 1
