@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from gleaner.llm.licenses import TEMPLATES
 from gleaner.llm.revisits import NOT_MERGED, TRACKING
+from gleaner.llm.url_filter import _HIDDEN, _TAG, RULES
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -148,6 +149,56 @@ def exact_dedup() -> str:
     """
 
 
+def url_filter() -> str:
+    values = ", ".join(f"('{action}', '{host}', '{path}')" for action, host, path in RULES)
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    value = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+    def attribute(name: str) -> str:
+        pattern = rf"""(?is)[\s"'/]{name}{value}""".replace("'", "''")
+        return " || ".join(f"regexp_extract(tag, '{pattern}', {k})" for k in (1, 2, 3))
+
+    jump = r"""(?is)^\s*[0-9.]+\s*[;,]\s*url\s*=\s*["']?([^"']*)""".replace("'", "''")
+    hidden, tag = _HIDDEN.replace("'", "''"), _TAG.replace("'", "''")
+    canonical = rf"""
+        SELECT raw, CASE WHEN regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://')
+            THEN regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), ':(80|443)$', ''), '^www\.', '')
+                || regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '')
+                || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END ELSE url END AS node
+        FROM (SELECT raw, trim(raw) AS url, list_sort(list_filter(string_split(regexp_extract(trim(raw), '^[^?#]*\?([^#]*)', 1), '&'),
+            lambda q: q <> '' AND NOT regexp_matches(lower(q), '{TRACKING}'))) AS kept FROM urls)"""
+    return rf"""
+    WITH RECURSIVE rules(action, rule_host, rule_path) AS (VALUES {values}),
+    tags AS (SELECT url, unnest(regexp_extract_all(regexp_replace(html, '{hidden}', ' ', 'g'), '{tag}')) AS tag FROM pages),
+    named AS (
+        SELECT url, replace(trim(CASE WHEN regexp_matches(tag, '(?i)^<link') AND list_contains(regexp_split_to_array(lower({attribute("rel")}), '\s+'), 'canonical') THEN {attribute("href")}
+            WHEN regexp_matches(tag, '(?i)^<meta') AND lower({attribute("http-equiv")}) = 'refresh' THEN regexp_extract({attribute("content")}, '{jump}', 1) END), '&amp;', '&') AS t FROM tags),
+    site AS (
+        SELECT url, t, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1) AS scheme, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS site,
+            regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM named WHERE t <> '' AND t[1] <> '#'),
+    link AS (
+        SELECT url, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') OR site = '' THEN NULL
+            WHEN t[:2] = '//' THEN scheme || ':' || t WHEN t[1] = '/' THEN site || t WHEN t[1] = '?' THEN site || path || t
+            ELSE site || coalesce(nullif(regexp_replace(path, '[^/]*$', ''), ''), '/') || t END AS target FROM site),
+    urls AS (SELECT url AS raw FROM pages WHERE url IS NOT NULL UNION SELECT target FROM link WHERE target IS NOT NULL),
+    node AS ({canonical}),
+    parts AS (
+        SELECT raw, CASE WHEN contains(raw, '://') THEN {lower.format("regexp_extract(raw, '(?s)^.*?://([^/?#]*)', 1)")} ELSE '' END AS host,
+            CASE WHEN contains(raw, '://') THEN regexp_extract(raw, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM urls),
+    best AS (
+        SELECT raw, arg_max({{'rule': rule_host || rule_path, 'action': action}}, (length(rule_host || rule_path), action = 'allow', length(rule_host))) AS b
+        FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY raw),
+    edge AS (SELECT a.node AS a, b.node AS b FROM link JOIN node a ON url = a.raw JOIN node b ON target = b.raw WHERE a.node <> b.node),
+    both_ways AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
+    walk AS (SELECT a AS node, a AS root FROM both_ways UNION SELECT t.b, walk.root FROM walk JOIN both_ways t ON walk.node = t.a),
+    class AS (SELECT raw, coalesce((SELECT min(root) FROM walk WHERE walk.node = node.node), node.node) AS class FROM node),
+    bad AS (SELECT DISTINCT class FROM class JOIN best USING (raw) WHERE b.action = 'block')
+    SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, b.rule AS rule,
+        coalesce(b.action, CASE WHEN bad.class IS NOT NULL THEN 'block' END, 'allow') AS verdict, bad.class IS NOT NULL AS class_blocked
+    FROM pages LEFT JOIN parts ON pages.url = parts.raw LEFT JOIN best ON pages.url = best.raw LEFT JOIN class ON pages.url = class.raw LEFT JOIN bad ON class.class = bad.class
+    """
+
+
 def sql() -> dict[str, str]:
     return {
         "op1_license_scan": license_scan(),
@@ -156,4 +207,5 @@ def sql() -> dict[str, str]:
         "op5_warc_revisits": warc_revisits(),
         "op6_near_dedup": near_dedup(),
         "op9_exact_dedup": exact_dedup(),
+        "op12_url_filter": url_filter(),
     }

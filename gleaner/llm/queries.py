@@ -85,6 +85,13 @@ def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_file(spark, folder)
 
 
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.url_filter import RULES, filter_urls, page_links
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return filter_urls(pages, page_links(pages), RULES)
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -103,6 +110,7 @@ def queries() -> dict:
         "op8_personal_data": op8_personal_data,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_token_blocks": op10_token_blocks,
+        "op12_url_filter": op12_url_filter,
     }
 
 
