@@ -199,6 +199,30 @@ def url_filter() -> str:
     """
 
 
+def source_divergence() -> str:
+    share = "1 + (1000000000::HUGEINT * ({} + 5)) // ({} + 5 * v)"
+    return rf"""
+    WITH d AS (
+        SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+    t AS (SELECT k, lang, source, unnest(w) AS term FROM d),
+    voc AS (SELECT lang, term, count(*) AS whole FROM t GROUP BY lang, term HAVING count(DISTINCT k) >= 30),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    c AS (SELECT lang, source, term, count(*) AS c FROM t JOIN voc USING (lang, term) GROUP BY ALL),
+    f AS (SELECT lang, source, term, coalesce(c, 0) AS c, whole FROM g JOIN voc USING (lang) LEFT JOIN c USING (lang, source, term)),
+    n AS (SELECT *, sum(c) OVER (PARTITION BY lang, source) AS n, sum(c) OVER (PARTITION BY lang) AS n_lang, count(*) OVER (PARTITION BY lang, source) AS v FROM f),
+    s AS (SELECT lang, source, term, c, ({share.format("c", "n")})::BIGINT AS p, ({share.format("whole", "n_lang")})::BIGINT AS q FROM n),
+    two AS (SELECT a.lang, a.source, a.term, a.p AS p, b.source AS item, b.p AS q FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source),
+    sums AS (SELECT lang, source, item, sum(abs(p - q))::BIGINT AS value FROM two GROUP BY ALL),
+    r AS (
+        SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+        FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source
+        UNION ALL SELECT lang, source, 'term', term, p - q FROM s WHERE c > 0 AND p > q),
+    o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM r)
+    SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 50
+    """
+
+
 def sql() -> dict[str, str]:
     return {
         "op1_license_scan": license_scan(),
@@ -208,4 +232,5 @@ def sql() -> dict[str, str]:
         "op6_near_dedup": near_dedup(),
         "op9_exact_dedup": exact_dedup(),
         "op12_url_filter": url_filter(),
+        "op13_source_divergence": source_divergence(),
     }

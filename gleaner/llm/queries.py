@@ -92,6 +92,12 @@ def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, page_links(pages), RULES)
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.divergence import divergence
+
+    return divergence(documents(spark, sf_dir))
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -111,6 +117,7 @@ def queries() -> dict:
         "op9_exact_dedup": op9_exact_dedup,
         "op10_token_blocks": op10_token_blocks,
         "op12_url_filter": op12_url_filter,
+        "op13_source_divergence": op13_source_divergence,
     }
 
 
