@@ -3,69 +3,195 @@
 A text is cut ahead of every space that doesn't follow white space, so a run of
 white space stays whole. Neither a byte-level pattern nor a vocabulary whose
 space marks only begin entries joins what lies on two sides of such a cut; the
-pieces' ids, one after another, are the ids of the whole text.
+pieces' ids, one after another, are the ids of the whole text. All work is done
+on byte buffers; where hashes are equal the bytes are compared.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import secrets
 from collections.abc import Callable, Iterable
-from typing import Any
 
 import numpy as np
 
-#: Bytes that a worker's memory of pieces may take, in two halves.
-MOST_BYTES = 40 << 20
-#: Characters of the longest piece that is remembered.
+from gleaner.llm import shingles as S
+
+#: Bytes that a worker's memory of pieces may take.
+MOST_BYTES = 64 << 20
+#: Bytes of the longest piece that is remembered.
 MOST_PIECE = 64
-#: What a piece costs beyond its letters and its value: an entry and two objects.
-ENTRY_BYTES = 220
 
-cut = re.compile(r"(?<!\s) ").split
+_BYTES = np.arange(256, dtype=np.uint64)
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
+# The UTF-8 bytes of the white space beyond ASCII.
+_WIDE2 = ("\x85", "\xa0")
+_WIDE3 = ("\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000")
+_LAST = np.zeros(256, dtype=bool)
+_LAST[[c.encode()[-1] for c in (*_WIDE2, *_WIDE3)]] = True
+
+
+def ends_blank(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether the character before each place (1 or more) is white space."""
+    out = _BLANK[data[ends - 1]]
+    for at in np.flatnonzero(_LAST[data[ends - 1]] & (ends > 1)):
+        end = int(ends[at])
+        tail = data[max(0, end - 3) : end].tobytes()
+        out[at] = tail[-2:].decode(errors="replace") in _WIDE2 or tail.decode(errors="replace") in _WIDE3
+    return out
+
+
+def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where pieces begin; ``offsets`` are those of the rows."""
+    fresh = data == 0x20
+    fresh[:1] = False
+    at = np.flatnonzero(fresh)
+    fresh[at] = ~ends_blank(data, at)
+    fresh[offsets[:-1][np.diff(offsets) > 0]] = True
+    return np.flatnonzero(fresh)
 
 
-def spaced_pieces(text: str) -> list[str]:
-    """The pieces of a space and ``text``, each without the space it begins with."""
-    return cut(f" {text}")[1:]
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all spans, one span after another."""
+    stops = np.cumsum(sizes)
+    return np.arange(stops[-1] if len(stops) else 0) + np.repeat(starts - (stops - sizes), sizes)
 
 
-class Remembered:
-    """Values of pieces by their letters, in two halves of bounded bytes.
+def same_bytes(one: np.ndarray, starts: np.ndarray, sizes: np.ndarray, other: np.ndarray, starts2: np.ndarray, sizes2: np.ndarray) -> np.ndarray:
+    """Whether each span of ``one`` has the bytes of that of ``other``; spans aren't empty."""
+    out = sizes == sizes2
+    rows = np.flatnonzero(out)
+    if len(rows):
+        equal = one[spans(starts[rows], sizes[rows])] == other[spans(starts2[rows], sizes[rows])]
+        out[rows] = np.logical_and.reduceat(equal, np.cumsum(sizes[rows]) - sizes[rows])
+    return out
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and first place of every distinct piece, and which one each piece is."""
+    keys, at, of = np.unique(S.word_hashes(data, starts, ends, _BYTES, seed), return_index=True, return_inverse=True)
+    sizes = ends - starts
+    others = np.flatnonzero(at[of] != np.arange(len(of)))
+    first = at[of[others]]
+    wrong = others[~same_bytes(data, starts[others], sizes[others], data, starts[first], sizes[first])]
+    if len(wrong):  # different pieces of one hash: each by its bytes, under no hash
+        found: dict[bytes, int] = {}
+        for i in wrong.tolist():
+            of[i] = found.setdefault(data[starts[i] : ends[i]].tobytes(), len(keys) + len(found))
+        at = np.concatenate([at, [wrong[np.flatnonzero(of[wrong] == k)[0]] for k in range(len(keys), len(keys) + len(found))]])
+        keys = np.concatenate([keys, np.zeros(len(found), dtype=np.uint64)])
+    return keys, at, of
 
-    A full young half becomes the old one, and what is met again moves to the young
-    one; so pieces of late use are known, others are worked out anew. ``work`` gets
-    distinct unknown pieces and returns a value for each, ``weigh`` a value's bytes.
+
+class Memory:
+    """Values (arrays of uint32) of pieces by hash and bytes, within bounded bytes.
+
+    When it is full, the pieces that were not met since it was last full are
+    forgotten, and of the others what exceeds half of the bound.
     """
 
-    def __init__(self, work: Callable[[list[str]], list[Any]], weigh: Callable[[Any], int] = len, most_bytes: int = MOST_BYTES):
-        self.work, self.weigh, self.most = work, weigh, most_bytes // 2
-        self.young: dict[str, Any] = {}
-        self.old: dict[str, Any] = {}
-        self.weight = 0
+    def __init__(self, most_bytes: int | None = None):
+        self.most, self.seed = MOST_BYTES if most_bytes is None else most_bytes, secrets.randbits(63)
+        self.clear()
+
+    def clear(self) -> None:
+        self.key = np.zeros(0, dtype=np.uint64)
+        self.met = np.zeros(0, dtype=bool)
+        self.letter_at, self.value_at = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.uint32)
+        self.letter_n, self.value_n = np.zeros(0, dtype=np.uint16), np.zeros(0, dtype=np.uint16)
+        self.letters, self.values = np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=np.uint32)
 
     def __len__(self) -> int:
-        return len(self.young) + len(self.old)
-
-    def add(self, found: Iterable[tuple[str, Any]]) -> None:
-        for piece, value in found:
-            if len(piece) <= MOST_PIECE:
-                self.young[piece] = value
-                self.weight += len(piece) + self.weigh(value) + ENTRY_BYTES
-                if self.weight > self.most:
-                    self.young, self.old, self.weight = {}, self.young, 0
-
-    def values(self, pieces: list[str]) -> list[Any]:
-        """The value of every piece, in order."""
-        out = list(map(self.young.get, pieces))
-        if None not in out:
-            return out
-        unknown = {piece for piece, value in zip(pieces, out, strict=True) if value is None}
-        known = {piece: self.old[piece] for piece in unknown if piece in self.old}
-        fresh = sorted(unknown.difference(known))
-        known.update(zip(fresh, self.work(fresh), strict=True) if fresh else ())
-        self.add(known.items())
-        return [known[piece] if value is None else value for piece, value in zip(pieces, out, strict=True)]
+        return len(self.key)
+
+    def bytes(self) -> int:
+        return 21 * len(self.key) + len(self.letters) + 4 * len(self.values)
+
+    def find(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The row of each piece, or -1."""
+        if not len(self.key) or not len(keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
+        hit = np.flatnonzero(self.key[at] == keys)
+        rows = at[hit]
+        hit = hit[same_bytes(data, starts[hit], sizes[hit], self.letters, self.letter_at[rows].astype(np.int64), self.letter_n[rows].astype(np.int64))]
+        out = np.full(len(keys), -1)
+        out[hit] = at[hit]
+        self.met[out[hit]] = True
+        return out
+
+    def take(self, rows: np.ndarray) -> None:
+        """Keep only these rows."""
+        letters = spans(self.letter_at[rows].astype(np.int64), self.letter_n[rows].astype(np.int64))
+        values = spans(self.value_at[rows].astype(np.int64), self.value_n[rows].astype(np.int64))
+        self.letters, self.values = self.letters[letters], self.values[values]
+        self.key, self.met, self.letter_n, self.value_n = self.key[rows], self.met[rows], self.letter_n[rows], self.value_n[rows]
+        self.letter_at = (np.cumsum(self.letter_n, dtype=np.int64) - self.letter_n).astype(np.uint32)
+        self.value_at = (np.cumsum(self.value_n, dtype=np.int64) - self.value_n).astype(np.uint32)
+
+    def add(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray, begin: np.ndarray, count: np.ndarray) -> None:
+        """Remember pieces that ``find`` didn't; long ones, ones of no hash and ones
+        whose hash another piece has are left out."""
+        short = np.flatnonzero((sizes <= MOST_PIECE) & (count < 65536) & (keys != 0))
+        if len(self.key):
+            at = np.minimum(np.searchsorted(self.key, keys[short]), len(self.key) - 1)
+            short = short[self.key[at] != keys[short]]
+        letters, values = data[spans(starts[short], sizes[short])], flat[spans(begin[short], count[short])]
+        if self.bytes() + 21 * len(short) + len(letters) + 4 * len(values) > self.most:
+            self.take(np.flatnonzero(self.met))
+            self.met[:] = False
+            if 2 * self.bytes() > self.most:
+                self.take(np.flatnonzero(np.arange(len(self.key)) * self.bytes() < len(self.key) * (self.most // 2)))
+        if 2 * (21 * len(short) + len(letters) + 4 * len(values)) > self.most:
+            return
+        letter_at = len(self.letters) + np.cumsum(sizes[short]) - sizes[short]
+        value_at = len(self.values) + np.cumsum(count[short]) - count[short]
+        joined = [
+            np.concatenate([old, new.astype(old.dtype)])
+            for old, new in ((self.key, keys[short]), (self.met, np.zeros(len(short), dtype=bool)), (self.letter_at, letter_at), (self.value_at, value_at), (self.letter_n, sizes[short]), (self.value_n, count[short]))
+        ]
+        order = np.argsort(joined[0], kind="stable")
+        self.key, self.met, self.letter_at, self.value_at, self.letter_n, self.value_n = (a[order] for a in joined)
+        self.letters, self.values = np.concatenate([self.letters, letters]), np.concatenate([self.values, values])
+
+
+class TwoMemories:
+    """A large memory and a small one that new pieces go to, so that few are moved."""
+
+    def __init__(self, most_bytes: int | None = None):
+        self.old = Memory(most_bytes)
+        self.new = Memory(self.old.most // 8)
+        self.new.seed = self.seed = self.old.seed
+
+    def __len__(self) -> int:
+        return len(self.old) + len(self.new)
+
+    def bytes(self) -> int:
+        return self.old.bytes() + self.new.bytes()
+
+    def values(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, sizes: np.ndarray, work: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A flat array, and where in it each piece's values begin and how many they
+        are. ``work`` gets the numbers of unknown pieces and returns the same for them."""
+        found = [memory.find(keys, data, starts, sizes) for memory in (self.old, self.new)]
+        missing = np.flatnonzero((found[0] < 0) & (found[1] < 0))
+        flat, at, count = work(missing) if len(missing) else (np.zeros(0, dtype=np.uint32), missing, missing)
+        begin, n = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
+        begin[missing], n[missing] = at, count
+        base = len(flat)
+        for memory, rows in zip((self.old, self.new), found, strict=True):
+            hit = np.flatnonzero(rows >= 0)
+            begin[hit], n[hit] = base + memory.value_at[rows[hit]].astype(np.int64), memory.value_n[rows[hit]]
+            base += len(memory.values)
+        out = np.concatenate([flat, self.old.values, self.new.values])
+        if len(missing):
+            if self.new.bytes() > self.new.most // 2:
+                fresh = self.new
+                self.old.add(fresh.key, fresh.letters, fresh.letter_at.astype(np.int64), fresh.letter_n.astype(np.int64), fresh.values, fresh.value_at.astype(np.int64), fresh.value_n.astype(np.int64))
+                fresh.clear()
+            self.new.add(keys[missing], data, starts[missing], sizes[missing], flat, at, count)
+        return out, begin, n
 
 
 def alphabet() -> dict[str, int]:
@@ -105,30 +231,37 @@ class ByteLevel:
             self.bytes[i] = added[i] if i in added else bytes(map(letters.get, token)) if letters.keys() >= set(token) else b""
         self.sizes = np.array([len(x) for x in self.bytes], dtype=np.int64)
 
-    def encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        return [np.array(found.ids, dtype=np.uint32) for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def encode_pieces(pieces: list[str], encode: Callable[[str], np.ndarray], sizes: np.ndarray) -> list[np.ndarray]:
-    """The ids of each piece with its space, by few calls of the library.
+def encode_pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, encode: Callable[[list[str]], Iterable], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of pieces: a flat array, where each piece's begin, how many they are.
 
-    Pieces that end in white space go alone. The others are put together; each
-    piece's ids are those up to where its bytes end. Should an end lie within a
-    token (a vocabulary that doesn't cover the bytes), every piece goes alone.
+    Pieces that begin with a space and don't end in white space are put together
+    and encoded at once; each one's ids are those up to where its bytes end. Others
+    go one by one, and so do all if an end lies within a token (of a vocabulary
+    that doesn't cover the bytes). ``sizes`` are the bytes of each id.
     """
-    out: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)] * len(pieces)
-    alone = [k for k, piece in enumerate(pieces) if not piece or piece[-1].isspace()]
-    joined = sorted(set(range(len(pieces))).difference(alone))
-    if joined:
-        ids = encode("".join([" " + pieces[k] for k in joined]))
-        ends = np.cumsum(sizes[ids])
-        wanted = np.cumsum([len(pieces[k].encode()) + 1 for k in joined])
-        at = np.searchsorted(ends, wanted)
-        if len(ends) and ends[-1] == wanted[-1] and (sizes[ids] > 0).all() and (ends[at] == wanted).all():
-            for k, part in zip(joined, np.split(ids, at[:-1] + 1), strict=True):
-                out[k] = part
+    begin, count = np.zeros(len(starts), dtype=np.int64), np.zeros(len(starts), dtype=np.int64)
+    joins = (data[starts] == 0x20) & (ends - starts > 1) & ~ends_blank(data, ends)
+    joined, flat = np.flatnonzero(joins), np.zeros(0, dtype=np.uint32)
+    if len(joined):
+        lengths = (ends - starts)[joined]
+        ids = np.asarray(next(iter(encode([data[spans(starts[joined], lengths)].tobytes().decode()]))), dtype=np.uint32)
+        stops, wanted = np.cumsum(sizes[ids]), np.cumsum(lengths)
+        at = np.minimum(np.searchsorted(stops, wanted), len(stops) - 1)
+        if len(stops) and stops[-1] == wanted[-1] and (sizes[ids] > 0).all() and (stops[at] == wanted).all():
+            flat = ids
+            begin[joined] = np.append(0, at[:-1] + 1)
+            count[joined] = at + 1 - begin[joined]
         else:
-            alone = range(len(pieces))
-    for k in alone:
-        out[k] = encode(" " + pieces[k])
-    return out
+            joins[:] = False
+    alone = np.flatnonzero(~joins)
+    if len(alone):
+        found = [np.asarray(x, dtype=np.uint32) for x in encode([data[starts[k] : ends[k]].tobytes().decode() for k in alone])]
+        count[alone] = [len(x) for x in found]
+        begin[alone] = len(flat) + np.cumsum(count[alone]) - count[alone]
+        flat = np.concatenate([flat, *found])
+    return flat, begin, count

@@ -2,7 +2,7 @@
 
 Words are runs of other bytes than ASCII white space with A-Z lowered; UTF-8
 keeps every other character's bytes clear of those ranges. A word's hash is a
-polynomial of its bytes modulo 2**64, a shingle's hash mixes its words' hashes.
+sum of its bytes mixed with their places, a shingle's hash chains its words' hashes.
 Work goes in pieces of bounded bytes, so memory follows one document at most.
 """
 
@@ -14,36 +14,14 @@ import numpy as np
 import pyarrow as pa
 
 PIECE_BYTES = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_VALUE = np.arange(1, 257, dtype=np.uint64)
+_VALUE = np.arange(256, dtype=np.uint64)
 _VALUE[65:91] += np.uint64(32)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-
-
-def _inverse(odd: int) -> np.uint64:
-    return np.uint64(pow(odd, -1, 1 << 64))
-
-
-class _Powers:
-    """Powers of the base and of its inverse, grown as needed."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            ones = np.full(n, 1, dtype=np.uint64)
-            up, down = ones.copy(), ones.copy()
-            up[1:], down[1:] = _BASE, _inverse(int(_BASE))
-            self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        return self.up, self.down
-
-
-_powers = _Powers()
+_END = np.uint64(0xA0761D6478BD642F)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -92,41 +70,45 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _VALUE) -> np.ndarray:
-    """A hash of the bytes of each span, ``values`` standing for them (A-Z as a-z)."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _VALUE, seed: int = 0) -> np.ndarray:
+    """A hash of the bytes of each span, ``values`` standing for them (A-Z as a-z).
+
+    Every byte is mixed with its place in the span and the seed, and the sum is
+    mixed again: no word's letters cancel out as a polynomial's do. Who knows the
+    seed can still build collisions, so equal hashes prove nothing by themselves.
+    """
     out = np.empty(len(starts), dtype=np.uint64)
-    first = 0
+    first, salt = 0, mix64(np.array([seed], dtype=np.uint64) ^ _END)[0]
     while first < len(starts):
         last = max(first + 1, int(np.searchsorted(ends, starts[first] + PIECE_BYTES, side="right")))
-        low, high = int(starts[first]), int(ends[last - 1])
-        up, down = _powers.get(high - low + 1)
-        sums = np.zeros(high - low + 1, dtype=np.uint64)
-        np.cumsum(values[data[low:high]] * up[: high - low], out=sums[1:])
-        s, e = starts[first:last] - low, ends[first:last] - low
-        out[first:last] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)
+        s, e = starts[first:last], ends[first:last]
+        sizes = e - s
+        stops = np.cumsum(sizes)
+        place = np.arange(stops[-1]) - np.repeat(stops - sizes, sizes)
+        letters = values[data[place + np.repeat(s, sizes)]]
+        sums = np.zeros(len(letters) + 1, dtype=np.uint64)
+        np.cumsum(mix64((place.astype(np.uint64) << np.uint64(8)) + letters + salt), out=sums[1:])
+        out[first:last] = sums[stops] - sums[stops - sizes] + sizes.astype(np.uint64)
         first = last
-    return mix64(out)
-
-
-_PLACES = mix64(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
+    return mix64(out ^ salt)
 
 
-def row_shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def row_shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of every shingle of ``width`` words, in order.
 
     A row with fewer words has one shingle, its whole sequence; one without
     words has none.
     """
     starts, ends, rows = word_spans(data, offsets)
-    words = word_hashes(data, starts, ends)
+    words = word_hashes(data, starts, ends, seed=seed)
     count = np.bincount(rows, minlength=len(offsets) - 1)
     n = len(words)
     if n >= width:
         total = np.zeros(n - width + 1, dtype=np.uint64)
         for k in range(width):
-            total += words[k : n - width + 1 + k] * _PLACES[k]
+            total = mix64(total + words[k : n - width + 1 + k])
         same = rows[: n - width + 1] == rows[width - 1 :]
-        hashes, owners = mix64(total[same]), rows[: n - width + 1][same]
+        hashes, owners = total[same], rows[: n - width + 1][same]
     else:
         hashes, owners = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     short = np.flatnonzero((count > 0) & (count < width))
@@ -135,9 +117,8 @@ def row_shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple
         total = np.zeros(len(short), dtype=np.uint64)
         for k in range(width - 1):
             has = count[short] > k
-            total[has] += words[begin[has] + k] * _PLACES[k]
-        total += count[short].astype(np.uint64) * _PLACES[255]
-        hashes = np.concatenate([hashes, mix64(total)])
+            total[has] = mix64(total[has] + words[begin[has] + k])
+        hashes = np.concatenate([hashes, mix64(total ^ _END)])
         owners = np.concatenate([owners, short])
         order = np.argsort(owners, kind="stable")
         hashes, owners = hashes[order], owners[order]

@@ -25,8 +25,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
-from itertools import islice
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from gleaner.llm import shingles as S
-from gleaner.llm.pieces import ByteLevel, Remembered, cut, encode_pieces
+from gleaner.llm.pieces import ByteLevel, TwoMemories, distinct, encode_pieces, piece_starts, spans
 
 BLOCK = 1024
 PERCENTILES = (75, 90, 95, 99, 100)
@@ -123,37 +122,34 @@ def unpack(payload: bytes | memoryview, offsets: np.ndarray, first: int = 0, las
 class Encoder:
     """Ids of texts by the tokenizers library, remembered by piece.
 
-    Texts are cut into pieces (:mod:`gleaner.llm.pieces`) and pieces are looked up
-    by their letters; unknown ones are encoded together. A text of a tokenizer with
-    another pattern is encoded whole. The first piece of a text has no space
-    before it, so it is remembered apart.
+    The pieces of many texts (:mod:`gleaner.llm.pieces`) are looked up at once;
+    unknown ones are encoded together. Texts of a tokenizer with another pattern
+    are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_bytes: int | None = None):
         self.level = ByteLevel(path)
-        self.cuts = self.level.cuts
-        self.known = Remembered(self.ids_of)
+        self.known = TwoMemories(most_bytes)
 
-    def __len__(self) -> int:
-        """Pieces that are remembered."""
-        return len(self.known)
-
-    def whole(self, text: str) -> bytes:
-        return self.level.encode(text).astype("<u4").tobytes() if text else b""
-
-    def ids_of(self, pieces: list[str]) -> list[bytes]:
-        return [ids.astype("<u4").tobytes() for ids in encode_pieces(pieces, self.level.encode, self.level.sizes)]
-
-    def encode_all(self, texts: Iterable[str | None]) -> list[bytes]:
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text as little-endian uint32; of null and empty ones none."""
-        if not self.cuts:
-            return [self.whole(text or "") for text in texts]
-        parts = [cut(text or "") for text in texts]
-        found = iter(self.known.values([piece for first, *rest in parts for piece in rest]))
-        return [b"".join([self.whole(first), *islice(found, len(rest))]) for first, *rest in parts]
+        if not self.level.cuts:
+            return [ids.astype("<u4").tobytes() for ids in self.level.encode([text or "" for text in texts.to_pylist()])]
+        data, offsets = S.flat(texts)
+        starts = piece_starts(data, offsets)
+        if not len(starts):
+            return [b""] * len(texts)
+        ends = np.append(starts[1:], len(data))
+        keys, at, of = distinct(data, starts, ends, self.known.seed)
+        s, e = starts[at], ends[at]
+        flat, begin, count = self.known.values(data, keys, s, e - s, lambda k: encode_pieces(data, s[k], e[k], self.level.encode, self.level.sizes))
+        sizes = count[of]
+        raw = flat[spans(begin[of], sizes)].astype("<u4").tobytes()
+        stops = (4 * np.append(0, np.cumsum(sizes))[np.searchsorted(starts, offsets)]).tolist()
+        return [raw[a:b] for a, b in zip(stops, stops[1:], strict=False)]
 
     def encode(self, text: str | None) -> bytes:
-        return self.encode_all([text])[0]
+        return self.encode_all(pa.array([text], pa.string()))[0]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -188,7 +184,7 @@ def write_chunks(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> I
     for batch in batches:
         for first, last in S.pieces(S.flat(batch.column(1))[1], TOGETHER):
             rows = batch.slice(first, last - first)
-            for doc, ids in zip(rows.column(0).to_pylist(), known.encode_all(rows.column(1).to_pylist()), strict=True):
+            for doc, ids in zip(rows.column(0).to_pylist(), known.encode_all(rows.column(1)), strict=True):
                 docs.append(doc)
                 parts.append(ids + tail)
                 size += len(ids) // 4 + 1

@@ -6,11 +6,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer, pre_tokenizers
 
 from gleaner.llm import token_blocks as B
-from gleaner.llm.pieces import ByteLevel, Remembered, alphabet, cuts_at_words
+from gleaner.llm.pieces import ByteLevel, alphabet, cuts_at_words
 from gleaner.llm.storage import Workspace
 
 PATH = str(public_tokenizers.path("byte_bpe_50k.json"))
@@ -45,30 +46,42 @@ def test_encoder_equals_the_library():
 
 
 def test_memory_of_the_encoder_is_bounded():
-    rng, known, most, library = random.Random(5), B.Encoder(PATH), 0, Tokenizer.from_file(PATH)
-    known.known.most = 1 << 19
+    rng, known, most, library = random.Random(5), B.Encoder(PATH, 1 << 19), 0, Tokenizer.from_file(PATH)
     for _ in range(300):
         words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 14))) for _ in range(200)]
         text = " ".join([*words, "y" * 5000])
         ids = np.frombuffer(known.encode(text), dtype="<u4").tolist()
         assert ids == library.encode(text, add_special_tokens=False).ids
-        most = max(most, known.known.weight)
-    assert 1 << 18 < most <= (1 << 19) + 1000 and 1000 < len(known) < 10_000
+        most = max(most, known.known.bytes())
+    assert 1 << 18 < most <= 9 << 16 and 1000 < len(known.known) < 20_000
 
 
-def test_pieces_met_lately_stay_known():
-    asked = []
-    known = Remembered(lambda pieces: asked.append(pieces) or [p.encode() for p in pieces], most_bytes=20_000)
+def test_pieces_met_lately_stay_known(monkeypatch):
+    known, asked = B.Encoder(PATH, 1 << 14), []
+    encode = known.level.encode
+    monkeypatch.setattr(known.level, "encode", lambda texts: asked.extend(texts) or encode(texts))
     for k in range(500):
-        assert known.values(["often", f"once{k}", "often"]) == [b"often", b"once%d" % k, b"often"]
-    assert sum("often" in pieces for pieces in asked) == 1
+        known.encode(f"a often once{k} often twice{k} twice{k}")
+    assert sum("often" in text for text in asked) <= 2 and known.known.bytes() <= 1 << 15
+
+
+def test_pieces_of_one_hash_are_told_apart(monkeypatch):
+    from gleaner.llm import pieces
+
+    library, texts = Tokenizer.from_file(PATH), ["a bb cc bb dd", "dd cc  ee\xa0 ff", "bb", " ", "dd ee"]
+    for hashed in (lambda n: np.full(n, 7, dtype=np.uint64), lambda n: np.arange(n, dtype=np.uint64) % 3 + 1):
+        monkeypatch.setattr(pieces.S, "word_hashes", lambda data, starts, *_, hashed=hashed: hashed(len(starts)))
+        known = B.Encoder(PATH)
+        for _ in range(3):
+            found = [np.frombuffer(ids, dtype="<u4").tolist() for ids in known.encode_all(pa.array(texts))]
+            assert found == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_letters_of_every_byte():
     level = ByteLevel(PATH)
     assert len(alphabet()) == 256 and sorted(level.bytes[i][0] for i in range(256)) == list(range(256))
     text = "Añ 漢\x00 <|endoftext|>"
-    assert b"".join(level.bytes[i] for i in level.encode(text)) == text.encode()
+    assert b"".join(level.bytes[i] for i in level.encode([text])[0]) == text.encode()
 
 
 def test_long_words_of_equal_polynomial_hashes():
@@ -77,7 +90,7 @@ def test_long_words_of_equal_polynomial_hashes():
         a = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
         b = a.translate(str.maketrans("ab", "ba"))
         texts = [f"x {a}", f"x {b}", f"{a} {b}", f"y\n{b} {a} {a}"]
-        found = [np.frombuffer(ids, dtype="<u4").tolist() for ids in B.Encoder(PATH).encode_all(texts)]
+        found = [np.frombuffer(ids, dtype="<u4").tolist() for ids in B.Encoder(PATH).encode_all(pa.array(texts))]
         assert found == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
@@ -87,7 +100,7 @@ def test_other_tokenizers_are_not_cut(tmp_path):
     library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
     library.save(str(tmp_path / "other.json"))
     known = B.Encoder(str(tmp_path / "other.json"))
-    assert not known.cuts
+    assert not known.level.cuts
     assert np.frombuffer(known.encode("a b  c"), dtype="<u4").tolist() == library.encode("a b  c", add_special_tokens=False).ids
 
 
@@ -98,7 +111,7 @@ def test_texts_encoded_together_equal_the_library():
     for first in range(0, len(texts), 100):
         some = texts[first : first + 100]
         expected = [library.encode(t or "", add_special_tokens=False).ids for t in some]
-        assert [np.frombuffer(ids, dtype="<u4").tolist() for ids in known.encode_all(some)] == expected
+        assert [np.frombuffer(ids, dtype="<u4").tolist() for ids in known.encode_all(pa.array(some, pa.string()))] == expected
 
 
 def test_file_round_trip(spark, odd, empty):
