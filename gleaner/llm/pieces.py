@@ -63,9 +63,14 @@ def same_bytes(one: np.ndarray, starts: np.ndarray, sizes: np.ndarray, other: np
     """Whether each span of ``one`` has the bytes of that of ``other``; spans aren't empty."""
     out = sizes == sizes2
     rows = np.flatnonzero(out)
-    if len(rows):
-        equal = one[spans(starts[rows], sizes[rows])] == other[spans(starts2[rows], sizes[rows])]
-        out[rows] = np.logical_and.reduceat(equal, np.cumsum(sizes[rows]) - sizes[rows])
+    stops = np.cumsum(sizes[rows])
+    first = 0
+    while first < len(rows):  # so many bytes at once
+        last = max(first + 1, int(np.searchsorted(stops, stops[first] + S.PIECE_BYTES)))
+        some = rows[first:last]
+        equal = one[spans(starts[some], sizes[some])] == other[spans(starts2[some], sizes[some])]
+        out[some] = np.logical_and.reduceat(equal, np.cumsum(sizes[some]) - sizes[some])
+        first = last
     return out
 
 
@@ -236,16 +241,18 @@ class ByteLevel:
         return [np.array(found.ids, dtype=np.uint32) for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def encode_pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, encode: Callable[[list[str]], Iterable], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def encode_pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, encode: Callable[[list[str]], Iterable], sizes: np.ndarray, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ids of pieces: a flat array, where each piece's begin, how many they are.
 
-    Pieces that begin with a space and don't end in white space are put together
-    and encoded at once; each one's ids are those up to where its bytes end. Others
-    go one by one, and so do all if an end lies within a token (of a vocabulary
+    Pieces that begin with a space and don't end in white space (nor are marked in
+    ``apart``) are put together and encoded at once; each one's ids are those up to
+    where its bytes end. Others go one by one, and so do all if an end lies within a token (of a vocabulary
     that doesn't cover the bytes). ``sizes`` are the bytes of each id.
     """
     begin, count = np.zeros(len(starts), dtype=np.int64), np.zeros(len(starts), dtype=np.int64)
     joins = (data[starts] == 0x20) & (ends - starts > 1) & ~ends_blank(data, ends)
+    if apart is not None:
+        joins &= ~apart
     joined, flat = np.flatnonzero(joins), np.zeros(0, dtype=np.uint32)
     if len(joined):
         lengths = (ends - starts)[joined]

@@ -85,6 +85,12 @@ def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_file(spark, folder)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.alignment import align_tokens
+
+    return align_tokens(documents(spark, sf_dir), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleaner.llm.url_filter import RULES, filter_urls, page_links
 
@@ -116,6 +122,7 @@ def queries() -> dict:
         "op8_personal_data": op8_personal_data,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_token_blocks": op10_token_blocks,
+        "op11_token_alignment": op11_token_alignment,
         "op12_url_filter": op12_url_filter,
         "op13_source_divergence": op13_source_divergence,
     }
