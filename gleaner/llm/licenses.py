@@ -8,7 +8,8 @@ their bigram counts allow the wanted Dice coefficient.
 A unit that reaches it shares so many bigrams with the template that it must have
 one of any n - needed + 1 chosen ones, the template's anchors. So a text without
 an anchor has no license and is dropped before it is cut into units, and windows
-are laid where an anchor stands, as the template has it.
+are laid where an anchor stands, as the template has it. A long text's words are
+cut into chunks first, so no row holds more than a chunk's windows.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Words of a text that are searched for notices together.
+CHUNK_WORDS = 2048
+
 # The public notices by which works name their license.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -98,7 +102,7 @@ def license_scan(
     ``n_units`` the number of its lines and blocks of lines that reach
     ``least_dice`` (0 where only a window within one does). Null, empty and
     one-word texts have no bigrams and give no row; a repeated line counts each
-    time; no other column is read. Templates are a parameter of fixed size (the
+    time; very long texts are searched in chunks; no other column is read. Templates are a parameter of fixed size (the
     default 16), so their broadcast doesn't grow with the corpus.
     """
     spark, places = docs.sparkSession, anchors(templates, least_dice)
@@ -122,13 +126,17 @@ def license_scan(
     units = rows.select("id", F.explode(F.concat(lines, blocks)).alias("unit")).select("id", normal_words(F.col("unit")).alias("words")).where(F.size("words") > 1)
     units = units.select("id", F.monotonically_increasing_id().alias("unit_id"), bigrams(F.col("words")).alias("found"))
 
+    # the words in chunks of bounded size, with a template's length of words around them
     span = max(p[4] for p in places)
-    start = lambda i: F.greatest(i - span, F.lit(1))
-    near = F.transform("at", lambda i: F.struct(F.concat(F.element_at("words", i), F.lit(" "), F.element_at("words", i + 1)).alias("pair"), (i - start(i) + 1).alias("here"), F.slice("words", start(i), 2 * span).alias("words")))
-    laid = F.broadcast(spark.createDataFrame(places, "pair string, place_id int, place_license string, before int, n_words int"))
-    windows = rows.select("id", F.explode(near).alias("w")).select("id", "w.*").join(laid, "pair")
-    window = F.slice("words", F.greatest(F.col("here") - F.col("before"), F.lit(1)), F.col("n_words"))
-    windows = windows.select("id", "place_id", bigrams(window).alias("found"))
+    begins = F.sequence(F.lit(0), F.floor((F.size("words") - 1) / CHUNK_WORDS).cast("int"))
+    cut = F.transform(begins, lambda k: F.struct(k.alias("k"), F.slice("words", F.greatest(k * CHUNK_WORDS + 1 - span, F.lit(1)), CHUNK_WORDS + 2 * span).alias("words")))
+    chunks = rows.select("id", F.explode(cut).alias("c")).select("id", "c.k", "c.words")
+    skipped = F.least(F.col("k") * CHUNK_WORDS, F.lit(span))  # words of a chunk that lie before its own ones
+    own = F.filter(F.sequence(skipped + 1, F.least(skipped + CHUNK_WORDS, F.size("words"))), lambda i: (i < F.size("words")) & anchored(i))
+    laid = F.create_map(*[x for pair in pairs for x in (F.lit(pair), F.array(*[F.struct(F.lit(p[1]).alias("place_id"), F.lit(p[3]).alias("before"), F.lit(p[4]).alias("n")) for p in places if p[0] == pair]))])
+    windows = F.flatten(F.transform(own, lambda i: F.transform(F.element_at(laid, F.concat(F.element_at("words", i), F.lit(" "), F.element_at("words", i + 1))), lambda p: F.struct(p["place_id"].alias("place_id"), F.greatest(i - p["before"], F.lit(1)).alias("a"), p["n"].alias("n")))))
+    cut = F.transform(F.array_distinct(windows), lambda w: F.struct(w["place_id"].alias("place_id"), F.slice("words", w["a"], w["n"]).alias("words")))
+    windows = chunks.select("id", F.explode(cut).alias("w")).select("id", "w.place_id", bigrams(F.col("w.words")).alias("found"))
 
     dice = 2.0 * F.size(F.array_intersect("found", "grams")) / (F.size("found") + F.size("grams"))
     whole = units.join(table, F.size("found") == F.col("n")).select("id", "license", "unit_id", dice.alias("dice"))

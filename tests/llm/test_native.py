@@ -152,3 +152,19 @@ def test_revisits_against_brute_force(spark):
         if kind == "revisit":
             before = [(t, j) for j, u, t, k, *_ in data if k == "response" and u == url and (t, j) < (ts, i)]
             assert found[i] == (max(before)[1] if before else None)
+
+
+def test_licenses_in_very_long_texts(make):
+    text = "Licensed under CC BY 4.0. " * 200_000
+    middle = "word " * 5000 + "Released under the MIT License. " + "word " * 5000
+    found = {(r["doc_id"], r["license"]): (r["dice"], r["n_units"]) for r in rows(license_scan(make([text, middle, text.replace(". ", ".\n")])))}
+    assert found == {(0, "CC-BY-4.0"): (1.0, 1), (1, "MIT"): (1.0, 0), (2, "CC-BY-4.0"): (1.0, 200_001)}  # whole lines and blocks are units too
+
+
+def test_notices_across_chunks_of_words(make, monkeypatch):
+    from gleaner.llm import licenses
+
+    texts = ["a b c " * k + "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. " + "d e f " * k for k in range(40)]
+    expected = {tuple(r.values()) for r in rows(license_scan(make(texts)))}
+    monkeypatch.setattr(licenses, "CHUNK_WORDS", max(len(t.split()) for _, t in TEMPLATES) + 40)
+    assert {tuple(r.values()) for r in rows(license_scan(make(texts)))} == expected and len(expected) >= 40
