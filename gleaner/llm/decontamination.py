@@ -12,6 +12,7 @@ the item's shingles in the whole document.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -38,15 +39,16 @@ class Items(NamedTuple):
     sets: list
     #: class -> per hash function: bit table of low bits, sorted minima, their items
     tables: dict
+    seed: int
 
 
 def permuted(short: np.ndarray, j: int) -> np.ndarray:
     return (short ^ _XOR[j]) * _ODD[j]
 
 
-def index_items(ids: list, texts: list, width: int) -> Items:
+def index_items(ids: list, texts: list, width: int, seed: int = 0) -> Items:
     data, offsets = S.flat(pa.array(texts, pa.string()))
-    hashes, owners = S.row_shingles(data, offsets, width)
+    hashes, owners = S.row_shingles(data, offsets, width, seed)
     flat, ends = S.distinct_sets(hashes, owners, len(texts))
     sets = [flat[ends[i] : ends[i + 1]] for i in range(len(texts))]
     tables = {}
@@ -61,7 +63,7 @@ def index_items(ids: list, texts: list, width: int) -> Items:
             bits = np.zeros(65536, dtype=bool)
             bits[low & 0xFFFF] = True
             tables[c].append((bits, low[order], chosen[order]))
-    return Items(ids, texts, sets, tables)
+    return Items(ids, texts, sets, tables, seed)
 
 
 def candidates(hashes: np.ndarray, owners: np.ndarray, items: Items) -> set[tuple[int, int]]:
@@ -92,12 +94,12 @@ def candidates(hashes: np.ndarray, owners: np.ndarray, items: Items) -> set[tupl
     return found
 
 
-def search(batches: Iterator[pa.RecordBatch], items: Items, width: int, least: float, item_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+def search(batches: Iterator[pa.RecordBatch], items: Items, width: int, least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = S.flat(batch.column(1))
         for first, last in S.pieces(offsets):
             low, high = offsets[first], offsets[last]
-            hashes, owners = S.row_shingles(data[low:high], offsets[first : last + 1] - low, width)
+            hashes, owners = S.row_shingles(data[low:high], offsets[first : last + 1] - low, width, items.seed)
             rows, out = {}, []
             for row, i in sorted(candidates(hashes, owners, items)):
                 if row not in rows:
@@ -114,8 +116,8 @@ def search(batches: Iterator[pa.RecordBatch], items: Items, width: int, least: f
             if out:
                 at, ids, n, shared = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(at, pa.int64())), pa.array(ids, item_type), pa.array(n, pa.int64()), pa.array(shared, pa.int64())],
-                    names=["doc", "item", "n_item_shingles", "n_shared"],
+                    [batch.column(0).take(pa.array(at, pa.int64())), pa.array(ids, pa.string()), pa.array(n, pa.int64()), pa.array(shared, pa.int64())],
+                    names=["doc", "body_key", "n_item_shingles", "n_shared"],
                 )
 
 
@@ -133,31 +135,32 @@ def benchmark_matches(
     """A row for each document and item it contains: ids, n_item_shingles,
     n_shared, containment (shared / n_item_shingles >= ``least``).
 
-    Items go to the tasks in blocks of about ``BLOCK_CHARS`` of text, each with
-    its own scan of ``docs``, so what is broadcast is bounded whatever the number
-    of items. An item without words matches nothing; one of fewer words than
+    Distinct item texts go to the tasks in blocks of about ``BLOCK_CHARS``, each
+    with its own scan of ``docs``, so what is broadcast is bounded whatever the
+    number of items and repetitions. An item without words matches nothing; one of fewer words than
     ``width`` matches only a document of just these words. Null and empty texts
-    have no rows; repeated items and documents have a row each.
+    have no rows; repeated items and documents have a row each; other columns are
+    ignored.
     """
-    from pyspark.sql.pandas.types import to_arrow_type
-
     spark = docs.sparkSession
     items = items.select(F.col(item_id_col).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("body"))
+    items = items.withColumn("body_key", F.sha2("body", 256))
+    bodies = items.dropDuplicates(["body_key"])
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    doc_type, item_type = dict(rows.dtypes)["doc"], dict(items.dtypes)["item"]
-    arrow_type = to_arrow_type(items.schema["item"].dataType)
-    chars = items.agg(F.sum(F.length("body"))).first()[0] or 0
+    doc_type, seed = dict(rows.dtypes)["doc"], secrets.randbits(63)
+    chars = bodies.agg(F.sum(F.length("body"))).first()[0] or 0
     blocks = max(1, -(-chars // BLOCK_CHARS))
     found = None
     for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == k).collect()
-        index = spark.sparkContext.broadcast(index_items([r["item"] for r in block], [r["body"] for r in block], width))
+        block = bodies.where(F.pmod(F.xxhash64("body_key"), F.lit(blocks)) == k).select("body_key", "body").collect()
+        index = spark.sparkContext.broadcast(index_items([r["body_key"] for r in block], [r["body"] for r in block], width, seed))
 
         def task(batches, index=index):
-            return search(batches, index.value, width, least, arrow_type)
+            return search(batches, index.value, width, least)
 
-        part = rows.mapInArrow(task, f"doc {doc_type}, item {item_type}, n_item_shingles long, n_shared long")
+        part = rows.mapInArrow(task, f"doc {doc_type}, body_key string, n_item_shingles long, n_shared long")
         found = part if found is None else found.unionByName(part)
+    found = found.join(items.select("body_key", "item"), "body_key")
     return found.select(
         F.col("doc").alias(id_col),
         F.col("item").alias(item_id_col),

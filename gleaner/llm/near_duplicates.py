@@ -1,22 +1,26 @@
 """MinHash near-duplicate groups with sequential Bayesian verification.
 
-1. Every text becomes the set of its word shingles, a digest of that set and a
-   MinHash signature. Equal sets are one class and go on as one representative.
+1. Every text becomes the set of its word shingles, a digest of its words and a
+   MinHash signature. Equal texts, by words, are one class and go on as one
+   representative.
 2. Representatives that agree in a band of the signature share a bucket.
 3. A pair's signatures are compared batch by batch; it is dropped as soon as the
    posterior probability that its similarity reaches the threshold falls under
-   the chosen miss probability. Survivors are verified on their full sets, links
-   merge components, and pairs within one component need no further look.
+   the chosen miss probability. Survivors are verified on the shingles of their
+   whole texts, links merge components, and pairs within one component need no
+   further look. Hashes only choose what is verified, and their seed is drawn anew.
 4. First each bucket's most central member (its hub) is compared with the others:
    a group of many copies costs its size, not its square. Buckets whose members
    are in one component are done.
 5. In the others every pair of two components is decided, within tasks on two
    blocks of a bucket each, and only in the first band on which the pair agrees.
-   Signatures go first; full sets follow for members that have a live pair.
+   Signatures go first; texts follow for members that have a live pair.
 """
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 from collections.abc import Iterator
 from functools import partial
 from math import comb
@@ -37,9 +41,6 @@ BLOCK = 1024
 #: A broadcast of so many ids stays under 8 MB; more are joined by shuffle.
 MOST_BROADCAST_IDS = 200_000
 
-_OTHER = np.uint64(0xD6E8FEB86659FD93)
-
-
 def bands_for(least: float, miss: float) -> int:
     """Bands of ROWS that miss a pair of similarity ``least`` with probability
     under ``miss``, in whole batches of hashes: 20 at 0.85 and 28 at 0.8 for 1e-6."""
@@ -63,39 +64,27 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray, bands: int) -> np.ndarra
     return out
 
 
-def sketch(batches: Iterator[pa.RecordBatch], width: int, bands: int) -> Iterator[pa.RecordBatch]:
-    """id, n, two digests of the shingle set, signature."""
+def sketch(batches: Iterator[pa.RecordBatch], width: int, bands: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """id, n, digest of the sequence of words, signature of the shingle set."""
     for batch in batches:
         data, offsets = S.flat(batch.column(1))
         for first, last in S.pieces(offsets):
             low, high = offsets[first], offsets[last]
-            hashes, owners = S.row_shingles(data[low:high], offsets[first : last + 1] - low, width)
+            hashes, owners = S.row_shingles(data[low:high], offsets[first : last + 1] - low, width, seed)
             sets, ends = S.distinct_sets(hashes, owners, last - first)
-            sums = np.concatenate([[np.uint64(0)], np.cumsum(S.mix64(sets))])
-            others = np.concatenate([[np.uint64(0)], np.cumsum(S.mix64(sets ^ _OTHER))])
             signed = signatures(sets, ends, bands)
+            texts = batch.column(1).slice(first, last - first).to_pylist()
+            digests = [hashlib.blake2b(b" ".join(S.word_list(text)), digest_size=20).digest() for text in texts]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(first, last - first),
-                    pa.array(np.diff(ends), pa.int64()),
-                    pa.array((sums[ends[1:]] - sums[ends[:-1]]).view(np.int64)),
-                    pa.array((others[ends[1:]] - others[ends[:-1]]).view(np.int64)),
-                    pa.array([row.tobytes() for row in signed], pa.binary()),
-                ],
-                names=["id", "n", "digest", "digest2", "signature"],
+                [batch.column(0).slice(first, last - first), pa.array(np.diff(ends), pa.int64()), pa.array(digests, pa.binary()), pa.array([row.tobytes() for row in signed], pa.binary())],
+                names=["id", "n", "digest", "signature"],
             )
 
 
-def full_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """id and the sorted distinct shingles as bytes."""
-    for batch in batches:
-        data, offsets = S.flat(batch.column(1))
-        for first, last in S.pieces(offsets):
-            low, high = offsets[first], offsets[last]
-            hashes, owners = S.row_shingles(data[low:high], offsets[first : last + 1] - low, width)
-            sets, ends = S.distinct_sets(hashes, owners, last - first)
-            packed = [sets[ends[i] : ends[i + 1]].tobytes() for i in range(last - first)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(packed, pa.binary())], names=["id", "members"])
+def similar(left: set[bytes], right: set[bytes], percent: int) -> bool:
+    """Whether 100 * shared >= percent * union."""
+    shared = len(left & right)
+    return 100 * shared >= percent * (len(left) + len(right) - shared)
 
 
 def least_matches(least: float, miss: float) -> list[tuple[int, int]]:
@@ -129,14 +118,16 @@ def prune(batches: Iterator[pa.RecordBatch], needed: list[tuple[int, int]]) -> I
         yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept)], names=["a", "b"])
 
 
-def verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Keep the pairs whose sets have 100 * shared >= percent * union."""
+def verify(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Keep the pairs whose texts' shingles have 100 * shared >= percent * union."""
+    last: list = [(None, set()), (None, set())]  # a hub's text comes again and again
     for batch in batches:
         keep = []
-        for left, right in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = (np.frombuffer(side.as_buffer(), dtype=np.uint64) for side in (left, right))
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
+        for texts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for k, text in enumerate(texts):
+                if last[k][0] != text:
+                    last[k] = text, S.shingle_set(text, width)
+            keep.append(similar(last[0][1], last[1][1], percent))
         keep = pa.array(keep, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
@@ -182,11 +173,18 @@ def live_members(table: pa.Table, needed: list[tuple[int, int]]) -> pa.Table:
     return table.select(["key", "id"]).take(live)
 
 
-def decide_blocks(table: pa.Table, needed: list[tuple[int, int]], percent: int) -> pa.Table:
-    """Links that join components of the members of two blocks."""
+def decide_blocks(table: pa.Table, needed: list[tuple[int, int]], width: int, percent: int, seed: int) -> pa.Table:
+    """Links that join components of the members of two blocks; sets of hashes rule
+    out what is far from alike, and shingles decide."""
     first, second, signed, differ, band = two_blocks(table)
     rows, columns, _ = live_pairs(signed[first], signed[second], differ, band, needed)
-    sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table["members"]]
+    texts = table["text"].combine_chunks() if isinstance(table["text"], pa.ChunkedArray) else table["text"]
+    sets = []
+    data, offsets = S.flat(texts)
+    for low, high in S.pieces(offsets):
+        found, owners = S.row_shingles(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], width, seed)
+        flat, ends = S.distinct_sets(found, owners, high - low)
+        sets += [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
     of = np.unique(table["comp"].to_numpy(zero_copy_only=False), return_inverse=True)[1].tolist()
     parent = list(range(max(of) + 1))
 
@@ -200,7 +198,9 @@ def decide_blocks(table: pa.Table, needed: list[tuple[int, int]], percent: int)
         p, q = root(of[x]), root(of[y])
         if p != q:
             shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-            if 100 * shared >= percent * (len(sets[x]) + len(sets[y]) - shared):
+            if 100 * shared < percent * (len(sets[x]) + len(sets[y]) - shared) - 100:
+                continue
+            if similar(S.shingle_set(texts[x].as_py(), width), S.shingle_set(texts[y].as_py(), width), percent):
                 parent[max(p, q)] = min(p, q)
                 a.append(x)
                 b.append(y)
@@ -217,7 +217,7 @@ def in_blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
     return others.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "m")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, miss: float = MISS) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, miss: float = MISS, seed: int | None = None) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept.
 
     Documents are linked where 100 * shared >= ``percent`` * union of their sets
@@ -225,19 +225,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     of fewer words than ``width`` has one shingle, its whole sequence; a null
     text or one without words has none and is linked with nothing. There are so
     many bands that a pair at the threshold is missed with probability under
-    ``miss``. Other columns are ignored; an empty table gives an empty result.
+    ``miss``; links are verified on shingles, whatever the hashes. ``seed`` is that
+    of the hashes, drawn anew by default so that no text can be written against it.
+    Other columns are ignored; an empty table gives an empty result.
     """
     space = Workspace(docs.sparkSession, "near")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = dict(rows.dtypes)["id"]
     needed, bands = least_matches(percent / 100, miss), bands_for(percent / 100, miss)
-    sketched = rows.mapInArrow(partial(sketch, width=width, bands=bands), f"id {id_type}, n long, digest long, digest2 long, signature binary")
+    seed = secrets.randbits(63) if seed is None else seed
+    sketched = rows.mapInArrow(partial(sketch, width=width, bands=bands, seed=seed), f"id {id_type}, n long, digest binary, signature binary")
     sketched = space.keep(sketched, "sketch")
-    same = ["digest", "digest2", "n"]
-    classes = space.keep(sketched.where("n > 0").groupBy(*same).agg(F.min("id").alias("rep")), "classes")
-    members = sketched.select("id", *same).join(classes, same, "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
+    classes = space.keep(sketched.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep")), "classes")
+    members = sketched.select("id", "n", "digest").join(classes, "digest", "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     members = space.keep(members, "members")
-    reps = sketched.where("n > 0").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "signature")
+    reps = sketched.where("n > 0").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "signature").dropDuplicates(["id"])
     reps = space.keep(reps, "reps")
     space.drop("sketch", "classes")
 
@@ -259,12 +261,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     signed = join_checked(left, pairs, "a", "inner", MOST_BROADCAST_IDS).join(right, "b").select("a", "b", "left", "right")
     likely = space.keep(signed.mapInArrow(partial(prune, needed=needed), f"a {id_type}, b {id_type}"), "likely")
     asked = space.keep(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct(), "asked")
-    sets = space.keep(sets_of(rows, asked, id_type, width), "sets")
-    left, right = sets.select(F.col("id").alias("a"), F.col("members").alias("left")), sets.select(F.col("id").alias("b"), F.col("members").alias("right"))
+    texts = space.keep(join_checked(rows, asked, "id", "left_semi", MOST_BROADCAST_IDS).dropDuplicates(["id"]), "texts")
+    left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("left")), texts.select(F.col("id").alias("b"), F.col("text").alias("right"))
     both = join_checked(left, likely, "a", "inner", MOST_BROADCAST_IDS).join(right, "b").select("a", "b", "left", "right")
-    links = space.keep(both.mapInArrow(partial(verify, percent=percent), f"a {id_type}, b {id_type}"), "links")
+    links = space.keep(both.mapInArrow(partial(verify, width=width, percent=percent), f"a {id_type}, b {id_type}"), "links")
     labels = space.keep(connected_components(links), "labels")
-    space.drop("sets")
+    space.drop("texts", "likely", "asked", "pairs", "hubs", "degrees")
 
     # buckets that still hold several components
     named = labels.select(F.col("node").alias("id"), "component")
@@ -277,20 +279,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         wanted = blocked.groupBy("key", "i", "j").applyInArrow(lambda t: live_members(t, needed), f"key long, id {id_type}")
         live = space.keep(wanted.distinct(), "live")
         asked = space.keep(live.select("id").distinct(), "asked2")
-        sets = space.keep(sets_of(rows, asked, id_type, width).join(reps, "id"), "sets2")
+        texts = join_checked(rows, asked, "id", "left_semi", MOST_BROADCAST_IDS).dropDuplicates(["id"])
+        texts = space.keep(texts.join(reps, "id"), "texts2")
         counts = space.keep(live.groupBy("key").agg(F.count("*").alias("m")), "counts")
         alive = join_checked(here, live, ["key", "id"], "left_semi", MOST_BROADCAST_IDS)
-        blocked = in_blocks(alive, counts).join(sets, "id")
-        more = blocked.groupBy("key", "i", "j").applyInArrow(lambda t: decide_blocks(t, needed, percent), f"a {id_type}, b {id_type}")
+        blocked = in_blocks(alive, counts).join(texts, "id")
+        more = blocked.groupBy("key", "i", "j").applyInArrow(lambda t: decide_blocks(t, needed, width, percent, seed), f"a {id_type}, b {id_type}")
         links = links.unionByName(space.keep(more, "links2"))
         labels = space.keep(connected_components(links), "labels2")
-        space.drop("sets2", "here", "live")
+        space.drop("texts2", "live", "asked2", "counts")
+    space.drop("reps", "buckets", "entries", "here", "still", "links")
     roots = labels.select(F.col("node").alias("rep"), "component")
     found = join_checked(members, roots, "rep", "left", MOST_BROADCAST_IDS).withColumn("component_id", F.coalesce("component", "rep"))
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
-
-
-def sets_of(rows: DataFrame, ids: DataFrame, id_type: str, width: int) -> DataFrame:
-    """id and full shingle set of the documents whose id is in ``ids``."""
-    chosen = join_checked(rows, ids, "id", "left_semi", MOST_BROADCAST_IDS)
-    return chosen.mapInArrow(partial(full_sets, width=width), f"id {id_type}, members binary")

@@ -19,8 +19,6 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _VALUE = np.arange(256, dtype=np.uint64)
 _VALUE[65:91] += np.uint64(32)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _END = np.uint64(0xA0761D6478BD642F)
 
 
@@ -137,12 +135,12 @@ def distinct_sets(hashes: np.ndarray, owners: np.ndarray, n_rows: int) -> tuple[
     return hashes, np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=n_rows))])
 
 
+_PLAIN = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
 def word_list(text: str | None) -> list[bytes]:
     """The words of one text as bytes, for checks on few texts."""
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    lowered = _LOWER[np.frombuffer(raw, dtype=np.uint8)].tobytes()
-    spaced = lowered.translate(bytes.maketrans(b"\t\n\v\f\r", b"     "))
-    return [word for word in spaced.split(b" ") if word]
+    return (text or "").encode("utf-8", "surrogatepass").translate(_PLAIN).split()
 
 
 def shingle_set(text: str | None, width: int = 5) -> set[bytes]:

@@ -160,3 +160,50 @@ def test_items_in_blocks_and_odd_rows(spark, make, odd, empty, monkeypatch):
     assert found == [(5, 1)] * 4 + [(6, 1)] * 2 + [(7, 2), (8, 2)]
     assert benchmark_matches(empty, table).count() == 0
     assert benchmark_matches(odd, table.limit(0)).count() == 0
+
+
+def opposed(n):
+    """Two words of n letters whose polynomial hashes with an odd base agree from 1,024 on."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_equal_polynomial_hashes_stay_apart(make, spark):
+    for n in (1024, 2048, 4096):
+        one, two = opposed(n)
+        assert len(set(S.word_hashes(*(lambda d: (d, np.array([0, n]), np.array([n, 2 * n])))(np.frombuffer((one + two).encode(), dtype=np.uint8))).tolist())) == 2
+        texts = [one, two, f"{one} b c d e f", f"{two} b c d e g", f"x {one} y {two} z w", f"x {two} y {one} z w"]
+        found = {r.doc_id: r.component_id for r in N.near_duplicates(make(texts)).collect()}
+        assert found == {i: i for i in range(len(texts))}
+        items = spark.createDataFrame([(0, f"{one} b c d e"), (1, two), (2, two)], "item_id long, text string")
+        assert {(r.doc_id, r.item_id) for r in benchmark_matches(make(texts), items).collect()} == {(2, 0), (1, 1), (1, 2)}
+
+
+def test_links_hold_for_shingles_not_hashes(make, monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefghijklmnop") for _ in range(30)) for _ in range(40)]
+    texts += [t + " x" for t in texts[:10]]
+    monkeypatch.setattr(N, "BLOCK", 8)
+    whole = S.word_hashes
+
+    def few(*args, **more):  # any two words may share their hash
+        return whole(*args, **more) & np.uint64(3)
+
+    import gleaner.llm.shingles
+
+    pairs = [(i, 40 + i) for i in range(10)]
+    left, right = [texts[a] for a, _ in pairs] + [texts[0]], [texts[b] for _, b in pairs] + [texts[1]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(11)), pa.array(range(11)), pa.array(left), pa.array(right)], names=list("abcd"))
+    assert next(N.verify(iter([batch]), 5, 85))["a"].to_pylist() == list(range(10))
+    monkeypatch.setattr(gleaner.llm.shingles, "word_hashes", few)
+    n = len(texts)
+    signed = N.signatures(*S.distinct_sets(*S.row_shingles(*S.flat(pa.array(texts))), n), 20)
+    table = pa.table({"i": [0] * n, "j": [0] * n, "block": [0] * n, "comp": list(range(n)), "id": list(range(n)), "band": [0] * n, "signature": [x.tobytes() for x in signed], "text": texts})
+    links = N.decide_blocks(table, [(16, 0)], 5, 85, 0)
+    assert set(zip(links["a"].to_pylist(), links["b"].to_pylist(), strict=True)) == set(pairs)
+
+
+def test_rows_of_one_id_make_no_pairs(spark):
+    rows = [(i, f"w{i} a b c d e f g h i j k l m n o p q r s t u v w x y z aa bb cc dd ee ff gg") for i in range(2) for _ in range(300)]
+    found = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert found.groupBy("doc_id", "component_id").count().collect().__len__() == 2 and found.count() == 600
