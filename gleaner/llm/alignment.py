@@ -33,7 +33,9 @@ from gleaner.llm.pieces import ByteLevel, TwoMemories, distinct, encode_pieces,
 from gleaner.llm.storage import Workspace, join_checked
 
 #: Bytes of the texts of a chunk; a longer text is a chunk of its own.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 3 << 20
+#: Bytes of words that a worker remembers.
+MOST_BYTES = 32 << 20
 #: Parts that a pair's rows are dealt to before they are summed.
 SALTS = 16
 #: Rows of a table that is broadcast at most.
@@ -95,7 +97,7 @@ class Pair:
         self.a, self.b = ByteLevel(path_a, special=False), PieceModel(path_b)
         if not (self.a.cuts and self.b.cuts):
             raise ValueError("texts of these tokenizers can't be cut at words")
-        self.known = TwoMemories()
+        self.known = TwoMemories(MOST_BYTES)
         self.names = [[f"{i}{mark}".encode() for i in range(max(len(self.a.sizes), len(self.b.sizes)))] for mark in ",|;"]
         self.letters = [np.frombuffer(b"".join(side.bytes), dtype=np.uint8) for side in (self.a, self.b)]
         self.letter_at = [np.cumsum(side.sizes) - side.sizes for side in (self.a, self.b)]
@@ -197,10 +199,9 @@ def chunk_row(docs: list, texts: list[pa.Array], number: int, pair: Pair) -> pa.
     np.add.at(counts, word_links, met[word_a[found.link_a]])
 
     bounds = np.append(0, word_ends)
-    numbers = words.tolist()
     shas = []
     for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
-        shas.append(hashlib.sha256(b"".join([names[k] for k in numbers[a:b]])[:-1]).hexdigest() if b > a else "")
+        shas.append(hashlib.sha256(b"".join([names[k] for k in words[a:b].tolist()])[:-1]).hexdigest() if b > a else "")
     sums = [np.append(0, np.cumsum(n[words]))[bounds] for n in (n_a, n_b, n_groups, n_links)]
     used = counts > 0
     row = [
