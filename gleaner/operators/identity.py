@@ -1,51 +1,60 @@
 """Event identity of article pairs: relations, signals and the decision gate.
 
-Signatures have sorted distinct arrays (places, regions, entities, concepts,
-actions, tokens), quantity, incident, reaction, language, published_at. Pairs
+Signatures have places (the struct of :func:`gleaner.operators.gazetteer.places_of`,
+null for none), sorted distinct arrays (entities, concepts, actions, tokens),
+quantity, incident, hazard, reaction, developing, language, published_at. Pairs
 carry two of them as structs ``a`` and ``b``.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.operators.gazetteer import concept_overlap, place_relation
 from gleaner.operators.pairs import jaccard, overlap_fraction
 from gleaner.sources.views import hours
 
-# Action pairs that contradict each other, and families of compatible ones.
-CONFLICTS = (("ing", "ble"), ("edon", "erre"))
-FAMILIES = {"ing": 1, "edon": 1, "ble": 2, "erre": 2, "tion": 3}
-PLACE_SCORE = {"same": 1.0, "same-region-only": 0.4, "nested": 0.6, "sibling": 0.1, "different": 0.0, "unknown": 0.3}
-ACTION_SCORE = {"same": 1.0, "compatible": 0.6, "unknown": 0.3, "unrelated": 0.15, "conflicting": 0.0}
 
+class Vocabulary(NamedTuple):
+    """What relates actions and concepts to one another; the defaults are fixed values."""
 
-def place_relation(a: Column, b: Column) -> Column:
-    pa, pb, ra, rb = F.size(a["places"]) > 0, F.size(b["places"]) > 0, F.size(a["regions"]) > 0, F.size(b["regions"]) > 0
-    region = F.arrays_overlap(a["regions"], b["regions"])
-    return (
-        F.when(pa & pb & F.arrays_overlap(a["places"], b["places"]), "same")
-        .when(ra & rb & ~region, "different")
-        .when(pa & pb & region, "sibling")
-        .when((pa | pb) & region, "nested")
-        .when(region, "same-region-only")
-        .otherwise("unknown")
-    )
+    #: Actions that are not one another; a side that has both names no conflict.
+    conflicts: tuple[tuple[str, str], ...] = (
+        ("approve", "propose"), ("approve", "discuss"), ("announce", "discuss"), ("close", "reopen"), ("impose-order", "lift-order"), ("suspend", "resume"), ("welcome", "protest"),
+    )
+    #: Actions that go together.
+    families: tuple[tuple[str, ...], ...] = (("die", "injure", "damage", "rescue"), ("warn", "impose-order", "evacuate", "close"))
+    equivalent: tuple[tuple[str, str], ...] = (
+        ("holiday", "closure"), ("warning", "alert"), ("heavy-rain", "rain"), ("release", "water"), ("flood", "rain"), ("evacuation", "rescue"), ("power-cut", "power"), ("sea", "coast"),
+    )
+    generic: tuple[str, ...] = (
+        "government", "administration", "district", "weather", "centre", "police", "minister", "chief-minister", "water", "road", "order", "announcement",
+    )
+
+
+# Fixed values.
+DEVELOPING = r"(?i)\b(toll|rises|climbs|mounts|updated|revised|latest|so far|now at|death toll|as many as)\b"
+ACTION_SCORE = {"same": 1.0, "compatible": 0.6, "unknown": 0.3, "unrelated": 0.15, "conflicting": 0.0}
 
 
-def action_relation(a: Column, b: Column) -> Column:
+def action_relation(a: Column, b: Column, vocabulary: Vocabulary) -> Column:
     x, y = a["actions"], b["actions"]
     has = lambda side, value: F.array_contains(side, F.lit(value))
     conflict = F.lit(False)
-    for p, q in CONFLICTS:
-        conflict = conflict | (has(x, p) & has(y, q)) | (has(x, q) & has(y, p))
-    family = F.create_map(*[F.lit(v) for pair in FAMILIES.items() for v in pair])
-    families = lambda side: F.transform(side, lambda v: family[v])
+    for p, q in vocabulary.conflicts:
+        conflict = conflict | (has(x, p) & has(y, q) & ~has(y, p)) | (has(x, q) & has(y, p) & ~has(x, p))
+    together = F.lit(False)
+    for family in vocabulary.families:
+        members = F.array(*[F.lit(v) for v in family])
+        together = together | (F.arrays_overlap(x, members) & F.arrays_overlap(y, members))
     return (
         F.when((F.size(x) == 0) | (F.size(y) == 0), "unknown")
         .when(conflict, "conflicting")
         .when(F.arrays_overlap(x, y), "same")
-        .when(F.arrays_overlap(families(x), families(y)), "compatible")
+        .when(together, "compatible")
         .otherwise("unrelated")
     )
 
@@ -54,18 +63,20 @@ def scored(table: dict[str, float], value: Column) -> Column:
     return F.create_map(*[F.lit(v) for pair in table.items() for v in pair])[value]
 
 
-def pair_signals(pairs: DataFrame) -> DataFrame:
+def pair_signals(pairs: DataFrame, vocabulary: Vocabulary = Vocabulary()) -> DataFrame:
     """Adds the signals of each pair; empty sets score 0."""
     a, b = F.col("a"), F.col("b")
     days = F.abs(hours(a["published_at"], b["published_at"])) / 24
     top = F.greatest(F.abs(a["quantity"]), F.abs(b["quantity"]))
     apart = F.abs(a["quantity"] - b["quantity"]) / F.greatest(top, F.lit(1e-9))
+    shared, score = concept_overlap(a["concepts"], b["concepts"], vocabulary.equivalent, vocabulary.generic)
     return (
-        pairs.withColumn("place", place_relation(a, b))
-        .withColumn("action", action_relation(a, b))
+        pairs.withColumn("place", place_relation(a["places"], b["places"]))
+        .withColumn("exact_place", F.coalesce(F.arrays_overlap(a["places"]["specific"], b["places"]["specific"]), F.lit(False)))
+        .withColumn("action", action_relation(a, b, vocabulary))
         .withColumn("entity_score", overlap_fraction(a["entities"], b["entities"]))
-        .withColumn("shared_concepts", F.size(F.array_intersect(a["concepts"], b["concepts"])))
-        .withColumn("concept_score", overlap_fraction(a["concepts"], b["concepts"]))
+        .withColumn("shared_concepts", shared)
+        .withColumn("concept_score", score)
         .withColumn("lexical_score", jaccard(a["tokens"], b["tokens"]))
         .withColumn("days", days)
         .withColumn("temporal_score", F.when(days <= 1.25, 0.8).when(days <= 2.5, 0.5).otherwise(0.2))
@@ -78,29 +89,31 @@ def pair_signals(pairs: DataFrame) -> DataFrame:
 def decide(signals: DataFrame) -> DataFrame:
     """Adds relation and confidence: an ordered gate, blockers first."""
     a, b, c = F.col("a"), F.col("b"), F.col
-    blocked = (
-        c("place").isin("different", "sibling") | (c("action") == "conflicting") | F.coalesce(a["incident"] != b["incident"], F.lit(False)) | (c("days") > 5)
-    )
+    unlike = lambda name: F.coalesce(a[name] != b[name], F.lit(False))
+    developing = a["developing"] | b["developing"]
+    blocked = c("place").isin("different", "sibling") | (c("action") == "conflicting") | unlike("incident") | unlike("hazard") | ((c("days") > 5) & ~developing)
     entity, same_loc, clean = c("entity_score") > 0, c("place") == "same", c("penalty") == 0
     ok, good, act = c("concept_score") >= 0.34, c("concept_score") >= 0.5, c("action") == "same"
-    act_ok, lexical, shared = c("action_score") >= 0.6, c("lexical_score") >= 0.55, c("shared_concepts")
+    act_ok, lexical, shared, exact = c("action_score") >= 0.6, c("lexical_score"), c("shared_concepts"), c("exact_place")
     incident = F.coalesce(a["incident"] == b["incident"], F.lit(False))
     cross = a["language"] != b["language"]
-    agree = (entity & act) | (act & (shared >= 1)) | (entity & (shared >= 2)) | (shared >= 2)
+    agree = (entity & act) | (act & (shared >= 1)) | (shared >= 2)
+    anchored = exact | (shared >= 1) | c("quantity_match")
     verdict = lambda relation, confidence: F.struct(F.lit(relation).alias("relation"), F.lit(confidence).alias("confidence"))
     gate = (
         F.when(blocked, verdict("different", "high"))
         .when(a["reaction"] != b["reaction"], verdict("related", "low"))
-        .when((c("place") == "nested") & (good), verdict("part-of", "moderate"))
+        .when((c("place") == "nested") & good, verdict("part-of", "moderate"))
         .when((c("place") == "nested") & (ok | act_ok), verdict("part-of", "low"))
+        .when(same_loc & act & (c("days") > 1.5) & developing, verdict("follow-up", "moderate"))
         .when(cross & same_loc & (c("days") <= 1.25) & agree & clean, verdict("same", "moderate"))
         .when(cross, verdict("uncertain", "low"))
-        .when(same_loc & incident & clean & ((shared >= 1) | c("quantity_match")), verdict("same", "moderate"))
+        .when(same_loc & incident & clean & anchored, verdict("same", "moderate"))
         .when(same_loc & incident & clean & entity, verdict("same", "low"))
-        .when(same_loc & clean & ((entity & (act | ok)) | (act & good)), verdict("same", "high"))
-        .when(same_loc & clean & ((act & ok) | (good & (act_ok | lexical)) | (entity & ok)), verdict("same", "moderate"))
+        .when(same_loc & clean & ((entity & (act | ok)) | (act & (good | exact))), verdict("same", "high"))
+        .when(same_loc & clean & ((act & ok) | (good & (act_ok | (lexical >= 0.55))) | (entity & ok) | (good & (shared >= 2) & ((lexical >= 0.45) | act_ok))), verdict("same", "moderate"))
         .when(entity & act & ok & clean, verdict("same", "moderate"))
-        .when(same_loc & clean & lexical & ok & (act_ok | (c("action") == "unknown")), verdict("same", "low"))
+        .when(same_loc & clean & (lexical >= 0.55) & ok & (act_ok | (c("action") == "unknown")), verdict("same", "low"))
         .when((c("place") == "same-region-only") & clean & (shared >= 1) & ((c("quantity_match") & (act | (c("action") == "unknown"))) | (entity & act) | (act & (shared >= 2) & good)), verdict("same", "moderate"))
         .when(c("quantity_match") & good & (shared >= 1) & clean & (c("place") == "unknown") & (act_ok | (c("action") == "unknown")), verdict("same", "moderate"))
         .when(c("place").isin("same", "nested") & (ok | (c("action") == "compatible")), verdict("related", "low"))
@@ -109,6 +122,25 @@ def decide(signals: DataFrame) -> DataFrame:
     return signals.withColumn("verdict", gate).withColumns({"relation": F.col("verdict.relation"), "confidence": F.col("verdict.confidence")}).drop("verdict")
 
 
+def cross_cluster_relations(decided: DataFrame, components: DataFrame) -> DataFrame:
+    """(cluster_a, cluster_b, relation, edges): how clusters relate, of which no
+    pair is the same event.
+
+    ``decided`` has a, b, relation; ``components`` has node, component, and reports
+    without one are their own cluster. Edges that part-of, follow-up or related
+    articles make between two clusters become one edge of the clusters; of several
+    relations the first in that order names it. cluster_a < cluster_b.
+    """
+    named = {"part-of": 0, "follow-up": 1, "related": 2}
+    edges = decided.where(F.col("relation").isin(*named)).select("a", "b", "relation")
+    for side in ("a", "b"):
+        own = components.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
+        edges = edges.join(own, side, "left").withColumn(f"c_{side}", F.coalesce(f"c_{side}", side))
+    edges = edges.where("c_a <> c_b").select(F.least("c_a", "c_b").alias("cluster_a"), F.greatest("c_a", "c_b").alias("cluster_b"), "relation")
+    order = F.create_map(*[F.lit(v) for pair in named.items() for v in pair])[F.col("relation")]
+    return edges.groupBy("cluster_a", "cluster_b").agg(F.min_by("relation", order).alias("relation"), F.count("*").alias("edges"))
+
+
 def prefix_pairs(rows: DataFrame, key: str, tokens: str, time: str, seconds: int, least: float) -> DataFrame:
     """(a, b, similarity) of rows within a time band with Jaccard >= ``least``.
 

@@ -10,11 +10,13 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from gleaner.catalog import register
 from gleaner.functions import text as X
+from gleaner.operators import gazetteer as G
 from gleaner.operators import identity as I
 from gleaner.operators import pairs as P
 from gleaner.operators.components import connected_components
 from gleaner.plans.text import tokens_sql
 from gleaner.sources import views as V
+from gleaner.storage import Workspace
 
 _TOK = tokens_sql("title")
 _SET_SQL = f"""t AS (SELECT article_id, publisher, family, language, published_at, official, title, list_sort(list_distinct({_TOK})) AS w FROM v_articles)"""
@@ -106,52 +108,133 @@ def cosine_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("cosine >= 0.45").select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
-_PLACES, _REGIONS, _ACTIONS = ("that", "with", "und", "que", "est"), ("and", "the", "der", "une", "los"), tuple(I.FAMILIES)
-_IN = lambda values: ", ".join(f"'{v}'" for v in values)
+# The texts are invented, so the lexicon is made of the titles' own words: those of
+# three titles and more, and neighbouring pairs of them. What a word is follows from
+# its length, what it is called from its first letters; a deployment passes its rows.
+_LEAST = 3
+VOCABULARY = I.Vocabulary((("d", "l"), ("q", "w")), (("t", "a", "u"), ("e", "p", "s")), (("the", "whi"), ("dan", "les")), ("con", "per"))
 _RAW_SQL = "string_split(trim(regexp_replace(lower(title), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ')"
-_SIG_SQL = f"""s AS (SELECT article_id, language, published_at, list_sort(list_distinct({_RAW_SQL})) AS raw, w AS tokens, (article_id % 20)::DOUBLE AS quantity,
-        CASE article_id % 5 WHEN 0 THEN 'fire' WHEN 1 THEN 'crash' END AS incident, article_id % 17 = 0 AS reaction FROM t),
-    g AS (SELECT *, list_filter(raw, lambda x: x IN ({_IN(_PLACES)})) AS places, list_filter(raw, lambda x: x IN ({_IN(_REGIONS)})) AS regions,
-        list_filter(raw, lambda x: x IN ({_IN(_ACTIONS)})) AS actions, list_filter(tokens, lambda x: length(x) >= 6) AS entities, list_filter(tokens, lambda x: length(x) < 6) AS concepts FROM s)"""
-_ACT_CONFLICT = " OR ".join(f"(list_contains(a.actions, '{p}') AND list_contains(b.actions, '{q}')) OR (list_contains(a.actions, '{q}') AND list_contains(b.actions, '{p}'))" for p, q in I.CONFLICTS)
-_FAMILY_SQL = "list_transform({}.actions, lambda x: CASE x " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in I.FAMILIES.items()) + " END)"
+_LEXICON_SQL = f"""lw AS (SELECT article_id, {_RAW_SQL} AS w FROM v_articles),
+    lp AS (SELECT article_id, unnest(range(1, len(w) + 1)) AS i, w FROM lw), lg AS (SELECT article_id, w[i] AS x, w[i + 1] AS y FROM lp),
+    one AS (SELECT x FROM lg WHERE length(x) >= 3 GROUP BY x HAVING count(DISTINCT article_id) >= {_LEAST}),
+    two AS (SELECT x, y FROM lg WHERE length(x) >= 4 AND length(y) >= 4 GROUP BY x, y HAVING count(DISTINCT article_id) >= {_LEAST}),
+    lexicon AS (SELECT x AS alias, CASE WHEN kind IN ('action', 'state') THEN x[:1] WHEN kind = 'region' THEN x[:2] WHEN kind = 'city' THEN x ELSE x[:3] END AS canonical, kind,
+            CASE WHEN kind IN ('district', 'city') THEN [x[:3]] ELSE []::VARCHAR[] END AS districts
+        FROM (SELECT x, CASE WHEN length(x) = 3 THEN 'action' WHEN length(x) % 2 = 1 THEN 'concept' WHEN length(x) % 8 = 4 THEN 'district' WHEN length(x) % 8 = 6 THEN 'city' WHEN length(x) % 8 = 0 THEN 'region' ELSE 'state' END AS kind FROM one)
+        UNION ALL SELECT x || ' ' || y, x || ' ' || y, 'landmark', [x[:3]] FROM two)"""
+
+
+def title_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """alias, canonical, kind, districts of the words that titles share."""
+    rows = V.articles(spark, sf_dir).select("article_id", F.explode(F.array(X.words(F.col("title")))).alias("w"))
+    grams = rows.select("article_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.struct(F.element_at("w", i).alias("x"), F.get("w", i).alias("y")))).alias("g")).select("article_id", "g.x", "g.y")
+    x, y, n = F.col("x"), F.col("y"), F.length("x")
+    often = F.count_distinct("article_id") >= _LEAST
+    one = grams.where(n >= 3).groupBy("x").agg(often.alias("often")).where("often")
+    kind = F.when(n == 3, "action").when(n % 2 == 1, "concept").when(n % 8 == 4, "district").when(n % 8 == 6, "city").when(n % 8 == 0, "region").otherwise("state")
+    head = lambda k: F.substring("x", 1, k)
+    none = F.array().cast("array<string>")
+    one = one.withColumn("kind", kind).select(
+        x.alias("alias"), F.when(F.col("kind").isin("action", "state"), head(1)).when(F.col("kind") == "region", head(2)).when(F.col("kind") == "city", x).otherwise(head(3)).alias("canonical"),
+        "kind", F.when(F.col("kind").isin("district", "city"), F.array(head(3))).otherwise(none).alias("districts"),
+    )
+    two = grams.where((n >= 4) & (F.length("y") >= 4)).groupBy("x", "y").agg(often.alias("often")).where("often")
+    both = F.concat(x, F.lit(" "), y)
+    return one.unionByName(two.select(both.alias("alias"), both.alias("canonical"), F.lit("landmark").alias("kind"), F.array(head(3)).alias("districts")))
+
+
+_MENTIONS_SQL = f"""{_LEXICON_SQL}, dw AS (SELECT doc_id, {_RAW_SQL.replace("title", "text")} AS w FROM documents),
+    dp AS (SELECT doc_id, i, w[i] AS x, w[i] || ' ' || w[i + 1] AS xy FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, w FROM dw)),
+    m AS (SELECT doc_id, i, 1 AS n, lexicon.* FROM dp JOIN lexicon ON alias = x UNION ALL SELECT doc_id, i, 2, lexicon.* FROM dp JOIN lexicon ON alias = xy),
+    l AS (SELECT doc_id, i FROM m WHERE n = 2)
+    SELECT canonical, kind, count(*) AS matches, count(DISTINCT m.doc_id) AS docs, count(*) FILTER (WHERE n = 1 AND (here.i IS NOT NULL OR left_of.i IS NOT NULL)) AS nested
+    FROM m LEFT JOIN l here ON m.doc_id = here.doc_id AND m.i = here.i LEFT JOIN l left_of ON m.doc_id = left_of.doc_id AND m.i = left_of.i + 1 GROUP BY canonical, kind"""
+
+
+@register("gazetteer_mentions", "L-places L-concepts", V.sql("v_articles", f", {_MENTIONS_SQL}"))
+def gazetteer_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often whole texts name what the lexicon has, and how often within a longer name."""
+    docs = V.table(spark, sf_dir, "documents")
+    lexicon = Workspace(spark, "lexicon").keep(title_lexicon(spark, sf_dir), "rows")
+    found = G.phrase_matches(docs, lexicon)
+    return found.groupBy("canonical", "kind").agg(F.count("*").alias("matches"), F.count_distinct("doc_id").alias("docs"), F.count_if("nested").alias("nested"))
+
+
+_CAP_SQL = ", ".join(f"'{w}'" for w in G.STOP_CAPS)
+_NAMES_SQL = f"""nb AS (SELECT article_id, list_transform(regexp_split_to_array(regexp_replace(title, '[^\\p{{L}}\\p{{N}}\\s.]', ' ', 'g'), '\\s+'), lambda w: regexp_replace(w, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS w FROM v_articles),
+    nr AS (SELECT article_id, unnest(string_split(array_to_string(list_transform(w, lambda x: CASE WHEN length(x) > 1 AND regexp_matches(x, '^[A-Z]') AND x NOT IN ({_CAP_SQL}) THEN x ELSE '|' END), ' '), '|')) AS run FROM nb),
+    np AS (SELECT article_id, trim(run) AS run, string_split(trim(run), ' ') AS p FROM nr WHERE trim(run) <> ''),
+    names AS (SELECT article_id, list_sort(list_distinct(list(name))) AS entities FROM (SELECT article_id, lower(run) AS name FROM np WHERE length(run) > 3
+        UNION ALL SELECT article_id, lower(p[-1]) FROM np WHERE len(p) >= 3 AND length(p[-1]) >= 5 UNION ALL SELECT article_id, lower(p[1] || ' ' || p[2]) FROM np WHERE len(p) >= 3 AND length(p[1] || ' ' || p[2]) > 3) GROUP BY article_id)"""
+
+
+@register("title_names", "L-entities", V.sql("v_articles", f", {_NAMES_SQL} SELECT entity, count(*) AS articles FROM (SELECT unnest(entities) AS entity FROM names) GROUP BY entity"))
+def title_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capitalised names in titles and the articles that have them."""
+    found = V.articles(spark, sf_dir).select(F.explode(G.names(F.col("title"))).alias("entity"))
+    return found.groupBy("entity").agg(F.count("*").alias("articles"))
+
+
+_SETS = lambda kind: f"coalesce(list_sort(list(DISTINCT canonical) FILTER (WHERE {kind})), [])"
+_SIG_SQL = f"""{_LEXICON_SQL}, {_NAMES_SQL}, hit AS (SELECT DISTINCT article_id, lexicon.* FROM lg JOIN lexicon ON alias = x OR alias = x || ' ' || y),
+    sets AS (SELECT article_id, {_SETS("kind = 'action'")} AS actions, {_SETS("kind = 'concept'")} AS concepts, {_SETS("kind = 'state'")} AS states, {_SETS("kind = 'region'")} AS regions,
+        {_SETS("kind IN ('city', 'landmark')")} AS specific, list_sort(list_distinct(flatten(list(districts)))) AS districts, bool_or(kind = 'state') AS wide, bool_or(kind = 'district') AS district_named,
+        bool_or(kind NOT IN ('action', 'concept')) AS placed FROM hit GROUP BY article_id),
+    g AS (SELECT t.article_id, language, published_at, w AS tokens, try_cast(nullif(regexp_extract(title, '[0-9]+'), '') AS DOUBLE) AS quantity, coalesce(entities, []) AS entities, coalesce(actions, []) AS actions, coalesce(concepts, []) AS concepts,
+        list_filter(coalesce(concepts, []), lambda c: c NOT IN ('con', 'per')) AS own, states, regions, specific, districts, wide, district_named, coalesce(placed, false) AS placed, regexp_matches(title, '{I.DEVELOPING}') AS developing
+        FROM t LEFT JOIN sets ON t.article_id = sets.article_id LEFT JOIN names ON t.article_id = names.article_id)"""
+_OR = lambda tests: "(" + " OR ".join(tests) + ")"
+_BOTH = lambda left, p, q: f"list_contains(a.{left}, '{p}') AND list_contains(b.{left}, '{q}')"
+_ACT_CONFLICT = _OR(f"({_BOTH('actions', p, q)} AND NOT list_contains(b.actions, '{p}')) OR ({_BOTH('actions', q, p)} AND NOT list_contains(a.actions, '{p}'))" for p, q in VOCABULARY.conflicts)
+_ACT_FAMILY = _OR(f"list_has_any(a.actions, {list(f)}) AND list_has_any(b.actions, {list(f)})" for f in VOCABULARY.families)
+_SHARED = "len(list_filter(a.own, lambda x: list_contains(b.concepts, x) OR " + " OR ".join(f"(x = '{p}' AND list_contains(b.concepts, '{q}')) OR (x = '{q}' AND list_contains(b.concepts, '{p}'))" for p, q in VOCABULARY.equivalent) + "))"
 _FRAC = "CASE WHEN len(a.{0}) > 0 AND len(b.{0}) > 0 THEN len(list_intersect(a.{0}, b.{0}))::DOUBLE / least(len(a.{0}), len(b.{0})) ELSE 0 END"
-_DECISION_SQL = f"""{_PAIRS_SQL}, {_SIG_SQL}, x AS (SELECT p.a, p.b, p.sim AS lexical, a.language <> b.language AS cross_language, a.reaction <> b.reaction AS reacts, coalesce(a.incident <> b.incident, false) AS other_incident, coalesce(a.incident = b.incident, false) AS incident,
-        CASE WHEN len(a.places) > 0 AND len(b.places) > 0 AND list_has_any(a.places, b.places) THEN 'same' WHEN len(a.regions) > 0 AND len(b.regions) > 0 AND NOT list_has_any(a.regions, b.regions) THEN 'different'
-            WHEN len(a.places) > 0 AND len(b.places) > 0 AND list_has_any(a.regions, b.regions) THEN 'sibling' WHEN (len(a.places) > 0 OR len(b.places) > 0) AND list_has_any(a.regions, b.regions) THEN 'nested'
-            WHEN list_has_any(a.regions, b.regions) THEN 'same-region-only' ELSE 'unknown' END AS place,
-        CASE WHEN len(a.actions) = 0 OR len(b.actions) = 0 THEN 'unknown' WHEN {_ACT_CONFLICT} THEN 'conflicting' WHEN list_has_any(a.actions, b.actions) THEN 'same'
-            WHEN list_has_any({_FAMILY_SQL.format('a')}, {_FAMILY_SQL.format('b')}) THEN 'compatible' ELSE 'unrelated' END AS action,
-        {_FRAC.format('entities')} AS entity, {_FRAC.format('concepts')} AS concept, len(list_intersect(a.concepts, b.concepts)) AS shared,
+_DECISION_SQL = f"""{_PAIRS_SQL}, {_SIG_SQL}, x AS (SELECT p.a, p.b, p.sim AS lexical, a.language <> b.language AS cross_language, a.developing OR b.developing AS developing,
+        CASE WHEN NOT a.placed OR NOT b.placed THEN 'unknown' WHEN len(a.states) > 0 AND len(b.states) > 0 AND NOT list_has_any(a.states, b.states) THEN 'different' WHEN list_has_any(a.specific, b.specific) THEN 'same'
+            WHEN len(a.districts) > 0 AND len(b.districts) > 0 THEN CASE WHEN list_has_any(a.districts, b.districts) THEN 'same' WHEN (a.wide AND NOT a.district_named) OR (b.wide AND NOT b.district_named) THEN 'nested' ELSE 'sibling' END
+            WHEN (len(a.districts) > 0 AND len(b.states) > 0) OR (len(b.districts) > 0 AND len(a.states) > 0) THEN 'nested' WHEN list_has_any(a.regions, b.regions) OR (len(a.states) > 0 AND len(b.states) > 0) THEN 'same-region-only' ELSE 'unknown' END AS place,
+        coalesce(list_has_any(a.specific, b.specific), false) AS exact,
+        CASE WHEN len(a.actions) = 0 OR len(b.actions) = 0 THEN 'unknown' WHEN {_ACT_CONFLICT} THEN 'conflicting' WHEN list_has_any(a.actions, b.actions) THEN 'same' WHEN {_ACT_FAMILY} THEN 'compatible' ELSE 'unrelated' END AS action,
+        {_FRAC.format('entities')} AS entity, {_SHARED} AS shared, {_SHARED}::DOUBLE / greatest(least(len(a.own), len(b.own)), 1) AS concept,
         abs(epoch_us(a.published_at) - epoch_us(b.published_at)) / 8.64e10 AS days, abs(a.quantity - b.quantity) / greatest(greatest(abs(a.quantity), abs(b.quantity)), 1e-9) AS apart
         FROM p JOIN g a ON p.a = a.article_id JOIN g b ON p.b = b.article_id WHERE p.sim >= 0.4),
     y AS (SELECT *, coalesce(apart <= 0.02, false) AS quantity_match, CASE WHEN action = 'conflicting' THEN 0.6 ELSE 0 END + CASE WHEN apart > 0.35 AND apart < 5 AND days < 1 THEN 0.25 ELSE 0 END = 0 AS clean, action IN ('same', 'compatible') AS act_ok FROM x),
-    z AS (SELECT *, CASE WHEN place IN ('different', 'sibling') OR action = 'conflicting' OR other_incident OR days > 5 THEN 'different/high' WHEN reacts THEN 'related/low'
-        WHEN place = 'nested' AND concept >= 0.5 THEN 'part-of/moderate' WHEN place = 'nested' AND (concept >= 0.34 OR act_ok) THEN 'part-of/low'
-        WHEN cross_language AND place = 'same' AND days <= 1.25 AND clean AND ((entity > 0 AND action = 'same') OR (action = 'same' AND shared >= 1) OR (entity > 0 AND shared >= 2) OR shared >= 2) THEN 'same/moderate' WHEN cross_language THEN 'uncertain/low'
-        WHEN place = 'same' AND incident AND clean AND (shared >= 1 OR quantity_match) THEN 'same/moderate' WHEN place = 'same' AND incident AND clean AND entity > 0 THEN 'same/low'
-        WHEN place = 'same' AND clean AND ((entity > 0 AND (action = 'same' OR concept >= 0.34)) OR (action = 'same' AND concept >= 0.5)) THEN 'same/high'
-        WHEN place = 'same' AND clean AND ((action = 'same' AND concept >= 0.34) OR (concept >= 0.5 AND (act_ok OR lexical >= 0.55)) OR (entity > 0 AND concept >= 0.34)) THEN 'same/moderate'
+    z AS (SELECT *, CASE WHEN place IN ('different', 'sibling') OR action = 'conflicting' OR (days > 5 AND NOT developing) THEN 'different/high'
+        WHEN place = 'nested' AND concept >= 0.5 THEN 'part-of/moderate' WHEN place = 'nested' AND (concept >= 0.34 OR act_ok) THEN 'part-of/low' WHEN place = 'same' AND action = 'same' AND days > 1.5 AND developing THEN 'follow-up/moderate'
+        WHEN cross_language AND place = 'same' AND days <= 1.25 AND clean AND ((entity > 0 AND action = 'same') OR (action = 'same' AND shared >= 1) OR shared >= 2) THEN 'same/moderate' WHEN cross_language THEN 'uncertain/low'
+        WHEN place = 'same' AND clean AND ((entity > 0 AND (action = 'same' OR concept >= 0.34)) OR (action = 'same' AND (concept >= 0.5 OR exact))) THEN 'same/high'
+        WHEN place = 'same' AND clean AND ((action = 'same' AND concept >= 0.34) OR (concept >= 0.5 AND (act_ok OR lexical >= 0.55)) OR (entity > 0 AND concept >= 0.34) OR (concept >= 0.5 AND shared >= 2 AND (lexical >= 0.45 OR act_ok))) THEN 'same/moderate'
         WHEN entity > 0 AND action = 'same' AND concept >= 0.34 AND clean THEN 'same/moderate' WHEN place = 'same' AND clean AND lexical >= 0.55 AND concept >= 0.34 AND (act_ok OR action = 'unknown') THEN 'same/low'
         WHEN place = 'same-region-only' AND clean AND shared >= 1 AND ((quantity_match AND action IN ('same', 'unknown')) OR (entity > 0 AND action = 'same') OR (action = 'same' AND shared >= 2 AND concept >= 0.5)) THEN 'same/moderate'
         WHEN quantity_match AND concept >= 0.5 AND shared >= 1 AND clean AND place = 'unknown' AND (act_ok OR action = 'unknown') THEN 'same/moderate'
         WHEN place IN ('same', 'nested') AND (concept >= 0.34 OR action = 'compatible') THEN 'related/low' ELSE 'different/moderate' END AS verdict FROM y)"""
 
 
-def decided_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.array_sort(F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower("title"), r"[^\p{L}\p{N}]+", " ")), " ")))
-    rows = token_sets(spark, sf_dir).withColumn("raw", raw)
-    pick = lambda values: F.filter("raw", lambda x: x.isin(*values))
+def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """article_id and s, the identity signature of each article, from its title.
+
+    The tables name no incident or hazard and no reaction, so these are null and false.
+    """
+    rows = token_sets(spark, sf_dir)
+    lexicon = Workspace(spark, "lexicon").keep(title_lexicon(spark, sf_dir), "rows")
+    found = Workspace(spark, "matches").keep(G.phrase_matches(rows, lexicon, id_col="article_id", text_col="title"), "rows")
+    named = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("canonical")))).alias(f"{kind}s")
+    sets = found.groupBy("article_id").agg(named("action"), named("concept"))
+    places = G.places_of(found.where(~F.col("kind").isin("action", "concept")), "article_id")
+    none = F.array().cast("array<string>")
     signature = F.struct(
-        "language", "published_at", F.col("w").alias("tokens"), (F.col("article_id") % 20).cast("double").alias("quantity"),
-        F.when(F.col("article_id") % 5 == 0, "fire").when(F.col("article_id") % 5 == 1, "crash").alias("incident"), (F.col("article_id") % 17 == 0).alias("reaction"),
-        pick(_PLACES).alias("places"), pick(_REGIONS).alias("regions"), pick(_ACTIONS).alias("actions"),
-        F.filter("w", lambda x: F.length(x) >= 6).alias("entities"), F.filter("w", lambda x: F.length(x) < 6).alias("concepts"),
+        "language", "published_at", F.col("w").alias("tokens"), F.expr("try_cast(nullif(regexp_extract(title, '[0-9]+', 0), '') AS double)").alias("quantity"),
+        F.lit(None).cast("string").alias("incident"), F.lit(None).cast("string").alias("hazard"), F.lit(False).alias("reaction"), F.col("title").rlike(I.DEVELOPING).alias("developing"),
+        "places", F.coalesce("actions", none).alias("actions"), F.coalesce("concepts", none).alias("concepts"), G.names(F.col("title")).alias("entities"),
     )
-    signed = rows.select("article_id", signature.alias("s"))
-    pairs = similar_pairs(spark, sf_dir, 0.4).select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+    return rows.join(sets, "article_id", "left").join(places, "article_id", "left").select("article_id", signature.alias("s"))
+
+
+def decided_pairs(spark: SparkSession, sf_dir: str, least: float = 0.4) -> DataFrame:
+    signed = Workspace(spark, "signatures").keep(signatures(spark, sf_dir), "rows")
+    pairs = similar_pairs(spark, sf_dir, least).select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
     both = pairs.join(signed.select(F.col("article_id").alias("id_a"), F.col("s").alias("a")), "id_a").join(signed.select(F.col("article_id").alias("id_b"), F.col("s").alias("b")), "id_b")
-    return I.decide(I.pair_signals(both))
+    return I.decide(I.pair_signals(both, VOCABULARY))
 
 
 @register("pair_signals_decision", "D3 D4 D5 D6 D7", V.sql("v_articles", f""", {_DECISION_SQL} SELECT a, b, place, action, round(entity, 6) AS entity_score, round(concept, 6) AS concept_score, shared AS shared_concepts,
@@ -190,6 +273,17 @@ def near_duplicate_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(similar_pairs(spark, sf_dir, 0.7))
 
 
+@register("cluster_relations", "D14", V.sql("v_articles", f""", {_DECISION_SQL.replace("WHERE p.sim >= 0.4)", "WHERE p.sim >= 0.15)")},
+    e AS (SELECT a, b FROM p WHERE sim >= 0.7 UNION SELECT b, a FROM p WHERE sim >= 0.7), walk AS (SELECT a AS node, a AS root FROM e UNION SELECT e.b, walk.root FROM walk JOIN e ON walk.node = e.a), comp AS (SELECT node, min(root) AS component FROM walk GROUP BY node),
+    r AS (SELECT coalesce(x.component, a) AS c, coalesce(y.component, b) AS d, split_part(verdict, '/', 1) AS relation FROM z LEFT JOIN comp x ON a = x.node LEFT JOIN comp y ON b = y.node),
+    o AS (SELECT least(c, d) AS cluster_a, greatest(c, d) AS cluster_b, relation, CASE relation WHEN 'part-of' THEN 0 WHEN 'follow-up' THEN 1 ELSE 2 END AS ord FROM r WHERE c <> d AND relation IN ('part-of', 'follow-up', 'related'))
+    SELECT cluster_a, cluster_b, arg_min(relation, ord) AS relation, count(*) AS edges FROM o GROUP BY cluster_a, cluster_b""").replace("WITH", "WITH RECURSIVE", 1))
+def cluster_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters that part-of, follow-up or related reports connect (titles alike from 0.15)."""
+    decided = Workspace(spark, "decided").keep(decided_pairs(spark, sf_dir, 0.15).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "relation"), "pairs")
+    return I.cross_cluster_relations(decided, connected_components(similar_pairs(spark, sf_dir, 0.7)))
+
+
 @register("cluster_assembly", "D12 D13 G12", V.sql("v_articles", f""", {_COMPONENTS_SQL}, m AS (SELECT coalesce(component, article_id) AS cluster, v.* FROM v_articles v LEFT JOIN comp ON v.article_id = comp.node),
     best AS (SELECT component AS cluster, max(sim) AS edge FROM p JOIN comp ON p.a = comp.node JOIN v_articles x ON p.a = x.article_id JOIN v_articles y ON p.b = y.article_id WHERE sim >= 0.7 AND x.publisher <> y.publisher GROUP BY component),
     lang AS (SELECT cluster, language, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, min(-article_id)) AS k FROM m GROUP BY cluster, language)
@@ -199,8 +293,6 @@ def near_duplicate_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cluster_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per cluster: its latest report, the language most reports have
     (newest first on ties), and its best edge between two publishers."""
-    from gleaner.storage import Workspace
-
     rows = V.articles(spark, sf_dir)
     pairs = Workspace(spark, "assembly").keep(similar_pairs(spark, sf_dir, 0.7), "pairs")
     comps = connected_components(pairs)

@@ -11,6 +11,7 @@ from gleaner.functions import text as X
 from gleaner.functions.scales import ascending, descending, half_up
 from gleaner.operators import claims as C
 from gleaner.operators import extraction as E
+from gleaner.operators import gazetteer as G
 from gleaner.operators import identity as I
 from gleaner.operators import pairs as P
 from gleaner.operators import trends as T
@@ -102,37 +103,131 @@ def test_prefix_pairs_equal_all_pairs(spark):
         assert {(r.a, r.b) for r in I.prefix_pairs(rows, "id", "w", "t", 30 * 3600, 0.5).collect()} == expected
 
 
+def places(states=(), districts=(), specific=(), regions=(), wide=None, district_named=False):
+    return (list(states), bool(states) if wide is None else wide, list(districts), district_named, list(specific), list(regions))
+
+
 def signature(**over):
-    base = dict(language="en", published_at=dt.datetime(2024, 1, 1), tokens=["x", "y"], quantity=10.0, incident=None, reaction=False, places=["p"], regions=["r"], actions=["ing"], entities=["e"], concepts=["c", "d"])
+    base = dict(
+        language="en", published_at=dt.datetime(2024, 1, 1), tokens=["x", "y"], quantity=10.0, incident=None, hazard=None, reaction=False, developing=False,
+        places=places(districts=["p"], district_named=True), actions=["announce"], entities=["e"], concepts=["c", "d"],
+    )
     return tuple((base | over).values())
 
 
-SIGNATURE = "struct<language:string,published_at:timestamp,tokens:array<string>,quantity:double,incident:string,reaction:boolean,places:array<string>,regions:array<string>,actions:array<string>,entities:array<string>,concepts:array<string>>"
+PLACES = "struct<states:array<string>,wide:boolean,districts:array<string>,district_named:boolean,specific:array<string>,regions:array<string>>"
+SIGNATURE = f"struct<language:string,published_at:timestamp,tokens:array<string>,quantity:double,incident:string,hazard:string,reaction:boolean,developing:boolean,places:{PLACES},actions:array<string>,entities:array<string>,concepts:array<string>>"
 
 
 @pytest.mark.parametrize(
     "over, verdict",
     [
         ({}, ("same", "high")),
-        ({"regions": ["other"], "places": ["q"]}, ("different", "high")),
-        ({"places": ["q"]}, ("different", "high")),
-        ({"actions": ["ble"]}, ("different", "high")),
+        ({"places": places(districts=["q"], district_named=True)}, ("different", "high")),
+        ({"actions": ["discuss"]}, ("different", "high")),
+        ({"actions": ["announce", "discuss"]}, ("same", "high")),
         ({"incident": "fire"}, ("same", "high")),
         ({"reaction": True}, ("related", "low")),
         ({"language": "ta"}, ("same", "moderate")),
         ({"language": "ta", "concepts": []}, ("same", "moderate")),
         ({"language": "ta", "concepts": [], "entities": []}, ("uncertain", "low")),
-        ({"places": [], "concepts": ["c"]}, ("part-of", "moderate")),
+        ({"places": places(states=["s"]), "concepts": ["c"]}, ("related", "low")),
+        ({"places": places(states=["s"], districts=["z"]), "concepts": ["c"]}, ("part-of", "moderate")),
+        ({"places": None}, ("same", "moderate")),
         ({"published_at": dt.datetime(2024, 1, 7)}, ("different", "high")),
+        ({"published_at": dt.datetime(2024, 1, 7), "developing": True}, ("follow-up", "moderate")),
+        ({"published_at": dt.datetime(2024, 1, 2), "developing": True}, ("same", "high")),
         ({"entities": [], "concepts": [], "actions": []}, ("different", "moderate")),
     ],
 )
 def test_identity_gate(spark, over, verdict):
-    for a, b in ((signature(), signature(**over)), (signature(**over), signature())):
+    one, two = signature(), signature(**over)
+    if over.get("places") == places(states=["s"]):  # neither a district beside the state
+        one = signature(places=places(states=["s"]))
+        verdict = ("same", "moderate") if over["concepts"] == ["c"] else verdict
+    for a, b in ((one, two), (two, one)):
         row = I.decide(I.pair_signals(spark.createDataFrame([(a, b)], f"a {SIGNATURE}, b {SIGNATURE}"))).first()
         assert (row.relation, row.confidence) == verdict
 
 
+def test_hazards_block(spark):
+    pair = (signature(hazard="flood"), signature(hazard="fire"))
+    row = I.decide(I.pair_signals(spark.createDataFrame([pair], f"a {SIGNATURE}, b {SIGNATURE}"))).first()
+    assert (row.relation, row.confidence) == ("different", "high")
+
+
+@pytest.mark.parametrize(
+    "a, b, relation",
+    [
+        (dict(states=["s"]), dict(states=["t"]), "different"),
+        (dict(states=["s"], specific=["dam"]), dict(states=["s"], specific=["dam"]), "same"),
+        (dict(districts=["p"], district_named=True), dict(districts=["p", "q"]), "same"),
+        (dict(states=["s"], districts=["p"]), dict(districts=["q"], district_named=True), "nested"),
+        (dict(districts=["p"], district_named=True), dict(districts=["q"], district_named=True), "sibling"),
+        (dict(states=["s"]), dict(districts=["q"], district_named=True), "nested"),
+        (dict(regions=["r"]), dict(regions=["r"]), "same-region-only"),
+        (dict(states=["s"]), dict(states=["s"]), "same-region-only"),
+        (dict(regions=["r"]), dict(regions=["o"]), "unknown"),
+        (None, dict(states=["s"]), "unknown"),
+    ],
+)
+def test_place_relations(spark, a, b, relation):
+    for x, y in ((a, b), (b, a)):
+        pair = tuple(None if side is None else places(**side) for side in (x, y))
+        frame = spark.createDataFrame([pair], f"a {PLACES}, b {PLACES}")
+        assert frame.select(G.place_relation(frame["a"], frame["b"]).alias("r")).first().r == relation
+
+
+LEXICON = [
+    ("mettur", "Mettur Dam", "water-body", ["salem"]), ("mettur dam", "Mettur Dam", "water-body", ["salem"]), ("dam road", "Dam Road", "landmark", ["salem"]),
+    ("salem", "Salem", "district", []), ("long river", "Long River", "water-body", ["a", "b", "c", "d"]), ("north state", "North", "state", None), ("...", "none", "city", None), (None, "null", "city", None), ("salem", "Salem", "district", []),
+]
+
+
+def test_phrases_nested_and_overlapping(spark, monkeypatch):
+    lexicon = spark.createDataFrame(LEXICON, "alias string, canonical string, kind string, districts array<string>")
+    texts = [(1, "Water of METTUR dam-road rises; Salem, salem", "x", 1), (2, "mettur", "x", 1), (3, None, "x", 1), (4, "", "x", 1), (5, "mett ur dam", "x", 1), (6, "north state by the long river", "x", 1)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, kind2 string, n_chars int")
+    expected = {(1, 3, "mettur", True), (1, 3, "mettur dam", False), (1, 4, "dam road", False), (1, 7, "salem", False), (1, 8, "salem", False), (2, 1, "mettur", False), (6, 1, "north state", False), (6, 5, "long river", False)}
+    for most in (G.MOST_BROADCAST_ROWS, 0):
+        monkeypatch.setattr(G, "MOST_BROADCAST_ROWS", most)
+        found = G.phrase_matches(docs, lexicon)
+        assert {(r.doc_id, r.start, r.alias, r.nested) for r in found.collect()} == expected
+    named = {r.doc_id: r.places for r in G.places_of(found, "doc_id").collect()}
+    assert named[1].specific == ["Dam Road", "Mettur Dam"] and named[1].districts == ["Salem", "salem"] and named[1].district_named
+    assert named[6].states == ["North"] and named[6].specific == [] and named[6].districts == []
+    assert G.phrase_matches(docs, lexicon.limit(0)).count() == 0
+
+
+def test_phrases_across_chunks_of_words(spark, monkeypatch):
+    lexicon = spark.createDataFrame([(f"w{i} w{i + 1} w{i + 2}", f"c{i}", "city", []) for i in range(40)], "alias string, canonical string, kind string, districts array<string>")
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(42)))], "doc_id long, text string")
+    monkeypatch.setattr(G, "CHUNK_WORDS", 5)
+    assert sorted(r.start for r in G.phrase_matches(docs, lexicon).collect()) == list(range(1, 41))
+
+
+def test_names_of_titles(spark):
+    rows = [("Madras High Court says Chennai Corporation must act", ["chennai corporation", "court", "madras high", "madras high court"]), ("The A new B. Stalin-led Party wins", ["party", "stalinled party"]), ("", []), (None, None)]
+    frame = spark.createDataFrame([(t,) for t, _ in rows], "title string")
+    found = [r.n for r in frame.select(G.names(frame["title"]).alias("n")).collect()]
+    assert found[0] == rows[0][1] and found[2] == [] and found[3] is None
+    assert "stalin" in found[1] and "party" in found[1]
+
+
+def test_concepts_with_equivalents(spark):
+    frame = spark.createDataFrame([(["holiday", "rain", "police"], ["closure", "heavy-rain", "police"]), ([], ["rain"]), (["police"], ["police"])], "a array<string>, b array<string>")
+    v = I.Vocabulary()
+    shared, score = G.concept_overlap(frame["a"], frame["b"], v.equivalent, v.generic)
+    assert [tuple(r) for r in frame.select(shared.alias("s"), score.alias("x")).collect()] == [(2, 1.0), (0, 0.0), (0, 0.0)]
+
+
+def test_relations_between_clusters(spark):
+    decided = [(1, 11, "related"), (2, 12, "part-of"), (12, 3, "follow-up"), (1, 2, "part-of"), (1, 21, "related"), (21, 30, "follow-up"), (1, 30, "same"), (30, 40, "different")]
+    components = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (11, 11), (12, 11), (21, 21)], "node long, component long")
+    found = I.cross_cluster_relations(spark.createDataFrame(decided, "a long, b long, relation string"), components)
+    assert {tuple(r) for r in found.collect()} == {(1, 11, "part-of", 3), (1, 21, "related", 1), (21, 30, "follow-up", 1)}
+
+
 def test_velocity_and_state(spark):
     now = dt.datetime(2024, 1, 2)
     rows = [(1, k, k, now - dt.timedelta(minutes=m)) for k, m in enumerate((0, 15, 60, 61, 420, 421))] + [(2, 9, 9, now), (3, 1, None, now + dt.timedelta(hours=1)), (3, 2, None, now + dt.timedelta(hours=1))]
