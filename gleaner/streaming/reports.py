@@ -39,21 +39,33 @@ def sessions(reports: DataFrame, gap: str = "12 hours") -> DataFrame:
     return reports.groupBy(F.session_window("published_at", gap).alias("w"), "cluster_id").agg(F.count("*").alias("reports"))
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+def accepted(reports: DataFrame, at: str) -> DataFrame:
+    """Reports with a time that is at most two days after ``at``."""
+    return reports.where(F.col("published_at") <= F.lit(at).cast("timestamp") + F.expr("INTERVAL 2 DAYS"))
+
+
+def write_batch(batch: DataFrame, folder: str) -> None:
+    batch.write.mode("overwrite").parquet(folder)
+
+
+def run_to_table(stream: DataFrame, name: str, mode: str = "complete", folder: str | None = None) -> DataFrame:
     """Run over all that has landed and return the result as a written table.
 
     Each micro-batch overwrites its own folder (the batch id is the key), so a
-    batch that is run again after a failure writes the same rows once.
+    batch that is run again after a failure writes the same rows once. ``folder``
+    is where results and checkpoint stay: a later run with the same folder and the
+    same stream goes on behind the last batch that was committed, also after a
+    crash in the midst of one. Without it a run has a folder of its own.
     """
     spark = stream.sparkSession
-    space = Workspace(spark, name)
+    root = folder.rstrip("/") if folder else Workspace(spark, name).root
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(space.path(f"out/batch={batch_id:06d}"))
+        write_batch(batch, f"{root}/out/batch={batch_id:06d}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", space.path("state")).trigger(availableNow=True).foreachBatch(write).start()
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    out = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", IntegerType())])).parquet(space.path("out"))
+    out = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", IntegerType())])).parquet(f"{root}/out")
     if mode == "complete":
         last = out.agg(F.max("batch")).first()[0]
         out = out.where(F.col("batch") == last)
