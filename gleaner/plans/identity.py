@@ -10,6 +10,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from gleaner.catalog import register
 from gleaner.functions import text as X
+from gleaner.operators import dense as D
 from gleaner.operators import gazetteer as G
 from gleaner.operators import identity as I
 from gleaner.operators import pairs as P
@@ -108,6 +109,20 @@ def cosine_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("cosine >= 0.45").select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
+_BITS, _BANDS = 8, D.bands_for(0.45, 8, 0.1)
+
+
+@register("dense_candidates", "D16 C4", f"""WITH n AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS norm FROM embeddings),
+    plane AS (SELECT k, list(CASE WHEN substr(md5(k || ':' || j), 1, 1) < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ORDER BY j) AS s FROM range({_BITS * _BANDS}) t(k), range((SELECT max(len(e)) FROM n)) u(j) GROUP BY k),
+    band AS (SELECT vec_id, label, k // {_BITS} AS band, sum(CASE WHEN list_dot_product(e, s) >= 0 THEN 1 << (k % {_BITS})::INT ELSE 0 END) AS number FROM n, plane GROUP BY vec_id, label, k // {_BITS}),
+    p AS (SELECT DISTINCT x.vec_id AS a, y.vec_id AS b FROM band x JOIN band y ON x.label = y.label AND x.band = y.band AND x.number = y.number AND x.vec_id < y.vec_id)
+    SELECT a, b, round(list_dot_product(x.e, y.e) / (x.norm * y.norm), 6) AS cosine FROM p JOIN n x ON a = x.vec_id JOIN n y ON b = y.vec_id WHERE list_dot_product(x.e, y.e) / (x.norm * y.norm) >= 0.45""")
+def dense_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of one block with cosine of at least 0.45, found by hyperplane bands."""
+    found = D.cosine_pairs(V.table(spark, sf_dir, "embeddings"), id_col="vec_id", vector_col="embedding", block_col="label", least=0.45, bits=_BITS)
+    return found.select("a", "b", F.round("cosine", 6).alias("cosine"))
+
+
 # The texts are invented, so the lexicon is made of the titles' own words: those of
 # three titles and more, and neighbouring pairs of them. What a word is follows from
 # its length, what it is called from its first letters; a deployment passes its rows.

@@ -11,6 +11,7 @@ from gleaner.functions import text as X
 from gleaner.functions.scales import ascending, descending, half_up
 from gleaner.operators import claims as C
 from gleaner.operators import extraction as E
+from gleaner.operators import dense as D
 from gleaner.operators import gazetteer as G
 from gleaner.operators import identity as I
 from gleaner.operators import pairs as P
@@ -408,3 +409,22 @@ def test_greedy_merge_equals_all_drafts_in_order(spark):
             expected[c, d] = d if host is None else host
     found = E.merge_assertions(spark.createDataFrame(rows, "cluster string, draft long, type string, words array<string>"), "cluster").collect()
     assert len(found) == len(rows) and {(r.cluster, r.draft): r.host for r in found} == expected
+
+
+def test_hyperplane_bands_find_close_vectors(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(4, 32))
+    vectors = [(centres[i % 4] + rng.normal(scale=0.9, size=32)).tolist() for i in range(240)]
+    rows = [(i, v, i % 2, "x") for i, v in enumerate(vectors)] + [(900, None, 0, "x"), (901, [], 0, "x"), (902, [0.0] * 32, 0, "x"), (903, vectors[0][:5], 0, "x"), (904, vectors[0], None, "x"), (905, vectors[0], None, "x"), (0, vectors[0], 0, "x")]
+    frame = spark.createDataFrame(rows, "id long, v array<double>, block int, cosine string")
+    found = {(r.a, r.b): r.cosine for r in D.cosine_pairs(frame, id_col="id", vector_col="v", block_col="block").collect()}
+    unit = np.array(vectors) / np.linalg.norm(vectors, axis=1, keepdims=True)
+    whole = {(i, j): float(unit[i] @ unit[j]) for i in range(240) for j in range(i + 1, 240) if i % 2 == j % 2 and unit[i] @ unit[j] >= 0.45}
+    assert found.pop((904, 905)) == pytest.approx(1.0)
+    assert set(found) <= set(whole) and all(found[p] == pytest.approx(whole[p]) for p in found)
+    assert len(found) >= 0.9 * len(whole) > 1000
+    edge = [p for p in whole if whole[p] < 0.55]
+    assert sum(p in found for p in edge) >= 0.9 * len(edge) > 100
+    assert D.cosine_pairs(frame.limit(0), id_col="id", vector_col="v", block_col="block").count() == 0
