@@ -129,3 +129,78 @@ def evidence_status(retracted, corrected, superseded, disputed, groups, primary,
         F.when(retracted, "retracted").when(corrected, "corrected").when(superseded, "superseded").when(disputed, "disputed")
         .when((groups >= 3) & primary, "confirmed").when(groups >= 3, "well-supported").when(groups == 2, "supported").when(attributed, "attributed").otherwise("single-source")
     )
+
+
+def hard_disputes(disputes: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys of disputes that are no update and not of low confidence."""
+    return disputes.where("not update and confidence <> 'low'").select(*keys).distinct()
+
+
+def propagate_disputes(claims: DataFrame, hard: DataFrame, keys: list[str]) -> DataFrame:
+    """``claims`` with ``disputed``: its kind is in a hard dispute and it is no attributed
+    claim; ``keys`` name event and kind, a null key is in no dispute."""
+    marked = claims.join(hard.select(*keys, F.lit(True).alias("_hard")), keys, "left")
+    return marked.withColumn("disputed", F.coalesce("_hard", F.lit(False)) & (F.col("status") != "attributed")).drop("_hard")
+
+
+def ordered_disputes(claims: DataFrame, keys: list[str], subject: str, asserts: str, denies: str, minutes: int = 30) -> DataFrame:
+    """Events whose claims about ``subject`` both assert and deny (patterns; a text that
+    denies doesn't assert): keys, counts, the latest time of each side, update and
+    confidence. Sides over ``minutes`` apart are a development, of low confidence.
+
+    ``claims`` has text and seen_at; null texts say nothing.
+    """
+    denied = F.col("text").rlike(denies)
+    asserted = F.col("text").rlike(asserts) & ~denied
+    sides = claims.where(F.col("text").rlike(subject)).groupBy(*keys).agg(
+        F.count_if(asserted).alias("asserting"), F.count_if(denied).alias("denying"), F.max(F.when(asserted, F.col("seen_at"))).alias("asserted_at"), F.max(F.when(denied, F.col("seen_at"))).alias("denied_at")
+    )
+    sides = sides.where("asserting > 0 and denying > 0")
+    update = F.abs(hours(F.col("asserted_at"), F.col("denied_at"))) * 60 > minutes
+    return sides.withColumn("update", update).withColumn("confidence", F.when(update, "low").otherwise("moderate"))
+
+
+def equivalence_edges(claims: DataFrame, *, least: float = 0.7, least_key: int = 9) -> DataFrame:
+    """(a, b) of claims of one event that say the same: equal kind and object, equal keys
+    of at least ``least_key`` characters, or keys whose words overlap by ``least``.
+
+    ``claims`` has id, event, kind, object and key (its words, sorted); null or empty
+    kinds, objects and keys are equal to nothing. Equal ones are linked to the least
+    id among them; words are compared between different keys only, by a prefix of
+    their rarest words.
+    """
+    bare = F.regexp_replace(F.lower("object"), r"[^\p{L}\p{N}]", "")
+    stars = []
+    for by, rows in (
+        (["event", "kind", "bare"], claims.withColumn("bare", bare).where("kind <> '' and bare <> ''")),
+        (["event", "key"], claims.where(F.length("key") >= least_key)),
+    ):
+        first = rows.groupBy(*by).agg(F.min("id").alias("a"))
+        stars.append(rows.join(first, by).where("id <> a").select("a", F.col("id").alias("b")))
+    keyed = claims.where("key <> ''").groupBy("event", "key").agg(F.min("id").alias("id"))
+    again = claims.where("key <> ''").join(keyed.withColumnRenamed("id", "a"), ["event", "key"]).where("id <> a").select("a", F.col("id").alias("b"))
+    words = keyed.withColumn("set", F.array_distinct(F.split("key", " ")))
+    counts = words.select("event", F.explode("set").alias("w")).groupBy("event", "w").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "w"))
+    probe = words.select("id", "event", F.size("set").alias("n"), F.explode("set").alias("w")).join(counts, ["event", "w"]).withColumn("rank", rank)
+    probe = probe.where(F.col("rank") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select("id", "event", "n", "w")
+    x, y = probe.alias("x"), probe.alias("y")
+    fits = (F.col("x.event") == F.col("y.event")) & (F.col("x.w") == F.col("y.w")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.n") >= least * F.col("y.n")) & (F.col("y.n") >= least * F.col("x.n"))
+    pairs = x.join(y, fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    sets = words.select("id", "set")
+    pairs = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("p")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("q")), "b")
+    shared = F.size(F.array_intersect("p", "q"))
+    alike = pairs.where(shared / (F.size("p") + F.size("q") - shared) >= least).select("a", "b")
+    return stars[0].unionByName(stars[1]).unionByName(again).unionByName(alike).distinct()
+
+
+def canonical_pick(claims: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key the id of the claim to show: not attributed, then fewest bars or bullets
+    between words, then the most confident, the longest, the least id.
+
+    ``claims`` has id, text, attributed and confidence; null texts come last.
+    """
+    text = F.coalesce("text", F.lit(""))
+    bars = F.size(F.regexp_extract_all(text, F.lit(r"\s[|•]\s"), F.lit(0)))
+    order = F.struct(F.coalesce("attributed", F.lit(False)).cast("int").alias("o1"), F.col("text").isNull().alias("o2"), bars.alias("o3"), (-F.coalesce("confidence", F.lit(0))).alias("o4"), (-F.length(text)).alias("o5"), F.col("id").alias("o6"))
+    return claims.groupBy(*keys).agg(F.min_by("id", order).alias("canonical"), F.count("*").alias("claims"))

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.catalog import register
+from gleaner.functions import text as X
 from gleaner.operators import claims as C
+from gleaner.operators.asof import asof_join
 from gleaner.operators.components import connected_components
 from gleaner.plans.identity import _SET_SQL, similar_pairs, token_sets
 from gleaner.sources import views as V
+from gleaner.storage import Workspace
 
 #: Claims are judged as of this time.
 AT = "2001-11-01 00:00:00"
@@ -55,19 +58,31 @@ def supersession(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "kind", "value", F.when(old, "outdated").otherwise(F.col("status")).alias("status"), F.when(old, F.col("value_b")).alias("superseded_by"))
 
 
-_JUDGED_SQL = f"""{_GROUP_SQL}, j AS (SELECT *, value >= 45 AS primary_record, value::BIGINT % 5 = 0 AS disputed, reports > 2 * groups AS syndicated, value::BIGINT % 3 = 0 AS unknown,
-        (epoch_us(TIMESTAMP '{AT}') - epoch_us(last_seen)) / 3.6e9 AS age FROM s),
+_DAILY_SQL = """wd AS (SELECT event_id, kind, seen_at::DATE AS day, value, min(seen_at) AS earliest, max(seen_at) AS latest FROM v_claims WHERE value > 0 GROUP BY ALL),
+    od AS (SELECT *, row_number() OVER (PARTITION BY event_id, kind, day ORDER BY earliest, value) AS k, count(*) OVER (PARTITION BY event_id, kind, day) AS n FROM wd),
+    hard AS (SELECT x.event_id, x.kind, x.day FROM od x JOIN od y ON x.event_id = y.event_id AND x.kind = y.kind AND x.day = y.day AND x.k = 1 AND y.k = y.n
+        WHERE x.n >= 2 AND abs(epoch_us(y.latest) - epoch_us(x.earliest)) / 6e7 <= 45 AND abs(y.value - x.value) / least(x.value, y.value) >= 0.2)"""
+_JUDGED_SQL = f"""{_GROUP_SQL}, {_DAILY_SQL}, j AS (SELECT s.*, value >= 45 AS primary_record, hard.day IS NOT NULL AND status <> 'attributed' AS disputed, reports > 2 * groups AS syndicated, value::BIGINT % 3 = 0 AS unknown,
+        (epoch_us(TIMESTAMP '{AT}') - epoch_us(last_seen)) / 3.6e9 AS age FROM s LEFT JOIN hard ON s.event_id = hard.event_id AND s.kind = hard.kind AND s.last_seen::DATE = hard.day),
     k AS (SELECT *, least(greatest(30 + CASE WHEN groups >= 3 THEN 32 WHEN groups = 2 THEN 24 ELSE 14 END + CASE WHEN primary_record THEN 18 ELSE 0 END + CASE WHEN NOT attributed AND NOT allegation THEN 6 WHEN allegation THEN -16 ELSE 0 END
         + CASE WHEN age < 6 THEN 6 WHEN age < 24 THEN 2 ELSE 0 END + CASE WHEN disputed THEN -22 ELSE 0 END + CASE WHEN syndicated THEN -8 ELSE 0 END + CASE WHEN unknown AND groups < 2 THEN -6 ELSE 0 END, 0), 100) AS raw FROM j),
     f AS (SELECT *, CASE WHEN unknown AND groups < 2 THEN least(raw, 69) ELSE raw END AS confidence FROM k)"""
 
 
+def daily_disputes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard disputes of an event's kind on one day."""
+    keys = ["event_id", "kind", "day"]
+    return C.hard_disputes(C.numeric_disputes(V.claims(spark, sf_dir).withColumn("day", F.col("seen_at").cast("date")), keys), keys)
+
+
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims with what confidence takes; disputed if their kind is in a hard dispute
+    of the day they were last seen."""
     whole = F.col("value").cast("long")
-    rows = grouped(spark, sf_dir).withColumns(
+    rows = grouped(spark, sf_dir).withColumn("day", F.col("last_seen").cast("date"))
+    rows = C.propagate_disputes(rows, daily_disputes(spark, sf_dir), ["event_id", "kind", "day"]).drop("day").withColumns(
         {
             "primary_record": F.col("value") >= 45,
-            "disputed": whole % 5 == 0,
             "syndicated": F.col("reports") > 2 * F.col("groups"),
             "unknown": whole % 3 == 0,
             "age": V.hours(V.now(AT), F.col("last_seen")),
@@ -256,3 +271,62 @@ def political_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("turns"), F.count_distinct("role").alias("actors"), F.count_if(F.col("act") == "denies").alias("denials"),
         F.bool_or(F.col("role") == "assistant").alias("has_response"), (F.max_by("role", "turn") != "assistant").alias("unanswered"), F.min_by("act", "turn").alias("opening"),
     )
+
+
+@register("dispute_propagation", "F6 F8", V.sql("v_claims", f""", {_JUDGED_SQL} SELECT event_id, kind, value, status, disputed FROM f"""))
+def dispute_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which claims a hard dispute of their kind marks."""
+    return judged(spark, sf_dir).select("event_id", "kind", "value", "status", "disputed")
+
+
+_SUBJECT, _ASSERTS, _DENIES = "(?i)th", "(?i)ing", "(?i)ent"
+
+
+@register("ordered_disputes", "F7", V.sql("v_articles", f""", c AS (SELECT published_at::DATE AS day, coalesce(title, '') AS t, published_at AS seen FROM v_articles WHERE regexp_matches(title, '{_SUBJECT}')),
+    s AS (SELECT day, count(*) FILTER (WHERE regexp_matches(t, '{_ASSERTS}') AND NOT regexp_matches(t, '{_DENIES}')) AS asserting, count(*) FILTER (WHERE regexp_matches(t, '{_DENIES}')) AS denying,
+        max(seen) FILTER (WHERE regexp_matches(t, '{_ASSERTS}') AND NOT regexp_matches(t, '{_DENIES}')) AS asserted_at, max(seen) FILTER (WHERE regexp_matches(t, '{_DENIES}')) AS denied_at FROM c GROUP BY day)
+    SELECT day, asserting, denying, asserted_at, denied_at, abs(epoch_us(asserted_at) - epoch_us(denied_at)) / 6e7 > 30 AS update, CASE WHEN abs(epoch_us(asserted_at) - epoch_us(denied_at)) / 6e7 > 30 THEN 'low' ELSE 'moderate' END AS confidence
+    FROM s WHERE asserting > 0 AND denying > 0"""))
+def ordered_disputes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days on which titles about a subject assert and deny; the patterns stand for
+    words of orders, which the invented texts don't have."""
+    rows = V.articles(spark, sf_dir).select(F.col("published_at").cast("date").alias("day"), F.col("title").alias("text"), F.col("published_at").alias("seen_at"))
+    return C.ordered_disputes(rows, ["day"], _SUBJECT, _ASSERTS, _DENIES)
+
+
+@register("prior_alert", "F7 C11", V.sql("v_reports", """, a AS (SELECT cluster_id, report_id, figure, published_at FROM v_reports WHERE role = 'official-alert'),
+    l AS (SELECT cluster_id, published_at, max(report_id) AS report_id, arg_max(figure, report_id) AS figure FROM a GROUP BY cluster_id, published_at)
+    SELECT r.report_id, CASE WHEN r.published_at - l.published_at <= INTERVAL 24 HOUR THEN l.report_id END AS alert_id, CASE WHEN r.published_at - l.published_at <= INTERVAL 24 HOUR THEN r.figure - l.figure END AS change
+    FROM (SELECT * FROM v_reports WHERE role <> 'official-alert') r ASOF LEFT JOIN l ON r.cluster_id = l.cluster_id AND r.published_at >= l.published_at"""))
+def prior_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each report the latest alert of its cluster in the day before, and how the figure changed."""
+    rows = V.reports(spark, sf_dir)
+    alerts = rows.where("role = 'official-alert'").select("cluster_id", "report_id", "figure", "published_at")
+    found = asof_join(rows.where("role <> 'official-alert'").select("cluster_id", "report_id", "figure", "published_at"), alerts, ["cluster_id"], "published_at", "report_id", within_seconds=86_400)
+    return found.select("report_id", F.col("match.report_id").alias("alert_id"), (F.col("figure") - F.col("match.figure")).alias("change"))
+
+
+_FOLD_SQL = "CASE " + " ".join(f"WHEN w IN ({', '.join(repr(x) for x in words)}) THEN '{to}'" for to, words in X.KEY_SAME_WORD.items()) + " ELSE w END"
+_KEY_SQL = f"""array_to_string(list_sort(list_filter(list_transform(string_split(trim(regexp_replace(lower(coalesce(title, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda w: {_FOLD_SQL}),
+    lambda w: length(w) > 2 AND w NOT IN ({", ".join(repr(x) for x in X.KEY_STOP_WORDS)}))), ' ')"""
+
+
+@register("claim_classes", "E13 E17 L-claimkey", V.sql("v_articles", f""", c AS (SELECT article_id AS id, published_at::DATE AS event, publisher AS kind, regexp_extract(title, '[0-9]+') AS object, {_KEY_SQL} AS key, title, official FROM v_articles),
+    w AS (SELECT *, list_distinct(string_split(key, ' ')) AS s FROM c),
+    e AS (SELECT a.id AS a, b.id AS b FROM w a JOIN w b ON a.event = b.event AND a.id <> b.id AND ((a.kind = b.kind AND a.object = b.object AND a.object <> '') OR (a.key = b.key AND a.key <> '')
+        OR (a.key <> '' AND b.key <> '' AND len(list_intersect(a.s, b.s))::DOUBLE / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) >= 0.7))),
+    walk AS (SELECT a AS node, a AS root FROM e UNION SELECT e.b, walk.root FROM walk JOIN e ON walk.node = e.a), comp AS (SELECT node, min(root) AS component FROM walk GROUP BY node),
+    m AS (SELECT coalesce(component, id) AS class, c.*, coalesce(title, '') AS t FROM c LEFT JOIN comp ON id = node)
+    SELECT class, arg_min(id, (official::INT, title IS NULL, len(regexp_extract_all(t, '\\s[|•]\\s')), -length(t), id)) AS canonical, count(*) AS claims FROM m GROUP BY class""").replace("WITH", "WITH RECURSIVE", 1))
+def claim_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of a day that say the same, and which of them to show."""
+    rows = V.articles(spark, sf_dir)
+    claims = rows.select(
+        F.col("article_id").alias("id"), F.col("published_at").cast("date").alias("event"), F.col("publisher").alias("kind"), F.regexp_extract("title", "[0-9]+", 0).alias("object"),
+        X.claim_key(F.col("title")).alias("key"), F.col("title").alias("text"), F.col("official").alias("attributed"), F.lit(0).alias("confidence"),
+    )
+    space = Workspace(spark, "claims")
+    claims = space.keep(claims, "claims")
+    classes = connected_components(space.keep(C.equivalence_edges(claims), "edges"))
+    named = claims.join(classes, claims["id"] == classes["node"], "left").withColumn("class", F.coalesce("component", "id"))
+    return C.canonical_pick(named, ["class"])

@@ -428,3 +428,61 @@ def test_hyperplane_bands_find_close_vectors(spark):
     edge = [p for p in whole if whole[p] < 0.55]
     assert sum(p in found for p in edge) >= 0.9 * len(edge) > 100
     assert D.cosine_pairs(frame.limit(0), id_col="id", vector_col="v", block_col="block").count() == 0
+
+
+def test_asof_join_with_ties_and_slices(spark):
+    import random
+
+    from gleaner.operators.asof import asof_join
+
+    rng = random.Random(8)
+    base = dt.datetime(2024, 1, 1)
+    key = lambda: rng.choice(["hot", "hot", "hot", "a", "b", None])
+    left = [(i, key(), None if i % 50 == 7 else base + dt.timedelta(minutes=rng.randrange(400))) for i in range(400)] + [(1, "hot", base)]
+    right = [(i, key(), None if i % 40 == 3 else base + dt.timedelta(minutes=rng.randrange(400)), f"v{i}") for i in range(150)]
+    a, b = spark.createDataFrame(left, "id long, k string, at timestamp"), spark.createDataFrame(right, "id long, k string, at timestamp, value string")
+    for strict, within in ((False, None), (True, None), (False, 600), (True, 600)):
+        expected = []
+        for i, k, at in left:
+            fits = [r for r in right if at and r[2] and r[1] == k and (r[2] < at if strict else r[2] <= at)]
+            best = max(fits, key=lambda r: (r[2], r[0]), default=None)
+            expected.append((i, best[3] if best and (within is None or (at - best[2]).total_seconds() <= within) else None))
+        for slices in (1, 16):
+            found = asof_join(a, b, ["k"], "at", "id", within_seconds=within, slices=slices, strict=strict)
+            assert sorted(map(str, [(r.id, r.match and r.match.value) for r in found.collect()])) == sorted(map(str, expected))
+    assert asof_join(a.limit(0), b, ["k"], "at", "id").count() == 0
+    assert {r.match for r in asof_join(a, b.limit(0), ["k"], "at", "id").collect()} == {None}
+
+
+def test_disputes_reach_claims_of_their_kind(spark):
+    at = dt.datetime(2024, 1, 1)
+    rows = [(1, "dead", 3.0, at, 1), (1, "dead", 9.0, at + dt.timedelta(minutes=45), 2), (2, "dead", 3.0, at, 1), (2, "dead", 9.0, at + dt.timedelta(minutes=45, microseconds=1), 2), (3, "dead", 10.0, at, 1), (3, "dead", 11.0, at, 2)]
+    disputes = C.numeric_disputes(spark.createDataFrame(rows, "event int, kind string, value double, seen_at timestamp, publisher int"), ["event", "kind"])
+    hard = C.hard_disputes(disputes, ["event", "kind"])
+    assert [tuple(r) for r in hard.collect()] == [(1, "dead")]
+    claims = spark.createDataFrame([(1, "dead", "single-source"), (1, "dead", "attributed"), (1, "hurt", "corroborated"), (2, "dead", "single-source"), (None, "dead", "single-source")], "event int, kind string, status string")
+    assert [r.disputed for r in C.propagate_disputes(claims, hard, ["event", "kind"]).orderBy("event", "kind", "status").collect()] == [False, False, True, False, False]
+
+
+def test_ordered_against_not_ordered(spark):
+    at = dt.datetime(2024, 1, 1)
+    say, deny = "Collector ordered evacuation of the town", "Officials did not order an evacuation; ordered calm"
+    rows = [(1, say, at), (1, deny, at + dt.timedelta(minutes=30)), (2, say, at), (2, deny, at + dt.timedelta(minutes=31)), (3, say, at), (3, "ordered lunch", at), (4, deny, at), (5, None, at), (1, say, at - dt.timedelta(hours=5))]
+    frame = spark.createDataFrame(rows, "event int, text string, seen_at timestamp")
+    found = C.ordered_disputes(frame, ["event"], "(?i)evacuat", r"(?i)\bordered\b", "(?i)did not order|no evacuation")
+    assert {(r.event, r.asserting, r.denying, r.update, r.confidence) for r in found.collect()} == {(1, 2, 1, False, "moderate"), (2, 1, 1, True, "low")}
+
+
+def test_claims_that_say_the_same(spark):
+    keys = {1: "aa bb cc dd ee ff gg", 2: "aa bb cc dd ee ff hh", 3: "zz", 4: "zz", 5: "yy", 6: "xx", 7: None, 8: "", 9: "aa bb cc dd ee ff gg", 10: "aa bb cc dd ee ff gg"}
+    objects = {5: ("dead", "3 !"), 6: ("dead", "3"), 7: ("dead", ""), 8: ("", "3")}
+    rows = [(i, 2 if i == 9 else 1, *objects.get(i, (None, None)), key, "x") for i, key in keys.items()]
+    edges = C.equivalence_edges(spark.createDataFrame(rows, "id int, event int, kind string, object string, key string, a2 string"))
+    classes = {frozenset((r.a, r.b)) for r in edges.collect()}
+    assert classes == {frozenset(p) for p in ((1, 2), (1, 10), (3, 4), (5, 6))}
+
+
+def test_the_claim_to_show(spark):
+    rows = [(1, 1, "A | B | channel", False, 9), (2, 1, "short", False, 5), (3, 1, "longer text", False, 5), (4, 1, "the longest text of all", True, 9), (5, 2, None, False, 9), (6, 2, "x", False, 1), (7, 3, "same", None, None), (8, 3, "same", None, None)]
+    frame = spark.createDataFrame(rows, "id int, class int, text string, attributed boolean, confidence int")
+    assert {(r["class"], r.canonical, r.claims) for r in C.canonical_pick(frame, ["class"]).collect()} == {(1, 3, 4), (2, 6, 2), (3, 7, 2)}
