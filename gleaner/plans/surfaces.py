@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.catalog import register
 from gleaner.functions import text as X
+from gleaner.operators import novelty as N
 from gleaner.operators.topk import diversified, first_per_group
 from gleaner.plans.text import _URL_KEY_SQL, tokens_sql
 from gleaner.plans.trends import _EDITED_SQL, edited
@@ -242,3 +243,58 @@ def feed_descriptor_change_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     support = F.when((F.col("families") == 1) & (F.col("reports") > 1), F.concat("reports", F.lit(" reports, one upstream"))).when(F.col("families") >= 2, F.concat("families", F.lit(" groups"))).otherwise("one source")
     change = F.regexp_replace(F.concat(F.lit("internal:"), "publisher", F.lit(" changed")), "^internal:", "")
     return rows.select("publisher", kind.alias("source_type"), poll.alias("poll_minutes"), support.alias("support"), change.alias("change_text"))
+
+
+_WEEKS_SQL = f"""now AS (SELECT TIMESTAMP '{V.NOW}' AS n, TIMESTAMP '{V.PREVIOUS}' AS p), cur AS (SELECT v_reports.* FROM v_reports, now WHERE published_at < n AND published_at >= n - INTERVAL 7 DAY),
+    old AS (SELECT v_reports.* FROM v_reports, now WHERE published_at < p AND published_at >= p - INTERVAL 7 DAY),
+    b AS (SELECT cluster_id, role, figure, count(*) AS n FROM old GROUP BY ALL), a AS (SELECT cluster_id, role, figure, count(*) AS n FROM cur GROUP BY ALL),
+    f AS (SELECT coalesce(b.cluster_id, a.cluster_id) AS cluster_id, coalesce(b.role, a.role) AS role, coalesce(b.figure, a.figure) AS figure, coalesce(b.n, 0) AS before, coalesce(a.n, 0) AS after
+        FROM b FULL JOIN a ON b.cluster_id IS NOT DISTINCT FROM a.cluster_id AND b.role IS NOT DISTINCT FROM a.role AND b.figure IS NOT DISTINCT FROM a.figure),
+    d AS (SELECT *, CASE WHEN before = 0 AND sum(CASE WHEN before > 0 AND after > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY cluster_id, role) > 0 THEN 'contradicted' WHEN before = 0 THEN 'added' WHEN after = 0 THEN 'gone'
+        WHEN after > before THEN 'more' WHEN after < before THEN 'fewer' ELSE 'same' END AS change FROM f)"""
+
+
+def weeks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Reports of the week before the previous snapshot, and of the week before now."""
+    rows = V.reports(spark, sf_dir)
+    return tuple(rows.where((F.col("published_at") < V.now(at)) & (F.col("published_at") >= V.now(at) - F.expr("INTERVAL 7 DAYS"))) for at in (V.PREVIOUS, V.NOW))
+
+
+@register("claim_changes", "I7 K3", V.sql("v_reports", f", {_WEEKS_SQL} SELECT cluster_id, role, figure, before, after, change FROM d"))
+def claim_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of each cluster and role in two snapshots, and what became of them."""
+    return N.claim_diff(*weeks(spark, sf_dir), ["cluster_id", "role"], "figure")
+
+
+@register("update_kinds", "I7 I8", V.sql("v_reports", f""", {_WEEKS_SQL},
+    g AS (SELECT cluster_id, count(*) FILTER (WHERE change IN ('added', 'contradicted')) AS figures, coalesce(bool_or(change = 'contradicted'), false) AS contradicted FROM d GROUP BY cluster_id),
+    o AS (SELECT cluster_id, max(published_at) AS last, bool_or(role = 'official-alert') AS was_official, count(DISTINCT family) AS families FROM old GROUP BY cluster_id),
+    c AS (SELECT cur.cluster_id, min(published_at) AS earliest, max(published_at) AS newest, count(*) FILTER (WHERE published_at > last + INTERVAL 20 MINUTE) AS fresh,
+        coalesce(bool_or(role = 'official-alert' AND published_at > last + INTERVAL 20 MINUTE), false) AS official, count(DISTINCT family) AS families, any_value(last) AS last FROM cur LEFT JOIN o ON cur.cluster_id = o.cluster_id GROUP BY cur.cluster_id),
+    x AS (SELECT c.cluster_id, c.last IS NOT NULL AS matched, epoch_us(n) / 3.6e9 - epoch_us(earliest) / 3.6e9 AS age, fresh, coalesce(contradicted, false) AS contradicted, official, coalesce(was_official, false) AS was_official, coalesce(figures, 0) AS figures,
+        c.families - coalesce(o.families, 0) AS families, coalesce(greatest(0, (epoch_us(newest) - epoch_us(c.last)) / 3.6e9), 0) AS quiet FROM now, c LEFT JOIN g ON c.cluster_id = g.cluster_id LEFT JOIN o ON c.cluster_id = o.cluster_id),
+    s AS (SELECT *, least(1.0::DOUBLE, greatest(0.2::DOUBLE, CASE WHEN contradicted THEN 0.85 ELSE 0 END, CASE WHEN official AND NOT was_official THEN 0.85 WHEN official THEN 0.55 ELSE 0 END, CASE WHEN figures > 0 THEN 0.7 ELSE 0 END) + CASE WHEN quiet >= 12 THEN 0.1 ELSE 0 END) AS score FROM x)
+    SELECT cluster_id, CASE WHEN NOT matched AND age > 8 THEN 'unknown' WHEN NOT matched THEN 'major-development' WHEN fresh = 0 THEN 'duplicate'
+        WHEN contradicted OR official OR figures > 0 THEN CASE WHEN score >= 0.8 OR (contradicted AND official) THEN 'major-development' WHEN official AND NOT was_official THEN 'new-official-confirmation' WHEN contradicted THEN 'new-contradiction' WHEN official THEN 'new-authority-statement' ELSE 'new-number' END
+        WHEN families > 0 THEN 'new-source-only' ELSE 'duplicate' END AS kind,
+        round(CASE WHEN NOT matched AND age > 8 THEN 0.4 WHEN NOT matched THEN 1 WHEN fresh = 0 THEN 0.1 WHEN contradicted OR official OR figures > 0 THEN score WHEN families > 0 THEN 0.3 ELSE 0.1 END, 2)::DOUBLE AS score FROM s"""))
+def update_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Update kind and score of each cluster from the diff of its figures; the events
+    have no texts and places, so those rules are held by tests alone."""
+    before, after = weeks(spark, sf_dir)
+    diff = N.claim_diff(before, after, ["cluster_id", "role"], "figure").groupBy("cluster_id").agg(
+        F.count_if(F.col("change").isin("added", "contradicted")).alias("figures"), F.bool_or(F.col("change") == "contradicted").alias("contradicted")
+    )
+    old = before.groupBy("cluster_id").agg(F.max("published_at").alias("last"), F.bool_or(F.col("role") == "official-alert").alias("was_official"), F.count_distinct("family").alias("old_families"))
+    late = F.col("published_at") > F.col("last") + F.expr(f"INTERVAL {N.FRESH_MINUTES} MINUTES")
+    now = after.join(old, "cluster_id", "left").groupBy("cluster_id").agg(
+        F.min("published_at").alias("earliest"), F.max("published_at").alias("newest"), F.count_if(late).alias("fresh"), F.bool_or((F.col("role") == "official-alert") & late).alias("official"), F.count_distinct("family").alias("families")
+    )
+    rows = now.join(old, "cluster_id", "left").join(diff, "cluster_id", "left")
+    no, zero = F.lit(False), F.lit(0)
+    kind = N.update_kind(
+        first_snapshot=no, matched=F.col("last").isNotNull(), age_hours=V.hours(V.now(), F.col("earliest")), fresh=F.col("fresh"), retracted=no, corrected=no, contradicted=F.coalesce("contradicted", no), countered=no,
+        official=F.coalesce("official", no), was_official=F.coalesce("was_official", no), figures=F.coalesce("figures", zero), places=zero, claims=zero, families=F.col("families") - F.coalesce("old_families", zero), words=zero,
+        quiet_hours=F.coalesce(F.greatest(zero, V.hours(F.col("newest"), F.col("last"))), zero),
+    )
+    return rows.select("cluster_id", kind.alias("u")).select("cluster_id", "u.kind", "u.score")

@@ -486,3 +486,60 @@ def test_the_claim_to_show(spark):
     rows = [(1, 1, "A | B | channel", False, 9), (2, 1, "short", False, 5), (3, 1, "longer text", False, 5), (4, 1, "the longest text of all", True, 9), (5, 2, None, False, 9), (6, 2, "x", False, 1), (7, 3, "same", None, None), (8, 3, "same", None, None)]
     frame = spark.createDataFrame(rows, "id int, class int, text string, attributed boolean, confidence int")
     assert {(r["class"], r.canonical, r.claims) for r in C.canonical_pick(frame, ["class"]).collect()} == {(1, 3, 4), (2, 6, 2), (3, 7, 2)}
+
+
+def test_claims_of_two_snapshots(spark):
+    from gleaner.operators.novelty import claim_diff
+
+    before = [(1, "dead", 3), (1, "dead", 3), (1, "hurt", 5), (2, "dead", 1), (None, "x", None), (3, "dead", 4)]
+    after = [(1, "dead", 3), (1, "dead", 9), (1, "hurt", 6), (2, "dead", 1), (None, "x", None), (None, "x", None), (4, "dead", 1)]
+    frames = [spark.createDataFrame(rows, "cluster int, kind string, value int") for rows in (before, after)]
+    found = {tuple(r) for r in claim_diff(*frames, ["cluster", "kind"], "value").collect()}
+    assert found == {
+        (1, "dead", 3, 2, 1, "fewer"), (1, "dead", 9, 0, 1, "contradicted"), (1, "hurt", 5, 1, 0, "gone"), (1, "hurt", 6, 0, 1, "added"), (2, "dead", 1, 1, 1, "same"),
+        (None, "x", None, 1, 2, "more"), (3, "dead", 4, 1, 0, "gone"), (4, "dead", 1, 0, 1, "added"),
+    }
+    assert claim_diff(frames[0].limit(0), frames[1].limit(0), ["cluster", "kind"], "value").count() == 0
+
+
+@pytest.mark.parametrize(
+    "over, expected",
+    [
+        ({"first_snapshot": True}, ("unknown", "unknown", 0.5)),
+        ({"matched": False, "age_hours": 8.0}, ("new-event", "major-development", 1.0)),
+        ({"matched": False, "age_hours": 8.1}, ("unknown", "unknown", 0.4)),
+        ({"fresh": 0, "retracted": True}, ("more-of-same", "duplicate", 0.1)),
+        ({"retracted": True, "corrected": True}, ("correction", "retraction", 0.95)),
+        ({"corrected": True, "figures": 3}, ("correction", "correction", 0.9)),
+        ({"figures": 1}, ("new-fact", "new-number", 0.7)),
+        ({"figures": 1, "quiet_hours": 12.0}, ("new-fact", "major-development", 0.8)),
+        ({"figures": 1, "places": 1}, ("new-fact", "major-development", 0.7)),
+        ({"places": 2, "claims": 1}, ("new-fact", "new-location", 0.65)),
+        ({"claims": 1}, ("new-fact", "new-fact", 0.6)),
+        ({"countered": True, "figures": 1}, ("new-fact", "new-counterclaim", 0.7)),
+        ({"contradicted": True}, ("new-fact", "major-development", 0.85)),
+        ({"official": True}, ("new-fact", "major-development", 0.85)),
+        ({"official": True, "was_official": True}, ("new-fact", "new-authority-statement", 0.55)),
+        ({"official": True, "was_official": True, "claims": 1, "figures": 1}, ("new-fact", "new-fact", 0.7)),
+        ({"families": 1, "words": 9}, ("more-of-same", "new-source-only", 0.3)),
+        ({"words": 4}, ("more-of-same", "minor-detail", 0.25)),
+        ({"words": 1}, ("more-of-same", "rephrasing", 0.15)),
+        ({}, ("more-of-same", "duplicate", 0.1)),
+    ],
+)
+def test_update_kinds_in_order(spark, over, expected):
+    from pyspark.sql import functions as F
+
+    from gleaner.operators.novelty import update_kind
+
+    base = dict(first_snapshot=False, matched=True, age_hours=1.0, fresh=2, retracted=False, corrected=False, contradicted=False, countered=False, official=False, was_official=False, figures=0, places=0, claims=0, families=0, words=0, quiet_hours=0.0)
+    kind = update_kind(**{name: F.lit(value) for name, value in (base | over).items()})
+    assert tuple(spark.range(1).select(kind.alias("u")).select("u.*").first()) == expected
+
+
+def test_patterns_of_updates(spark):
+    from gleaner.operators import novelty as N
+
+    frame = spark.createDataFrame([("The report was retracted.",), ("A clarification: corrected toll",), ("Minister denies it",), ("nothing",)], "t string")
+    found = frame.select(*[frame["t"].rlike(p).alias(n) for n, p in (("r", N.RETRACTION), ("c", N.CORRECTION), ("d", N.COUNTER))]).collect()
+    assert [tuple(r) for r in found] == [(True, False, False), (False, True, False), (False, False, True), (False, False, False)]
