@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES: tuple[str, ...] = ("trends", "text", "identity", "claims", "landscape", "surfaces", "research", "streams", "validation", "extraction")
+FAMILIES: tuple[str, ...] = ("trends", "text", "identity", "claims", "landscape", "surfaces", "research", "streams", "validation", "extraction", "served")
 
 
 def load_all() -> None:
