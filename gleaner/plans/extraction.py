@@ -9,7 +9,8 @@ from gleaner.catalog import register
 from gleaner.functions import text as X
 from gleaner.operators import extraction as E
 from gleaner.sources import views as V
-from gleaner.sources.feeds import parse_feeds
+from gleaner.sources.feeds import parse_feeds, read_feeds
+from gleaner.storage import Workspace
 
 # Sentences written for the rules, one for each of their families.
 SENTENCES = (
@@ -62,3 +63,26 @@ def feed_xml_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = parse_feeds(feeds)
     at = F.lit("2024-02-01 00:00:00").cast("timestamp")
     return items.select("feed", "pos", X.cleaned(F.col("title")).alias("title"), X.safe_url(F.col("link")).alias("link"), X.parse_date(F.col("published"), at).alias("published"), X.cleaned(F.col("summary")).alias("summary"), "guid")
+
+
+@register("landed_feeds", "A2 A3 A4 A10", V.sql("v_articles", """, t AS (SELECT article_id, publisher, family, language, published_at, trim(regexp_replace(title, '[\\x00-\\x08\\x0B-\\x1F\\x7F-\\x9F]', '', 'g'), ' ' || chr(9) || chr(10)) AS title FROM v_articles)
+    SELECT 'a' || article_id AS guid, publisher, nullif(title, '') AS title, 'http://feed.example/' || article_id AS link, strftime(published_at, '%Y-%m-%dT%H:%M:%SZ') AS published, language AS author, language || ',f' || family AS category FROM t"""))
+def landed_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles written as feed files of their publishers, RSS and Atom by turns, and
+    read again from where they landed."""
+    control = r"[\x00-\x08\x0B-\x1F\x7F-\x9F]"  # what XML can't hold
+    rows = V.articles(spark, sf_dir).withColumn("title", F.regexp_replace("title", control, ""))
+    time = F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    link, key, of = F.concat(F.lit("http://feed.example/"), "article_id"), F.concat(F.lit("a"), "article_id"), F.concat(F.lit("f"), "family")
+    rss = rows.where("family % 2 = 0").select(
+        "publisher", "title", link.alias("link"), time.alias("date"), F.col("language").alias("creator"), F.array("language", of).alias("category"), F.struct(F.lit("false").alias("_isPermaLink"), key.alias("_VALUE")).alias("guid")
+    )
+    to = lambda rel, url: F.struct(F.lit(rel).alias("_rel"), url.alias("_href"))
+    atom = rows.where("family % 2 <> 0").select(
+        "publisher", F.struct(F.lit("text").alias("_type"), F.col("title").alias("_VALUE")).alias("title"), F.array(to("self", F.lit("http://feed.example/self")), to("alternate", link)).alias("link"), F.lit("2000-01-01T00:00:00Z").alias("published"),
+        time.alias("updated"), F.struct(F.col("language").alias("name")).alias("author"), F.array(F.struct(F.col("language").alias("_term")), F.struct(of.alias("_term"))).alias("category"), key.alias("id"),
+    )
+    folder = Workspace(spark, "feeds").path("landed")
+    for frame, root, tag in ((rss, "rss", "item"), (atom, "feed", "entry")):
+        frame.write.mode("append").partitionBy("publisher").format("xml").options(rootTag=root, rowTag=tag).save(folder)
+    return read_feeds(spark, folder).select("guid", "publisher", "title", "link", "published", "author", "category")

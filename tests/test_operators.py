@@ -543,3 +543,27 @@ def test_patterns_of_updates(spark):
     frame = spark.createDataFrame([("The report was retracted.",), ("A clarification: corrected toll",), ("Minister denies it",), ("nothing",)], "t string")
     found = frame.select(*[frame["t"].rlike(p).alias(n) for n, p in (("r", N.RETRACTION), ("c", N.CORRECTION), ("d", N.COUNTER))]).collect()
     assert [tuple(r) for r in found] == [(True, False, False), (False, True, False), (False, False, True), (False, False, False)]
+
+
+def test_feed_files_that_landed(spark, tmp_path):
+    from gleaner.sources.feeds import read_feeds
+
+    folder = tmp_path / "feeds"
+    for name in ("publisher=a", "publisher=b"):
+        (folder / name).mkdir(parents=True)
+    (folder / "publisher=a/one.xml").write_text(
+        '<?xml version="1.0"?><rss xmlns:dc="d" xmlns:content="c"><channel><title>Channel</title>'
+        '<item><title>First &amp; last</title><link>http://a.example/1</link><pubDate>Mon, 01 Jan 2024 10:00:00 +0530</pubDate><description>short</description><content:encoded><![CDATA[<p>Body</p>]]></content:encoded>'
+        '<author>x@y</author><dc:creator>Someone</dc:creator><category>one</category><category domain="z">two</category><guid isPermaLink="false">g1</guid></item>'
+        "<item><title>Broken <b></title></item></channel></rss>"
+    )
+    (folder / "publisher=b/two.xml").write_text(
+        '<feed xmlns="a"><title>Feed</title><entry><title type="html">Third</title><link rel="self" href="s"/><link rel="alternate" href="http://b.example/3"/><updated>2024-01-02</updated><published>2024-01-01</published>'
+        '<author><name>N</name></author><category term="t1"/><category term="t2"/><content>Text</content><id>t3</id></entry><entry><title></title><link href="only"/></entry></feed>'
+    )
+    found = {(r.publisher, r.guid): r for r in read_feeds(spark, str(folder)).collect()}
+    one, two, bare = found["a", "g1"], found["b", "t3"], found["b", None]
+    assert (one.title, one.link, one.published, one.summary, one.author, one.category) == ("First & last", "http://a.example/1", "Mon, 01 Jan 2024 10:00:00 +0530", "<p>Body</p>", "x@y", "one,two")
+    assert (two.title, two.link, two.published, two.summary, two.author, two.category) == ("Third", "http://b.example/3", "2024-01-02", "Text", "N", "t1,t2")
+    assert (bare.title, bare.link, bare.category) == (None, "only", None)
+    assert "Broken" in found["a", None].corrupt and found["a", None].title is None and len(found) == 4
