@@ -168,3 +168,26 @@ def test_notices_across_chunks_of_words(make, monkeypatch):
     expected = {tuple(r.values()) for r in rows(license_scan(make(texts)))}
     monkeypatch.setattr(licenses, "CHUNK_WORDS", max(len(t.split()) for _, t in TEMPLATES) + 40)
     assert {tuple(r.values()) for r in rows(license_scan(make(texts)))} == expected and len(expected) >= 40
+
+
+def test_shuffled_branches_give_the_same(make, monkeypatch):
+    from gleaner.llm import exact_duplicates as X
+    from gleaner.llm import mixing as M
+    from gleaner.llm import near_duplicates as N
+    from gleaner.operators import components as C
+
+    rng = random.Random(21)
+    base = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * 2 for _ in range(40)) for _ in range(12)]
+    texts = [rng.choice(base) + rng.choice(["", "", " end", " other end"]) for _ in range(150)] + [None, "", "  "]
+    docs = make(texts, [rng.choice(["hot", "hot", "b", "c", None]) for _ in texts])
+
+    def results():
+        return [sorted(map(str, f.collect())) for f in (exact_duplicates(docs), exact_duplicates(docs, hash_all=True), mix_sources(docs), N.near_duplicates(docs, seed=1))]
+
+    expected = results()
+    monkeypatch.setattr(X, "MOST_BROADCAST_KEYS", 0)
+    monkeypatch.setattr(M, "MOST_BROADCAST_SOURCES", 0)
+    monkeypatch.setattr(N, "MOST_BROADCAST_IDS", 0)
+    monkeypatch.setattr(C, "MOST_BROADCAST_ROWS", 0)
+    monkeypatch.setattr(N, "BLOCK", 16)
+    assert results() == expected

@@ -171,3 +171,38 @@ def test_pipeline_stages(spark, tmp_path):
     total = sum(r.n_tokens for r in seen["token_blocks"])
     assert max(r.start + r.n_tokens for r in seen["token_blocks"]) == total
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["token_blocks"])
+
+
+def stages_over(spark, folder, docs, labels, items):
+    import corpus_pipeline
+
+    docs.write.parquet(str(folder / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+    spark.createDataFrame(items, "item_id long, text string, source string").write.parquet(str(folder / "benchmark.parquet"))
+    current, seen = spark.read.parquet(str(folder / "documents.parquet")), {}
+    for name, stage in corpus_pipeline.STAGES:
+        current = Workspace(spark, "odd").keep(stage(spark, current, str(folder)), name)
+        if name != "token_blocks":
+            assert tuple(current.columns) == corpus_pipeline.COLUMNS
+        seen[name] = current.collect()
+    return seen
+
+
+def test_odd_rows_go_through_every_stage(spark, odd, tmp_path):
+    rows = odd.collect()
+    extra = spark.createDataFrame([(None, "no id here at all", "en", "s", 1, 7, "k", 1.0), (100, "gibberish ### " * 30, "en", "s", 1, 7, "k", 1.0), (100, "gibberish ### " * 30, "en", "s", 1, 7, "k", 1.0)], odd.schema)
+    labels = [(r.doc_id, 1, 0) for r in rows] + [(100, 0, 0), (12345, 0, 1), (None, 1, 0)]
+    items = [(1, None, "x"), (2, "", "x"), (3, "one two three four", "x"), (3, "one two three four", "x")]
+    seen = stages_over(spark, tmp_path, odd.union(extra), labels, items)
+    ids = {name: [r.doc_id for r in found] for name, found in seen.items()}
+    kept = set(ids["quality"])
+    assert {r.doc_id for r in rows} - kept == set() and None in kept and ids["quality"].count(5) == 2
+    assert set(ids["near_duplicates"]) == kept - {6, 8} and ids["near_duplicates"].count(5) == 2
+    assert set(ids["decontamination"]) == kept - {4, 6, 8}
+    assert set(ids["mixing"]) <= set(ids["decontamination"])
+    assert sorted(map(str, ids["token_blocks"])) == sorted(map(str, ids["mixing"])) and all(r.n_tokens >= 1 for r in seen["token_blocks"])
+
+
+def test_empty_tables_go_through_every_stage(spark, empty, tmp_path):
+    seen = stages_over(spark, tmp_path, empty, [], [])
+    assert all(not found for found in seen.values())
