@@ -1,7 +1,12 @@
 """A corpus through the operators of ``gleaner.llm``, stage by stage.
 
 Every stage takes all that the one before kept and returns the columns of
-``documents``; the last returns where each document's ids lie in the token file.
+``documents``, whatever others its input has; the last returns where each document's
+ids lie in the token file. Null, empty and very long texts, null sources, repeated
+rows and empty tables go through every stage: a null text is an empty one, rows that
+repeat an id are judged by that id and stay or go together, and a row without an id
+stays until it is written, for no stage can name it. What each stage makes of them is
+said there.
 """
 
 from __future__ import annotations
@@ -29,7 +34,12 @@ def without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts (score of 0.3 or more)."""
+    """Documents that the quality classifier accepts (score of 0.3 or more).
+
+    Null and empty texts have a score like others, by what the labels say of such
+    features. Labels of unknown documents teach nothing; without labels of both
+    kinds the model scores all alike.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = train_quality(docs, labels, ~held_out(F.col("doc_id"), 5, 0))
     return without(docs, score_quality(docs, model).where("predicted = 0"), "quality")
@@ -37,23 +47,41 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each near-duplicate group
-    (similarity of 0.8 or more)."""
+    (similarity of 0.8 or more).
+
+    Texts without words are in no group, so they stay; rows that repeat an id are no
+    duplicates of one another and stay. Texts of fewer than five words are one
+    shingle, their whole sequence.
+    """
     return without(docs, near_duplicates(docs, percent=80).where("not kept"), "near")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item (80 % of its shingles).
+
+    Texts and items without words hold and are held by nothing; repeated items count
+    once; without items all documents stay.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return without(docs, benchmark_matches(docs, items), "contaminated")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it.
+
+    A null source is one of its own; texts without words weigh nothing and follow
+    their source's whole passes. Rows that repeat an id share their place in the
+    source's order, so they are taken alike.
+    """
     return repeat_by_mix(docs).select(*COLUMNS)
 
 
 def token_blocks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Write the token file; doc_id, start, n_tokens and ids_crc32 read from it."""
+    """Write the token file; doc_id, start, n_tokens and ids_crc32 read from it.
+
+    A null or empty text has its end id alone; rows without an id come first, those
+    that repeat one follow one another; without documents the file has no chunks.
+    """
     folder = Workspace(spark, "tokens").path("ids")
     write_token_file(docs, folder, tokenizer_path())
     return read_token_file(spark, folder)
