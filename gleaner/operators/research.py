@@ -51,3 +51,67 @@ def echo_gate(families: Column, echoing: Column, anchors: Column) -> Column:
         F.when(genuine >= 2, "independent").when((genuine == 1) & (anchors > 0), "one-family-and-record").when((genuine == 0) & (anchors > 0), "record-only")
         .when(genuine == 1, "single-family").otherwise("echo-only")
     )
+
+
+# Units of figures, what a unit is called, months, and types of claims that records can answer.
+_UNITS = r"(crore|lakh|per cent|percent|%|mm|cusecs?|kmph|bps|points?|billion|dead|killed|died|injured|missing)"
+_NUMBER = rf"(?i)[0-9][0-9,]*(?:\.[0-9]+)?\s*{_UNITS}?"
+UNIT_NAMES = {"per cent": "%", "percent": "%", "cusec": "cusecs", "killed": "dead", "died": "dead", "point": "points"}
+_MONTH = "(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)"
+_DATE = rf"(?i)\b[0-9]{{1,2}}\s+{_MONTH}[a-z]*|{_MONTH}[a-z]*\s+[0-9]{{1,2}}|[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}\b"
+QUERY_TYPES = [
+    ("weather_event", r"(?i)\b(rain|cyclone|flood|imd|alert|warning)\b"), ("court", r"(?i)\b(court|bench|plea|petition|verdict)\b"),
+    ("scheme_allocation", "(?i)₹|crore|lakh|allocat|sanction"), ("official_action", r"(?i)\b(government|minister|announce|launch|resolution|order)\b"),
+]
+CHECKABLE = r"(?i)[0-9]|\b(court|government|minister|imd|rbi|announce|order|reject|sanction|appoint)\b"
+#: Adapters that records of a type come from, in order.
+ROUTES = (
+    ("weather_event", "imd_rmc_chennai"), ("court", "ecourts"), ("official_action", "tn_dipr"), ("official_action", "pib"), ("official_action", "tn_gazette"),
+    ("scheme_allocation", "tn_dipr"), ("scheme_allocation", "pib"), ("scheme_allocation", "data_gov_in"),
+)
+MOST_FIGURES, MOST_DATES, MOST_NAMES, MOST_ADAPTERS, TRIGGER_HOURS = 8, 6, 10, 3, 72
+
+
+def figures_with_units(text: Column) -> Column:
+    """The first distinct figures of a text as structs of value and unit ('' for none)."""
+
+    def figure(m: Column) -> Column:
+        value = F.regexp_replace(F.regexp_extract(m, r"^([0-9][0-9,]*(?:\.[0-9]+)?)", 1), ",", "").cast("double")
+        unit = F.lower(F.regexp_extract(m, f"(?i){_UNITS}$", 1))
+        named = F.lit(None).cast("string")
+        for name, to in UNIT_NAMES.items():
+            named = F.when(unit == name, to).otherwise(named)
+        return F.struct(value.alias("value"), F.coalesce(named, unit).alias("unit"))
+
+    return F.slice(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_NUMBER), F.lit(0)), figure)), 1, MOST_FIGURES)
+
+
+def trigger(families: Column, anchored: Column, age_hours: Column, text: Column) -> Column:
+    """Whether a story is worth research: one family or none, no primary record, at most
+    TRIGGER_HOURS old, and something in its text that a record can answer."""
+    return F.coalesce((families < 2) & ~anchored & (age_hours <= TRIGGER_HOURS) & text.rlike(CHECKABLE), F.lit(False))
+
+
+def record_query(text: Column) -> Column:
+    """A struct of what to look for: type, names, figures, dates; empty arrays for none."""
+    proper = F.transform(F.regexp_extract_all(text, F.lit(r"\b[A-Z][a-z]{3,}(?:\s+[A-Z][a-z]{3,}){0,3}"), F.lit(0)), lambda n: F.trim(n))
+    names = F.slice(F.array_distinct(F.filter(proper, lambda n: ~n.rlike("^(?i)(The|This|That|Tamil Nadu|India)$"))), 1, MOST_NAMES)
+    dates = F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(_DATE), F.lit(0))), 1, MOST_DATES)
+    return F.struct(X.first_match(text, QUERY_TYPES, "other").alias("type"), names.alias("names"), figures_with_units(text).alias("figures"), dates.alias("dates"))
+
+
+def routed(queries: DataFrame, routes: DataFrame, key: str) -> DataFrame:
+    """(key, type, adapter, place): at most MOST_ADAPTERS adapters of the query's type, in
+    the order of ``routes`` (type, adapter, ord); types without a route have none."""
+    found = queries.select(key, "type").join(routes, "type")
+    return first_per_group(found, [key], [F.col("ord"), F.col("adapter")], MOST_ADAPTERS).select(key, "type", "adapter", "place")
+
+
+def figure_outcome(claimed: Column, recorded: Column, certain: Column) -> Column:
+    """How a record's figures bear on a claim's (arrays of value and unit): corroborated
+    if each of the claim's has one of its unit within 2 %, contradicted if ``certain`` and
+    one has only others of its unit, else not_found; claims without figures aren't found."""
+    near = lambda c, r: (c["unit"] == r["unit"]) & (F.abs(c["value"] - r["value"]) <= 0.02 * F.greatest(c["value"], r["value"]))
+    matched = F.forall(claimed, lambda c: F.exists(recorded, lambda r: near(c, r)))
+    against = F.exists(claimed, lambda c: F.exists(recorded, lambda r: c["unit"] == r["unit"]) & ~F.exists(recorded, lambda r: near(c, r)))
+    return F.when((F.size(claimed) > 0) & matched, "corroborated").when(certain & against, "contradicted").otherwise("not_found")

@@ -62,20 +62,53 @@ def record_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return searched(spark, sf_dir)
 
 
-@register("claim_record_match", "C6 N4", V.sql("v_articles v_records", f""", {_SEARCH_SQL}, m AS (SELECT article_id, record_id, shared, relevance, article_id % 30 AS claimed, record_id % 30 AS recorded FROM top),
-    o AS (SELECT article_id, record_id, CASE WHEN shared < 2 THEN 'not_found' WHEN abs(claimed - recorded) <= 0.02 * greatest(claimed, recorded) THEN 'corroborated' WHEN relevance >= 0.8 THEN 'contradicted' ELSE 'not_found' END AS outcome FROM m)
+_UNIT_SQL = "CASE u " + " ".join(f"WHEN '{name}' THEN '{to}'" for name, to in R.UNIT_NAMES.items()) + " ELSE u END"
+
+
+def figures_sql(text: str) -> str:
+    """The list of {value, unit} of a text."""
+    parts = f"list_transform(regexp_extract_all({text}, '{R._NUMBER}'), lambda m: {{'v': replace(regexp_extract(m, '^([0-9][0-9,]*(?:\\.[0-9]+)?)', 1), ',', '')::DOUBLE, 'u': lower(regexp_extract(m, '(?i){R._UNITS}$', 1))}})"
+    named = f"list_transform({parts}, lambda x: {{'value': x.v, 'unit': {_UNIT_SQL.replace('CASE u', 'CASE x.u').replace('ELSE u', 'ELSE x.u')}}})"
+    return f"list_filter({named}, lambda x, i: list_position({named}, x) = i)[:{R.MOST_FIGURES}]"
+
+
+_NEAR = "list_any_value(list_filter(recorded, lambda r: r.unit = c.unit AND abs(c.value - r.value) <= 0.02 * greatest(c.value, r.value)))"
+
+
+@register("claim_record_match", "C6 N4", V.sql("v_articles v_records", f""", {_SEARCH_SQL}, fc AS (SELECT article_id, {figures_sql("title || chr(10) || excerpt")} AS claimed FROM v_articles), fr AS (SELECT record_id, {figures_sql("text")} AS recorded FROM v_records),
+    m AS (SELECT top.article_id, top.record_id, shared, relevance, claimed, recorded FROM top JOIN fc ON top.article_id = fc.article_id JOIN fr ON top.record_id = fr.record_id),
+    y AS (SELECT *, len(list_filter(claimed, lambda c: {_NEAR} IS NOT NULL)) AS hits, len(list_filter(claimed, lambda c: {_NEAR} IS NULL AND list_any_value(list_filter(recorded, lambda r: r.unit = c.unit)) IS NOT NULL)) AS against FROM m),
+    o AS (SELECT article_id, CASE WHEN shared < 2 THEN 'not_found' WHEN len(claimed) > 0 AND hits = len(claimed) THEN 'corroborated' WHEN relevance >= 0.8 AND against > 0 THEN 'contradicted' ELSE 'not_found' END AS outcome FROM y)
     SELECT article_id, count(*) AS checked, count(*) FILTER (WHERE outcome = 'corroborated') AS corroborated, count(*) FILTER (WHERE outcome = 'contradicted') AS contradicted, bool_and(outcome = 'not_found') AS exhausted FROM o GROUP BY article_id"""))
 def claim_record_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes of a claim's candidate records: numbers within 2 % corroborate."""
-    claimed, recorded = F.col("article_id") % 30, F.col("record_id") % 30
-    outcome = (
-        F.when(F.col("shared") < 2, "not_found").when(F.abs(claimed - recorded) <= 0.02 * F.greatest(claimed, recorded), "corroborated").when(F.col("relevance") >= 0.8, "contradicted").otherwise("not_found")
-    )
-    return searched(spark, sf_dir).withColumn("outcome", outcome).groupBy("article_id").agg(
+    """Outcomes of a claim's candidate records, by the figures in both texts."""
+    claims = V.articles(spark, sf_dir).select("article_id", R.figures_with_units(F.concat("title", F.lit("\n"), "excerpt")).alias("claimed"))
+    records = V.records(spark, sf_dir).select("record_id", R.figures_with_units(F.col("text")).alias("recorded"))
+    rows = searched(spark, sf_dir).join(claims, "article_id").join(records, "record_id")
+    outcome = F.when(F.col("shared") < 2, "not_found").otherwise(R.figure_outcome(F.col("claimed"), F.col("recorded"), F.col("relevance") >= 0.8))
+    return rows.withColumn("outcome", outcome).groupBy("article_id").agg(
         F.count("*").alias("checked"), F.count_if(F.col("outcome") == "corroborated").alias("corroborated"), F.count_if(F.col("outcome") == "contradicted").alias("contradicted"), F.bool_and(F.col("outcome") == "not_found").alias("exhausted")
     )
 
 
+_TYPE_SQL = "CASE " + " ".join(f"WHEN regexp_matches(body, '{pattern}') THEN '{name}'" for name, pattern in R.QUERY_TYPES) + " ELSE 'other' END"
+
+
+@register("research_queries", "N1 N2 N3", V.sql("v_articles", f""", b AS (SELECT article_id, title || chr(10) || excerpt AS body, official, (epoch_us(TIMESTAMP '{V.NOW}') - epoch_us(published_at)) / 3.6e9 AS age FROM v_articles),
+    q AS (SELECT article_id, {_TYPE_SQL} AS type, list_sort(list_distinct(list_transform(regexp_extract_all(body, '\\b[A-Z][a-z]{{3,}}(?:\\s+[A-Z][a-z]{{3,}}){{0,3}}'), lambda n: trim(n)))) AS names, {figures_sql("body")} AS figures, regexp_extract_all(body, '{R._DATE}') AS dates
+        FROM b WHERE NOT official AND age <= 30 * 24 AND regexp_matches(body, '{R.CHECKABLE}'))
+    SELECT article_id, type, least(len(list_filter(names, lambda n: NOT regexp_matches(n, '^(?i)(The|This|That|Tamil Nadu|India)$'))), {R.MOST_NAMES}) AS names, len(figures) AS figures, least(len(list_distinct(dates)), {R.MOST_DATES}) AS dates FROM q"""))
+def research_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What to look for in records for articles that no official source backs.
+
+    The clock of the articles is the events' own, so the age limit is 30 days here.
+    """
+    body = F.concat("title", F.lit("\n"), "excerpt")
+    rows = V.articles(spark, sf_dir).select("article_id", "official", body.alias("body"), (V.hours(V.now(), F.col("published_at")) / 10).alias("age"))
+    asked = rows.where(R.trigger(F.lit(1), F.col("official"), F.col("age"), F.col("body"))).select("article_id", R.record_query(F.col("body")).alias("q"))
+    return asked.select("article_id", "q.type", *[F.size(f"q.{c}").cast("long").alias(c) for c in ("names", "figures", "dates")])
+
+
 _BRIEF_SQL = f"""{_JUDGED_SQL}, ev AS (SELECT event_id, count(*) AS claims, count(*) FILTER (WHERE status = 'corroborated') AS corroborated, count(*) FILTER (WHERE primary_record) AS records, count(*) FILTER (WHERE disputed) AS disputed, max(groups) AS families, max(confidence) AS best FROM f GROUP BY event_id),
     br AS (SELECT *, CASE WHEN claims < 3 THEN 'no claims' WHEN families < 2 AND records = 0 THEN 'single family' WHEN event_id % 10 = 0 THEN 'echo only' WHEN disputed * 4 > claims THEN 'disputed' WHEN best < 40 THEN 'low confidence' END AS withheld FROM ev)"""
 

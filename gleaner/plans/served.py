@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.catalog import register
+from gleaner.functions import text as X
 from gleaner.plans.claims import _GROUP_SQL, grouped
 from gleaner.plans.text import words_sql
 from gleaner.sinks import index as I
@@ -56,7 +57,7 @@ _TYPES = [("figure", r"[0-9]+\s*(per cent|%|crore|lakh)"), ("list", r"[,;].*[,;]
 def withheld_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles that no official source backs, by type (first rule that fits) and publisher."""
     rows = V.articles(spark, sf_dir).where("not official")
-    kind = P.first_match(F.col("title"), _TYPES, "other").alias("type")
+    kind = X.first_match(F.col("title"), _TYPES, "other").alias("type")
     return rows.select("publisher", kind).groupBy("type", "publisher").agg(F.count("*").alias("withheld"))
 
 

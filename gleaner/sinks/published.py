@@ -80,11 +80,3 @@ def verdicts(sources: DataFrame, probe: Column, valid: Column, items: Column, re
         .when(F.coalesce(items, F.lit(0)) < 2, "fewer than two items").when(F.coalesce(relevant, F.lit(0)) < 1, "no relevant sample")
     )
     return sources.withColumn("reason", reason).withColumn("enabled", F.col("reason").isNull())
-
-
-def first_match(text: Column, rules: list[tuple[str, str]], otherwise: str | None = None) -> Column:
-    """The name of the first (name, pattern) that the text has; rules are one expression."""
-    found = F.lit(otherwise)
-    for name, pattern in reversed(rules):
-        found = F.when(text.rlike(pattern), name).otherwise(found)
-    return found

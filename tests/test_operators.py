@@ -567,3 +567,39 @@ def test_feed_files_that_landed(spark, tmp_path):
     assert (two.title, two.link, two.published, two.summary, two.author, two.category) == ("Third", "http://b.example/3", "2024-01-02", "Text", "N", "t1,t2")
     assert (bare.title, bare.link, bare.category) == (None, "only", None)
     assert "Broken" in found["a", None].corrupt and found["a", None].title is None and len(found) == 4
+
+
+def test_figures_and_queries_of_texts(spark):
+    from gleaner.operators import research as R
+
+    texts = ["Toll 1,250 dead, 3 killed and 40 per cent of 7; 40 % again", "", None, "Minister Arun Kumar visits Salem on 12 March 2024-01-05; The Court", "1 2 3 4 5 6 7 8 9 10"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = [r.f for r in frame.select(R.figures_with_units(frame["t"]).alias("f")).collect()]
+    assert [tuple(x) for x in found[0]] == [(1250.0, "dead"), (3.0, "dead"), (40.0, "%"), (7.0, "")] and found[1] == [] and found[2] is None and len(found[4]) == 8
+    query = frame.select(R.record_query(frame["t"]).alias("q")).collect()[3].q
+    assert query.type == "court" and query.names == ["Minister Arun Kumar", "Salem", "March", "Court"] and query.dates == ["12 March", "2024-01-05"]
+
+
+def test_outcomes_of_figures(spark):
+    from pyspark.sql import functions as F
+
+    from gleaner.operators import research as R
+
+    kind = "array<struct<value:double,unit:string>>"
+    rows = [([(100.0, "mm")], [(102.0, "mm")], True, "corroborated"), ([(100.0, "mm")], [(103.0, "mm")], True, "contradicted"), ([(100.0, "mm")], [(103.0, "mm")], False, "not_found"), ([(100.0, "mm")], [(100.0, "km")], True, "not_found"), ([], [(1.0, "")], True, "not_found"), ([(1.0, ""), (5.0, "mm")], [(1.0, "")], True, "not_found"), ([(0.0, "")], [(0.0, "")], True, "corroborated")]
+    frame = spark.createDataFrame([(c, r, s, e) for c, r, s, e in rows], f"c {kind}, r {kind}, s boolean, e string")
+    assert all(r.e == r.o for r in frame.withColumn("o", R.figure_outcome(F.col("c"), F.col("r"), F.col("s"))).collect())
+
+
+def test_research_starts_and_goes_to_adapters(spark):
+    from pyspark.sql import functions as F
+
+    from gleaner.operators import research as R
+
+    rows = [(1, False, 72.0, "court", True), (2, False, 1.0, "court", False), (0, True, 1.0, "court", False), (1, False, 72.1, "court", False), (1, False, 1.0, "words alone", False), (1, False, 1.0, None, False), (0, False, 1.0, "9 dead", True)]
+    frame = spark.createDataFrame(rows, "n int, anchored boolean, age double, t string, e boolean")
+    assert all(r.e == r.o for r in frame.withColumn("o", R.trigger(F.col("n"), F.col("anchored"), F.col("age"), F.col("t"))).collect())
+    routes = spark.createDataFrame([(t, a, i) for i, (t, a) in enumerate((*R.ROUTES, ("scheme_allocation", "extra")))], "type string, adapter string, ord int")
+    queries = spark.createDataFrame([(1, "scheme_allocation"), (2, "court"), (3, "other"), (4, None)], "id int, type string")
+    found = sorted((r.id, r.place, r.adapter) for r in R.routed(queries, routes, "id").collect())
+    assert found == [(1, 1, "tn_dipr"), (1, 2, "pib"), (1, 3, "data_gov_in"), (2, 1, "ecourts")]

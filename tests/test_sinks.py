@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner.functions import text as X
 from gleaner.sinks import index as I
 from gleaner.sinks import published as P
 
@@ -62,7 +63,7 @@ def test_verdicts_of_sources(spark):
 
 def test_first_rule_that_fits(spark):
     frame = spark.createDataFrame([("court of rain",), ("rain",), ("x",), (None,)], "t string")
-    kind = P.first_match(frame["t"], [("court", r"\bcourt\b"), ("weather", "rain")], "other")
+    kind = X.first_match(frame["t"], [("court", r"\bcourt\b"), ("weather", "rain")], "other")
     assert [r.k for r in frame.select(kind.alias("k")).collect()] == ["court", "weather", "other", "other"]
 
 
