@@ -72,15 +72,24 @@ def _character(number: Column) -> Column:
     return F.when(bad, "").otherwise(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
 
 
-def decode_entities(text: Column) -> Column:
-    """Numeric entities, then named ones; ``&amp;`` last, once."""
+def _numeric(text: Column, digits: str, base: int) -> Column:
+    """Entities ``&#...;`` of a pattern of digits as characters; those beyond any
+    character, of however many digits, as nothing."""
 
     def piece(p: Column, i: Column) -> Column:
-        hexed, plain = F.regexp_extract(p, "^x([0-9a-fA-F]{1,8});", 1), F.regexp_extract(p, "^([0-9]{1,9});", 1)
-        number = F.when(hexed != "", F.conv(hexed, 16, 10)).otherwise(plain).try_cast("long")
-        return F.when(i == 0, p).when((hexed != "") | (plain != ""), F.concat(_character(number), F.regexp_replace(p, "^x?[0-9a-fA-F]+;", ""))).otherwise(F.concat(F.lit("&#"), p))
+        found = F.regexp_extract(p, f"^{digits};", 1)
+        short = F.regexp_replace(found, "^0+(?=.)", "")
+        number = F.when(F.length(short) <= 8, F.conv(short, base, 10).try_cast("long"))
+        made = F.concat(F.coalesce(_character(number), F.lit("")), F.regexp_replace(p, f"^{digits};", ""))
+        return F.when(i == 0, p).when(found != "", made).otherwise(F.concat(F.lit("&#"), p))
+
+    return F.when(F.contains(text, F.lit("&#")), F.array_join(F.transform(F.split(text, "&#"), piece), "")).otherwise(text)
 
-    numeric = F.when(F.contains(text, F.lit("&#")), F.array_join(F.transform(F.split(text, "&#"), piece), "")).otherwise(text)
+
+def decode_entities(text: Column) -> Column:
+    """Hexadecimal entities, then decimal ones (also those that the first made), then
+    named ones; ``&amp;`` last, once."""
+    numeric = _numeric(_numeric(text, "x([0-9a-fA-F]+)", 16), "([0-9]+)", 10)
     return reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), ENTITIES.items(), numeric)
 
 

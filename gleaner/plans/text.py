@@ -21,15 +21,17 @@ def _entities_sql(expression: str) -> str:
 _BAD_CODE = "(n > 1114111 OR (n < 32 AND n NOT IN (9, 10)) OR n BETWEEN 127 AND 159 OR n BETWEEN 55296 AND 57343)"
 
 
-def numeric_entities_sql(x: str) -> str:
-    code = "CASE WHEN regexp_matches(p, '^x[0-9a-fA-F]{1,8};') THEN ('0x' || regexp_extract(p, '^x([0-9a-fA-F]+);', 1))::BIGINT ELSE try_cast(regexp_extract(p, '^([0-9]{1,9});', 1) AS BIGINT) END"
-    made = "CASE WHEN {n} IS NULL THEN '&#' || p WHEN {bad} THEN regexp_replace(p, '^x?[0-9a-fA-F]+;', '') ELSE chr({n}::INT) || regexp_replace(p, '^x?[0-9a-fA-F]+;', '') END"
-    made = made.format(n=f"({code})", bad=_BAD_CODE.replace("n ", f"({code}) "))
-    return f"array_to_string(list_transform(string_split({x}, '&#'), lambda p, i: CASE WHEN i = 1 THEN p ELSE {made} END), '')"
+def numeric_entities_sql(x: str, digits: str, value: str) -> str:
+    """``value`` gives the number of d, the digits without leading zeros."""
+    found = f"regexp_extract(p, '^{digits};', 1)"
+    short = f"regexp_replace({found}, '^0+([0-9a-fA-F])', '\\1')"
+    number = f"CASE WHEN length({short}) <= 8 THEN {value.format(d=short)} END"
+    made = "CASE WHEN {n} IS NULL OR {bad} THEN '' ELSE chr(({n})::INT) END".format(n=f"({number})", bad=_BAD_CODE.replace("n ", f"({number}) "))
+    return f"array_to_string(list_transform(string_split({x}, '&#'), lambda p, i: CASE WHEN i = 1 THEN p WHEN {found} = '' THEN '&#' || p ELSE {made} || regexp_replace(p, '^{digits};', '') END), '')"
 
 
 def decode_sql(x: str) -> str:
-    return _entities_sql(numeric_entities_sql(x))
+    return _entities_sql(numeric_entities_sql(numeric_entities_sql(x, "x([0-9a-fA-F]+)", "('0x' || {d})::BIGINT"), "([0-9]+)", "try_cast({d} AS BIGINT)"))
 
 
 _TAGLESS_SQL = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', ' ', 'g'), '(?is)<style\\b.*?</style>', ' ', 'g'), '(?s)<!\\[CDATA\\[(.*?)\\]\\]>', '\\1', 'g'), '(?s)<[^>]+>', ' ', 'g')"

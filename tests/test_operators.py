@@ -603,3 +603,11 @@ def test_research_starts_and_goes_to_adapters(spark):
     queries = spark.createDataFrame([(1, "scheme_allocation"), (2, "court"), (3, "other"), (4, None)], "id int, type string")
     found = sorted((r.id, r.place, r.adapter) for r in R.routed(queries, routes, "id").collect())
     assert found == [(1, 1, "tn_dipr"), (1, 2, "pib"), (1, 3, "data_gov_in"), (2, 1, "ecourts")]
+
+
+def test_numeric_entities(spark):
+    from gleaner.functions import text as X
+
+    rows = [("&#65;&#x42;", "AB"), ("&#x26;#60;", "<"), ("a&#12345678901234567890;b", "ab"), ("a&#xFFFFFFFFFF;b", "ab"), ("&#0000000000065;", "A"), ("&#x1F600;", "😀"), ("&#xD800;x&#0;y", "xy"), ("&#;&#x;&#zz;", "&#;&#x;&#zz;"), ("&#38;lt;", "<"), ("", ""), (None, None)]
+    frame = spark.createDataFrame(rows, "t string, e string")
+    assert [(r.t, r.d) for r in frame.select("t", X.decode_entities(frame["t"]).alias("d")).collect()] == rows
