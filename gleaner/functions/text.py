@@ -140,8 +140,10 @@ def unaccented(text: Column) -> Column:
 
 
 def _same(word: Column, table: dict[str, tuple[str, ...]]) -> Column:
-    """The word that ``word`` is folded to, or null."""
-    return reduce(lambda rest, item: F.when(word.isin(*item[1]), item[0]).otherwise(rest), table.items(), F.lit(None).cast("string"))
+    """The word that ``word`` is folded to, or null; most words are in no list, which one
+    look into all of them tells."""
+    folded = reduce(lambda rest, item: F.when(word.isin(*item[1]), item[0]).otherwise(rest), table.items(), F.lit(None).cast("string"))
+    return F.when(word.isin(*[form for forms in table.values() for form in forms]), folded)
 
 
 def stem(word: Column) -> Column:
