@@ -170,20 +170,15 @@ def priority_arithmetic_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT report_id, sources, CASE WHEN role IN ('official-alert', 'primary-document') THEN 'official' WHEN official AND sources >= 1 THEN 'corroborated'
         WHEN sources >= 2 THEN 'corroborated' WHEN sources = 1 THEN 'single-source' WHEN role = 'developing-unverified' THEN 'developing' ELSE 'single-source' END AS verification FROM j"""))
 def verification_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Peers within 30 hours that report the same kind, from other publishers.
-
-    Time is cut into buckets of 30 hours, so the band join is an equi-join on
-    the cluster and the own or a neighbouring bucket."""
-    from gleaner.operators.pairs import time_band_join
-
-    rows = V.reports(spark, sf_dir).withColumn("kind", F.floor(F.col("figure") / 20).cast("int"))
-    peers = time_band_join(rows, rows, ["cluster_id", "kind"], "published_at", 30 * 3600, strict=True)
-    other = F.col("b.publisher") != F.col("a.publisher")
-    counts = peers.groupBy(F.col("a.report_id")).agg(
-        F.any_value("a.role").alias("role"),
-        F.count_distinct(F.when(other, F.col("b.publisher"))).alias("sources"),
-        F.coalesce(F.bool_or(other & (F.col("b.role") == "official-alert")), F.lit(False)).alias("official"),
-    )
+    """Peers within 30 hours that report the same kind, from other publishers; they are
+    counted from the ends of each publisher's intervals, so no pairs are made. Reports of
+    no cluster have no peers."""
+    from gleaner.operators.pairs import peers_in_band
+
+    rows = V.reports(spark, sf_dir).withColumn("kind", F.floor(F.col("figure") / 20).cast("int")).withColumn("who", F.when(F.col("cluster_id").isNotNull(), F.col("publisher")))
+    rows = rows.select("report_id", "cluster_id", "kind", "who", "published_at", "role")
+    peers = peers_in_band(rows, ["cluster_id", "kind"], "who", "published_at", 30 * 3600, F.col("role") == "official-alert")
+    counts = peers.groupBy("report_id").agg(F.any_value("role").alias("role"), F.max("peers").alias("sources"), F.bool_or("flagged").alias("official"))
     return counts.select("report_id", "sources", T.verification(F.col("role"), F.col("sources"), F.col("official")).alias("verification"))
 
 

@@ -77,6 +77,17 @@ def test_time_band_is_exact_at_its_bound(spark):
     assert pairs(False) == {(1, 2), (2, 3), (4, 5)} and pairs(True) == {(2, 3), (4, 5)}
 
 
+def test_peers_in_a_band_equal_all_pairs(spark):
+    rng = random.Random(7)
+    rows = [(i, rng.choice([1, 2]), rng.choice([0, 1, None]), rng.choice([*"abcd", None]), None if rng.random() < 0.05 else rng.choice([rng.randint(0, 400), 30 * rng.randint(0, 12)]), rng.random() < 0.3) for i in range(500)]
+    frame = spark.createDataFrame(rows, "id int, k int, kind int, who string, hour int, alert boolean").withColumn("t", F.timestamp_seconds(F.col("hour") * 3600))
+    found = {r.id: (r.peers, r.flagged) for r in P.peers_in_band(frame, ["k", "kind"], "who", "t", 30 * 3600, F.col("alert")).collect()}
+    for i, k, kind, who, hour, _ in rows:
+        near = [r for r in rows if (r[1], r[2]) == (k, kind) and None not in (who, r[3], hour, r[4]) and r[3] != who and abs(r[4] - hour) < 30]
+        assert found[i] == (len({r[3] for r in near}), any(r[5] for r in near))
+    assert len(found) == len(rows)
+
+
 def test_set_similarity_of_empty_sets_is_zero(spark):
     rows = spark.createDataFrame([([], []), ([], ["a"]), (["a"], ["a"]), (["a"], ["a", "b"]), (None, ["a"])], "x array<string>, y array<string>")
     assert [r[0] for r in rows.select(P.jaccard(F.col("x"), F.col("y"))).collect()] == [0.0, 0.0, 1.0, 0.5, 0.0]
