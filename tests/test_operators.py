@@ -441,6 +441,22 @@ def test_hyperplane_bands_find_close_vectors(spark):
     assert D.cosine_pairs(frame.limit(0), id_col="id", vector_col="v", block_col="block").count() == 0
 
 
+def test_close_vectors_of_blocks_in_tiles(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(D, "TILE", 30)
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(200, 8)).astype(np.float32).astype(float)
+    vectors[150:] = vectors[0]
+    frame = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(vectors)], "id long, v array<float>, block int")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    whole = {(i, j): float(unit[i] @ unit[j]) for i in range(200) for j in range(i + 1, 200) if i % 2 == j % 2 and unit[i] @ unit[j] >= 0.45}
+    for miss, part in ((None, 1), (0.1, 0.9)):
+        found = [tuple(r) for r in D.cosine_pairs(frame, id_col="id", vector_col="v", block_col="block", miss=miss).collect()]
+        assert len(found) == len({r[:2] for r in found}) >= part * len(whole) > 1000
+        assert all(cosine == pytest.approx(whole[a, b]) for a, b, cosine in found)
+
+
 def test_asof_join_with_ties_and_slices(spark):
     import random
 
