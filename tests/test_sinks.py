@@ -87,3 +87,12 @@ def test_index_answers_as_a_scan_does(spark, tmp_path):
         assert [(r.hits, r.id) for r in I.search_index(spark, folder, query).collect()] == want
     assert I.write_index(frame.limit(0), str(tmp_path / "none"), id_col="id", text_cols=["text"]) == 1
     assert I.search_index(spark, str(tmp_path / "none"), "w1").count() == 0
+
+
+def test_many_shards_make_few_folders_and_files(spark, tmp_path):
+    frame = spark.range(3000).select("id", F.concat_ws(" ", F.lit("hot"), F.concat(F.lit("w"), F.col("id") % 900)).alias("text"))
+    folder = tmp_path / "index"
+    shards = I.write_index(frame, str(folder), id_col="id", text_cols=["text"], shard_bytes=200)
+    assert shards > 200
+    assert len(list((folder / "postings").iterdir())) < 50 and len(list((folder / "postings").rglob("*.parquet"))) < 100
+    assert [(r.id, r.hits) for r in I.search_index(spark, str(folder), "hot w7").collect()] == [(7, 2), (907, 2), (1807, 2), (2707, 2)]
