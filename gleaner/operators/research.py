@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as X
 from gleaner.operators.topk import first_per_group
+from gleaner.storage import Workspace
+
+#: Words of a tile, about, and the letters from which a shared word counts twice.
+MENTION_WORDS, ITEM_WORDS, LONG_WORD = 250_000, 1_000_000, 8
 
 
 def word_shingles(text: Column, width: int = 5) -> Column:
@@ -115,3 +122,62 @@ def figure_outcome(claimed: Column, recorded: Column, certain: Column) -> Column
     matched = F.forall(claimed, lambda c: F.exists(recorded, lambda r: near(c, r)))
     against = F.exists(claimed, lambda c: F.exists(recorded, lambda r: c["unit"] == r["unit"]) & ~F.exists(recorded, lambda r: near(c, r)))
     return F.when((F.size(claimed) > 0) & matched, "corroborated").when(certain & against, "contradicted").otherwise("not_found")
+
+
+def best_in_tile(mentions: pa.Table, items: pa.Table, least: int) -> pa.Table:
+    """Of each mention the item of the tile with the highest score, then the least id."""
+    items = items.sort_by("id")
+    words, owner = items["words"].combine_chunks().flatten().dictionary_encode(), np.repeat(np.arange(items.num_rows), pc.list_value_length(items["words"]).to_numpy())
+    codes = words.indices.to_numpy()
+    order = np.argsort(codes, kind="stable")
+    ends = np.cumsum(np.bincount(codes, minlength=len(words.dictionary)))
+    owner = owner[order]
+    weight = np.where(pc.utf8_length(words.dictionary).to_numpy(zero_copy_only=False) >= LONG_WORD, 2, 1)
+    lists = mentions["words"].combine_chunks()
+    asked = pc.fill_null(pc.index_in(lists.flatten(), value_set=words.dictionary), -1).to_numpy(zero_copy_only=False)
+    begin, rows, best, scores = 0, [], [], []
+    for i, end in enumerate(np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))):
+        found = [(owner[ends[c - 1] if c else 0 : ends[c]], weight[c]) for c in asked[begin:end] if c >= 0]
+        begin = end
+        if not found:
+            continue
+        score = np.bincount(np.concatenate([o for o, w in found for _ in range(w)]))
+        top = int(score.argmax())
+        if score[top] >= least:
+            rows.append(i)
+            best.append(top)
+            scores.append(int(score[top]))
+    ids = items["id"].combine_chunks().take(pa.array(best, pa.int64()))
+    return pa.table({"words": mentions["words"].combine_chunks().take(pa.array(rows, pa.int64())), "id": ids, "score": pa.array(scores, pa.int64())})
+
+
+def best_by_shared_words(mentions: DataFrame, items: DataFrame, least: int) -> DataFrame:
+    """(words, id, score): for each distinct ``words`` of ``mentions`` the row of ``items``
+    (id, words) with the highest score from ``least``, then the least id. Words that both
+    have score 1, from LONG_WORD letters 2, as often as they stand on both sides; lists
+    are sorted.
+
+    Each tile of mentions meets each tile of items in one task, which keeps only the best
+    item of each mention, so the pairs that share a word are never written. Tiles hold a
+    bounded number of words; equal lists of words are looked at once.
+    """
+    space = Workspace(mentions.sparkSession, "shared-words")
+    asked = space.keep(mentions.where(F.size("words") > 0).select("words").distinct(), "mentions")
+    given = space.keep(items.where(F.size("words") > 0).groupBy("words").agg(F.min("id").alias("id")), "items")
+
+    def tiles(rows: DataFrame, most: int) -> int:
+        return max(1, -(-(rows.agg(F.sum(F.size("words"))).first()[0] or 0) // most))
+
+    n, k = tiles(asked, MENTION_WORDS), tiles(given, ITEM_WORDS)
+
+    def numbers(own: str, count: int, other: str, others: int) -> list[Column]:
+        return [F.pmod(F.xxhash64("words"), F.lit(count)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)]
+
+    left, right = asked.select("words", *numbers("x", n, "y", k)), given.select("id", "words", *numbers("y", k, "x", n))
+
+    def best(mentions: pa.Table, items: pa.Table) -> pa.Table:
+        return best_in_tile(mentions, items, least)
+
+    kind = dict(items.dtypes)["id"]
+    found = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(best, f"words array<string>, id {kind}, score long")
+    return found.groupBy("words").agg(F.max_by(F.struct("id", "score"), F.struct("score", -F.col("id"))).alias("b")).select("words", "b.id", "b.score")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleaner.catalog import register
 from gleaner.functions import text as X
 from gleaner.operators import novelty as N
+from gleaner.operators.research import best_by_shared_words
 from gleaner.operators.topk import diversified, first_per_group
 from gleaner.plans.text import _URL_KEY_SQL, tokens_sql
 from gleaner.plans.trends import _EDITED_SQL, edited
@@ -213,12 +214,13 @@ def explanation_event_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT thread_id, turn, article_id, score FROM r WHERE k = 1"""))
 def discourse_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each mention's best article by shared words, long ones counting twice, from 3."""
-    words = lambda c: F.explode(F.array_distinct(X.tokens(F.col(c), 4)))
-    mentions = V.speech(spark, sf_dir).where("role = 'user'").select("thread_id", "turn", words("text").alias("t"))
-    articles = V.articles(spark, sf_dir).select("article_id", words("title").alias("t"))
-    scores = mentions.join(articles, "t").groupBy("thread_id", "turn", "article_id").agg(F.sum(F.when(F.length("t") >= 8, 2).otherwise(1)).alias("score")).where("score >= 3")
-    best = scores.groupBy("thread_id", "turn").agg(F.max_by(F.struct("article_id", "score"), F.struct("score", -F.col("article_id"))).alias("x"))
-    return best.select("thread_id", "turn", "x.article_id", "x.score")
+    def lists(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list(F.array_distinct(X.tokens(F.col(text), 4))))).alias("words"))
+
+    mentions = Workspace(spark, "mentions").keep(lists(V.speech(spark, sf_dir).where("role = 'user'"), ["thread_id", "turn"], "text"), "rows")
+    articles = lists(V.articles(spark, sf_dir), ["article_id"], "title").withColumnRenamed("article_id", "id")
+    best = best_by_shared_words(mentions, articles, 3)
+    return mentions.join(best, "words").select("thread_id", "turn", F.col("id").alias("article_id"), "score")
 
 
 @register("snapshot_io_retention", "A13 A15 A17", V.sql("v_reports", """, d AS (SELECT published_at::DATE AS day, cluster_id, count(*) AS reports FROM v_reports GROUP BY 1, 2), k AS (SELECT *, dense_rank() OVER (ORDER BY day DESC) AS back FROM d)

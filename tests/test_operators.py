@@ -365,6 +365,26 @@ def test_containment_and_record_search(spark):
     assert [(r.id, r.rid, r.place) for r in found.collect()] == [(1, 5, 1)]
 
 
+def test_best_by_shared_words_equals_all_pairs(spark, monkeypatch):
+    from gleaner.operators import research
+
+    monkeypatch.setattr(research, "MENTION_WORDS", 150)
+    monkeypatch.setattr(research, "ITEM_WORDS", 200)
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(12)] + [f"longword{i}" for i in range(8)]
+    some = lambda: sorted(rng.choices(words, k=rng.randint(0, 6)))
+    mentions, items = [some() for _ in range(120)], [(i, some()) for i in range(150)]
+    found = research.best_by_shared_words(spark.createDataFrame([(m,) for m in mentions], "words array<string>"), spark.createDataFrame(items, "id long, words array<string>"), 3)
+    score = lambda m, w: sum((2 if len(x) >= 8 else 1) * w.count(x) for x in m)
+    expected = {}
+    for m in mentions:
+        best, i = max((score(m, w), -i) for i, w in items)
+        if best >= 3:
+            expected[tuple(m)] = (-i, best)
+    rows = found.collect()
+    assert {tuple(r.words): (r.id, r.score) for r in rows} == expected and len(rows) == len(expected) > 50
+
+
 def test_feeds(spark):
     from gleaner.plans.extraction import ATOM, RDF, RSS
 
