@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -184,39 +184,48 @@ def draft_number(turn: Column, pos: Column) -> Column:
     return F.shiftleft(turn.cast("long"), 32) + pos
 
 
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """cluster, type, words and host of (cluster, type, words, draft), which come cluster by
+    cluster in draft order. Hosts are looked up by their words, so a draft meets only
+    those that it shares a word with."""
+    cluster, hosts, having = object(), [], {}
+    for batch in batches:
+        found = []
+        for own, kind, words, draft in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if own != cluster:
+                cluster, hosts, having = own, [], {}
+            shared: dict[int, int] = {}
+            for word in words:
+                for h in having.get((kind, word), ()):
+                    shared[h] = shared.get(h, 0) + 1
+            for h in sorted(shared):
+                n, alike = shared[h], shared[h] / (len(words) + hosts[h][1] - shared[h])
+                if alike >= 0.5 or (n >= 3 and alike >= 0.25) or (n >= 2 and alike >= 0.4):
+                    found.append(hosts[h][0])
+                    break
+            else:
+                for word in words:
+                    having.setdefault((kind, word), []).append(len(hosts))
+                hosts.append((draft, len(words)))
+                found.append(draft)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.int64())], names=[*batch.schema.names[:3], "host"])
+
+
 def merge_assertions(drafts: DataFrame, cluster: str) -> DataFrame:
     """Greedy identity merge, in draft order, within each cluster.
 
     A draft joins the first earlier host of its type whose words are alike:
     Jaccard from .5, or three shared and .25, or two shared and .4. The order
-    decides, so a cluster is one group; its rows are its distinct match keys (type
+    decides, so a cluster is merged in one place; its rows are its distinct match keys (type
     and set of words), each at its first draft, whose host later copies share.
     A draft without words is like nothing and hosts itself.
     ``drafts`` has cluster, draft long, type, words array<string>.
     """
 
-    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            hosts: list[tuple[int, str, set]] = []
-            out = []
-            for row in frame.sort_values("draft").itertuples():
-                words, host = set(row.words), None
-                for draft, kind, other in hosts:
-                    shared = len(words & other)
-                    alike = shared / max(1, len(words | other))
-                    if kind == row.type and (alike >= 0.5 or (shared >= 3 and alike >= 0.25) or (shared >= 2 and alike >= 0.4)):
-                        host = draft
-                        break
-                if host is None:
-                    hosts.append((row.draft, row.type, words))
-                out.append((getattr(row, cluster), row.draft, row.draft if host is None else host))
-            yield pd.DataFrame(out, columns=[cluster, "draft", "host"])
-
-    kind = dict(drafts.dtypes)[cluster]
+    kinds = dict(drafts.dtypes)
     keyed = drafts.select(cluster, "draft", "type", F.array_sort(F.array_distinct("words")).alias("words"))
     filled, key = keyed.where(F.size("words") > 0), [cluster, "type", "words"]
-    firsts = filled.groupBy(*key).agg(F.min("draft").alias("draft"))
-    hosts = firsts.groupBy(cluster).applyInPandas(lambda frame: next(merge(iter([frame]))), f"{cluster} {kind}, draft long, host long")
-    known = firsts.join(hosts, [cluster, "draft"]).select(*key, "host")
+    firsts = filled.groupBy(*key).agg(F.min("draft").alias("draft")).repartition(cluster).sortWithinPartitions(cluster, "draft")
+    known = firsts.mapInArrow(merged, f"{cluster} {kinds[cluster]}, type {kinds['type']}, words {kinds['words']}, host long")
     joined = filled.join(known, key).select(cluster, "draft", "host")
     return joined.unionByName(keyed.where(F.size("words") == 0).select(cluster, "draft", F.col("draft").alias("host")))
