@@ -442,6 +442,15 @@ def test_greedy_merge_equals_all_drafts_in_order(spark):
     assert len(found) == len(rows) and {(r.cluster, r.draft): r.host for r in found} == expected
 
 
+def test_a_cluster_goes_on_over_batches():
+    import pyarrow as pa
+
+    rows = [("c", "event", ["a", "b"], 1), ("c", "event", ["c"], 2), ("c", "event", ["a", "b", "d"], 3), ("c", "other", ["a", "b"], 4), ("d", "event", ["a", "b"], 1)]
+    batch = lambda some: pa.RecordBatch.from_pylist([dict(zip(("cluster", "type", "words", "draft"), r, strict=True)) for r in some])
+    found = [r["host"] for b in E.merged(iter([batch(rows[:2]), batch(rows[2:])])) for r in b.to_pylist()]
+    assert found == [1, 2, 1, 4, 1]
+
+
 def test_hyperplane_bands_find_close_vectors(spark):
     import numpy as np
 
