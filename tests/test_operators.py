@@ -218,6 +218,18 @@ def test_phrases_across_chunks_of_words(spark, monkeypatch):
     assert sorted(r.start for r in G.phrase_matches(docs, lexicon).collect()) == list(range(1, 41))
 
 
+def test_phrase_counts_are_those_of_the_matches(spark, monkeypatch):
+    words = ["alpha", "beta", "gamma", "delta", "x", "Ünder"]
+    texts = [" ".join(words[(i * k + k // 3) % len(words)] for k in range(i % 17)) for i in range(60)] + ["", None, " . ", "Alpha-beta\nGAMMA alpha"]
+    docs = spark.createDataFrame([*enumerate(texts), (3, "alpha beta gamma alpha"), (3, "beta"), (None, "alpha beta")], "doc_id long, text string").repartition(3)
+    lexicon = [("alpha", "a", "city"), ("Beta", "a", "city"), ("beta", "b", "city"), ("alpha beta", "ab", None), ("alpha beta gamma", "ab", None), ("beta gamma", "a", "city"), ("alpha", "a", "city"), ("ünder x", None, "z"), ("", "e", "e"), (None, "e", "e"), ("not there", "n", "n")]
+    frame = spark.createDataFrame(lexicon, "alias string, canonical string, kind string")
+    monkeypatch.setattr(G, "BLOCK_BYTES", 200)
+    for rows, some in ((docs, frame), (docs.where("doc_id <> 3"), frame.where("alias not like '% % %'")), (docs.where("doc_id <> 3"), frame.where("alias not like '% %'")), (docs.limit(0), frame), (docs, frame.limit(0))):
+        found = G.phrase_matches(rows, some).groupBy("canonical", "kind").agg(F.count("*"), F.count_distinct("doc_id"), F.count_if("nested"))
+        assert sorted(map(str, map(tuple, G.phrase_counts(rows, some, ["canonical", "kind"]).collect()))) == sorted(map(str, map(tuple, found.collect())))
+
+
 def test_names_of_titles(spark):
     rows = [("Madras High Court says Chennai Corporation must act", ["chennai corporation", "court", "madras high", "madras high court"]), ("The A new B. Stalin-led Party wins", ["party", "stalinled party"]), ("", []), (None, None)]
     frame = spark.createDataFrame([(t,) for t, _ in rows], "title string")
