@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,27 @@ def test_prefix_pairs_equal_all_pairs(spark):
         assert {(r.a, r.b) for r in I.prefix_pairs(rows, "id", "w", "t", 30 * 3600, 0.5).collect()} == expected
 
 
+def test_tiles_of_a_band_equal_all_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    at = dt.datetime(1970, 1, 2)
+    data = [(i, [rng.choice("abcdefgh") + str(rng.randint(0, 3)) for _ in range(rng.randint(0, 9))], at + dt.timedelta(minutes=rng.choice((-1, 1)) * rng.randint(0, 5400))) for i in range(120)]
+    data += [(200, data[5][1], data[5][2]), (None, ["a1"], at), (201, None, at), (202, ["a1", "a1", "b1"], None)]
+    frame = spark.createDataFrame(data, "id long, w array<string>, t timestamp")
+    whole = [(i, set(x), t) for i, x, t in data if i is not None and x and t]
+    expected = {(i, j): len(x & y) / len(x | y) for i, x, s in whole for j, y, t in whole if i < j and abs(s - t) <= dt.timedelta(hours=30) and len(x & y) >= 0.15 * len(x | y)}
+    for tile in (10_000, 7):
+        monkeypatch.setattr(I, "TILE", tile)
+        found = I.band_pairs(frame, "id", "w", "t", 30 * 3600, 0.15).collect()
+        assert len(found) == len(expected) and {(r.a, r.b): r.similarity for r in found} == expected
+    group = {"key": {"bucket": 0, "next": True, "lo": 0, "hi": 0}}
+    table = pa.Table.from_pylist([group | {"id": i, "set": sorted(x), "at": 0, "right": i % 3 == 0} for i, x, _ in whole])
+    crossed = {(i, j): len(x & y) / len(x | y) for i, x, _ in whole for j, y, _ in whole if i % 3 and not j % 3 and len(x & y) >= 0.15 * len(x | y)}
+    for strip, often in ((4096, 256), (2, 10_000), (2, 8), (4096, 0)):
+        monkeypatch.setattr(I, "STRIP", strip)
+        monkeypatch.setattr(I, "OFTEN", often)
+        assert {(r["x"], r["y"]): r["similarity"] for r in I.alike_within(table, 0.15, 0).to_pylist()} == crossed
+
+
 def places(states=(), districts=(), specific=(), regions=(), wide=None, district_named=False):
     return (list(states), bool(states) if wide is None else wide, list(districts), district_named, list(specific), list(regions))
 
@@ -218,18 +240,27 @@ def test_phrases_across_chunks_of_words(spark, monkeypatch):
     assert sorted(r.start for r in G.phrase_matches(docs, lexicon).collect()) == list(range(1, 41))
 
 
-def test_phrase_counts_are_those_of_the_matches(spark, monkeypatch):
+def test_phrase_counts_are_those_of_the_matches(spark):
     words = ["alpha", "beta", "gamma", "delta", "x", "Ünder"]
     texts = [" ".join(words[(i * k + k // 3) % len(words)] for k in range(i % 17)) for i in range(60)] + ["", None, " . ", "Alpha-beta\nGAMMA alpha"]
     docs = spark.createDataFrame([*enumerate(texts), (3, "alpha beta gamma alpha"), (3, "beta"), (None, "alpha beta")], "doc_id long, text string").repartition(3)
     lexicon = [("alpha", "a", "city"), ("Beta", "a", "city"), ("beta", "b", "city"), ("alpha beta", "ab", None), ("alpha beta gamma", "ab", None), ("beta gamma", "a", "city"), ("alpha", "a", "city"), ("ünder x", None, "z"), ("", "e", "e"), (None, "e", "e"), ("not there", "n", "n")]
     frame = spark.createDataFrame(lexicon, "alias string, canonical string, kind string")
-    monkeypatch.setattr(G, "BLOCK_BYTES", 200)
     for rows, some in ((docs, frame), (docs.where("doc_id <> 3"), frame.where("alias not like '% % %'")), (docs.where("doc_id <> 3"), frame.where("alias not like '% %'")), (docs.limit(0), frame), (docs, frame.limit(0))):
         found = G.phrase_matches(rows, some).groupBy("canonical", "kind").agg(F.count("*"), F.count_distinct("doc_id"), F.count_if("nested"))
         assert sorted(map(str, map(tuple, G.phrase_counts(rows, some, ["canonical", "kind"]).collect()))) == sorted(map(str, map(tuple, found.collect())))
 
 
+def test_documents_of_words_and_pairs(spark, monkeypatch):
+    texts = [(1, "Aa bb aa bb"), (2, "bb, aa"), (3, "aa"), (3, "aa bb"), (3, "aa bb"), (4, ""), (5, None), (None, "aa bb")]
+    found = G.gram_documents(spark.createDataFrame(texts, "id long, t string").repartition(2), id_col="id", text_col="t").where("x <> '' and docs > 0").collect()
+    assert {tuple(r) for r in found} == {("aa", None, 3), ("bb", None, 3), ("aa", "bb", 2), ("bb", "aa", 2)}
+    monkeypatch.setattr(G, "BLOCK_BYTES", 10)
+    blocks = list(G._blocks(iter([pa.record_batch({"text": ["a b", "", "c d e f g h", "a"]})])))
+    assert [[b.known[int(c)].as_py() for c in b.code] for b in blocks] == [["a", "b", ""], ["c", "d", "e", "f", "g", "h", "a"]]
+    assert [b.ends.tolist() for b in blocks] == [[2, 3], [6, 7]]
+
+
 def test_names_of_titles(spark):
     rows = [("Madras High Court says Chennai Corporation must act", ["chennai corporation", "court", "madras high", "madras high court"]), ("The A new B. Stalin-led Party wins", ["party", "stalinled party"]), ("", []), (None, None)]
     frame = spark.createDataFrame([(t,) for t, _ in rows], "title string")
